@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup, token_counts
+from ledgerloom.llm import exact_dedup, pii, quality_rules, sentencepiece_codec, token_counts, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_pii": pii.op8_pii,
+    "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+}
