@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,57 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 
+def keep(frame: DataFrame) -> DataFrame:
+    """frame, written to the folder that all executors share and read again: computed once, whatever is lost later."""
+    shared_folder(frame.sparkSession)
+    path = f"{frame.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/kept-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+#: Bits of a filter (8 MB, whatever it is built from). A full filter lets everything through, which costs work and no result.
+FILTER_BITS = 1 << 26
+
+
+def filter_bits(values: Column | str, frame: DataFrame) -> bytes:
+    """A one-hash Bloom filter of fixed size over 64-bit hashes, put together by Spark in slices of 4 KB."""
+    position = F.pmod(F.col(values) if isinstance(values, str) else values, F.lit(FILTER_BITS)) + 1  # bitmap buckets count from 1
+    slices = frame.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for row in slices.toLocalIterator():
+        at = (row["k"] - 1) * 4096
+        out[at : at + 4096] = row["bits"]
+    return bytes(out)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """bits: the filter as bytes. Whether each 64-bit hash may be in it."""
+    at = (hashes.astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)  # FILTER_BITS is a power of two, so the sign makes no difference
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+class WordHashes(dict):
+    """A 64-bit hash for each word that comes along."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k words in a row, from the words' hashes."""
+    with np.errstate(over="ignore"):
+        out = h[: len(h) - k + 1].copy()
+        for j in range(1, k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
+    return mix64(out, k)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
