@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup, ngram_join, pii, quality_rules, sentencepiece_codec, token_counts, url_filter
+from ledgerloom.llm import exact_dedup, ngram_join, packing, pii, quality_rules, sentencepiece_codec, token_counts, url_filter
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_packing": packing.op6_packing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
