@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,31 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def split_by_key(rows: DataFrame, special: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows without and with a key (a 64-bit hash) that may be in special; so that only rows it may concern are shuffled to meet it."""
+    bits = rows.sparkSession.sparkContext.broadcast(filter_bits("key", special.select("key")))
+
+    @F.pandas_udf("boolean")
+    def may_be_in(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(np.frombuffer(bits.value, np.uint8), keys.to_numpy()))
+
+    return rows.where(~may_be_in("key")), rows.where(may_be_in("key"))
+
+
+def one_of_each(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of docs that stay. decided: key, stays, for each row; a key that comes more than once stays at most once.
+
+    docs may have columns of any name; its rows travel as one struct.
+    """
+    special = keep(decided.groupBy("key").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1").select("key", "stays"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    same, perhaps = split_by_key(rows, special)
+    perhaps = perhaps.join(special, "key", "left").withColumn("stays", F.coalesce("stays", F.lit(True)))
+    single, several = perhaps.where("stays"), special.where("stays").select("key")
+    repeated = single.join(several, "key", "left_semi").dropDuplicates(["key"])
+    return same.select("row.*").unionByName(single.join(several, "key", "left_anti").select("row.*")).unionByName(repeated.select("row.*"))
+
+
 class WordHashes(dict):
     """A 64-bit hash for each word that comes along."""
 

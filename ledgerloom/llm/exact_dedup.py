@@ -17,10 +17,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACE, mix64, shared_folder, table, text_of
+from ledgerloom.llm.common import SPACE, keep, mix64, one_of_each, table, text_of
 
 SHARD_DIGESTS = 50_000
 #: Bits for each key that a level of the hash offers.
@@ -104,10 +104,14 @@ def _look_up_shard(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def sha256() -> Column:
+    """Of the normalised text, in lowercase hex."""
+    return F.sha2(F.regexp_replace(text_of(), SPACE, " ").cast("binary"), 256)
+
+
 def digests_of(docs: DataFrame) -> DataFrame:
     """doc_id and the digest of the normalised text, as 32 bytes."""
-    text = F.regexp_replace(text_of(), SPACE, " ")
-    return docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", F.unhex(sha256()).alias("digest"))
 
 
 def _shard(n_shards: int):
@@ -140,9 +144,7 @@ def exact_duplicates(docs: DataFrame, split: int | None = None) -> DataFrame:
     it has none, keep_id is null and every such row stays. A row that appears
     twice with the same id appears twice here. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    shared_folder(spark)
-    rows = digests_of(docs).checkpoint()  # 40 bytes a row; the texts are read once
+    rows = keep(digests_of(docs))  # 40 bytes a row; the texts are read once
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     split = split if split is not None else ((low or 0) + (high or 0)) // 2
     n_shards = max(1, math.ceil(n / SHARD_DIGESTS))
@@ -159,6 +161,13 @@ def exact_duplicates(docs: DataFrame, split: int | None = None) -> DataFrame:
     )
 
 
+def drop_duplicates(docs: DataFrame, split: int | None = None) -> DataFrame:
+    """docs with one row of each text: a row that ``exact_duplicates`` keeps, or one without an id where no row has one."""
+    found = exact_duplicates(docs, split)
+    decided = found.select(F.xxhash64("doc_id", "text_sha256").alias("key"), (F.col("kept") | F.col("keep_id").isNull()).alias("stays"))
+    return one_of_each(docs, F.xxhash64("doc_id", sha256()), decided)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, passes, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, one_of_each, passes, small_batches, table, text_of
 
 WORDS = 5
 ORDERS = 3
@@ -57,7 +57,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         sets = [shingle_set(t, hashes) for t in rows["text"]]
         blobs = [s.tobytes() for s in sets]
-        yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "key": [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], "n": [len(s) for s in sets], "tokens": blobs})
+        yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "text_key": rows["text_key"], "key": [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], "n": [len(s) for s in sets], "tokens": blobs})
 
 
 def _set(blob: bytes) -> np.ndarray:
@@ -222,7 +222,7 @@ def _shared_prefix_tokens(sets: DataFrame, orders, n_parts: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs.
+    """doc_id, text_key (a hash of the text), n_shingles, component_id and comp (null without words) for each row of docs.
 
     Null texts equal the empty text; rows without words have no shingles and
     are linked with nothing, so component_id is their own doc_id. Rows with
@@ -232,8 +232,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
-    sets = keep(columns.mapInPandas(_features, "uid long, doc_id long, key long, n long, tokens binary"))
+    columns = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    sets = keep(columns.mapInPandas(_features, "uid long, doc_id long, text_key long, key long, n long, tokens binary"))
     worded = sets.where("n > 0")
     classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id")))
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -261,10 +261,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     comps = components(links.unionByName(more))
     found = classes.select("key", "doc_id").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labels = found.join(least, "comp").select("key", "component_id")
-    out = worded.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labels, "key").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    labels = found.join(least, "comp").select("key", "component_id", "comp")
+    out = worded.select("doc_id", "text_key", "key", F.col("n").alias("n_shingles")).join(labels, "key").drop("key")
+    return out.unionByName(sets.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: one that has the smallest doc_id. Rows without words stay, but equal ones once for each id."""
+    found = keep(similar_documents(docs))
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(row).alias("first"))
+    decided = found.join(first, "comp", "left").select(F.xxhash64("doc_id", "text_key").alias("key"), (F.col("first").isNull() | (row == F.col("first"))).alias("stays"))
+    return one_of_each(docs, F.xxhash64("doc_id", F.xxhash64(text_of())), decided)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
