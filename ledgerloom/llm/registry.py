@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup, ngram_join, packing, pii, quality_rules, sentencepiece_codec, token_counts, url_filter
+from ledgerloom.llm import exact_dedup, html_extraction, ngram_join, packing, pii, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_ngram_join": ngram_join.op5_ngram_join,
