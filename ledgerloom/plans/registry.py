@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from ledgerloom.plans import case_queries, link_queries, lifecycle_queries, text_queries
+
+FLAGSHIP = "case_outcomes"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "case_outcomes"
+for _module in (text_queries, case_queries, link_queries, lifecycle_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
