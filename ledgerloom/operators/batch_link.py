@@ -9,13 +9,16 @@ time, which is one batch and its credits except where credits name several.
 from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import LEAST_FRAGMENT, UTR_LENGTH, common_prefix, narration, utr_candidates
+from ledgerloom.operators import duplicates
 from ledgerloom.operators.calendar import add_working_days
+from ledgerloom.operators.stage import kept
 
 TOLERANCE, DATE_WINDOW = Decimal("1.00"), 3
 #: Weights and bars of the two ways to score a credit against a batch, and the lead that the best needs.
@@ -205,17 +208,22 @@ class BatchPasses:
 
     def __init__(self, batches: DataFrame, bank: DataFrame, profiles: DataFrame, cycles: DataFrame, days: DataFrame, as_of: str):
         self.as_of = F.lit(as_of).cast("date")
-        self.due = batches_due(batches, profiles, cycles, days)
+        self.due = kept(batches_due(batches, profiles, cycles, days))
         self.credits = credits_of(bank)
-        self.exact = exact_links(self.due, self.credits)
+        # Each pass is a small table of ids that all later ones read, so it is written once.
+        self.exact = kept(exact_links(self.due, self.credits))
         left, free = self.due.join(self.exact, "batch_id", "left_anti"), self.credits.join(self.exact, "bank_txn_id", "left_anti")
-        self.near = near_links(left, free)
+        self.near = kept(near_links(left, free))
         left, self.free = left.join(self.near, "batch_id", "left_anti"), free.join(self.near, "bank_txn_id", "left_anti")
         self.pending, self.open = left.where(F.col("due") > self.as_of), left.where(F.col("due") <= self.as_of)
 
+    @cached_property
+    def fuzzy(self) -> DataFrame:
+        return kept(fuzzy_links(self.open, self.free))
+
     def outcomes(self) -> DataFrame:
         """One row for each batch: status, bank_row_id, amounts and category."""
-        fuzzy = fuzzy_links(self.open, self.free)
+        fuzzy = self.fuzzy
         linked = self.exact.withColumn("how", F.lit("exact")).unionByName(self.near.withColumn("how", F.lit("near"))).unionByName(fuzzy.withColumn("how", F.lit("fuzzy")))
         rest, free = self.open.join(fuzzy, "batch_id", "left_anti"), self.free.join(fuzzy, "bank_txn_id", "left_anti")
         prefix = _prefix_seen(rest, free).select("batch_id").distinct().withColumn("prefix_seen", F.lit(True))
@@ -232,14 +240,12 @@ class BatchPasses:
 
     def orphan_credits(self) -> DataFrame:
         """Credits that no pass took and that resemble no batch at all, linked or not."""
-        free = self.free.join(fuzzy_links(self.open, self.free), "bank_txn_id", "left_anti")
+        free = self.free.join(self.fuzzy, "bank_txn_id", "left_anti")
         like = _prefix_seen(self.due, free).unionByName(reference_pairs(self.due, free).select("batch_id", "bank_txn_id")).unionByName(_amount_seen(self.due, free))
         return free.join(like.select("bank_txn_id").distinct(), "bank_txn_id", "left_anti").select("bank_txn_id", "value_date", "amount", "narration")
 
 
 def row_variances(ledger: DataFrame, orphans: DataFrame) -> DataFrame:
     """Variances of single rows: confirmed duplicate orders, and credits that belong to no batch."""
-    from ledgerloom.operators import duplicates
-
     copies = duplicates.confirmed(ledger).select(F.col("order_id").alias("row_id"), F.lit("ledger_rows").alias("source_table"), F.lit("CONFIRMED").alias("status"), F.lit("DUPLICATE_CONFIRMED").alias("category"), "amount")
     return copies.unionByName(orphans.select(F.col("bank_txn_id").alias("row_id"), F.lit("bank_rows").alias("source_table"), F.lit("OPEN").alias("status"), F.lit("UNEXPLAINED").alias("category"), "amount"))

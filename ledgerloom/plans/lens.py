@@ -7,11 +7,14 @@ that a matching pass answers to is put in by order key or batch number.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.operators.stage import kept
+
 #: The rate of each profile and method, the tax on fees, each profile's settlement cycle in working days.
 RATES = {
     "profile_a": {"card": "0.0200", "upi": "0.0000", "netbanking": "0.0175", "wallet": "0.0210"},
@@ -118,32 +121,39 @@ SPARK, DUCKDB = Dialect(True), Dialect(False)
 _SOURCES = ("orders", "customer")
 
 
+#: What a delivery would bring as files: written once for each session and folder, then read like files.
+_DELIVERED = ("ledger", "payments", "refunds", "charges", "repaid", "lines", "batched", "batches", "bank")
+_written: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 class Lens:
     """The views as DataFrames over the tables in a folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _SOURCES}
+        self.frames = _written.setdefault((spark.sparkContext.applicationId, sf_dir), {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _SOURCES})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.frames:
-            sql = SPARK.views[name]
-            earlier = list(SPARK.views)[: list(SPARK.views).index(name)]
-            used = [v for v in [*_SOURCES, *earlier] if _mentions(sql, v)]
-            for v in used:
-                sql = _replace(sql, v)
-            self.frames[name] = self.spark.sql(sql, **{v: self[v] for v in used})
+            view = self._view(name)
+            self.frames[name] = kept(view) if name in _DELIVERED else view
         return self.frames[name]
 
+    def _view(self, name: str) -> DataFrame:
+        sql = SPARK.views[name]
+        earlier = list(SPARK.views)[: list(SPARK.views).index(name)]
+        used = [v for v in [*_SOURCES, *earlier] if _named(v, sql)]
+        for v in used:
+            sql = re.sub(_use(v), rf"\1 {{{v}}}", sql)
+        return self.spark.sql(sql, **{v: self[v] for v in used})
 
-def _mentions(sql: str, view: str) -> bool:
-    return any(f"{word} {view}" in f"{sql} ".replace("\n", " ") and _replace(sql, view) != sql for word in ("FROM", "JOIN"))
 
+def _use(view: str) -> str:
+    return rf"\b(FROM|JOIN) {view}\b"
 
-def _replace(sql: str, view: str) -> str:
-    import re
 
-    return re.sub(rf"\b(FROM|JOIN) {view}\b", rf"\1 {{{view}}}", sql)
+def _named(view: str, sql: str) -> bool:
+    return re.search(_use(view), sql) is not None
 
 
 def oracle(select: str) -> str:

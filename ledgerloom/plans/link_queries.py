@@ -89,7 +89,7 @@ def p8_verdicts(e):
 
 @query(f"{PASSES} SELECT * FROM p8")
 def p8_fuzzy_links(e):
-    return B.fuzzy_links(e.passes.open, e.passes.free)
+    return e.passes.fuzzy
 
 
 @query(f"{PASSES} SELECT * FROM links")
