@@ -47,5 +47,5 @@ def new_files(contents: DataFrame, known: DataFrame) -> DataFrame:
 
 def watch(spark: SparkSession, folder: str, pattern: str, on_day: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs on_day(files, number) for each delivery of new files, all that are there now; a restart goes on where it stopped."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
     return stream.select("path", "content").writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(on_day).start()
