@@ -1,7 +1,7 @@
 """Repeated passages by a sparse suffix array over all documents.
 
 Only suffixes at minimisers stay: of each SPAN consecutive runs of HEAD words
-the one with the least hash. Two passages of PASSAGE words with equal words
+those with the least hash. Two passages of PASSAGE words with equal words
 select the same places, so every repeated passage shares one. A suffix
 carries its first words and the words to its left. Spark sorts the suffixes
 into ranges, which are the suffix array, a slice to a task; neighbours are
@@ -38,12 +38,22 @@ CODE = 3
 SLICE_ROWS = 50_000
 
 
+def _over_windows(x: np.ndarray, size: int, better) -> np.ndarray:
+    """better (minimum or maximum) over each size neighbours, by doubling."""
+    done = 1
+    while 2 * done <= size:
+        x, done = better(x[:-done], x[done:]), 2 * done
+    return better(x[: len(x) - (size - done)], x[size - done :]) if done < size else x
+
+
 def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and head hashes, from the words' hashes."""
+    """Positions and head hashes, from the words' hashes: heads that are the least of some SPAN in a row, equal ones all."""
     if len(h) < PASSAGE:
         return np.array([], np.int64), np.array([], np.uint64)
     g = grams(h, HEAD)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1) + np.arange(len(g) - SPAN + 1))
+    least = np.zeros(len(g) + SPAN - 1, np.uint64)  # of the windows that hold a head, with none beyond the ends
+    least[SPAN - 1 : len(g)] = _over_windows(g, SPAN, np.minimum)
+    at = np.flatnonzero(_over_windows(least, SPAN, np.maximum) == g)
     return at, g[at]
 
 

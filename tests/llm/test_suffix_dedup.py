@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from ledgerloom.llm import suffix_dedup as M
 
 SCHEMA = "doc_id long, text string, uid long, head string"
@@ -20,6 +22,16 @@ def covered(rows):
     return out
 
 
+def test_minimisers():
+    rng = np.random.default_rng(1)
+    for n in (0, 49, 50, 51, 130, 700):
+        h = rng.integers(0, 2 if n == 700 else 2**63, n).astype(np.uint64)
+        g = M.grams(h, M.HEAD) if n >= M.HEAD else h[:0]
+        want = {i for j in range(n - M.PASSAGE + 1) for i in range(j, j + M.SPAN) if g[i] == g[j : j + M.SPAN].min()}
+        at, heads = M.minimisers(h)
+        assert at.tolist() == sorted(want) and (heads == g[at]).all()
+
+
 def test_planted_passages(spark, monkeypatch):
     monkeypatch.setattr(M, "SLICE_ROWS", 15)  # many slices, so that their ends matter
     rng = random.Random(1)
