@@ -52,10 +52,11 @@ CHROME_TAGS = {"nav", "footer", "aside", "form", "menu"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 MAIN_TAGS = {"article", "main"}
 CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|copyright|sidebar|aside|widget|related|recommended|ads?|adverts?|advertisement|advertising|banner|sponsor|sponsored|promo|"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|topbar|footer|copyright|sidebar|aside|widget|related|recommended|ads?|adverts?|advertisement|advertising|banner|sponsor|sponsored|promo|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|comments?|disqus|respond|replies|discussion|pagination|pager|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:content|main|main-content|maincontent|article|article-body|articlebody|article-content|post-content|post-body|entry-content|story|story-body|page-content)(?:$|\s)", re.I)
 #: An open element of these names ends where the next of its kind begins, or where a parent ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -77,8 +78,8 @@ def _kind(tag: str, attributes: str, parent: int, in_main: bool) -> int:
         return CHROME
     if tag in MAIN_TAGS:
         return CHROME if name.strip() and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", name, re.I) else MAIN
-    if tag == "header" and not in_main:
-        return CHROME
+    if not in_main and (tag == "header" or (tag not in ("html", "body") and name.strip() and HEADER_NAMES.search(name))):
+        return CHROME  # in an article, a header holds its title
     if role == "main" or (name.strip() and MAIN_NAMES.search(name)):
         return MAIN
     return parent
@@ -259,7 +260,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     decided = rows.withColumn("text", F.pandas_udf(decide, "string")("html"))
     done = decided.where("text is not null").select("page_id", "url", "text")
-    open_ = decided.where("text is null").select("page_id", "url", "host", "html")
+    open_ = keep(decided.where("text is null").select("page_id", "url", "host", "html"))  # most pages are decided, and all are read once for it
 
     hosts = open_.select("host").distinct()
     streams = rows.join(hosts, "host", "left_semi").dropDuplicates(["host", "html"])

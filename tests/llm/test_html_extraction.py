@@ -29,6 +29,7 @@ def test_broken_markup():
     assert text("<article><article class='comment'>no</article>yes</article>") == "yes"
     assert text("<ARTICLE>Up</ARTICLE>") == "Up"
     assert text("<nav>only a menu</nav>") == "" and text("") == ""
+    assert text("<div class='page-header'>x</div><article><div class='post-header'>title</div>y</article>") == "title\ny"
     assert text("no markup") is None  # left to the host's pages
 
 
