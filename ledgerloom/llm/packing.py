@@ -15,7 +15,10 @@ that a third of all rows share is cut like any other.
 
 from __future__ import annotations
 
+import functools
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +35,11 @@ WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
 #: BM25's parameters, and the seed's rarest terms that are looked up.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
+LETTERS = "a-zß-öø-ÿ"
+PLAIN = re.compile(f"[{LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
+WORDS = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+#: Chunks whose ids a worker remembers.
+CHUNKS = 500_000
 #: Ids from here on are rarer tokens, of which signatures are made.
 RARE = 2000
 
@@ -43,16 +51,46 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads here
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.words: dict[bytes, bytes] = {}
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > 500_000:
+    def _learn(self, chunks: set[bytes]) -> None:
+        if len(self) > CHUNKS:
             self.clear()
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) + np.uint32(END).tobytes()
+            self.words.clear()
+        # Characters of this range stay as they are in the normaliser; without an apostrophe they split into letters, single digits and the rest.
+        parts = {c: [w.encode() for w in WORDS.findall(t)] if PLAIN.fullmatch(t := c.decode()) and "<|" not in t else [c] for c in chunks}
+        new = {w for p in parts.values() for w in p if w not in self.words}
+        model, shape, other = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str, []
+        for w in new:
+            if PLAIN.fullmatch(t := w.decode()) and "<|" not in t and len(WORDS.findall(t)) == 1:
+                piece = t if w.isascii() else shape(t)[0][0]
+                self.words[w] = np.array([x.id for x in model.tokenize(piece)], "<u4").tobytes()
+            else:
+                other.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
+        self.update((c, b"".join(map(self.words.__getitem__, p))) for c, p in parts.items())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out, end = [], np.uint32(END).tobytes()
+        for text in texts:
+            # The tokenizer lowers A-Z anyway; only its special tokens, which begin with <|, are told apart before.
+            chunks = (text.encode() if "<|" in text else text.encode().lower()).split()
+            try:
+                out.append(b"".join(map(self.__getitem__, chunks)) + end)
+            except KeyError:
+                need = set(chunks)
+                self._learn(need if len(self) > CHUNKS else {c for c in need if c not in self})
+                out.append(b"".join(map(self.__getitem__, chunks)) + end)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def chunks_of(tokenizer_file: str) -> Chunks:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return Chunks(tokenizer_file)
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -60,12 +98,11 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = Chunks(tokenizer_file)
+        chunks = chunks_of(tokenizer_file)
         for rows in batches:
-            ids, signature = [], []
-            for text in rows["text"]:
-                ids.append(chunks.ids(text))
-                terms = np.frombuffer(ids[-1], "<u4")
+            ids, signature = chunks.ids(list(rows["text"])), []
+            for blob in ids:
+                terms = np.frombuffer(blob, "<u4")
                 rare = terms[terms >= RARE]
                 signature.append(int(mix64(rare if len(rare) else terms).min() >> np.uint64(1)))
             yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "signature": signature, "n": [len(x) // 4 for x in ids], "ids": ids})
@@ -176,8 +213,8 @@ def _end_in_powers(pieces: list[tuple], window: int) -> list[tuple]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(docs: DataFrame, tokenizer_file: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """A row for each piece (PIECES, and ids as array of int).
+def packed(docs: DataFrame, tokenizer_file: str, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
+    """A row for each piece (PIECES, and ids as array of int unless they aren't wanted).
 
     Null and empty texts are documents of the end token alone. Rows are
     packed on their own: repeated rows and null ids are packed as often as
@@ -199,14 +236,15 @@ def packed(docs: DataFrame, tokenizer_file: str, shard_tokens: int = SHARD_TOKEN
         for i in range(0, len(found), 1000):
             part = found[i : i + 1000]
             cut = [texts[d][s : s + k] for d, s, k, *_ in part]
-            yield pd.DataFrame({
+            pieces = pd.DataFrame({
                 "doc_id": doc_ids.iloc[[p[0] for p in part]].array, "start": [p[1] for p in part], "length": [p[2] for p in part], "ids_crc32": [zlib.crc32(x.tobytes()) for x in cut],
-                "doc_tokens": [len(texts[p[0]]) for p in part], "sequence_id": [(shard << 32) + p[3] for p in part], "offset": [p[4] for p in part], "ids": cut,
+                "doc_tokens": [len(texts[p[0]]) for p in part], "sequence_id": [(shard << 32) + p[3] for p in part], "offset": [p[4] for p in part],
             })
+            yield pieces.assign(ids=cut) if with_ids else pieces
 
     shards = ids.repartitionByRange(n_shards, "signature", "uid").sortWithinPartitions("signature", "uid")
-    return shards.mapInPandas(fill, PIECES + ", ids array<int>")
+    return shards.mapInPandas(fill, PIECES + ", ids array<int>" * with_ids)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")).drop("ids")
+    return packed(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), with_ids=False)

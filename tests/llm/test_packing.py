@@ -19,8 +19,8 @@ def chunks():
 def test_chunks_give_the_ids_of_whole_texts(chunks):
     rng = random.Random(1)
     for _ in range(1500):
-        text = "".join(rng.choice(["a", "B", " ", "\n", "\t", "\x0b", "\x1c", " ", " ", "it's", "'", "é", "́", "É", "ΑΣ", "漢", "12", "!?", "<|endoftext|>", "<|startoftext|>", "the "]) for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(chunks.ids(text), "<u4").tolist() == [*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+        text = "".join(rng.choice(["a", "B", " ", "\n", "\t", "\x0b", "\x1c", " ", " ", "it's", "'", "a1b22,", "x", "`{~", "@[", "ßünür", "ñÿ÷x", "å7", "Foo-Bar!?", "\x7f", "\x00", "é", "́", "É", "ΑΣ", "漢", "12", "!?", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>", "the "]) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(chunks.ids([text])[0], "<u4").tolist() == [*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
 def check(rows, docs, window=4096):
@@ -76,7 +76,7 @@ def test_every_id_lies_in_one_piece(spark, chunks):
     frame = spark.createDataFrame(rows, "doc_id long, text string, ids string, n long").repartition(4)
     docs = defaultdict(list)
     for i, t, *_ in rows:
-        docs[i].append(np.frombuffer(chunks.ids(t or ""), "<u4"))
+        docs[i].append(np.frombuffer(chunks.ids([t or ""])[0], "<u4"))
     for tokens in (1_000_000, 20_000):
         got = M.packed(frame, FILE, tokens).collect()
         check([tuple(r)[:7] for r in got], docs)
