@@ -35,7 +35,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.packed(docs, public_path("word_bpe_49k.json")).drop("ids")
+    return packing.packed(docs, public_path("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("personal data", private), ("packing", pack)]
