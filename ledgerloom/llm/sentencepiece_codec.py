@@ -10,6 +10,7 @@ is held against the sentencepiece library.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import small_batches, table, text_of
-from ledgerloom.llm.token_counts import public_path
+from ledgerloom.llm.token_counts import STATES, UNIT, public_path
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -119,6 +120,43 @@ def tokenizer(model: Model):
     return out
 
 
+class Encoder:
+    """Encodes and decodes by the library. Where no piece goes on past a word, each unit (blanks and the word after them) is looked at once."""
+
+    def __init__(self, model: Model):
+        self.core = tokenizer(model)
+        marks = any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces)
+        self.by_unit = model.dummy_prefix and model.mark_blanks and not model.squeeze_blanks and not model.char_map and not marks
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
+
+    def whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        ids = [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x, np.int32) for x in ids], self.core.decode_batch(ids, skip_special_tokens=False)
+
+    def run(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """The ids of each text, and what they decode to."""
+        if not self.by_unit:
+            return self.whole(texts)
+        split = [UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        if len(self.ids) > STATES:
+            self.ids.clear()
+            self.texts.clear()
+        if new := list(set().union(*split).difference(self.ids)):
+            # The normaliser puts a unit's first blank back, and the decoder takes it away; a lone blank has to be its own piece.
+            ids, decoded = self.whole([u[1:] for u in new])
+            self.ids.update((u, x.tobytes() if len(u) > 1 else np.int32(self.core.token_to_id(MARK)).tobytes()) for u, x in zip(new, ids, strict=True))
+            self.texts.update((u, " " + d) for u, d in zip(new, decoded, strict=True))
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, units)), np.int32) for units in split], ["".join(map(self.texts.__getitem__, units))[1:] for units in split]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(model_file: str) -> Encoder:
+    """One for each Python worker, which Spark uses for many tasks."""
+    with open(model_file, "rb") as f:
+        return Encoder(Model.parse(f.read()))
+
+
 def codec(docs: DataFrame, model_file: str) -> DataFrame:
     """For each row of docs its ids and what came of them, without a shuffle.
 
@@ -134,16 +172,15 @@ def codec(docs: DataFrame, model_file: str) -> DataFrame:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
-        with open(model_file, "rb") as f:
-            ours = tokenizer(Model.parse(f.read()))
+        ours = encoder_of(model_file)
         theirs = sentencepiece.SentencePieceProcessor(model_file=model_file)
         for rows in batches:
             size = rows["text"].str.len().cumsum() // BATCH_CHARS
             for _, part in rows.groupby(size.to_numpy()):
                 texts = list(part["text"])
-                ids = [e.ids for e in ours.encode_batch_fast(texts, add_special_tokens=False)]
-                parity = [a == b for a, b in zip(ids, theirs.encode(texts, num_threads=THREADS), strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": ours.decode_batch(ids, skip_special_tokens=False), "parity": parity})
+                ids, decoded = ours.run(texts)
+                parity = [np.array_equal(a, b) for a, b in zip(ids, theirs.encode(texts, num_threads=THREADS), strict=True)]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": decoded, "parity": parity})
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string, parity boolean")
 
