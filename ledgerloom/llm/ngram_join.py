@@ -39,7 +39,7 @@ ORDERS = 3
 #: First tokens in each order by which step 1 groups classes.
 FIRST = 2
 #: Counters of the table of token frequencies (a byte for each is broadcast), and slices in which it is added up.
-COUNTERS, SLICES = 1 << 21, 64
+COUNTERS, SLICES = 1 << 22, 64
 #: Prefix tokens that one task sorts, and the most parts that they are dealt into.
 PART_TOKENS, MAX_PARTS = 100_000, 200_000
 #: Sets that are held against one set in one group.
@@ -98,13 +98,14 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def global_orders(sets: DataFrame) -> Orders:
-    """Orders from the frequencies of all tokens of all rows. Tokens share counters, so a counter counts as common from 16 times the mean."""
+    """Orders from the frequencies of all tokens of all rows. Tokens share counters, so it is the excess over the mean, in units of its spread, that makes a token common."""
     counted = sets.select("tokens").mapInPandas(_count, "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary")
     counts = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
     for row in counted.toLocalIterator():
         counts[row["slice"]] = np.frombuffer(row["counts"], "<i8")
     counts = counts.reshape(-1)
-    return Orders(np.clip(np.log2(np.maximum(counts, 1) / (counts.mean() + 1)) - 3, 0, 63).astype(np.uint8))
+    mean = counts.mean()
+    return Orders(np.log2(np.maximum(1, (counts - mean) / (2 * np.sqrt(mean + 1)))).astype(np.uint8))
 
 
 def _verify_block(rows: pd.DataFrame, orders: Orders) -> pd.DataFrame:
@@ -125,20 +126,22 @@ def _verify_block(rows: pd.DataFrame, orders: Orders) -> pd.DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, orders) -> DataFrame:
-    """The pairs (a, b of classes) whose sets are similar enough. Each block holds one set against at most about BLOCK others."""
+    """The pairs (a, b of classes) whose sets are similar enough. Each block holds one set against about BLOCK others at most; sets whose sizes rule a link out aren't moved."""
+    sized = lambda c: classes.select(F.col("key").alias(c), F.col("uid").alias(f"uid_{c}"), F.col("n").alias(f"n_{c}"))
+    pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+    pairs = keep(pairs.select("a", "b", "uid_a", "uid_b"))
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"))
-    blocks = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / BLOCK)).alias("block"))
-    needs = blocks.select("a", "block", F.col("b").alias("key"), F.lit(1).alias("role")).unionByName(blocks.select("a", "block", F.col("a").alias("key"), F.lit(0).alias("role")).distinct())
-    uids = classes.join(needs.select("key").distinct(), "key", "left_semi").select("uid")
-    bits = sets.sparkSession.sparkContext.broadcast(filter_bits("uid", uids))
+    blocks = pairs.join(per, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / BLOCK)))
+    needs = blocks.select("a", "block", F.col("uid_b").alias("uid"), F.lit(1).alias("role")).unionByName(blocks.select("a", "block", F.col("uid_a").alias("uid"), F.lit(0).alias("role")).distinct())
+    hashed = F.xxhash64("uid").alias("hash")
+    bits = sets.sparkSession.sparkContext.broadcast(filter_bits("hash", needs.select(hashed).distinct()))
 
-    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask = np.frombuffer(bits.value, np.uint8)
-        for rows in batches:
-            yield rows[passes(mask, rows["uid"].to_numpy())]
+    @F.pandas_udf("boolean")
+    def needed(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(np.frombuffer(bits.value, np.uint8), hashes.to_numpy()))
 
-    some = sets.select("uid", "key", "tokens").mapInPandas(needed, "uid long, key long, tokens binary").join(uids, "uid", "left_semi").drop("uid")
-    found = needs.join(some, "key").groupBy("a", "block").applyInPandas(lambda rows: _verify_block(rows, Orders(orders.value)), "a long, b long")
+    some = sets.select("uid", "key", "tokens").where(needed(F.xxhash64("uid")))
+    found = needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInPandas(lambda rows: _verify_block(rows, Orders(orders.value)), "a long, b long")
     return keep(found)
 
 
@@ -235,12 +238,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     columns = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
     sets = keep(columns.mapInPandas(_features, "uid long, doc_id long, text_key long, key long, n long, tokens binary"))
     worded = sets.where("n > 0")
-    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id")))
+    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     total = sets.agg(F.sum("n")).first()[0] or 0
     orders = spark.sparkContext.broadcast(global_orders(worded).level)
 
     # Step 1: one member of each group of equal first tokens against the rest.
-    first = _first_tokens(sets, orders).distinct()
+    first = keep(_first_tokens(sets, orders).distinct())
     leader = first.groupBy("slot").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("slot", "a")
     stars = keep(first.join(leader, "slot").where("key <> a").select("a", F.col("key").alias("b")).distinct())
     links = _verified(stars, sets, classes, orders)
