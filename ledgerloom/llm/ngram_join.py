@@ -44,6 +44,8 @@ COUNTERS, SLICES = 1 << 22, 64
 PART_TOKENS, MAX_PARTS = 100_000, 200_000
 #: Sets that are held against one set in one group.
 BLOCK = 128
+#: Counts of a set's tokens by hash, a byte each; they bound the overlap of two sets before the sets are moved.
+SKETCH = 256
 
 
 def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
@@ -52,12 +54,23 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
     return np.unique(grams(h, min(WORDS, len(h)))) if len(h) else h
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """Whether the sketches allow the overlap that a link needs. A full count bounds nothing."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    least = np.minimum(x, y)
+    return bool((least == 255).any()) or 7 * int(least.sum(dtype=np.int64)) >= 3 * (n_a + n_b)
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for rows in batches:
         sets = [shingle_set(t, hashes) for t in rows["text"]]
         blobs = [s.tobytes() for s in sets]
-        yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "text_key": rows["text_key"], "key": [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], "n": [len(s) for s in sets], "tokens": blobs})
+        yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "text_key": rows["text_key"], "key": [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "tokens": blobs})
 
 
 def _set(blob: bytes) -> np.ndarray:
@@ -127,9 +140,14 @@ def _verify_block(rows: pd.DataFrame, orders: Orders) -> pd.DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, orders) -> DataFrame:
     """The pairs (a, b of classes) whose sets are similar enough. Each block holds one set against about BLOCK others at most; sets whose sizes rule a link out aren't moved."""
-    sized = lambda c: classes.select(F.col("key").alias(c), F.col("uid").alias(f"uid_{c}"), F.col("n").alias(f"n_{c}"))
+    sized = lambda c: classes.select(F.col("key").alias(c), F.col("uid").alias(f"uid_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-    pairs = keep(pairs.select("a", "b", "uid_a", "uid_b"))
+
+    @F.pandas_udf("boolean")
+    def allowed(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        return pd.Series([may_link(*x) for x in zip(a, b, n_a, n_b, strict=True)], dtype=bool)
+
+    pairs = keep(pairs.where(allowed("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b", "uid_a", "uid_b"))
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"))
     blocks = pairs.join(per, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / BLOCK)))
     needs = blocks.select("a", "block", F.col("uid_b").alias("uid"), F.lit(1).alias("role")).unionByName(blocks.select("a", "block", F.col("uid_a").alias("uid"), F.lit(0).alias("role")).distinct())
@@ -236,9 +254,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     columns = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
-    sets = keep(columns.mapInPandas(_features, "uid long, doc_id long, text_key long, key long, n long, tokens binary"))
+    sets = keep(columns.mapInPandas(_features, "uid long, doc_id long, text_key long, key long, n long, sketch binary, tokens binary"))
     worded = sets.where("n > 0")
-    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")))
     total = sets.agg(F.sum("n")).first()[0] or 0
     orders = spark.sparkContext.broadcast(global_orders(worded).level)
 

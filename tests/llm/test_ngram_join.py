@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import ngram_join as M
@@ -69,6 +70,19 @@ def test_chains_are_followed(spark):
     assert sorted(map(tuple, M.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
 
 
+def test_sketch_rules_no_link_out():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        a = base[rng.random(len(base)) < 0.95]
+        b = np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
+        if 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
+            assert M.may_link(M.sketch(a), M.sketch(b), len(a), len(b))
+    full = (np.arange(300) * M.SKETCH).astype(np.uint64)  # one count beyond a byte
+    assert M.may_link(M.sketch(full), M.sketch(full), 300, 300)
+    assert not M.may_link(M.sketch(np.arange(50, dtype=np.uint64)), M.sketch(np.arange(100, 150, dtype=np.uint64)), 50, 50)
+
+
 def test_empty_table(spark):
     assert M.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
