@@ -4,15 +4,16 @@ Only suffixes at minimisers stay: of each SPAN consecutive runs of HEAD words
 those with the least hash. Two passages of PASSAGE words with equal words
 select the same places, so every repeated passage shares one. A suffix
 carries its first words and the words to its left. Spark sorts the suffixes
-into ranges, which are the suffix array, a slice to a task; neighbours are
-compared, and their match is extended to the right and to the left. Matches
-of PASSAGE words or more give the passage's words in both documents.
+into ranges, which are the suffix array, a slice to a task. Suffixes of equal
+heads are a group; each of its windows of PASSAGE words around the head is
+found wherever it stands, and its least place (uid, at) is the one that stays.
 
 A filter of fixed size lets only suffixes through whose first HEAD words come
 twice in the corpus, so that unique text is never shuffled. A passage that a
 third of all documents share is split over slices like any other: suffixes
-are dealt by all of their words and their place, and the ends of slices are
-compared too.
+are dealt by all of their words and their place. A slice's first and last head
+may be in other slices too, so for each of their windows the slice passes on
+one row, its first place there, and these rows are compared by the window.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, passes, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, passes, small_batches, table, text_of
 
 #: Words of a passage that counts, and of a suffix's head; a window of SPAN heads has PASSAGE words.
 PASSAGE, HEAD = 50, 10
@@ -36,6 +36,8 @@ LEFT, RIGHT = SPAN, PASSAGE
 #: Bytes of a word's code. Heads are compared by 64 bits, the words around them by these.
 CODE = 3
 SLICE_ROWS = 50_000
+#: Suffixes of a slice that are compared at once, or more where one head has more.
+GROUP_ROWS = 5_000
 
 
 def _over_windows(x: np.ndarray, size: int, better) -> np.ndarray:
@@ -75,56 +77,108 @@ def _contexts(h: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
 
 SUFFIX = "head long, right binary, left binary, uid long, doc_id long, at int, n_words int"
 MATCH = "uid long, doc_id long, n_words int, start int, end int, other long, earlier boolean"
+#: What a slice gives: MATCH, or with a key a window that other slices may have too: n times here, for the first time at start.
+FOUND = f"{MATCH}, key long, n long"
 
 
-def _same(a: bytes, b: bytes) -> int:
-    """The number of words that two contexts have in common from their beginning."""
-    n = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-    differ = np.flatnonzero(x != y)
-    return (int(differ[0]) if len(differ) else n) // CODE
+def _prefixes(contexts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each context's first 0, 1 ... size words, a row for each number; and the contexts' numbers of words."""
+    padded = np.frombuffer(b"".join([c[: CODE * size].ljust(CODE * size, b"\0") for c in contexts]), np.uint8).reshape(-1, size, CODE)
+    codes = np.zeros((size, len(contexts)), np.uint64)
+    for j in range(CODE):
+        codes |= padded[:, :, j].T.astype(np.uint64) << np.uint64(8 * j)
+    out = np.zeros((size + 1, len(contexts)), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out[k + 1] = mix64(out[k] * np.uint64(0x9E3779B97F4A7C15) + codes[k], k)
+    return out, np.array([len(c) // CODE for c in contexts], np.int64)
 
 
-def _compare(a, b) -> list[tuple]:
-    """Of neighbours in the suffix array, rows of SUFFIX: what each matches of the other."""
-    if a.head != b.head:
-        return []
-    right, left = _same(a.right, b.right), _same(a.left, b.left)
-    if left + right < PASSAGE:
-        return []
-    return [(x.uid, x.doc_id, x.n_words, x.at - left, x.at + right, y.doc_id, (y.uid, y.at) < (x.uid, x.at)) for x, y in ((a, b), (b, a))]
-
-
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matches of a slice, and its first and last suffix."""
-    first = last = None
-    names = [c.split()[0] for c in f"{MATCH}, {SUFFIX}".split(", ")]
-
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        absent = [c.split() for c in NEIGHBOURS.split(", ") if c.split()[0] not in part]
-        return part.assign(**{c: pd.array([None] * len(part), "Int64" if kind in ("long", "int") else object) for c, kind in absent})
+def _windows(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Of each window of PASSAGE words around a head: its key, the first and the second row that have it, and how many have it.
 
+    rows are in order of uid and at. An array has a line for each number of
+    words that a window has on the left of the head; where the text is too
+    short for a window, no row has it.
+    """
+    left, n_left = _prefixes(rows["left"], SPAN - 1)
+    right, n_right = _prefixes(rows["right"], PASSAGE)
+    head = rows["head"].to_numpy().astype(np.uint64)
+    keys = np.zeros((SPAN, len(rows)), np.uint64)
+    first, second, n = (np.zeros((SPAN, len(rows)), np.int32) for _ in range(3))
+    for before in range(SPAN):
+        with np.errstate(over="ignore"):
+            keys[before] = mix64(mix64(left[before], before) + right[PASSAGE - before] + head * np.uint64(0x9E3779B97F4A7C15))
+        there = np.flatnonzero((n_left >= before) & (n_right >= PASSAGE - before))
+        if not len(there):
+            continue
+        order = np.argsort(keys[before, there], kind="stable")
+        row, key = there[order], keys[before, there[order]]
+        new = np.append(True, key[1:] != key[:-1])
+        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+        first[before, row] = row[begin][group]
+        second[before, row] = row[np.minimum(begin + 1, len(row) - 1)][group]
+        n[before, row] = np.diff(np.append(begin, len(row)))[group]
+    return keys, first, second, n
+
+
+def _slice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """FOUND of a slice. Only its first and its last head may come in other slices too."""
+    held, n, first = [], 0, None
     for rows in batches:
-        out = []
-        for row in rows.itertuples(index=False):
-            if last is None:
-                first = row
-            else:
-                out += _compare(last, row)
-            last = row
-        if out:
-            yield whole(pd.DataFrame(out, columns=names[:7]).assign(slice=-1))
-    if first is not None:
-        number = TaskContext.get().partitionId()
-        ends = pd.DataFrame([first, last], columns=names[7:])
-        yield whole(ends.rename(columns={"uid": "s_uid", "doc_id": "s_doc_id", "n_words": "s_n_words"}).assign(slice=2 * number + np.arange(2)))
-
-
-NEIGHBOURS = f"{MATCH}, head long, right binary, left binary, s_uid long, s_doc_id long, at int, s_n_words int, slice long"
+        if not len(rows):
+            continue
+        first = rows["head"].iloc[0] if first is None else first
+        held, n, last = [*held, rows], n + len(rows), rows["head"].iloc[-1]
+        if n >= GROUP_ROWS and held[0]["head"].iloc[0] != last:
+            held = pd.concat(held, ignore_index=True)
+            cut = int(held["head"].searchsorted(last))
+            yield from _groups(held[:cut], [first])
+            held, n = [held[cut:]], len(held) - cut
+    if held:
+        yield from _groups(pd.concat(held, ignore_index=True), [first, last])
+
+
+def _groups(rows: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
+    """FOUND of all suffixes of some heads, of which edges may come in other slices."""
+    rows = rows.sort_values(["uid", "at"], ignore_index=True)
+    keys, first, second, n = _windows(rows)
+    uid, at, n_words, doc_id = rows["uid"].to_numpy(), rows["at"].to_numpy().astype(np.int64), rows["n_words"].to_numpy(), rows["doc_id"].astype("Int64").array
+    edge, here = rows["head"].isin(edges).to_numpy(), np.arange(len(rows))
+
+    def of(row: np.ndarray, **more) -> pd.DataFrame:
+        out = pd.DataFrame({"uid": uid[row], "doc_id": doc_id[row], "n_words": n_words[row], **more})
+        return out.assign(**{c: pd.array([None] * len(row), "Int64") for c in ("key", "n") if c not in more})
+
+    # Windows in a row with the same other place are one match.
+    is_first = first == here
+    said = np.where((n > 1) & ~(edge & is_first), 2 * np.where(is_first, second, first) + ~is_first, -1).T
+    new = np.ones(said.shape, bool)
+    new[:, 1:] = said[:, 1:] != said[:, :-1]
+    begin = np.flatnonzero(new)
+    end, code = np.append(begin[1:], said.size), said.ravel()[begin]
+    begin, end, code = begin[code >= 0], end[code >= 0], code[code >= 0]
+    row, least, most = begin // SPAN, begin % SPAN, (end - 1) % SPAN
+    other, earlier = code // 2, code % 2 == 1
+    match = of(row, start=at[row] - most, end=at[row] - least + PASSAGE, other=doc_id[other], earlier=earlier)
+    yield from _apart(match, earlier & (uid[row] == uid[other]), at[other] - least + PASSAGE)
+
+    before, row = np.nonzero(edge & is_first & (n > 0))
+    start, several = at[row] - before, n[before, row]
+    next_id = pd.array(doc_id[second[before, row]], "Int64")
+    next_id[several == 1] = pd.NA
+    yield of(row, start=start, end=start + PASSAGE, other=next_id, earlier=False, key=keys[before, row].astype(np.int64), n=several)
+
+
+def _apart(match: pd.DataFrame, same_text: np.ndarray, until: np.ndarray) -> Iterator[pd.DataFrame]:
+    """match; where the other place is in the same text and overlaps it, only what lies behind that place (until) counts as later."""
+    over = same_text & (until > match["start"].to_numpy())
+    yield match.assign(earlier=match["earlier"] & ~over)
+    yield match.assign(start=np.maximum(match["start"], until))[over]
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """MATCH for each suffix and neighbour that share a passage."""
+    """MATCH for each place of a window of PASSAGE words that stands in two places or more."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
@@ -146,13 +200,19 @@ def matches(docs: DataFrame) -> DataFrame:
 
     order = ["head", "right", "uid", "at"]
     array = rows.mapInPandas(suffixes, SUFFIX).repartitionByRange(max(1, math.ceil(n_suffixes / SLICE_ROWS)), *order).sortWithinPartitions(*order)
-    found = keep(array.mapInPandas(_neighbours, NEIGHBOURS))
+    found = keep(array.mapInPandas(_slice, FOUND))
 
-    # The last suffix of each slice and the first one of the next: two rows a slice.
+    # Windows of heads that several slices may have: one row for each slice and window.
     columns = [c.split()[0] for c in MATCH.split(", ")]
-    ends = found.where("slice >= 0").select("head", "right", "left", F.col("s_uid").alias("uid"), F.col("s_doc_id").alias("doc_id"), "at", F.col("s_n_words").alias("n_words"), "slice").orderBy("slice").collect()
-    across = [m for a, b in zip(ends[1::2], ends[2::2], strict=False) for m in _compare(a, b)]
-    return found.where("slice < 0").select(columns).unionByName(spark.createDataFrame(across, MATCH))
+    by = Window.partitionBy("key").orderBy("uid", "start")
+    place = F.first(F.struct("uid", "start", F.col("doc_id").alias("id"))).over(by)
+    edge = found.where("key is not null").withColumn("rank", F.row_number().over(by)).withColumn("next", F.lead(F.struct(F.col("doc_id").alias("id"))).over(by)).withColumn("place", place)
+    edge = edge.where("rank > 1 or n > 1 or next is not null").withColumn("other", F.when(F.col("rank") > 1, F.col("place.id")).when(F.col("n") > 1, F.col("other")).otherwise(F.col("next.id")))
+    until = F.when((F.col("rank") > 1) & (F.col("place.uid") == F.col("uid")), F.col("place.start") + PASSAGE).otherwise(0)
+    edge = edge.withColumn("until", until).withColumn("over", F.col("until") > F.col("start")).withColumn("earlier", (F.col("rank") > 1) & ~F.col("over"))
+    behind = F.struct(*[{"start": F.col("until"), "earlier": F.lit(True)}.get(c, F.col(c)).alias(c) for c in columns])
+    edge = edge.select(F.inline(F.when(F.col("over"), F.array(F.struct(*columns), behind)).otherwise(F.array(F.struct(*columns)))))
+    return found.where("key is null").select(columns).unionByName(edge)
 
 
 def _union(spans) -> list[tuple[int, int]]:
@@ -169,13 +229,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """A row for each row of docs that has a passage of PASSAGE words which stands elsewhere too, in it or another.
 
     uid (of the row), doc_id, n_words, spans (start and end of the repeated
-    words, counted in words), cut_spans (those of them of which an earlier
-    place is known; the earliest place of a passage is never among them),
-    other_ids (documents at the other places that were compared). Words are
-    runs without the six ASCII blanks. Where a suffix has several partners,
-    it is held against those next to it in the array; they have the longest
-    match to the right, while one further off may reach up to LEFT words
-    further to the left.
+    words, counted in words), cut_spans (the words of each window of PASSAGE
+    words that stands at an earlier place too, in order of uid and place; where
+    both places overlap in one text, only what lies behind the earlier one),
+    other_ids (for each window the document of an earlier place, or for the
+    earliest place that of a later one; of a window that is in several slices
+    of the array, it is a place of the same slice where there is one). Words
+    are runs without the six ASCII blanks.
 
     Null texts equal the empty text; texts of fewer than PASSAGE words are
     never in the result, nor are rows of an empty table. Repeated rows repeat

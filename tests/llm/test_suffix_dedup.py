@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from ledgerloom.llm import suffix_dedup as M
 
@@ -71,3 +73,51 @@ def test_first_place_is_not_cut(spark):
     rows = M.repeated_passages(frame).collect()
     assert len(rows) == 9 and sum(not r.cut_spans for r in rows) >= 1
     assert M.repeated_passages(frame.limit(0)).count() == 0
+
+
+def planted(rng, n_docs, n_shared):
+    """Rows that share a passage and go on differently, and rows that share only its second half."""
+    line = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = line(n_shared)
+    rows = [(i, " ".join(line(rng.randint(0, 60)) + shared + line(rng.randint(0, 60)))) for i in range(n_docs)]
+    return rows + [(1000 + i, " ".join(line(60) + shared[n_shared // 2 :] + line(60))) for i in range(n_docs)]
+
+
+@pytest.mark.parametrize(("n_shared", "slice_rows"), [(50, 50_000), (60, 50_000), (60, 40), (130, 40)])
+def test_every_window_and_every_later_copy_is_found(spark, monkeypatch, n_shared, slice_rows):
+    monkeypatch.setattr(M, "SLICE_ROWS", slice_rows)
+    rows = planted(random.Random(n_shared), 80, n_shared)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r for r in M.repeated_passages(frame).collect()}
+    of = lambda spans: {k for s in spans for k in range(s["start"], s["end"])}
+    places, later = {}, {}
+    for i, text in sorted((r for r in rows if r[0] in found), key=lambda r: found[r[0]].uid):
+        words = text.split()
+        for k in range(len(words) - M.PASSAGE + 1):
+            if places.setdefault(tuple(words[k : k + M.PASSAGE]), (i, k)) != (i, k):
+                later.setdefault(i, set()).update(range(k, k + M.PASSAGE))
+    for (i, _), want in zip(rows, covered(rows), strict=True):
+        assert (i in found) == bool(want)
+        assert not want or (of(found[i].spans) == want and of(found[i].cut_spans) == later.get(i, set()) and found[i].other_ids)
+    assert sum(not r.cut_spans for r in found.values()) == 1 or n_shared > 100
+
+
+def test_a_text_that_repeats_itself_keeps_its_beginning(spark):
+    frame = spark.createDataFrame([(1, "ha " * 200), (2, "ha " * 200)], "doc_id long, text string").coalesce(1)
+    first, second = sorted(M.repeated_passages(frame).collect(), key=lambda r: r.uid)
+    spans = lambda x: [(s["start"], s["end"]) for s in x]
+    assert spans(first.spans) == spans(second.spans) == [(0, 200)]
+    assert spans(first.cut_spans) == [(50, 200)] and spans(second.cut_spans) == [(0, 200)]
+
+
+def test_groups_of_heads_give_what_the_whole_slice_gives(monkeypatch):
+    rng = random.Random(3)
+    code = lambda n: b"".join(bytes([rng.randrange(2), 0, 0]) if rng.random() < 0.02 else b"\1\0\0" for _ in range(n))
+    rows = pd.DataFrame([(h, code(50), code(rng.randint(0, 41)), rng.randrange(20), 7, rng.randrange(900), 1000) for h in range(-6, 6) for _ in range(rng.choice([1, 9, 40]))], columns=[c.split()[0] for c in M.SUFFIX.split(", ")])
+    rows = rows.drop_duplicates(["uid", "at"]).sort_values(["head", "right", "uid", "at"], ignore_index=True)
+    found = []
+    for size in (10**6, 1, 15):
+        monkeypatch.setattr(M, "GROUP_ROWS", size)
+        out = pd.concat(M._slice(iter([rows[i : i + 10] for i in range(0, len(rows), 10)])))
+        found.append(sorted(map(str, out.itertuples(index=False))))
+    assert found[0] == found[1] == found[2] and found[0]
