@@ -2,8 +2,8 @@
 
 References in narrations are matched by equi-joins on tokens, never by a
 containment join. The passes are greedy: batches claim credits in order of
-their ids. ``claim`` folds over the candidates of one connected group at a
-time, which is one batch and its credits except where credits name several.
+their ids. ``claim`` goes in rounds of joins and aggregations over the batches
+whose credits name several; the others are a plain aggregation.
 """
 
 from __future__ import annotations
@@ -54,16 +54,15 @@ def claim(pairs: DataFrame) -> DataFrame:
     per_credit = pairs.groupBy("bank_txn_id").agg(F.count_distinct("batch_id").alias("n"))
     shared = pairs.join(per_credit.where("n > 1"), "bank_txn_id", "left_semi").select("batch_id").distinct()
     simple = pairs.join(shared, "batch_id", "left_anti").groupBy("batch_id").agg(F.min("bank_txn_id").alias("bank_txn_id"))
-    # Batches that want the same credits: a fold over them in order, the claimed ids being its state.
-    wants = pairs.join(shared, "batch_id", "left_semi").groupBy("batch_id").agg(F.sort_array(F.collect_set("bank_txn_id")).alias("wants"))
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<batch_id:string,bank_txn_id:string>>").alias("links"))
-
-    def step(state: Column, row: Column) -> Column:
-        free = F.get(F.array_except(row["wants"], state["taken"]), F.lit(0))
-        return F.when(free.isNull(), state).otherwise(F.struct(F.array_append(state["taken"], free).alias("taken"), F.array_append(state["links"], F.struct(row["batch_id"].alias("batch_id"), free.alias("bank_txn_id"))).alias("links")))
-
-    folded = wants.agg(F.aggregate(F.sort_array(F.collect_list(F.struct("batch_id", "wants"))), start, step)["links"].alias("links"))
-    return simple.unionByName(folded.select(F.inline("links")))
+    # Batches that want the same credits: each proposes to its lowest credit, which holds its lowest batch and is lost to
+    # those after it; in rounds, until no batch is refused. A batch that is held may still be ousted by one before it.
+    wanted = kept(pairs.join(shared, "batch_id", "left_semi").select("batch_id", "bank_txn_id").distinct())
+    while True:
+        proposed = wanted.groupBy("batch_id").agg(F.min("bank_txn_id").alias("bank_txn_id"))
+        held = kept(proposed.groupBy("bank_txn_id").agg(F.min("batch_id").alias("batch_id"), F.count(F.lit(1)).alias("n")))
+        if held.where("n > 1").isEmpty():
+            return simple.unionByName(held.select("batch_id", "bank_txn_id"))
+        wanted = kept(wanted.join(held.select("bank_txn_id", F.col("batch_id").alias("_holder")), "bank_txn_id", "left").where("_holder is null or batch_id <= _holder").drop("_holder"))
 
 
 def exact_links(due: DataFrame, credits: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def test_claims_are_greedy(spark, seed):
     assert {r.batch_id: r.bank_txn_id for r in got} == loop_claims(pairs) and len(got) == len(loop_claims(pairs))
 
 
+def test_contested_claims_stay_apart(spark):
+    """Batches that lose a credit go on to the next one, and no task gathers all of them in one row."""
+    pairs = [(f"B{g}{i}", f"C{g}{j}") for g in range(10, 60) for i, wants in enumerate([(3, 1), (1, 2), (2, 3), (3, 4)]) for j in wants]
+    got = B.claim(spark.createDataFrame(pairs, "batch_id string, bank_txn_id string"))
+    assert {r.batch_id: r.bank_txn_id for r in got.collect()} == loop_claims(pairs)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_duplicates(spark):
     row = lambda o, c="c1", g="10.00", i="i": (o, i, D(g), date(2026, 9, 1), c, "s")
     ledger = spark.createDataFrame([row("o1"), row("o1"), row("o1"), row("o2"), row("o3"), row("o4", "c2"), row("o5", g="11.00")], "order_id string, invoice_no string, gross decimal(18,2), order_date date, customer_id string, sku string")
