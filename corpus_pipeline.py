@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import exact_dedup, ngram_join, packing, pii, quality_rules
-from ledgerloom.llm.common import keep, table
-from ledgerloom.llm.token_counts import public_path
+from ledgerloom.llm.common import keep, public_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,32 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the cluster's, or a scratch one where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+def public_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def release() -> None:
+    """Give the memory that a task's Python no longer needs back to the machine, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which may keep it
+        return
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of checkpoint(), or the one named in spark.checkpoint.dir."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
 def keep(frame: DataFrame) -> DataFrame:
     """frame, written to the folder that all executors share and read again: computed once, whatever is lost later."""
-    shared_folder(frame.sparkSession)
-    path = f"{frame.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = f"{shared_folder(frame.sparkSession)}/kept-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

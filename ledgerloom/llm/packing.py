@@ -28,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import keep, mix64, small_batches, table, text_of
-from ledgerloom.llm.token_counts import public_path
+from ledgerloom.llm.common import keep, mix64, public_path, small_batches, table, text_of
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000

@@ -4,25 +4,24 @@
 the normaliser (a character map if the model has one, the blank put first,
 the word marker for blanks), the pieces with their scores as a unigram model
 or as merges in order of score, and bytes for characters without a piece.
-Batches are encoded and decoded by the library's own threads, and every text
-is held against the sentencepiece library.
+Batches of whole texts are encoded and decoded by the library's own threads,
+and every text is held against the sentencepiece library.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, table, text_of
-from ledgerloom.llm.token_counts import STATES, UNIT, public_path
+from ledgerloom.llm.common import public_path, release, small_batches, table, text_of
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -30,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads of the library in each Python worker.
 THREADS = 2
 #: Characters that are encoded at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -85,6 +84,11 @@ class Model:
                 model.dummy_prefix, model.squeeze_blanks, model.mark_blanks = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         return model
 
+    @classmethod
+    def load(cls, model_file: str) -> Model:
+        with open(model_file, "rb") as f:
+            return cls.parse(f.read())
+
     @property
     def unknown(self) -> int:
         return next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
@@ -101,7 +105,7 @@ class Model:
 
 
 def tokenizer(model: Model):
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.has_bytes)
@@ -114,88 +118,81 @@ def tokenizer(model: Model):
     steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")] * model.squeeze_blanks
     steps += [normalizers.Prepend(MARK)] * model.dummy_prefix + [normalizers.Replace(" ", MARK)] * model.mark_blanks
     out.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces):  # then no piece goes on past a word
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * model.dummy_prefix])
+    out.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *[decoders.Strip(" ", 1, 0)] * model.dummy_prefix])
     return out
 
 
 class Encoder:
-    """Encodes and decodes by the library. Where no piece goes on past a word, each unit (blanks and the word after them) is looked at once."""
+    """A model in the tokenizers library."""
 
     def __init__(self, model: Model):
         self.core = tokenizer(model)
-        marks = any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces)
-        self.by_unit = model.dummy_prefix and model.mark_blanks and not model.squeeze_blanks and not model.char_map and not marks
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
 
-    def whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    def run(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+        """The ids of each text, and what they decode to."""
         ids = [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.array(x, np.int32) for x in ids], self.core.decode_batch(ids, skip_special_tokens=False)
+        return ids, self.core.decode_batch(ids, skip_special_tokens=False)
 
-    def run(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """The ids of each text, and what they decode to."""
-        if not self.by_unit:
-            return self.whole(texts)
-        split = [UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.ids) > STATES:
-            self.ids.clear()
-            self.texts.clear()
-        if new := list(set().union(*split).difference(self.ids)):
-            # The normaliser puts a unit's first blank back, and the decoder takes it away; a lone blank has to be its own piece.
-            ids, decoded = self.whole([u[1:] for u in new])
-            self.ids.update((u, x.tobytes() if len(u) > 1 else np.int32(self.core.token_to_id(MARK)).tobytes()) for u, x in zip(new, ids, strict=True))
-            self.texts.update((u, " " + d) for u, d in zip(new, decoded, strict=True))
-        return [np.frombuffer(b"".join(map(self.ids.__getitem__, units)), np.int32) for units in split], ["".join(map(self.texts.__getitem__, units))[1:] for units in split]
-
-
-@functools.lru_cache(maxsize=1)
-def encoder_of(model_file: str) -> Encoder:
-    """One for each Python worker, which Spark uses for many tasks."""
-    with open(model_file, "rb") as f:
-        return Encoder(Model.parse(f.read()))
 
+def _in_parts(texts: list[str]) -> Iterator[list[str]]:
+    """texts in stretches of about BATCH_CHARS; a longer text is a stretch of its own."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if i > begin and size + len(text) > BATCH_CHARS:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield texts[begin:]
 
-def codec(docs: DataFrame, model_file: str) -> DataFrame:
-    """For each row of docs its ids and what came of them, without a shuffle.
 
-    doc_id, ids (array of int), decoded (the text again), parity (the
-    sentencepiece library gives the same ids). Null and empty texts have no
-    ids and decode to the empty text. Rows are encoded on their own: repeated
-    rows and null ids come out as they went in.
-    """
-    small_batches(docs.sparkSession)
+def _coded(model_file: str, row):
+    """An iterator function for a pandas UDF: row(text, ids, decoded, parity) gives the fields of a text's result."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
-        ours = encoder_of(model_file)
-        theirs = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        for rows in batches:
-            size = rows["text"].str.len().cumsum() // BATCH_CHARS
-            for _, part in rows.groupby(size.to_numpy()):
-                texts = list(part["text"])
+        ours, theirs = Encoder(Model.load(model_file)), sentencepiece.SentencePieceProcessor(model_file=model_file)
+        for batch in batches:
+            found = []
+            for texts in _in_parts(list(batch)):
                 ids, decoded = ours.run(texts)
-                parity = [np.array_equal(a, b) for a, b in zip(ids, theirs.encode(texts, num_threads=THREADS), strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": decoded, "parity": parity})
+                found += [row(t, a, d, a == b) for t, a, d, b in zip(texts, ids, decoded, theirs.encode(texts, num_threads=THREADS), strict=True)]
+            yield pd.DataFrame(found) if found else pd.DataFrame(columns=list(row("", [], "", True)))
+        del ours, theirs
+        release()
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string, parity boolean")
+    return run
+
+
+def codec(docs: DataFrame, model_file: str) -> DataFrame:
+    """For each row of docs its ids and what came of them, without a shuffle.
+
+    doc_id, ids (array of int), decoded (the text again, with a blank where
+    it has a word marker), parity (the sentencepiece library gives the same
+    ids). Null and empty texts have no ids and decode to the empty text. Rows
+    are encoded on their own: repeated rows and null ids come out as they
+    went in.
+    """
+    small_batches(docs.sparkSession)
+    run = _coded(model_file, lambda text, ids, decoded, parity: {"ids": ids, "decoded": decoded, "parity": parity})
+    return docs.select("doc_id", F.pandas_udf(run, "ids array<int>, decoded string, parity boolean")(text_of()).alias("r")).select("doc_id", "r.*")
 
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
-    """``codec`` with its large columns summed up inside the tasks: n_tokens, ids_crc32, round_trip, parity."""
+    """``codec`` with its large columns summed up where they are made: doc_id, n_tokens, ids_crc32, decoded_crc32, round_trip (decoding gave the text, word markers as blanks), parity."""
     small_batches(docs.sparkSession)
-    encode = codec(docs, model_file)
 
-    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            crc = [zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in rows["ids"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_tokens": rows["ids"].map(len), "ids_crc32": crc, "decoded_crc32": [zlib.crc32(x.encode()) for x in rows["decoded"]], "parity": rows["parity"]})
+    def row(text: str, ids: list[int], decoded: str, parity: bool) -> dict:
+        return {
+            "n_tokens": len(ids), "ids_crc32": zlib.crc32(array("I", ids).tobytes()), "decoded_crc32": zlib.crc32(decoded.encode("utf-8", "surrogatepass")),
+            "round_trip": decoded == text or decoded == text.replace(MARK, " "), "parity": parity,
+        }
 
-    return encode.mapInPandas(sum_up, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, parity boolean")
+    result = F.pandas_udf(_coded(model_file, row), "n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean")
+    return docs.select("doc_id", result(text_of()).alias("r")).select("doc_id", "r.*")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,104 +1,156 @@
-"""Token counts by a finite-state transducer that is compiled as words arrive.
-
-No piece of the vocabulary holds a word marker after another character, so
-no merge crosses the place where blanks follow a word, and a text's tokens
-are those of its units: a run of blanks with the characters up to the next
-run. The transducer's states are the prefixes of units; its transition on the
-first blank of the next unit emits the number of tokens of the unit just
-read and goes back to the start. The library gives that number the first
-time that a unit is met; from then on it annotates the transition.
-
-A chunk of text maps states to states: what it adds to an open unit, the
-tokens of the units that it closes, and the unit that it leaves open. Those
-maps compose associatively, so chunks of a long text are counted on their own
-and joined pairwise, as in a parallel prefix scan.
+"""Token counts by a finite-state transducer compiled from a model's pieces.
+
+A byte-pair model merges the best pair of neighbours until none is left. Two
+facts make it a finite-state machine. What is merged on one side of a place
+doesn't depend on the other side, so a text's pieces are the one sequence in
+which each piece stays whole on its own and no two neighbours merge across
+their border. And as pieces are short, the last piece of a prefix follows from
+the last pieces of a few shorter prefixes. A state is therefore the longest
+end of the text read that some piece begins with, the last piece at each
+position in it, and how many tokens fewer were out there. A transition on a
+character goes to the next state and is annotated with the tokens it emits; it
+is a difference, and negative where the character joins pieces. States and
+transitions are compiled from the pieces when a text first reaches them; the
+library isn't asked.
+
+Where no piece goes on from a word to a blank, every state goes to the same
+one on the first blank after a word. So a chunk of text is a map of states to
+states that is known but for its beginning: its text up to such a blank, the
+tokens emitted from there, and the state it ends in. Maps compose
+associatively; a long text's chunks are mapped on their own and composed
+pairwise, as in a parallel prefix scan.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, table, text_of
+from ledgerloom.llm.common import release, small_batches, table, text_of
+from ledgerloom.llm.sentencepiece_codec import BPE, MARK, NORMAL, UNUSED, USER, Model, public_path
 
 CHUNK_CHARS = 1 << 16
-#: Units that one task keeps annotated before it starts anew.
-STATES = 400_000
+#: States that one task keeps, and characters of the words whose way through the states it keeps, before it starts anew.
+STATES, WORD_CHARS = 50_000, 4_000_000
 UNIT = re.compile(r" +[^ ]*")
 
 
-def public_path(name: str) -> str:
-    import public_tokenizers
+@dataclass(frozen=True)
+class ChunkMap:
+    """head: the text before the first blank that follows a word; from there, the tokens that are emitted and the end state. Without such a blank all is head."""
 
-    return public_tokenizers.path(name)
+    head: str
+    emitted: int
+    end: tuple | None
 
 
 class Transducer:
-    """Counts for one sentencepiece model whose normaliser leaves texts as they are."""
-
-    def __init__(self, model_file: str):
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        vocabulary = range(self.library.get_piece_size())
-        if self.library.piece_to_id("▁") == self.library.unk_id() or any("▁" in self.library.id_to_piece(i).lstrip("▁") for i in vocabulary):
-            raise ValueError("a piece crosses a word boundary, or a blank is no piece")
-        self.emits: dict[str, int] = {}
-
-    def compile(self, units: set[str]) -> None:
-        """Annotate units that are new. The library puts one blank before a text, so a unit goes without its first."""
-        if len(self.emits) > STATES:
-            self.emits.clear()
-        new = [u for u in units if u not in self.emits and u != " "]
-        self.emits |= {" ": 1} | {u: len(ids) for u, ids in zip(new, self.library.encode([u[1:] for u in new], num_threads=1), strict=True)}
+    """For one byte-pair model with byte fallback whose normaliser only marks blanks."""
+
+    def __init__(self, model: Model):
+        plain = model.kind == BPE and model.dummy_prefix and model.mark_blanks and not model.squeeze_blanks and not model.char_map and model.has_bytes
+        self.score = {p: s for p, s, kind in model.pieces if kind in (NORMAL, USER, UNUSED)}
+        if not plain or MARK not in self.score or any(MARK in p.lstrip(MARK) for p in self.score) or any(kind == USER for *_, kind in model.pieces):
+            raise ValueError("only byte-pair models with byte fallback, an identity normaliser and no piece across words are supported")
+        self.begins = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.start = (MARK, (None, MARK), (-1, 0))  # the mark before a text, as before every word
+        self.clear()
+
+    def clear(self) -> None:
+        self.moves: dict[tuple, dict[str, tuple[tuple, int]]] = {}
+        self.borders: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, int] = {}
+        self.word_chars = 0
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text, by the model's rule: best score first, then the leftmost."""
+        parts, score = list(text), self.score
+        while True:
+            found = [(-score[ab], i) for i in range(len(parts) - 1) if (ab := parts[i] + parts[i + 1]) in score]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def apart(self, a: str | None, b: str) -> bool:
+        """Whether a and b stay as they are when b follows a. None: nothing merges with what stands there."""
+        pair = (a or "", b)
+        if (known := self.borders.get(pair)) is None:
+            known = self.borders[pair] = self.merged(pair[0] + b) == [x for x in pair if x]
+        return known
+
+    def step(self, state: tuple, c: str) -> tuple[tuple, int]:
+        """The next state and the tokens emitted, compiled when asked for first."""
+        if (moves := self.moves.get(state)) is None:
+            moves = self.moves[state] = {}
+        if (move := moves.get(c)) is not None:
+            return move
+        end, last, behind = state
+        if c == MARK and not end.endswith(MARK):
+            move = (self.start, 1)
+        elif c not in self.score:  # its bytes are tokens, and nothing merges with them
+            move = (("", (None,), (0,)), len(c.encode("utf-8", "surrogatepass")))
+        else:
+            text = end + c
+            at = next(k for k in range(len(text)) if text[k:] in self.score and self.apart(last[k], text[k:]))
+            emitted = behind[at] + 1
+            keep = next((k for k in range(len(text)) if text[k:] in self.begins), len(text))
+            move = ((text[keep:], (*last, text[at:])[keep:], tuple(b - emitted for b in (*behind, emitted))[keep:]), emitted)
+        moves[c] = move
+        return move
+
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        total = 0
+        for c in text:
+            state, emitted = self.step(state, c)
+            total += emitted
+        return state, total
 
     def total(self, units: list[str]) -> int:
-        emits = self.emits
+        """Tokens of units (blanks and the word after them), each from the same state to the next unit's first blank."""
         try:
-            return sum(map(emits.__getitem__, units))
+            return sum(map(self.words.__getitem__, units))
         except KeyError:
-            self.compile(set(units))
-            return sum(map(self.emits.__getitem__, units))
-
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """What the chunk adds to the open unit, the tokens that it closes, the unit that it leaves open if it has a blank.
-
-        A chunk starts where it may: if at a blank that follows a blank, the
-        caller moves it back, so that runs of blanks stay whole.
-        """
-        at = chunk.find(" ")
-        if at < 0:
-            return chunk, 0, None
-        units = UNIT.findall(chunk, at)
-        return chunk[:at], self.total(units[:-1]), units[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a text whose parts have the maps a and b."""
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + b[1] + self.total([a[2] + b[0]]), b[2]
+            if len(self.moves) > STATES or self.word_chars > WORD_CHARS:
+                self.clear()
+            for u in set(units).difference(self.words):
+                self.words[u] = 1 + self.run(self.start, u[1:].replace(" ", MARK))[1]
+                self.word_chars += len(u) + 100  # what the entry takes besides
+            return sum(map(self.words.__getitem__, units))
+
+    def chunk_map(self, chunk: str) -> ChunkMap:
+        """chunk: text whose blanks aren't marked yet."""
+        if (found := re.search("(?<=[^ ]) ", chunk)) is None:
+            return ChunkMap(chunk, 0, None)
+        units = UNIT.findall(chunk, found.start())
+        end, emitted = self.run(self.start, units[-1][1:].replace(" ", MARK))
+        return ChunkMap(chunk[: found.start()], self.total(units[:-1]) + 1 + emitted, end)
+
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of a's text followed by b's."""
+        if a.end is None:
+            return self.chunk_map(a.head + b.head) if b.end is None else self._with_head(self.chunk_map(a.head + b.head), b)
+        end, emitted = self.run(a.end, b.head.replace(" ", MARK))
+        return ChunkMap(a.head, a.emitted + emitted + b.emitted, b.end or end)
+
+    def _with_head(self, head: ChunkMap, b: ChunkMap) -> ChunkMap:
+        return ChunkMap(head.head, head.emitted + b.emitted, b.end)
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        text = " " + text.replace("▁", " ")  # the library writes blanks so
+        text = text.replace(MARK, " ")  # the model takes both for the same
         if len(text) <= CHUNK_CHARS:
-            return self.total(UNIT.findall(text))
-        cuts, at = [0], CHUNK_CHARS
-        while at < len(text):
-            while at < len(text) and text[at] == " " == text[at - 1]:
-                at += 1
-            cuts.append(at)
-            at += CHUNK_CHARS
-        maps = [self.chunk_map(text[i:j]) for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True) if i < j]
+            return self.total(UNIT.findall(" " + text))
+        maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0][1] + self.total([maps[0][2]])
+        return 1 + self.run(self.start, maps[0].head.replace(" ", MARK))[1] + maps[0].emitted
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
@@ -110,9 +162,11 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        transducer = Transducer(model_file)
+        transducer = Transducer(Model.load(model_file))
         for texts in batches:
             yield pd.Series([transducer.count(x) for x in texts], dtype="int64")
+        del transducer
+        release()
 
     n_tokens = F.pandas_udf(count, "long")(text_of())
     return docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
