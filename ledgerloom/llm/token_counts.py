@@ -5,13 +5,13 @@ facts make it a finite-state machine. What is merged on one side of a place
 doesn't depend on the other side, so a text's pieces are the one sequence in
 which each piece stays whole on its own and no two neighbours merge across
 their border. And as pieces are short, the last piece of a prefix follows from
-the last pieces of a few shorter prefixes. A state is therefore the longest
-end of the text read that some piece begins with, the last piece at each
-position in it, and how many tokens fewer were out there. A transition on a
-character goes to the next state and is annotated with the tokens it emits; it
-is a difference, and negative where the character joins pieces. States and
-transitions are compiled from the pieces when a text first reaches them; the
-library isn't asked.
+the last pieces of a few shorter prefixes. A state is therefore the list of
+places where a piece may have begun that isn't at its end: what has been read
+of it, the last piece before it, and how many tokens fewer were out there. A
+transition on a character goes to the next state and is annotated with the
+tokens it emits; it is a difference, and negative where the character joins
+pieces. States and transitions are compiled from the pieces when a text first
+reaches them; the library isn't asked.
 
 Where no piece goes on from a word to a blank, every state goes to the same
 one on the first blank after a word. So a chunk of text is a map of states to
@@ -23,6 +23,7 @@ pairwise, as in a parallel prefix scan.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +36,8 @@ from ledgerloom.llm.common import release, small_batches, table, text_of
 from ledgerloom.llm.sentencepiece_codec import BPE, MARK, NORMAL, UNUSED, USER, Model, public_path
 
 CHUNK_CHARS = 1 << 16
-#: States that one task keeps, and characters of the words whose way through the states it keeps, before it starts anew.
-STATES, WORD_CHARS = 50_000, 4_000_000
+#: What one task keeps before it starts anew: states, pairs of pieces, and characters of words whose way through the states is known.
+STATES, BORDERS, WORD_CHARS = 100_000, 200_000, 20_000_000
 UNIT = re.compile(r" +[^ ]*")
 
 
@@ -46,7 +47,7 @@ class ChunkMap:
 
     head: str
     emitted: int
-    end: tuple | None
+    end: int | None
 
 
 class Transducer:
@@ -57,57 +58,98 @@ class Transducer:
         self.score = {p: s for p, s, kind in model.pieces if kind in (NORMAL, USER, UNUSED)}
         if not plain or MARK not in self.score or any(MARK in p.lstrip(MARK) for p in self.score) or any(kind == USER for *_, kind in model.pieces):
             raise ValueError("only byte-pair models with byte fallback, an identity normaliser and no piece across words are supported")
-        self.begins = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        self.start = (MARK, (None, MARK), (-1, 0))  # the mark before a text, as before every word
-        self.clear()
-
-    def clear(self) -> None:
-        self.moves: dict[tuple, dict[str, tuple[tuple, int]]] = {}
+        self.begins = {p[:k] for p in self.score for k in range(1, len(p))}
         self.borders: dict[tuple[str, str], bool] = {}
+        self.built: dict[str, tuple[bool, list, list]] = {}
         self.words: dict[str, int] = {}
         self.word_chars = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.start = self.number(((MARK, "", -1), ("", MARK, 0)))  # the mark before a text, as before every word
+
+    def bound(self) -> None:
+        """Start anew with what has grown too large. Not while states are in use."""
+        if len(self.states) > STATES:
+            self.clear()
+        if len(self.borders) > BORDERS:
+            self.borders.clear()
+            self.built.clear()
+        if self.word_chars > WORD_CHARS:
+            self.words.clear()
+            self.word_chars = 0
+
+    def number(self, state: tuple) -> int:
+        if (known := self.numbers.get(state)) is None:
+            known = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        return known
+
+    def build(self, piece: str) -> tuple[bool, list, list]:
+        """How the model merges the piece's characters (best score first, then the leftmost): whether all become one, and the (score, part) that each merge leaves at the left and at the right end."""
+        if (known := self.built.get(piece)) is None:
+            parts, score = list(piece), self.score
+            left, right = [(0.0, parts[0])], [(0.0, parts[-1])]
+            while found := [(-score[ab], i) for i in range(len(parts) - 1) if (ab := parts[i] + parts[i + 1]) in score]:
+                worth, i = min(found)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                left.append((-worth, parts[0]))
+                right.append((-worth, parts[-1]))
+            known = self.built[piece] = (len(parts) == 1, left, right)
+        return known
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text, by the model's rule: best score first, then the leftmost."""
-        parts, score = list(text), self.score
-        while True:
-            found = [(-score[ab], i) for i in range(len(parts) - 1) if (ab := parts[i] + parts[i + 1]) in score]
-            if not found:
-                return parts
-            i = min(found)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def apart(self, a: str | None, b: str) -> bool:
-        """Whether a and b stay as they are when b follows a. None: nothing merges with what stands there."""
-        pair = (a or "", b)
-        if (known := self.borders.get(pair)) is None:
-            known = self.borders[pair] = self.merged(pair[0] + b) == [x for x in pair if x]
+    def apart(self, a: str, b: str) -> bool:
+        """Whether b is built whole and apart from the piece a before it (empty: nothing that merges). The merges of both sides go by score; one across the border would have to come before the next of either side."""
+        if (known := self.borders.get((a, b))) is None:
+            known, left, _ = self.build(b)
+            if known and a:
+                right, score, i, j = self.build(a)[2], self.score, 0, 0
+                while True:
+                    next_a = right[i + 1][0] if i + 1 < len(right) else -math.inf
+                    next_b = left[j + 1][0] if j + 1 < len(left) else -math.inf
+                    across = score.get(right[i][1] + left[j][1])
+                    if across is not None and across > next_a and across >= next_b:
+                        known = False
+                        break
+                    if next_a == next_b == -math.inf:
+                        break
+                    if next_a >= next_b:
+                        i += 1
+                    else:
+                        j += 1
+            self.borders[a, b] = known
         return known
 
-    def step(self, state: tuple, c: str) -> tuple[tuple, int]:
-        """The next state and the tokens emitted, compiled when asked for first."""
-        if (moves := self.moves.get(state)) is None:
-            moves = self.moves[state] = {}
-        if (move := moves.get(c)) is not None:
-            return move
-        end, last, behind = state
-        if c == MARK and not end.endswith(MARK):
+    def compile(self, state: int, c: str) -> tuple[int, int]:
+        """The transition on c: the next state and the tokens emitted."""
+        places, score, begins = self.states[state], self.score, self.begins
+        if c == MARK and places[-1][1][-1:] != MARK:
             move = (self.start, 1)
-        elif c not in self.score:  # its bytes are tokens, and nothing merges with them
-            move = (("", (None,), (0,)), len(c.encode("utf-8", "surrogatepass")))
+        elif c not in score:  # its bytes are tokens, and nothing merges with them
+            move = (self.number((("", "", 0),)), len(c.encode("utf-8", "surrogatepass")))
         else:
-            text = end + c
-            at = next(k for k in range(len(text)) if text[k:] in self.score and self.apart(last[k], text[k:]))
-            emitted = behind[at] + 1
-            keep = next((k for k in range(len(text)) if text[k:] in self.begins), len(text))
-            move = ((text[keep:], (*last, text[at:])[keep:], tuple(b - emitted for b in (*behind, emitted))[keep:]), emitted)
-        moves[c] = move
+            piece, emitted, open_ = None, 0, []
+            for begun, before, behind in places:
+                text = begun + c
+                if piece is None and text in score and self.apart(before, text):
+                    piece, emitted = text, behind + 1
+                if text in begins:
+                    open_.append((text, before, behind))
+            move = (self.number((*[(t, before, behind - emitted) for t, before, behind in open_], ("", piece, 0))), emitted)
+        self.moves[state][c] = move
         return move
 
-    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
-        total = 0
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        moves, total = self.moves, 0
         for c in text:
-            state, emitted = self.step(state, c)
+            try:
+                state, emitted = moves[state][c]
+            except KeyError:
+                state, emitted = self.compile(state, c)
             total += emitted
         return state, total
 
@@ -116,8 +158,6 @@ class Transducer:
         try:
             return sum(map(self.words.__getitem__, units))
         except KeyError:
-            if len(self.moves) > STATES or self.word_chars > WORD_CHARS:
-                self.clear()
             for u in set(units).difference(self.words):
                 self.words[u] = 1 + self.run(self.start, u[1:].replace(" ", MARK))[1]
                 self.word_chars += len(u) + 100  # what the entry takes besides
@@ -136,7 +176,7 @@ class Transducer:
         if a.end is None:
             return self.chunk_map(a.head + b.head) if b.end is None else self._with_head(self.chunk_map(a.head + b.head), b)
         end, emitted = self.run(a.end, b.head.replace(" ", MARK))
-        return ChunkMap(a.head, a.emitted + emitted + b.emitted, b.end or end)
+        return ChunkMap(a.head, a.emitted + emitted + b.emitted, end if b.end is None else b.end)
 
     def _with_head(self, head: ChunkMap, b: ChunkMap) -> ChunkMap:
         return ChunkMap(head.head, head.emitted + b.emitted, b.end)
@@ -144,6 +184,7 @@ class Transducer:
     def count(self, text: str) -> int:
         if not text:
             return 0
+        self.bound()
         text = text.replace(MARK, " ")  # the model takes both for the same
         if len(text) <= CHUNK_CHARS:
             return self.total(UNIT.findall(" " + text))

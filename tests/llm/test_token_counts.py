@@ -39,7 +39,7 @@ def test_chunks_give_the_same_counts(transducer, library, monkeypatch):
 
 def test_every_state_goes_to_the_start_at_a_word_s_end(transducer):
     transducer.total([" word", " another"])
-    assert all(transducer.step(s, M.MARK) == (transducer.start, 1) for s in list(transducer.moves) if not s[0].endswith(M.MARK))
+    assert all(transducer.run(k, M.MARK) == (transducer.start, 1) for k, s in enumerate(list(transducer.states)) if not s[-1][1].endswith(M.MARK))
 
 
 def test_maps_compose_associatively(transducer):
