@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: The white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that one Arrow batch carries to Python; texts can be long.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Arrow batches of whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def public_path(name: str) -> str:
@@ -58,23 +59,28 @@ def keep(frame: DataFrame) -> DataFrame:
 
 
 #: Bits of a filter (8 MB, whatever it is built from). A full filter lets everything through, which costs work and no result.
-FILTER_BITS = 1 << 26
+FILTER_BITS, MOST_BITS = 1 << 26, 1 << 29
 
 
-def filter_bits(values: Column | str, frame: DataFrame) -> bytes:
-    """A one-hash Bloom filter of fixed size over 64-bit hashes, put together by Spark in slices of 4 KB."""
-    position = F.pmod(F.col(values) if isinstance(values, str) else values, F.lit(FILTER_BITS)) + 1  # bitmap buckets count from 1
+def filter_size(n: int) -> int:
+    """Bits for a filter of n hashes: eight each, but 8 MB at least and 64 MB at most."""
+    return min(MOST_BITS, max(FILTER_BITS, 1 << (8 * n).bit_length()))
+
+
+def filter_bits(values: Column | str, frame: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A one-hash Bloom filter over 64-bit hashes, put together by Spark in slices of 4 KB."""
+    position = F.pmod(F.col(values) if isinstance(values, str) else values, F.lit(bits)) + 1  # bitmap buckets count from 1
     slices = frame.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = bytearray(FILTER_BITS // 8)
+    out = bytearray(bits // 8)
     for row in slices.toLocalIterator():
         at = (row["k"] - 1) * 4096
         out[at : at + 4096] = row["bits"]
     return bytes(out)
 
 
-def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def passes(bits: np.ndarray, hashes: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
     """bits: the filter as bytes. Whether each 64-bit hash may be in it."""
-    at = (hashes.astype(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)  # FILTER_BITS is a power of two, so the sign makes no difference
+    at = (hashes.astype(np.uint64) & np.uint64(size - 1)).astype(np.int64)  # sizes are powers of two, so the sign makes no difference
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -104,12 +110,14 @@ def one_of_each(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
 
 
 class WordHashes(dict):
-    """A 64-bit hash for each word that comes along."""
+    """A 64-bit hash for each word that comes along; of 200,000 short words at most it is remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

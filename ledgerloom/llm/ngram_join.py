@@ -2,50 +2,54 @@
 
 A token is a shingle of five words. Two sets of n tokens with a Jaccard
 similarity of 0.75 or more share a token among the first n // 4 + 1 of each,
-in any order of all tokens. ``Orders`` gives several such orders: tokens that
-are common in the corpus come last in all of them, the rest is shuffled
-differently in each. A pair is verified only if it shares prefix tokens in
-every order, of which the first one finds the pairs and the others are held
-against both sets before the sets themselves.
+in any order of all tokens. ``Orders`` gives several such orders: rare tokens
+come first in all of them, by exact numbers of documents for those that are
+common, and the rest is shuffled differently in each. A pair of documents is a
+candidate only if it shares prefix tokens in every order. Most prefix tokens
+stand in one document alone, so what is left of the prefixes is short, and the
+filters of all orders are intersected before any set moves.
 
 Documents with equal sets are one class. Links are found in two steps, so
 that a large group of near copies never becomes all its pairs:
 
-1. Classes with the same first tokens in one of the orders are each held
-   against one of them; the links give components.
+1. Classes that agree in several least hashes with the first class of their
+   slot are held against that one; the links give components. Groups of a
+   prefix token that are still large are held against one of their members,
+   a few times.
 2. All candidates whose classes are in different components yet are
    verified. As these are all pairs that may still link, no link between
    components is lost.
 
-Only the sizes, one small table of counts and two filters of fixed size reach
-the driver.
+Only the sizes, a bounded table of common tokens and filters of bounded size
+reach the driver. Sets are told apart by 64-bit hashes of words and shingles.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, one_of_each, passes, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, grams, keep, mix64, one_of_each, passes, release, small_batches, table, text_of
 
 WORDS = 5
 ORDERS = 3
-#: First tokens in each order by which step 1 groups classes.
-FIRST = 2
-#: Counters of the table of token frequencies (a byte for each is broadcast), and slices in which it is added up.
-COUNTERS, SLICES = 1 << 22, 64
-#: Prefix tokens that one task sorts, and the most parts that they are dealt into.
-PART_TOKENS, MAX_PARTS = 100_000, 200_000
+#: Least hashes of a set, and how many of them two classes share for step 1 to hold them against each other.
+MINIMA, AGREE = 6, 3
+#: Entries of the table of common tokens that is broadcast: the most common ones, down to a number of documents that lets so many in.
+COMMON_TOKENS = 1 << 20
+#: Tokens that are counted together in one group, and tokens that a task gathers before it deals them out.
+PART_TOKENS, HELD_TOKENS = 400_000, 2_000_000
 #: Sets that are held against one set in one group.
 BLOCK = 128
-#: Counts of a set's tokens by hash, a byte each; they bound the overlap of two sets before the sets are moved.
-SKETCH = 256
+#: Classes of a prefix token beyond which one of them is held against the rest first, and how often.
+LARGE, ROUNDS = 64, 3
 
 
 def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
@@ -54,113 +58,210 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
     return np.unique(grams(h, min(WORDS, len(h)))) if len(h) else h
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
-
-
-def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
-    """Whether the sketches allow the overlap that a link needs. A full count bounds nothing."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    least = np.minimum(x, y)
-    return bool((least == 255).any()) or 7 * int(least.sum(dtype=np.int64)) >= 3 * (n_a + n_b)
-
-
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
-    for rows in batches:
-        sets = [shingle_set(t, hashes) for t in rows["text"]]
+    for texts in batches:
+        sets = [shingle_set(t, hashes) for t in texts]
         blobs = [s.tobytes() for s in sets]
-        yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "text_key": rows["text_key"], "key": [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "tokens": blobs})
+        minima = [[int(mix64(s, 200 + k).min() >> np.uint64(1)) for k in range(MINIMA)] if len(s) else [] for s in sets]
+        yield pd.DataFrame({"key": pd.Series([xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], dtype="int64"), "n": pd.Series([len(s) for s in sets], dtype="int32"), "minima": minima, "tokens": blobs})
+    del hashes
+    release()
 
 
 def _set(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-class Orders:
-    """Several orders of all tokens; level: how common the tokens of a counter are."""
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, set) of rows with columns key and tokens; copies in the same task come once."""
+    seen: set[int] = set()
+    for rows in batches:
+        for key, blob in zip(rows["key"], rows["tokens"], strict=True):
+            if key not in seen:
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(key)
+                yield key, _set(blob)
 
-    def __init__(self, level: np.ndarray):
-        self.level = level
 
-    def ranked(self, tokens: np.ndarray, k: int, most: int) -> np.ndarray:
-        """The first tokens in order k, in that order."""
-        rank = (mix64(tokens, k) >> np.uint64(6)) | (self.level[(tokens % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58))
-        if most < len(tokens):
-            best = np.argpartition(rank, most - 1)[:most]
-            return tokens[best[np.argsort(rank[best])]]
-        return tokens[np.argsort(rank)]
+class Orders:
+    """Several orders of all tokens.
 
-    def prefix(self, tokens: np.ndarray, k: int) -> np.ndarray:
-        return self.ranked(tokens, k, len(tokens) // 4 + 1)
+    A token is counted by its number, 40 bits beside the part (of 2 ** bits)
+    that it is counted in. common: sorted numbers of the common tokens; level:
+    how common each is.
+    """
 
+    def __init__(self, bits: int, common: np.ndarray, level: np.ndarray):
+        self.bits, self.common, self.level = bits, common, level
+        self.perhaps = np.zeros(1 << 22, bool)  # saves most searches
+        self.perhaps[(common & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def levels(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.uint64)
+        if len(self.common):
+            maybe = np.flatnonzero(self.perhaps[(numbers & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.common, numbers[maybe]), len(self.common) - 1)
+            hit = self.common[at] == numbers[maybe]
+            out[maybe[hit]] = self.level[at[hit]]
+        return out
+
+    def prefixes(self, tokens: np.ndarray, orders: range) -> Iterator[np.ndarray]:
+        """For each order, the first n // 4 + 1 tokens of a set, in that order."""
+        high, most = self.levels(numbers(tokens, self.bits)) << np.uint64(58), len(tokens) // 4 + 1
+        for k in orders:
+            rank = (mix64(tokens, k) >> np.uint64(6)) | high
+            if most < len(tokens):
+                best = np.argpartition(rank, most - 1)[:most]
+                yield tokens[best[np.argsort(rank[best])]]
+            else:
+                yield tokens[np.argsort(rank)]
+
+
+def numbers(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(tokens, 60) >> np.uint64(24 - bits)
+
+
+def _dealt(bits: int):
+    """For a mapInPandas: the tokens of a task with how often they come, dealt into parts."""
+
+    def flush(held: list[np.ndarray]) -> pd.DataFrame:
+        number, n = np.unique(numbers(np.concatenate(held), bits), return_counts=True)
+        part, n = (number >> np.uint64(40)).astype(np.int64), np.minimum(n, 255).astype(np.uint8)
+        code = np.ascontiguousarray(number.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        begin = np.flatnonzero(np.diff(part, prepend=-1))
+        slices = list(zip(begin, np.append(begin[1:], len(part)), strict=True))
+        return pd.DataFrame({"part": part[begin], "codes": [code[i:j].tobytes() for i, j in slices], "n": [n[i:j].tobytes() for i, j in slices]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for _, tokens in _once(batches):
+            held.append(tokens)
+            size += len(tokens)
+            if size > HELD_TOKENS:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+        del held
+        release()
+
+    return run
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """The tokens of a part that come twice or more, with their numbers of documents."""
+    n = np.frombuffer(b"".join(rows["n"]), np.uint8).astype(np.int64)
+    code = np.zeros((len(n), 8), np.uint8)
+    code[:, :5] = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(-1, 5)
+    code = code.view("<u8").ravel()
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    total = np.add.reduceat(n, begin)
+    several = total > 1
+    number = code[begin][several] | np.uint64(int(rows["part"].iloc[0]) << 40)
+    return pd.DataFrame({"number": number.astype(np.int64), "n": total[several]})
+
+
+def shared_tokens(sets: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """number and n of each token that comes in two sets or more, counted over all sets; and the bits of parts."""
+    bits = min(23, max(0, math.ceil(math.log2(max(1, total / PART_TOKENS)))))
+    dealt = sets.select("key", "tokens").mapInPandas(_dealt(bits), "part long, codes binary, n binary")
+    return keep(dealt.groupBy("part").applyInPandas(_added, "number long, n long")), bits
+
+
+def global_orders(shared: DataFrame, bits: int) -> Orders:
+    """The orders that put the most common tokens last, by powers of two of their numbers of documents."""
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = {r["level"]: r["count"] for r in shared.groupBy(level.alias("level")).count().collect()}
+    least, n = 63, 0
+    while least > 1 and n + sizes.get(least - 1, 0) <= COMMON_TOKENS:
+        least -= 1
+        n += sizes.get(least, 0)
+    common = shared.where(level >= least).select("number", level.alias("level")).toArrow()
+    number, levels = common["number"].to_numpy().astype(np.uint64), common["level"].to_numpy().astype(np.uint8)
+    order = np.argsort(number)
+    return Orders(bits, number[order], levels[order])
+
+
+def _prefix_rows(orders, mask, n_bits: int, which: range):
+    """For a mapInPandas: order, token, key, n and at (the place in the prefix) of prefix tokens that may be in two sets or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        o, bits, held = orders.value, np.frombuffer(mask.value, np.uint8), []
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for rows in batches:
-        if len(rows):
-            counts += np.bincount((_set(b"".join(rows["tokens"])) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    if counts.any():
-        parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1)
-        yield pd.DataFrame({"slice": range(SLICES), "counts": [p.tobytes() for p in parts]})
+        def flush() -> pd.DataFrame:
+            order, token, key, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pd.DataFrame({"order": order, "token": token.view(np.int64), "key": key, "n": n, "at": at})
+
+        for key, tokens in _once(batches):
+            for k, prefix in zip(which, o.prefixes(tokens, which), strict=True):
+                at = np.flatnonzero(passes(bits, numbers(prefix, o.bits), n_bits))
+                held.append((np.full(len(at), k, np.int32), prefix[at], np.full(len(at), key, np.int64), np.full(len(at), len(tokens), np.int32), at.astype(np.int32)))
+            if len(held) > 1000:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+        del held
+        release()
+
+    return run
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(b, "<u2").astype(np.int64) for b in rows["counts"])
-    return pd.DataFrame({"slice": rows["slice"][:1], "counts": [total.astype("<i8").tobytes()]})
+PREFIX = "order int, token long, key long, n int, at int"
 
 
-def global_orders(sets: DataFrame) -> Orders:
-    """Orders from the frequencies of all tokens of all rows. Tokens share counters, so it is the excess over the mean, in units of its spread, that makes a token common."""
-    counted = sets.select("tokens").mapInPandas(_count, "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary")
-    counts = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for row in counted.toLocalIterator():
-        counts[row["slice"]] = np.frombuffer(row["counts"], "<i8")
-    counts = counts.reshape(-1)
-    mean = counts.mean()
-    return Orders(np.log2(np.maximum(1, (counts - mean) / (2 * np.sqrt(mean + 1)))).astype(np.uint8))
+def between_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The prefix rows whose token stands in classes of different components, with comp."""
+    rows = rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    rows = keep(rows)
+    mixed = keep(rows.groupBy("order", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("order", "token"))
+    return keep(rows.join(mixed, ["order", "token"], "left_semi"))
 
 
-def _verify_block(rows: pd.DataFrame, orders: Orders) -> pd.DataFrame:
+def _verify_block(rows: pd.DataFrame) -> pd.DataFrame:
     """rows of one block: the set that all others are held against has role 0."""
     rows = rows.drop_duplicates("key")
     a = rows[rows["role"] == 0].iloc[0]
-    one = _set(a["tokens"])
-    firsts = [np.sort(orders.prefix(one, k)) for k in range(ORDERS)]
-    out = []
+    one, out = _set(a["tokens"]), []
     for key, blob in zip(rows["key"], rows["tokens"], strict=True):
         other = _set(blob)
-        if key == a["key"] or 4 * min(len(one), len(other)) < 3 * max(len(one), len(other)):
-            continue
-        if all(np.isin(orders.prefix(other, k), firsts[k], assume_unique=True).any() for k in range(ORDERS)):
-            if 7 * len(np.intersect1d(one, other, assume_unique=True)) >= 3 * (len(one) + len(other)):
-                out.append((a["key"], key))
+        if key != a["key"] and 4 * min(len(one), len(other)) >= 3 * max(len(one), len(other)) and 7 * len(np.intersect1d(one, other, assume_unique=True)) >= 3 * (len(one) + len(other)):
+            out.append((a["key"], key))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, orders) -> DataFrame:
-    """The pairs (a, b of classes) whose sets are similar enough. Each block holds one set against about BLOCK others at most; sets whose sizes rule a link out aren't moved."""
-    sized = lambda c: classes.select(F.col("key").alias(c), F.col("uid").alias(f"uid_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+def similar_sizes(a: str, b: str) -> Column:
+    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
-    @F.pandas_udf("boolean")
-    def allowed(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        return pd.Series([may_link(*x) for x in zip(a, b, n_a, n_b, strict=True)], dtype=bool)
 
-    pairs = keep(pairs.where(allowed("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b", "uid_a", "uid_b"))
-    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"))
+def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b of classes) whose sets are similar enough. Each block holds one set against about BLOCK others at most; sets whose sizes rule a link out aren't moved."""
+    sized = lambda c: classes.select(F.col("key").alias(c), F.col("uid").alias(f"uid_{c}"), F.col("n").alias(f"n_{c}"))
+    pairs = keep(pairs.join(sized("a"), "a").join(sized("b"), "b").where(similar_sizes("n_a", "n_b")).select("a", "b", "uid_a", "uid_b"))
+    per = keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs")))
     blocks = pairs.join(per, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n_pairs") / BLOCK)))
     needs = blocks.select("a", "block", F.col("uid_b").alias("uid"), F.lit(1).alias("role")).unionByName(blocks.select("a", "block", F.col("uid_a").alias("uid"), F.lit(0).alias("role")).distinct())
-    hashed = F.xxhash64("uid").alias("hash")
-    bits = sets.sparkSession.sparkContext.broadcast(filter_bits("hash", needs.select(hashed).distinct()))
+    needs = keep(needs)
+    hashed = F.xxhash64("uid")
+    bits = sets.sparkSession.sparkContext.broadcast(filter_bits("hash", needs.select(hashed.alias("hash")).distinct()))
 
     @F.pandas_udf("boolean")
     def needed(hashes: pd.Series) -> pd.Series:
         return pd.Series(passes(np.frombuffer(bits.value, np.uint8), hashes.to_numpy()))
 
-    some = sets.select("uid", "key", "tokens").where(needed(F.xxhash64("uid")))
-    found = needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInPandas(lambda rows: _verify_block(rows, Orders(orders.value)), "a long, b long")
-    return keep(found)
+    some = sets.select("uid", "key", "tokens").where(needed(hashed))
+    return keep(needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInPandas(_verify_block, "a long, b long"))
+
+
+def against_first(members: DataFrame, by: list[str], salt: int) -> DataFrame:
+    """a and b: the first class of each group (in an order that depends on salt) with each other one. members: by, key, comp; only classes of other components count."""
+    first = F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("h"), F.col("key").alias("a"), F.col("comp").alias("comp_a")))
+    first = keep(members.groupBy(*by).agg(first.alias("f")).select(*by, "f.a", "f.comp_a"))
+    return members.join(first, by).where("comp <> comp_a").select("a", F.col("key").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,75 +274,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # kept, so that Spark can split what joins a hub
+        large = keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct()).groupBy("key").agg(F.min("comp").alias("comp"))
 
 
-def _first_tokens(sets: DataFrame, orders) -> DataFrame:
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        o = Orders(orders.value)
-        for rows in batches:
-            slots, keys = [], []
-            for key, blob in zip(rows["key"], rows["tokens"], strict=True):
-                tokens = _set(blob)
-                for k in range(ORDERS):
-                    best = mix64(o.ranked(tokens, k, min(FIRST, len(tokens))), 100 + k)
-                    slots.append(best)
-                    keys.append(np.full(len(best), key, np.int64))
-            if slots:
-                yield pd.DataFrame({"slot": np.concatenate(slots).astype(np.int64), "key": np.concatenate(keys)})
-
-    return sets.where("n > 0").select("key", "tokens").mapInPandas(first, "slot long, key long")
-
-
-def _shared_prefix_tokens(sets: DataFrame, orders, n_parts: int) -> DataFrame:
-    """token, key, n and position for the prefix tokens in order 0 that more than one class has."""
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        o, held, size, seen = Orders(orders.value), [], 0, set()
-
-        def flush() -> pd.DataFrame:
-            token, key, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (mix64(token, 50) % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            groups = np.split(order, cuts)
-            return pd.DataFrame({"part": [int(part[g[0]]) for g in groups], **{c: [x[g].tobytes() for g in groups] for c, x in (("token", token), ("key", key), ("n", n), ("at", at))}})
-
-        for rows in batches:
-            for key, n, blob in zip(rows["key"], rows["n"], rows["tokens"], strict=True):
-                if key not in seen:  # copies in the same task count once
-                    seen.add(key)
-                    prefix = o.prefix(_set(blob), 0)
-                    held.append((prefix, np.full(len(prefix), key, np.int64), np.full(len(prefix), n, np.int32), np.arange(len(prefix), dtype=np.int32)))
-                    size += len(prefix)
-            if size > 2_000_000:
-                yield flush()
-                held, size, seen = [], 0, set()
-        if held:
-            yield flush()
-
-    def shared(rows: pd.DataFrame) -> pd.DataFrame:
-        token, key, n, at = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("token", np.int64), ("key", np.int64), ("n", np.int32), ("at", np.int32)))
-        order = np.lexsort((key, token))
-        token, key, n, at = token[order], key[order], n[order], at[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n, at = token[new], key[new], n[new], at[new]
-        same = token[1:] == token[:-1]
-        twin = np.zeros(len(token), bool)
-        twin[1:] |= same
-        twin[:-1] |= same
-        return pd.DataFrame({"token": token[twin], "key": key[twin], "n": n[twin], "at": at[twin]})
-
-    dealt = sets.where("n > 0").select("key", "n", "tokens").mapInPandas(deal, "part int, token binary, key binary, n binary, at binary")
-    return dealt.groupBy("part").applyInPandas(shared, "token long, key long, n int, at int")
-
-
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles, component_id and comp (null without words) for each row of docs.
 
@@ -253,38 +293,64 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
-    sets = keep(columns.mapInPandas(_features, "uid long, doc_id long, text_key long, key long, n long, sketch binary, tokens binary"))
+    links: list[DataFrame] = []
+
+    def components_so_far() -> DataFrame:
+        return keep(components(functools.reduce(DataFrame.unionByName, links)))
+
+    features = F.pandas_udf(_features, "key long, n int, minima array<long>, tokens binary")(text_of())
+    sets = keep(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(text_of()).alias("text_key"), features.alias("f")).select("uid", "doc_id", "text_key", "f.*"))
     worded = sets.where("n > 0")
-    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    orders = spark.sparkContext.broadcast(global_orders(worded).level)
-
-    # Step 1: one member of each group of equal first tokens against the rest.
-    first = keep(_first_tokens(sets, orders).distinct())
-    leader = first.groupBy("slot").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("slot", "a")
-    stars = keep(first.join(leader, "slot").where("key <> a").select("a", F.col("key").alias("b")).distinct())
-    links = _verified(stars, sets, classes, orders)
-    comps = keep(components(links))
-
-    # Step 2: candidates between components.
-    n_parts = max(1, min(MAX_PARTS, math.ceil(total / 4 / PART_TOKENS)))
-    shared = _shared_prefix_tokens(sets, orders, n_parts).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    shared = keep(shared)
-    mixed = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    active = shared.join(mixed, "token", "left_semi")
-    x, y = (active.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "at", "comp")]) for s in "xy")
-    sizes = (4 * F.least("n_x", "n_y") >= 3 * F.greatest("n_x", "n_y")) & (F.col("comp_x") < F.col("comp_y"))
+    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("minima").alias("minima")))
+    total = worded.agg(F.sum("n")).first()[0] or 0
+
+    # Step 1: classes that agree in several least hashes with the first of their slot.
+    slots = classes.select(F.col("key"), F.col("key").alias("comp"), F.posexplode("minima").alias("k", "least"))
+    stars = against_first(slots, ["k", "least"], 0).groupBy("a", "b").count().where(F.col("count") >= AGREE)
+    links.append(verified(stars.select("a", "b"), sets, classes))
+    comps = components_so_far()
+
+    # Prefix tokens of the first order that stand in different components; then those of the other orders, for classes that have such.
+    shared, bits = shared_tokens(worded, total)
+    orders = spark.sparkContext.broadcast(global_orders(shared, bits))
+    n_bits = filter_size(shared.count())
+    mask = spark.sparkContext.broadcast(filter_bits("number", shared, n_bits))
+    first = between_components(worded.select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1)), PREFIX).distinct(), comps)
+    for salt in range(1, ROUNDS + 1):
+        large = keep(first.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("token"))
+        if large.isEmpty():
+            break
+        links.append(verified(against_first(first.join(large, "token", "left_semi"), ["token"], salt).distinct(), sets, classes))
+        comps = components_so_far()
+        first = between_components(first.drop("comp"), comps)
+    open_keys = keep(first.select("key").distinct())
+    hashed = spark.sparkContext.broadcast(filter_bits("key", open_keys))
+
+    @F.pandas_udf("boolean")
+    def is_open(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(np.frombuffer(hashed.value, np.uint8), keys.to_numpy()))
+
+    others = between_components(worded.where(is_open("key")).select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1, ORDERS)), PREFIX).distinct(), comps)
+    lists = keep(others.groupBy("key").agg(*[F.collect_set(F.when(F.col("order") == k, F.col("token"))).alias(f"order_{k}") for k in range(1, ORDERS)]))
+
+    # Step 2: candidates of all orders between components.
+    active = keep(first.join(lists, "key"))
+    size = F.floor(F.log("n") / math.log(4 / 3)).cast("int")
+    columns = ["key", "n", "at", "comp", *[f"order_{k}" for k in range(1, ORDERS)]]
+    smaller = active.select("token", F.explode(F.array(size, size + 1)).alias("size"), *[F.col(c).alias(f"{c}_x") for c in columns])
+    larger = active.select("token", size.alias("size"), *[F.col(c).alias(f"{c}_y") for c in columns])
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
     overlap = 7 * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= 3 * (F.col("n_x") + F.col("n_y"))  # holds at a similar pair's first shared token
-    pairs = x.join(y, "token").where(sizes & overlap).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
-    more = _verified(keep(pairs), sets, classes, orders)
-
-    comps = components(links.unionByName(more))
-    found = classes.select("key", "doc_id").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labels = found.join(least, "comp").select("key", "component_id", "comp")
-    out = worded.select("doc_id", "text_key", "key", F.col("n").alias("n_shingles")).join(labels, "key").drop("key")
-    return out.unionByName(sets.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
+    in_all = functools.reduce(Column.__and__, [F.arrays_overlap(f"order_{k}_x", f"order_{k}_y") for k in range(1, ORDERS)])
+    pairs = smaller.join(larger, ["token", "size"]).where(once & (F.col("comp_x") != F.col("comp_y")) & similar_sizes("n_x", "n_y") & overlap & in_all)
+    links.append(verified(pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), sets, classes))
+
+    comps = components_so_far()
+    found = keep(classes.select("key", "doc_id").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
+    least = keep(found.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    labels = keep(found.join(least, "comp").select("key", "component_id", "comp"))
+    out = worded.select("doc_id", "text_key", "key", F.col("n").cast("long").alias("n_shingles")).join(labels, "key").drop("key")
+    return out.unionByName(sets.where("n = 0").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

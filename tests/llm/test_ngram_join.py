@@ -70,17 +70,49 @@ def test_chains_are_followed(spark):
     assert sorted(map(tuple, M.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
 
 
-def test_sketch_rules_no_link_out():
+def test_similar_sets_share_prefix_tokens_in_every_order():
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        base = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
-        a = base[rng.random(len(base)) < 0.95]
-        b = np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
-        if 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
-            assert M.may_link(M.sketch(a), M.sketch(b), len(a), len(b))
-    full = (np.arange(300) * M.SKETCH).astype(np.uint64)  # one count beyond a byte
-    assert M.may_link(M.sketch(full), M.sketch(full), 300, 300)
-    assert not M.may_link(M.sketch(np.arange(50, dtype=np.uint64)), M.sketch(np.arange(100, 150, dtype=np.uint64)), 50, 50)
+    for bits in (0, 3):
+        for _ in range(200):
+            base = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+            a = base[rng.random(len(base)) < 0.95]
+            b = np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
+            common = np.unique(M.numbers(base[rng.random(len(base)) < 0.3], bits))
+            orders = M.Orders(bits, common, rng.integers(1, 30, len(common)).astype(np.uint8))
+            if len(a) and len(b) and 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
+                for x, y in zip(orders.prefixes(a, range(M.ORDERS)), orders.prefixes(b, range(M.ORDERS)), strict=True):
+                    assert len(np.intersect1d(x, y))
+
+
+def test_tokens_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_TOKENS", 50)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 900, 60).astype(np.uint64)) for _ in range(50)]
+    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "key long, tokens binary").repartition(3)
+    shared, bits = M.shared_tokens(frame, sum(map(len, sets)))
+    token, n = np.unique(np.concatenate(sets), return_counts=True)
+    assert bits > 0
+    assert {r.number: r.n for r in shared.collect()} == dict(zip(M.numbers(token[n > 1], bits).tolist(), n[n > 1].tolist(), strict=True))
+    orders = M.global_orders(shared, bits)
+    assert orders.levels(M.numbers(token, bits)).tolist() == np.where(n > 1, np.log2(n).astype(int), 0).tolist()
+
+
+def test_large_groups_are_held_against_one_member(spark, monkeypatch):
+    monkeypatch.setattr(M, "LARGE", 2)
+    monkeypatch.setattr(M, "AGREE", 6)
+    monkeypatch.setattr(M, "BLOCK", 3)
+    rows = near_copies(3)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, M.similar_documents(frame).select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
+
+
+def test_large_ids_beside_null(spark):
+    rows = [(9007199254740995, "one two three four five six"), (None, "one two three four five six"), (9007199254740993, "other words in this text here"), (9007199254740997, "one two three four five six")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in M.similar_documents(frame).collect()}
+    assert got == {(9007199254740995, 9007199254740995), (None, 9007199254740995), (9007199254740997, 9007199254740995), (9007199254740993, 9007199254740993)}
+    kept = {r.doc_id for r in M.drop_near_duplicates(frame).collect()}
+    assert kept == {9007199254740995, 9007199254740993}
 
 
 def test_empty_table(spark):
