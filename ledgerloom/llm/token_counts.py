@@ -37,10 +37,17 @@ from ledgerloom.llm.sentencepiece_codec import BPE, MARK, NORMAL, UNUSED, USER,
 
 CHUNK_CHARS = 1 << 16
 #: What one task keeps before it starts anew: states, pairs of pieces, and characters of words whose way through the states is known.
-STATES, BORDERS, WORD_CHARS = 100_000, 200_000, 20_000_000
+STATES, BORDERS, WORD_CHARS = 200_000, 200_000, 25_000_000
 UNIT = re.compile(r" +[^ ]*")
 
 
+def split_units(text: str) -> list[str]:
+    """The units of a text before which a blank is put, each without its first blank."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return [u[1:] for u in UNIT.findall(" " + text)]
+    return text.split(" ")
+
+
 @dataclass(frozen=True)
 class ChunkMap:
     """head: the text before the first blank that follows a word; from there, the tokens that are emitted and the end state. Without such a blank all is head."""
@@ -154,12 +161,12 @@ class Transducer:
         return state, total
 
     def total(self, units: list[str]) -> int:
-        """Tokens of units (blanks and the word after them), each from the same state to the next unit's first blank."""
+        """Tokens of units (blanks and the word after them, without the first blank), each from the same state to the next unit's first blank."""
         try:
             return sum(map(self.words.__getitem__, units))
         except KeyError:
             for u in set(units).difference(self.words):
-                self.words[u] = 1 + self.run(self.start, u[1:].replace(" ", MARK))[1]
+                self.words[u] = 1 + self.run(self.start, u.replace(" ", MARK))[1]
                 self.word_chars += len(u) + 100  # what the entry takes besides
             return sum(map(self.words.__getitem__, units))
 
@@ -167,8 +174,8 @@ class Transducer:
         """chunk: text whose blanks aren't marked yet."""
         if (found := re.search("(?<=[^ ]) ", chunk)) is None:
             return ChunkMap(chunk, 0, None)
-        units = UNIT.findall(chunk, found.start())
-        end, emitted = self.run(self.start, units[-1][1:].replace(" ", MARK))
+        units = split_units(chunk[found.start() + 1 :])
+        end, emitted = self.run(self.start, units[-1].replace(" ", MARK))
         return ChunkMap(chunk[: found.start()], self.total(units[:-1]) + 1 + emitted, end)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
@@ -187,7 +194,7 @@ class Transducer:
         self.bound()
         text = text.replace(MARK, " ")  # the model takes both for the same
         if len(text) <= CHUNK_CHARS:
-            return self.total(UNIT.findall(" " + text))
+            return self.total(split_units(text))
         maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
