@@ -3,7 +3,7 @@
 Only suffixes at minimisers stay: of each SPAN consecutive runs of HEAD words
 those with the least hash. Two passages of PASSAGE words with equal words
 select the same places, so every repeated passage shares one. A suffix
-carries its first words and the words to its left. Spark sorts the suffixes
+carries codes of its first words and the words to its left. Spark sorts the suffixes
 into ranges, which are the suffix array, a slice to a task. Suffixes of equal
 heads are a group; each of its windows of PASSAGE words around the head is
 found wherever it stands, and its least place (uid, at) is the one that stays.
@@ -20,21 +20,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, passes, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, grams, keep, mix64, passes, release, small_batches, table, text_of
 
 #: Words of a passage that counts, and of a suffix's head; a window of SPAN heads has PASSAGE words.
 PASSAGE, HEAD = 50, 10
 SPAN = PASSAGE - HEAD + 1
 #: Words that a suffix carries on its left and, with its head, on its right.
-LEFT, RIGHT = SPAN, PASSAGE
-#: Bytes of a word's code. Heads are compared by 64 bits, the words around them by these.
-CODE = 3
+LEFT, RIGHT = SPAN - 1, PASSAGE
+#: Heads are compared by 64 bits, each word around them by a code of 32.
 SLICE_ROWS = 50_000
 #: Suffixes of a slice that are compared at once, or more where one head has more.
 GROUP_ROWS = 5_000
@@ -67,12 +68,27 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"head": heads.astype(np.int64), "n": n})
 
 
-def _contexts(h: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """The codes on the left, nearest first, and on the right of each position; they end with the text."""
-    codes = h.view(np.uint8).reshape(-1, 8)[:, :CODE]
-    ahead, back = codes.tobytes(), codes[::-1].tobytes()
-    n = len(h)
-    return [back[CODE * (n - p) : CODE * min(n, n - p + LEFT)] for p in at], [ahead[CODE * p : CODE * (p + RIGHT)] for p in at]
+def _contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each position the codes of the LEFT words before it and of the RIGHT words from it on, a row each; zeros beyond the text's ends."""
+    codes = np.zeros(LEFT + len(h) + RIGHT, np.uint32)
+    codes[LEFT : LEFT + len(h)] = h.astype(np.uint32)
+    return np.lib.stride_tricks.sliding_window_view(codes, LEFT + RIGHT)[at]
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as binary."""
+    size = rows.shape[1] * rows.itemsize
+    offsets = np.arange(0, size * len(rows) + 1, size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _matrix(blobs: pa.Array, width: int) -> np.ndarray:
+    """The rows of ``_blobs`` again."""
+    if not len(blobs):
+        return np.zeros((0, width), np.uint32)
+    _, offsets, data = blobs.buffers()
+    first, last = np.frombuffer(offsets, np.int32)[[blobs.offset, blobs.offset + len(blobs)]]
+    return np.frombuffer(data, np.uint8)[first:last].view(np.uint32).reshape(-1, width)
 
 
 SUFFIX = "head long, right binary, left binary, uid long, doc_id long, at int, n_words int"
@@ -81,35 +97,60 @@ MATCH = "uid long, doc_id long, n_words int, start int, end int, other long, ear
 FOUND = f"{MATCH}, key long, n long"
 
 
-def _prefixes(contexts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each context's first 0, 1 ... size words, a row for each number; and the contexts' numbers of words."""
-    padded = np.frombuffer(b"".join([c[: CODE * size].ljust(CODE * size, b"\0") for c in contexts]), np.uint8).reshape(-1, size, CODE)
-    codes = np.zeros((size, len(contexts)), np.uint64)
-    for j in range(CODE):
-        codes |= padded[:, :, j].T.astype(np.uint64) << np.uint64(8 * j)
-    out = np.zeros((size + 1, len(contexts)), np.uint64)
+@dataclass
+class Suffixes:
+    """Columns of suffixes; ids stay in Arrow, where null and the largest ids have their place."""
+
+    head: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    uid: np.ndarray
+    at: np.ndarray
+    n_words: np.ndarray
+    doc_id: pa.Array
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Suffixes:
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        return cls(column("head"), _matrix(batch.column("left"), LEFT), _matrix(batch.column("right"), RIGHT), column("uid"), column("at").astype(np.int64), column("n_words"), batch.column("doc_id"))
+
+    def __getitem__(self, rows: slice | np.ndarray) -> Suffixes:
+        ids = self.doc_id[rows] if isinstance(rows, slice) else self.doc_id.take(pa.array(rows))
+        return Suffixes(self.head[rows], self.left[rows], self.right[rows], self.uid[rows], self.at[rows], self.n_words[rows], ids)
+
+    def __len__(self) -> int:
+        return len(self.head)
+
+    @classmethod
+    def joined(cls, parts: list[Suffixes]) -> Suffixes:
+        whole = lambda c: np.concatenate([getattr(p, c) for p in parts])
+        return cls(*map(whole, ("head", "left", "right", "uid", "at", "n_words")), pa.concat_arrays([p.doc_id for p in parts]))
+
+
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of each row's first 0, 1 ... codes, a line for each number."""
+    out = np.zeros((codes.shape[1] + 1, len(codes)), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            out[k + 1] = mix64(out[k] * np.uint64(0x9E3779B97F4A7C15) + codes[k], k)
-    return out, np.array([len(c) // CODE for c in contexts], np.int64)
+        for k in range(codes.shape[1]):
+            out[k + 1] = mix64(out[k] * np.uint64(0x9E3779B97F4A7C15) + codes[:, k].astype(np.uint64), k)
+    return out
 
 
-def _windows(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def _windows(rows: Suffixes) -> tuple[np.ndarray, ...]:
     """Of each window of PASSAGE words around a head: its key, the first and the second row that have it, and how many have it.
 
     rows are in order of uid and at. An array has a line for each number of
     words that a window has on the left of the head; where the text is too
     short for a window, no row has it.
     """
-    left, n_left = _prefixes(rows["left"], SPAN - 1)
-    right, n_right = _prefixes(rows["right"], PASSAGE)
-    head = rows["head"].to_numpy().astype(np.uint64)
+    left, right = _prefixes(rows.left[:, ::-1]), _prefixes(rows.right)  # nearest first
+    head = rows.head.astype(np.uint64)
     keys = np.zeros((SPAN, len(rows)), np.uint64)
     first, second, n = (np.zeros((SPAN, len(rows)), np.int32) for _ in range(3))
     for before in range(SPAN):
         with np.errstate(over="ignore"):
             keys[before] = mix64(mix64(left[before], before) + right[PASSAGE - before] + head * np.uint64(0x9E3779B97F4A7C15))
-        there = np.flatnonzero((n_left >= before) & (n_right >= PASSAGE - before))
+        there = np.flatnonzero((rows.at >= before) & (rows.n_words - rows.at >= PASSAGE - before))
         if not len(there):
             continue
         order = np.argsort(keys[before, there], kind="stable")
@@ -122,33 +163,36 @@ def _windows(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return keys, first, second, n
 
 
-def _slice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """FOUND of a slice. Only its first and its last head may come in other slices too."""
     held, n, first = [], 0, None
-    for rows in batches:
+    for batch in batches:
+        rows = Suffixes.of(batch)
         if not len(rows):
             continue
-        first = rows["head"].iloc[0] if first is None else first
-        held, n, last = [*held, rows], n + len(rows), rows["head"].iloc[-1]
-        if n >= GROUP_ROWS and held[0]["head"].iloc[0] != last:
-            held = pd.concat(held, ignore_index=True)
-            cut = int(held["head"].searchsorted(last))
-            yield from _groups(held[:cut], [first])
-            held, n = [held[cut:]], len(held) - cut
+        first = rows.head[0] if first is None else first
+        held, n, last = [*held, rows], n + len(rows), rows.head[-1]
+        if n >= GROUP_ROWS and held[0].head[0] != last:
+            rows = Suffixes.joined(held)
+            cut = int(rows.head.searchsorted(last))
+            yield from _groups(rows[:cut], [first])
+            held, n = [rows[cut:]], len(rows) - cut
     if held:
-        yield from _groups(pd.concat(held, ignore_index=True), [first, last])
+        yield from _groups(Suffixes.joined(held), [first, last])
+    del held
+    release()
 
 
-def _groups(rows: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
+def _groups(rows: Suffixes, edges: list[int]) -> Iterator[pa.RecordBatch]:
     """FOUND of all suffixes of some heads, of which edges may come in other slices."""
-    rows = rows.sort_values(["uid", "at"], ignore_index=True)
+    rows = rows[np.lexsort((rows.at, rows.uid))]
     keys, first, second, n = _windows(rows)
-    uid, at, n_words, doc_id = rows["uid"].to_numpy(), rows["at"].to_numpy().astype(np.int64), rows["n_words"].to_numpy(), rows["doc_id"].astype("Int64").array
-    edge, here = rows["head"].isin(edges).to_numpy(), np.arange(len(rows))
+    edge, here = np.isin(rows.head, edges), np.arange(len(rows))
 
-    def of(row: np.ndarray, **more) -> pd.DataFrame:
-        out = pd.DataFrame({"uid": uid[row], "doc_id": doc_id[row], "n_words": n_words[row], **more})
-        return out.assign(**{c: pd.array([None] * len(row), "Int64") for c in ("key", "n") if c not in more})
+    def of(row: np.ndarray, start: np.ndarray, end: np.ndarray, other: pa.Array, earlier: np.ndarray, key: pa.Array | None = None, times: pa.Array | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(row), pa.int64())
+        columns = [pa.array(rows.uid[row]), rows.doc_id.take(pa.array(row)), pa.array(rows.n_words[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), other, pa.array(earlier), none if key is None else key, none if times is None else times]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
     # Windows in a row with the same other place are one match.
     is_first = first == here
@@ -160,21 +204,17 @@ def _groups(rows: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
     begin, end, code = begin[code >= 0], end[code >= 0], code[code >= 0]
     row, least, most = begin // SPAN, begin % SPAN, (end - 1) % SPAN
     other, earlier = code // 2, code % 2 == 1
-    match = of(row, start=at[row] - most, end=at[row] - least + PASSAGE, other=doc_id[other], earlier=earlier)
-    yield from _apart(match, earlier & (uid[row] == uid[other]), at[other] - least + PASSAGE)
+    start, end, ids = rows.at[row] - most, rows.at[row] - least + PASSAGE, rows.doc_id.take(pa.array(other))
+    # Where the other place is in the same text and overlaps, only what lies behind that place counts as later.
+    behind = rows.at[other] - least + PASSAGE
+    over = earlier & (rows.uid[row] == rows.uid[other]) & (behind > start)
+    yield of(row, start, end, ids, earlier & ~over)
+    yield of(row[over], np.maximum(start, behind)[over], end[over], ids.take(pa.array(np.flatnonzero(over))), np.ones(int(over.sum()), bool))
 
     before, row = np.nonzero(edge & is_first & (n > 0))
-    start, several = at[row] - before, n[before, row]
-    next_id = pd.array(doc_id[second[before, row]], "Int64")
-    next_id[several == 1] = pd.NA
-    yield of(row, start=start, end=start + PASSAGE, other=next_id, earlier=False, key=keys[before, row].astype(np.int64), n=several)
-
-
-def _apart(match: pd.DataFrame, same_text: np.ndarray, until: np.ndarray) -> Iterator[pd.DataFrame]:
-    """match; where the other place is in the same text and overlaps it, only what lies behind that place (until) counts as later."""
-    over = same_text & (until > match["start"].to_numpy())
-    yield match.assign(earlier=match["earlier"] & ~over)
-    yield match.assign(start=np.maximum(match["start"], until))[over]
+    start, several = rows.at[row] - before, n[before, row]
+    following = rows.doc_id.take(pa.array(second[before, row], mask=several == 1))
+    yield of(row, start, start + PASSAGE, following, np.zeros(len(row), bool), pa.array(keys[before, row].astype(np.int64)), pa.array(several.astype(np.int64)))
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -185,22 +225,34 @@ def matches(docs: DataFrame) -> DataFrame:
     heads = rows.select("text").mapInPandas(_heads, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n > 1")
     heads = keep(heads)
     n_suffixes = heads.agg(F.sum("n")).first()[0] or 0
-    bits = spark.sparkContext.broadcast(filter_bits("head", heads))
+    n_bits = filter_size(heads.count())
+    bits = spark.sparkContext.broadcast(filter_bits("head", heads, n_bits))
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mask = WordHashes(), np.frombuffer(bits.value, np.uint8)
-        for part in batches:
-            for uid, doc_id, text in zip(part["uid"], part["doc_id"].astype("Int64"), part["text"], strict=True):
+        for batch in batches:
+            row, heads, places, n_words, around = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 h = hashes.of(text.encode("utf-8", "surrogatepass").split())
                 at, head = minimisers(h)
-                if len(at) and (hit := passes(mask, head)).any():
+                if len(at) and (hit := passes(mask, head, n_bits)).any():
                     at, head = at[hit], head[hit]
-                    left, right = _contexts(h, at)
-                    yield pd.DataFrame({"head": head.astype(np.int64), "right": right, "left": left, "uid": uid, "doc_id": pd.array([doc_id] * len(at), "Int64"), "at": at, "n_words": len(h)})
+                    row.append(np.full(len(at), i))
+                    heads.append(head.astype(np.int64))
+                    places.append(at.astype(np.int32))
+                    n_words.append(np.full(len(at), len(h), np.int32))
+                    around.append(_contexts(h, at))
+            if row:
+                around, of = np.concatenate(around), pa.array(np.concatenate(row))
+                columns = [pa.array(np.concatenate(heads)), _blobs(around[:, LEFT:]), _blobs(around[:, :LEFT]), batch.column("uid").take(of), batch.column("doc_id").take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(n_words))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SUFFIX.split(", ")])
+        del hashes
+        release()
 
     order = ["head", "right", "uid", "at"]
-    array = rows.mapInPandas(suffixes, SUFFIX).repartitionByRange(max(1, math.ceil(n_suffixes / SLICE_ROWS)), *order).sortWithinPartitions(*order)
-    found = keep(array.mapInPandas(_slice, FOUND))
+    kept = keep(rows.mapInArrow(suffixes, SUFFIX))  # the ranges are found by a look at all of them
+    array = kept.repartitionByRange(max(1, math.ceil(n_suffixes / SLICE_ROWS)), *order).sortWithinPartitions(*order)
+    found = keep(array.mapInArrow(_slice, FOUND))
 
     # Windows of heads that several slices may have: one row for each slice and window.
     columns = [c.split()[0] for c in MATCH.split(", ")]
@@ -215,14 +267,13 @@ def matches(docs: DataFrame) -> DataFrame:
     return found.where("key is null").select(columns).unionByName(edge)
 
 
-def _union(spans) -> list[tuple[int, int]]:
-    out = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
-        else:
-            out.append([start, end])
-    return [tuple(x) for x in out]
+def _merged(spans: DataFrame, name: str) -> DataFrame:
+    """uid and the union of each uid's spans (start, end), in order."""
+    by = Window.partitionBy("uid").orderBy("start", "end")
+    begins = F.coalesce(F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    islands = spans.withColumn("begins", begins).withColumn("island", F.sum(F.col("begins").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    unions = islands.groupBy("uid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return unions.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -241,10 +292,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     never in the result, nor are rows of an empty table. Repeated rows repeat
     each other's passages. Only doc_id and text are read.
     """
-    span = F.struct("start", "end")
-    merged = F.udf(_union, "array<struct<start:int,end:int>>", useArrow=True)
-    grouped = matches(docs).groupBy("uid", "doc_id", "n_words").agg(F.collect_set(span).alias("all"), F.collect_set(F.when(F.col("earlier"), span)).alias("cut"), F.sort_array(F.collect_set("other")).alias("other_ids"))
-    return grouped.select("uid", "doc_id", "n_words", merged("all").alias("spans"), merged("cut").alias("cut_spans"), "other_ids")
+    found = keep(matches(docs))
+    rows = found.groupBy("uid").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.sort_array(F.collect_set("other")).alias("other_ids"))
+    spans, cut = _merged(found.select("uid", "start", "end"), "spans"), _merged(found.where("earlier").select("uid", "start", "end"), "cut_spans")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return rows.join(spans, "uid").join(cut, "uid", "left").select("uid", "doc_id", "n_words", "spans", F.coalesce("cut_spans", none).alias("cut_spans"), "other_ids")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import suffix_dedup as M
@@ -60,10 +61,7 @@ def test_planted_passages(spark, monkeypatch):
             want.setdefault(i, []).append(c)
     assert set(got) == set(want)
     for i in want:
-        for a, b in zip(sorted(got[i], key=sorted), sorted(want[i], key=sorted), strict=True):
-            assert a <= b and len(b - a) <= M.LEFT, i
-    missed = sum(len(c) for x in want.values() for c in x) - sum(len(c) for x in got.values() for c in x)
-    assert missed <= 0.01 * sum(len(c) for x in want.values() for c in x)
+        assert sorted(map(sorted, got[i])) == sorted(map(sorted, want[i])), i
 
 
 def test_first_place_is_not_cut(spark):
@@ -83,7 +81,7 @@ def planted(rng, n_docs, n_shared):
     return rows + [(1000 + i, " ".join(line(60) + shared[n_shared // 2 :] + line(60))) for i in range(n_docs)]
 
 
-@pytest.mark.parametrize(("n_shared", "slice_rows"), [(50, 50_000), (60, 50_000), (60, 40), (130, 40)])
+@pytest.mark.parametrize(("n_shared", "slice_rows"), [(60, 50_000), (130, 40)])
 def test_every_window_and_every_later_copy_is_found(spark, monkeypatch, n_shared, slice_rows):
     monkeypatch.setattr(M, "SLICE_ROWS", slice_rows)
     rows = planted(random.Random(n_shared), 80, n_shared)
@@ -111,13 +109,26 @@ def test_a_text_that_repeats_itself_keeps_its_beginning(spark):
 
 
 def test_groups_of_heads_give_what_the_whole_slice_gives(monkeypatch):
-    rng = random.Random(3)
-    code = lambda n: b"".join(bytes([rng.randrange(2), 0, 0]) if rng.random() < 0.02 else b"\1\0\0" for _ in range(n))
-    rows = pd.DataFrame([(h, code(50), code(rng.randint(0, 41)), rng.randrange(20), 7, rng.randrange(900), 1000) for h in range(-6, 6) for _ in range(rng.choice([1, 9, 40]))], columns=[c.split()[0] for c in M.SUFFIX.split(", ")])
-    rows = rows.drop_duplicates(["uid", "at"]).sort_values(["head", "right", "uid", "at"], ignore_index=True)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame([(h, int(rng.integers(20)), int(rng.integers(900))) for h in range(-6, 6) for _ in range(rng.choice([1, 9, 40]))], columns=["head", "uid", "at"])
+    rows = rows.drop_duplicates(["uid", "at"]).sort_values(["head", "uid", "at"], ignore_index=True)
+    around = (1 + (rng.random((len(rows), M.LEFT + M.RIGHT)) < 0.02)).astype(np.uint32)
+    columns = {"head": rows["head"], "right": M._blobs(around[:, M.LEFT :]), "left": M._blobs(around[:, : M.LEFT]), "uid": rows["uid"], "doc_id": rows["uid"], "at": rows["at"].astype("int32"), "n_words": np.full(len(rows), 1000, np.int32)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) if not isinstance(v, pa.Array) else v for k, v in columns.items()})
     found = []
     for size in (10**6, 1, 15):
         monkeypatch.setattr(M, "GROUP_ROWS", size)
-        out = pd.concat(M._slice(iter([rows[i : i + 10] for i in range(0, len(rows), 10)])))
-        found.append(sorted(map(str, out.itertuples(index=False))))
+        out = pa.Table.from_batches(list(M._slice(iter([batch.slice(i, 10) for i in range(0, len(rows), 10)])))).to_pylist()
+        found.append(sorted(map(str, out)))
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_large_ids_beside_null_and_a_long_text(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(40_000))
+    ids = [9007199254740993, None, 9007199254740995, 9007199254740997]
+    frame = spark.createDataFrame([(i, f"a{k} {text} {long if k > 1 else ''}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    rows = M.repeated_passages(frame).collect()
+    assert {r.doc_id for r in rows} == set(ids) and all(set(r.other_ids) <= set(ids) for r in rows)
+    assert sorted((r.spans[0]["start"], r.spans[-1]["end"]) for r in rows) == [(1, 61), (1, 61), (1, 40_061), (1, 40_061)]
