@@ -53,9 +53,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def keep(frame: DataFrame) -> DataFrame:
     """frame, written to the folder that all executors share and read again: computed once, whatever is lost later."""
-    path = f"{shared_folder(frame.sparkSession)}/kept-{uuid.uuid4().hex}"
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what was shuffled for it isn't needed once it is written
     frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove kept frames that nothing will read again."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bits of a filter (8 MB, whatever it is built from). A full filter lets everything through, which costs work and no result.

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, grams, keep, mix64, one_of_each, passes, release, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, forget, grams, keep, mix64, one_of_each, passes, release, small_batches, table, text_of
 
 WORDS = 5
 ORDERS = 3
@@ -49,7 +49,7 @@ PART_TOKENS, HELD_TOKENS = 400_000, 2_000_000
 #: Sets that are held against one set in one group.
 BLOCK = 128
 #: Classes of a prefix token beyond which one of them is held against the rest first, and how often.
-LARGE, ROUNDS = 64, 3
+LARGE, ROUNDS = 2000, 3
 
 
 def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
@@ -216,10 +216,11 @@ PREFIX = "order int, token long, key long, n int, at int"
 
 def between_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """The prefix rows whose token stands in classes of different components, with comp."""
-    rows = rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    rows = keep(rows)
+    rows = keep(rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
     mixed = keep(rows.groupBy("order", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("order", "token"))
-    return keep(rows.join(mixed, ["order", "token"], "left_semi"))
+    out = keep(rows.join(mixed, ["order", "token"], "left_semi"))
+    forget(rows, mixed)
+    return out
 
 
 def _verify_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +255,9 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
         return pd.Series(passes(np.frombuffer(bits.value, np.uint8), hashes.to_numpy()))
 
     some = sets.select("uid", "key", "tokens").where(needed(hashed))
-    return keep(needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInPandas(_verify_block, "a long, b long"))
+    out = keep(needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInPandas(_verify_block, "a long, b long"))
+    forget(pairs, per, needs)
+    return out
 
 
 def against_first(members: DataFrame, by: list[str], salt: int) -> DataFrame:
@@ -278,10 +281,23 @@ def components(links: DataFrame) -> DataFrame:
         large = keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        forget(before)
     return edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct()).groupBy("key").agg(F.min("comp").alias("comp"))
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """a and b, the one with fewer tokens first: classes of different components that share a prefix token, where sizes and places in the prefix allow a link."""
+    size = F.floor(F.log("n") / math.log(4 / 3)).cast("int")  # similar sets are in the same class of sizes or in the next
+    columns = ["key", "n", "at", "comp"]
+    smaller = rows.select("token", F.explode(F.array(size, size + 1)).alias("size"), *[F.col(c).alias(f"{c}_x") for c in columns])
+    larger = rows.select("token", size.alias("size"), *[F.col(c).alias(f"{c}_y") for c in columns])
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
+    overlap = 7 * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= 3 * (F.col("n_x") + F.col("n_y"))  # holds at a similar pair's first shared token
+    pairs = smaller.join(larger, ["token", "size"]).where(once & (F.col("comp_x") != F.col("comp_y")) & similar_sizes("n_x", "n_y") & overlap)
+    return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles, component_id and comp (null without words) for each row of docs.
 
@@ -323,27 +339,21 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         links.append(verified(against_first(first.join(large, "token", "left_semi"), ["token"], salt).distinct(), sets, classes))
         comps = components_so_far()
         first = between_components(first.drop("comp"), comps)
-    open_keys = keep(first.select("key").distinct())
-    hashed = spark.sparkContext.broadcast(filter_bits("key", open_keys))
+
+    # Step 2: candidates of all orders between components.
+    pairs = keep(candidates(first))
+    either = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    hashed = spark.sparkContext.broadcast(filter_bits("key", either))
 
     @F.pandas_udf("boolean")
-    def is_open(keys: pd.Series) -> pd.Series:
+    def is_candidate(keys: pd.Series) -> pd.Series:
         return pd.Series(passes(np.frombuffer(hashed.value, np.uint8), keys.to_numpy()))
 
-    others = between_components(worded.where(is_open("key")).select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1, ORDERS)), PREFIX).distinct(), comps)
-    lists = keep(others.groupBy("key").agg(*[F.collect_set(F.when(F.col("order") == k, F.col("token"))).alias(f"order_{k}") for k in range(1, ORDERS)]))
-
-    # Step 2: candidates of all orders between components.
-    active = keep(first.join(lists, "key"))
-    size = F.floor(F.log("n") / math.log(4 / 3)).cast("int")
-    columns = ["key", "n", "at", "comp", *[f"order_{k}" for k in range(1, ORDERS)]]
-    smaller = active.select("token", F.explode(F.array(size, size + 1)).alias("size"), *[F.col(c).alias(f"{c}_x") for c in columns])
-    larger = active.select("token", size.alias("size"), *[F.col(c).alias(f"{c}_y") for c in columns])
-    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
-    overlap = 7 * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= 3 * (F.col("n_x") + F.col("n_y"))  # holds at a similar pair's first shared token
-    in_all = functools.reduce(Column.__and__, [F.arrays_overlap(f"order_{k}_x", f"order_{k}_y") for k in range(1, ORDERS)])
-    pairs = smaller.join(larger, ["token", "size"]).where(once & (F.col("comp_x") != F.col("comp_y")) & similar_sizes("n_x", "n_y") & overlap & in_all)
-    links.append(verified(pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), sets, classes))
+    others = worded.where(is_candidate("key")).select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1, ORDERS)), PREFIX).distinct()
+    others = between_components(others, comps)
+    for k in range(1, ORDERS):
+        pairs = keep(pairs.join(candidates(others.where(F.col("order") == k)), ["a", "b"], "left_semi"))
+    links.append(verified(pairs, sets, classes))
 
     comps = components_so_far()
     found = keep(classes.select("key", "doc_id").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
