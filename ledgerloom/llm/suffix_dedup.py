@@ -8,12 +8,13 @@ into ranges, which are the suffix array, a slice to a task. Suffixes of equal
 heads are a group; each of its windows of PASSAGE words around the head is
 found wherever it stands, and its least place (uid, at) is the one that stays.
 
-A filter of fixed size lets only suffixes through whose first HEAD words come
-twice in the corpus, so that unique text is never shuffled. A passage that a
-third of all documents share is split over slices like any other: suffixes
-are dealt by all of their words and their place. A slice's first and last head
-may be in other slices too, so for each of their windows the slice passes on
-one row, its first place there, and these rows are compared by the window.
+A filter lets only suffixes through whose first HEAD words come twice in the
+corpus, so that unique text is never shuffled. Suffixes of one head are in one
+slice, but for heads that a slice couldn't hold, as of a passage that a third
+of all documents share: these are dealt by all of their words and their place.
+Then the words from the head on with which a slice begins or ends may go on in
+the next one, so for each window with these words the slice passes on one row,
+its first place there, and these rows are compared by the window.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SPAN = PASSAGE - HEAD + 1
 LEFT, RIGHT = SPAN - 1, PASSAGE
 #: Heads are compared by 64 bits, each word around them by a code of 32.
 SLICE_ROWS = 50_000
+#: Suffixes of a head beyond which they are dealt over slices.
+HOT_ROWS = 20_000
 #: Suffixes of a slice that are compared at once, or more where one head has more.
 GROUP_ROWS = 5_000
 
@@ -91,7 +94,8 @@ def _matrix(blobs: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[first:last].view(np.uint32).reshape(-1, width)
 
 
-SUFFIX = "head long, right binary, left binary, uid long, doc_id long, at int, n_words int"
+#: hot: the head is dealt over slices.
+SUFFIX = "head long, hot boolean, right binary, left binary, uid long, doc_id long, at int, n_words int"
 MATCH = "uid long, doc_id long, n_words int, start int, end int, other long, earlier boolean"
 #: What a slice gives: MATCH, or with a key a window that other slices may have too: n times here, for the first time at start.
 FOUND = f"{MATCH}, key long, n long"
@@ -137,7 +141,7 @@ def _prefixes(codes: np.ndarray) -> np.ndarray:
 
 
 def _windows(rows: Suffixes) -> tuple[np.ndarray, ...]:
-    """Of each window of PASSAGE words around a head: its key, the first and the second row that have it, and how many have it.
+    """Of each window of PASSAGE words around a head: its key, the first and the second row that have it, how many have it; and the hashes of the words from the head on.
 
     rows are in order of uid and at. An array has a line for each number of
     words that a window has on the left of the head; where the text is too
@@ -160,34 +164,38 @@ def _windows(rows: Suffixes) -> tuple[np.ndarray, ...]:
         first[before, row] = row[begin][group]
         second[before, row] = row[np.minimum(begin + 1, len(row) - 1)][group]
         n[before, row] = np.diff(np.append(begin, len(row)))[group]
-    return keys, first, second, n
+    return keys, first, second, n, right
 
 
 def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FOUND of a slice. Only its first and its last head may come in other slices too."""
-    held, n, first = [], 0, None
+    """FOUND of a slice."""
+    held, n, ends = [], 0, []
     for batch in batches:
-        rows = Suffixes.of(batch)
+        rows, hot = Suffixes.of(batch), batch.column("hot")
         if not len(rows):
             continue
-        first = rows.head[0] if first is None else first
-        held, n, last = [*held, rows], n + len(rows), rows.head[-1]
-        if n >= GROUP_ROWS and held[0].head[0] != last:
+        if not ends and hot[0].as_py():
+            ends = [rows[:1]]  # the slice before may end with such words
+        last = rows[-1:] if hot[-1].as_py() else None
+        held, n = [*held, rows], n + len(rows)
+        if n >= GROUP_ROWS and held[0].head[0] != rows.head[-1]:
             rows = Suffixes.joined(held)
-            cut = int(rows.head.searchsorted(last))
-            yield from _groups(rows[:cut], [first])
+            cut = int(rows.head.searchsorted(rows.head[-1]))
+            yield from _groups(rows[:cut], ends)
             held, n = [rows[cut:]], len(rows) - cut
     if held:
-        yield from _groups(Suffixes.joined(held), [first, last])
+        yield from _groups(Suffixes.joined(held), ends if last is None else [*ends, last])
     del held
     release()
 
 
-def _groups(rows: Suffixes, edges: list[int]) -> Iterator[pa.RecordBatch]:
-    """FOUND of all suffixes of some heads, of which edges may come in other slices."""
+def _groups(rows: Suffixes, ends: list[Suffixes]) -> Iterator[pa.RecordBatch]:
+    """FOUND of all suffixes of some heads. ends: the suffixes with which the slice begins and ends, if other slices may have their words too."""
     rows = rows[np.lexsort((rows.at, rows.uid))]
-    keys, first, second, n = _windows(rows)
-    edge, here = np.isin(rows.head, edges), np.arange(len(rows))
+    keys, first, second, n, right = _windows(rows)
+    here, edge = np.arange(len(rows)), np.zeros(first.shape, bool)
+    for end in ends:
+        edge |= (rows.head == end.head[0]) & (right == _prefixes(end.right))[PASSAGE - SPAN + 1 :][::-1]
 
     def of(row: np.ndarray, start: np.ndarray, end: np.ndarray, other: pa.Array, earlier: np.ndarray, key: pa.Array | None = None, times: pa.Array | None = None) -> pa.RecordBatch:
         none = pa.nulls(len(row), pa.int64())
@@ -224,8 +232,9 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
     heads = rows.select("text").mapInPandas(_heads, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n > 1")
     heads = keep(heads)
-    n_suffixes = heads.agg(F.sum("n")).first()[0] or 0
-    n_bits = filter_size(heads.count())
+    n_heads, n_suffixes = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot_heads = np.sort(heads.where(F.col("n") > HOT_ROWS).select("head").toArrow()["head"].to_numpy())  # one for HOT_ROWS suffixes at most
+    n_bits = filter_size(n_heads)
     bits = spark.sparkContext.broadcast(filter_bits("head", heads, n_bits))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +253,16 @@ def matches(docs: DataFrame) -> DataFrame:
                     around.append(_contexts(h, at))
             if row:
                 around, of = np.concatenate(around), pa.array(np.concatenate(row))
-                columns = [pa.array(np.concatenate(heads)), _blobs(around[:, LEFT:]), _blobs(around[:, :LEFT]), batch.column("uid").take(of), batch.column("doc_id").take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(n_words))]
+                heads = np.concatenate(heads)
+                columns = [pa.array(heads), pa.array(np.isin(heads, hot_heads)), _blobs(around[:, LEFT:]), _blobs(around[:, :LEFT]), batch.column("uid").take(of), batch.column("doc_id").take(of), pa.array(np.concatenate(places)), pa.array(np.concatenate(n_words))]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SUFFIX.split(", ")])
         del hashes
         release()
 
     order = ["head", "right", "uid", "at"]
     kept = keep(rows.mapInArrow(suffixes, SUFFIX))  # the ranges are found by a look at all of them
-    array = kept.repartitionByRange(max(1, math.ceil(n_suffixes / SLICE_ROWS)), *order).sortWithinPartitions(*order)
+    bounds = ["head", *[F.when(F.col("hot"), F.col(c)) for c in order[1:]]]
+    array = kept.repartitionByRange(max(1, math.ceil(n_suffixes / SLICE_ROWS)), *bounds).sortWithinPartitions(*order)
     found = keep(array.mapInArrow(_slice, FOUND))
 
     # Windows of heads that several slices may have: one row for each slice and window.

@@ -37,6 +37,7 @@ def test_minimisers():
 
 def test_planted_passages(spark, monkeypatch):
     monkeypatch.setattr(M, "SLICE_ROWS", 15)  # many slices, so that their ends matter
+    monkeypatch.setattr(M, "HOT_ROWS", 5)
     rng = random.Random(1)
     line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     passages = [line(n) for n in (50, 51, 64, 120, 400)]
@@ -81,9 +82,10 @@ def planted(rng, n_docs, n_shared):
     return rows + [(1000 + i, " ".join(line(60) + shared[n_shared // 2 :] + line(60))) for i in range(n_docs)]
 
 
-@pytest.mark.parametrize(("n_shared", "slice_rows"), [(60, 50_000), (130, 40)])
+@pytest.mark.parametrize(("n_shared", "slice_rows"), [(60, 50_000), (60, 30), (130, 40)])
 def test_every_window_and_every_later_copy_is_found(spark, monkeypatch, n_shared, slice_rows):
     monkeypatch.setattr(M, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(M, "HOT_ROWS", slice_rows // 2)
     rows = planted(random.Random(n_shared), 80, n_shared)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = {r.doc_id: r for r in M.repeated_passages(frame).collect()}
@@ -113,7 +115,7 @@ def test_groups_of_heads_give_what_the_whole_slice_gives(monkeypatch):
     rows = pd.DataFrame([(h, int(rng.integers(20)), int(rng.integers(900))) for h in range(-6, 6) for _ in range(rng.choice([1, 9, 40]))], columns=["head", "uid", "at"])
     rows = rows.drop_duplicates(["uid", "at"]).sort_values(["head", "uid", "at"], ignore_index=True)
     around = (1 + (rng.random((len(rows), M.LEFT + M.RIGHT)) < 0.02)).astype(np.uint32)
-    columns = {"head": rows["head"], "right": M._blobs(around[:, M.LEFT :]), "left": M._blobs(around[:, : M.LEFT]), "uid": rows["uid"], "doc_id": rows["uid"], "at": rows["at"].astype("int32"), "n_words": np.full(len(rows), 1000, np.int32)}
+    columns = {"head": rows["head"], "hot": (rows["head"] == -6) | (rows["head"] == 5), "right": M._blobs(around[:, M.LEFT :]), "left": M._blobs(around[:, : M.LEFT]), "uid": rows["uid"], "doc_id": rows["uid"], "at": rows["at"].astype("int32"), "n_words": np.full(len(rows), 1000, np.int32)}
     batch = pa.RecordBatch.from_pydict({k: pa.array(v) if not isinstance(v, pa.Array) else v for k, v in columns.items()})
     found = []
     for size in (10**6, 1, 15):
