@@ -8,7 +8,9 @@ equal the slot's, as the hash maps strangers to slots too. Members take the
 slot's winner, and nonmembers are grouped among themselves.
 
 Rows are counted by digest before anything moves, so a text that a third of
-all rows share is one row for each task from then on.
+all rows share is one row for each task in these steps. Rows meet their
+group's result in two ways: groups of many rows are so few that they are sent
+to all tasks, and only the rows of other groups are shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import SPACE, keep, mix64, one_of_each, table, text_of
 
 SHARD_DIGESTS = 50_000
+#: Groups that are sent to all tasks at most (3 MB).
+LARGE_GROUPS = 50_000
 #: Bits for each key that a level of the hash offers.
 LEVEL_SPACE = 2
 INDEX_SCHEMA = "shard int, n_keys long, levels array<binary>, digests binary, winners binary, counts binary"
@@ -92,7 +96,7 @@ def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _look_up_shard(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["digest", "min_id", "n"]].assign(member=False, winner=0, n_before=0)
+    out = rows[["digest", "min_id", "has_id", "n"]].assign(member=False, winner=0, n_before=0)
     if len(rows) and len(index):
         slot, words = index.iloc[0], _words(rows["digest"])
         at = PerfectHash.load(slot["levels"]).slots(words)
@@ -127,10 +131,12 @@ def build_index(history: DataFrame, n_shards: int) -> DataFrame:
 def look_up(batch: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
     """batch: doc_id, digest. One row for each distinct digest: digest, min_id, n, member, winner, n_before."""
     distinct = batch.groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("n"))
-    return (
+    distinct = distinct.withColumn("has_id", F.col("min_id").isNotNull()).withColumn("min_id", F.coalesce("min_id", F.lit(0)))  # pandas would make null and all other ids floating
+    found = (
         distinct.select(_shard(n_shards), "*").groupBy("shard").cogroup(index.groupBy("shard"))
-        .applyInPandas(_look_up_shard, "digest binary, min_id long, n long, member boolean, winner long, n_before long")
+        .applyInPandas(_look_up_shard, "digest binary, min_id long, has_id boolean, n long, member boolean, winner long, n_before long")
     )
+    return found.withColumn("min_id", F.when(F.col("has_id"), F.col("min_id"))).drop("has_id")
 
 
 def exact_duplicates(docs: DataFrame, split: int | None = None) -> DataFrame:
@@ -155,8 +161,11 @@ def exact_duplicates(docs: DataFrame, split: int | None = None) -> DataFrame:
     members = found.where("member").select("digest", F.col("winner").alias("keep_id"), (F.col("n") + F.col("n_before")).alias("group_size"))
     others = found.where("not member").groupBy("digest").agg(F.min("min_id").alias("keep_id"), F.sum("n").alias("group_size"))
     before = history.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = before.join(members.select("digest"), "digest", "left_anti").unionByName(members).unionByName(others)
-    return rows.join(groups, "digest").select(
+    groups = keep(before.join(members.select("digest"), "digest", "left_anti").unionByName(members).unionByName(others))
+    large = F.col("group_size") > max(1000, n // LARGE_GROUPS)  # so LARGE_GROUPS groups at most
+    often = F.broadcast(groups.where(large))
+    rest = rows.join(often.select("digest"), "digest", "left_anti").join(groups.where(~large), "digest")
+    return rows.join(often, "digest").unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 

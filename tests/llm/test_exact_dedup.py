@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from ledgerloom.llm.exact_dedup import PerfectHash, exact_duplicates
+from ledgerloom.llm.exact_dedup import PerfectHash, drop_duplicates, exact_duplicates
 
 SCHEMA = "doc_id long, text string, keep_id string"
 
@@ -38,3 +38,12 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_groups_and_large_ids_beside_null(spark):
+    big = 9007199254740993
+    rows = [(big + 2 * i, "hot") for i in range(1500)] + [(big - 1, "one"), (None, "two"), (big - 3, "three"), (None, "hot")]
+    frame = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA).repartition(3)
+    for split in (None, 0, big + 100):
+        assert sorted(map(tuple, exact_duplicates(frame, split).collect()), key=str) == brute(rows)
+    assert {(r.doc_id, r.text) for r in drop_duplicates(frame).collect()} == {(big, "hot"), (big - 1, "one"), (None, "two"), (big - 3, "three")}
