@@ -15,7 +15,6 @@ that a third of all rows share is cut like any other.
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 import re
@@ -24,27 +23,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import keep, mix64, public_path, small_batches, table, text_of
+from ledgerloom.llm.common import keep, mix64, public_path, release, small_batches, table, text_of
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
-#: BM25's parameters, and the seed's rarest terms that are looked up.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25's parameters.
+K1, B = 1.2, 0.75
 LETTERS = "a-zß-öø-ÿ"
 PLAIN = re.compile(f"[{LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
 WORDS = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-#: Chunks whose ids a worker remembers.
-CHUNKS = 500_000
+#: Bytes of chunks and their ids that a task remembers.
+CACHE_BYTES = 48_000_000
+#: Texts by which a tokenizer is tried before its ids are put together from parts.
+PROBES = ("", "Two  WORDS\n\tand more", "it's a-b_c (x1y22) e.g. 3.14!?", "ÄÖÜ straße déjà-vu, größe", "漢字 \u00a0 x", "a<|endoftext|>b")
 #: Ids from here on are rarer tokens, of which signatures are made.
 RARE = 2000
 
 
 class Chunks(dict):
-    """The ids of chunks between blanks, as bytes. The tokenizer splits there in any case, so a text's ids are those of its chunks."""
+    """The ids of chunks between blanks, as bytes. A tokenizer that splits there in any case gives a text the ids of its chunks."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -53,24 +55,30 @@ class Chunks(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads here
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.words: dict[bytes, bytes] = {}
+        self.size = 0
+        for text in PROBES:  # what is taken for granted below
+            if np.frombuffer(self.ids([text])[0], "<u4").tolist() != [*self.tokenizer.encode(text, add_special_tokens=False).ids, END]:
+                raise ValueError("the tokenizer doesn't lower case, or splits words otherwise")
 
     def _learn(self, chunks: set[bytes]) -> None:
-        if len(self) > CHUNKS:
+        if self.size > CACHE_BYTES:
             self.clear()
             self.words.clear()
+            self.size = 0
         # Characters of this range stay as they are in the normaliser; without an apostrophe they split into letters, single digits and the rest.
-        parts = {c: [w.encode() for w in WORDS.findall(t)] if PLAIN.fullmatch(t := c.decode()) and "<|" not in t else [c] for c in chunks}
+        parts = {c: [w.encode() for w in WORDS.findall(t)] if PLAIN.fullmatch(t := c.decode("utf-8", "replace")) and "<|" not in t else [c] for c in chunks}
         new = {w for p in parts.values() for w in p if w not in self.words}
         model, shape, other = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str, []
         for w in new:
-            if PLAIN.fullmatch(t := w.decode()) and "<|" not in t and len(WORDS.findall(t)) == 1:
+            if PLAIN.fullmatch(t := w.decode("utf-8", "replace")) and "<|" not in t and len(WORDS.findall(t)) == 1:
                 piece = t if w.isascii() else shape(t)[0][0]
                 self.words[w] = np.array([x.id for x in model.tokenize(piece)], "<u4").tobytes()
             else:
                 other.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
         self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
         self.update((c, b"".join(map(self.words.__getitem__, p))) for c, p in parts.items())
+        self.size += sum(250 + len(c) + len(self[c]) for c in chunks) + sum(250 + len(w) + len(self.words[w]) for w in new)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out, end = [], np.uint32(END).tobytes()
@@ -81,32 +89,29 @@ class Chunks(dict):
                 out.append(b"".join(map(self.__getitem__, chunks)) + end)
             except KeyError:
                 need = set(chunks)
-                self._learn(need if len(self) > CHUNKS else {c for c in need if c not in self})
+                self._learn(need if self.size > CACHE_BYTES else {c for c in need if c not in self})
                 out.append(b"".join(map(self.__getitem__, chunks)) + end)
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def chunks_of(tokenizer_file: str) -> Chunks:
-    """One for each Python worker, which Spark uses for many tasks."""
-    return Chunks(tokenizer_file)
-
-
 def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """uid, doc_id, signature, n, ids (little-endian 32-bit) of each row."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = chunks_of(tokenizer_file)
-        for rows in batches:
-            ids, signature = chunks.ids(list(rows["text"])), []
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        chunks = Chunks(tokenizer_file)
+        for texts in batches:
+            ids, signature = chunks.ids(list(texts)), []
             for blob in ids:
                 terms = np.frombuffer(blob, "<u4")
                 rare = terms[terms >= RARE]
                 signature.append(int(mix64(rare if len(rare) else terms).min() >> np.uint64(1)))
-            yield pd.DataFrame({"uid": rows["uid"], "doc_id": rows["doc_id"], "signature": signature, "n": [len(x) // 4 for x in ids], "ids": ids})
+            yield pd.DataFrame({"signature": pd.Series(signature, dtype="int64"), "n": pd.Series([len(x) // 4 for x in ids], dtype="int64"), "ids": ids})
+        del chunks
+        release()
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text")).mapInPandas(run, "uid long, doc_id long, signature long, n long, ids binary")
+    coded = F.pandas_udf(run, "signature long, n long, ids binary")(text_of())
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", coded.alias("r")).select("uid", "doc_id", "r.*")
 
 
 class Index:
@@ -130,10 +135,8 @@ class Index:
         self.n = len(docs)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, best first; equal scores by position."""
-        at = np.searchsorted(self.vocabulary, self.terms[seed])
-        best = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
-        lists = [slice(self.starts[t], self.starts[t + 1]) for t in best]
+        """Documents that share a term with the seed, best first; equal scores by position."""
+        lists = [slice(self.starts[t], self.starts[t + 1]) for t in np.searchsorted(self.vocabulary, self.terms[seed])]
         scores = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
         hits = np.flatnonzero(scores)
         return hits[np.argsort(-scores[hits], kind="stable")]
@@ -223,26 +226,29 @@ def packed(docs: DataFrame, tokenizer_file: str, shard_tokens: int = SHARD_TOKEN
     total = ids.agg(F.sum("n")).first()[0] or 0
     n_shards = max(1, math.ceil(total / shard_tokens))
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [rows for rows in batches if len(rows)]
         if not held:
             return
-        rows = pd.concat(held, ignore_index=True)
+        doc_ids = pa.concat_arrays([rows.column("doc_id") for rows in held])  # in Arrow, where null and the largest ids have their place
+        texts = [np.frombuffer(x.as_buffer(), "<u4") for rows in held for x in rows.column("ids")]
         shard = TaskContext.get().partitionId()
-        texts = [np.frombuffer(x, "<u4") for x in rows["ids"]]
-        doc_ids = rows["doc_id"]
         found = pack(texts)
         for i in range(0, len(found), 1000):
             part = found[i : i + 1000]
             cut = [texts[d][s : s + k] for d, s, k, *_ in part]
-            pieces = pd.DataFrame({
-                "doc_id": doc_ids.iloc[[p[0] for p in part]].array, "start": [p[1] for p in part], "length": [p[2] for p in part], "ids_crc32": [zlib.crc32(x.tobytes()) for x in cut],
-                "doc_tokens": [len(texts[p[0]]) for p in part], "sequence_id": [(shard << 32) + p[3] for p in part], "offset": [p[4] for p in part],
-            })
-            yield pieces.assign(ids=cut) if with_ids else pieces
+            columns = [[p[1] for p in part], [p[2] for p in part], [zlib.crc32(x.tobytes()) for x in cut], [len(texts[p[0]]) for p in part], [(shard << 32) + p[3] for p in part], [p[4] for p in part]]
+            arrays = [doc_ids.take(pa.array([p[0] for p in part])), *[pa.array(c, pa.int64()) for c in columns]]
+            if with_ids:
+                arrays.append(pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+        del held, texts
+        release()
 
     shards = ids.repartitionByRange(n_shards, "signature", "uid").sortWithinPartitions("signature", "uid")
-    return shards.mapInPandas(fill, PIECES + ", ids array<int>" * with_ids)
+    return shards.mapInArrow(fill, PIECES + ", ids array<int>" * with_ids)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

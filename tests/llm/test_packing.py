@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ledgerloom.llm import packing as M
-from ledgerloom.llm.token_counts import public_path
+from ledgerloom.llm.common import public_path
 
 FILE = public_path("word_bpe_49k.json")
 
@@ -61,7 +61,7 @@ def test_neighbours_are_those_of_bm25():
     df = {t: sum(t in d for d in docs) for t in range(30)}
     idf = {t: np.log(1 + (40 - k + 0.5) / (k + 0.5)) for t, k in df.items()}
     for seed in range(40):
-        terms = sorted(set(docs[seed].tolist()), key=lambda t: (-idf[t], t))[: M.QUERY_TERMS]
+        terms = sorted(set(docs[seed].tolist()))
         score = [sum(idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in terms if (tf := (d == t).sum())) for d in docs]
         got = index.neighbours(seed).tolist()
         assert set(got) == {i for i, s in enumerate(score) if s > 0}
@@ -82,3 +82,14 @@ def test_every_id_lies_in_one_piece(spark, chunks):
         check([tuple(r)[:7] for r in got], docs)
         assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
     assert M.packed(frame.limit(0), FILE).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    ids = [9007199254740993, None, 9007199254740995]
+    frame = spark.createDataFrame([(i, "some text") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in M.packed(frame, FILE).collect()} == set(ids)
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        M.Chunks(public_path("byte_bpe_50k.json"))
