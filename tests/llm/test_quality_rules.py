@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality_rules as M
@@ -42,6 +43,23 @@ def test_against_plain_version(spark):
 
 
 def test_order_is_by_rejections_per_second():
-    rules = [M.Rule(n, F) for n in "abc"]  # no session: only the order counts
+    rules = [M.Rule(n, lambda s: F.lit(False)) for n in "abc"]
     measured = [(rules[0], 1.0, 0.5), (rules[1], 0.1, 0.2), (rules[2], 2.0, 0.0)]
     assert [r.name for r, *_ in sorted(measured, key=M.worth)] == ["b", "a", "c"]
+
+
+@pytest.mark.parametrize("source", ["json", "renamed", "filtered"])
+def test_any_frame_can_be_judged(spark, tmp_path, source):
+    rows = [(i, " ".join(f"word{j}" for j in range(60)) if i % 2 else "short", "a", "b") for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    frame.write.json(str(tmp_path / "j"))
+    frame.withColumnRenamed("text", "body").write.parquet(str(tmp_path / "p"))
+    read = {"json": lambda: spark.read.schema(SCHEMA).json(str(tmp_path / "j")), "renamed": lambda: spark.read.parquet(str(tmp_path / "p")).withColumnRenamed("body", "text"), "filtered": lambda: frame.where("doc_id % 2 = 1")}[source]()
+    assert sorted(r.doc_id for r in M.select_good(read).collect()) == list(range(1, 40, 2))
+
+
+def test_costly_statistics_count_for_their_rule(spark):
+    text = " ".join(f"w{j % 700}" for j in range(3000))
+    frame = spark.createDataFrame([(i, text, "", "") for i in range(300)], SCHEMA)
+    cost = {rule.name: seconds for rule, seconds, _ in M.measure(frame, [*M.BASE_RULES, *M.default_rules()])}
+    assert cost["repeated_words"] > 3 * cost["few_words"]
