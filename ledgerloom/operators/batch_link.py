@@ -1,17 +1,17 @@
 """Batches against bank credits: exact, within tolerance, fuzzy, and what is left.
 
 References in narrations are matched by equi-joins on tokens, never by a
-containment join. The passes are greedy: batches claim credits in order of
-their ids. ``claim`` goes in rounds of joins and aggregations over the batches
-whose credits name several; the others are a plain aggregation.
+containment join. The passes go in order of ids: batches claim credits, and in
+the fuzzy pass each credit in its turn takes a batch from those that are left.
+Such orders are settled in rounds of joins and aggregations over the whole
+table until nothing changes, never by one task that goes through the rows.
 """
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_EVEN, Decimal
+from decimal import Decimal
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +49,18 @@ def reference_pairs(batches: DataFrame, credits: DataFrame) -> DataFrame:
     return batches.join(grams, "utr")
 
 
-def claim(pairs: DataFrame) -> DataFrame:
-    """pairs (batch_id, bank_txn_id): each batch, in order, takes its lowest credit that none before it took."""
+def claim(pairs: DataFrame, *preference: str) -> DataFrame:
+    """pairs (batch_id, bank_txn_id): each batch, in order, takes the credit that it prefers (least in the columns of preference, then in id) of those that none before it took."""
+    pairs = pairs.select("batch_id", "bank_txn_id", *preference).distinct()
+    least = F.min_by("bank_txn_id", F.struct(*preference, "bank_txn_id")).alias("bank_txn_id")
     per_credit = pairs.groupBy("bank_txn_id").agg(F.count_distinct("batch_id").alias("n"))
     shared = pairs.join(per_credit.where("n > 1"), "bank_txn_id", "left_semi").select("batch_id").distinct()
-    simple = pairs.join(shared, "batch_id", "left_anti").groupBy("batch_id").agg(F.min("bank_txn_id").alias("bank_txn_id"))
-    # Batches that want the same credits: each proposes to its lowest credit, which holds its lowest batch and is lost to
+    simple = pairs.join(shared, "batch_id", "left_anti").groupBy("batch_id").agg(least)
+    # Batches that want the same credits: each proposes to the credit it prefers, which holds its lowest batch and is lost to
     # those after it; in rounds, until no batch is refused. A batch that is held may still be ousted by one before it.
-    wanted = kept(pairs.join(shared, "batch_id", "left_semi").select("batch_id", "bank_txn_id").distinct())
+    wanted = kept(pairs.join(shared, "batch_id", "left_semi"))
     while True:
-        proposed = wanted.groupBy("batch_id").agg(F.min("bank_txn_id").alias("bank_txn_id"))
+        proposed = wanted.groupBy("batch_id").agg(least)
         held = kept(proposed.groupBy("bank_txn_id").agg(F.min("batch_id").alias("batch_id"), F.count(F.lit(1)).alias("n")))
         if held.where("n > 1").isEmpty():
             return simple.unionByName(held.select("batch_id", "bank_txn_id"))
@@ -77,115 +79,160 @@ def near_links(due: DataFrame, credits: DataFrame) -> DataFrame:
     return claim(found.where(F.abs(F.col("amount") - F.col("net_total")) <= _tolerance()).select("batch_id", "bank_txn_id"))
 
 
-def candidate_scores(open_batches: DataFrame, credits: DataFrame) -> DataFrame:
-    """Each credit against each open batch that is due within the window of its date: fragment, path and score.
+def _still_open(batches: DataFrame, taken: DataFrame) -> DataFrame:
+    """batches with taker, the credit that takes each; it is there for credits up to that one."""
+    return batches.join(taken.select("batch_id", F.col("bank_txn_id").alias("taker")), "batch_id", "left")
 
-    The fragment is the credit's token that begins like any open batch's
-    reference for the longest stretch. With a fragment the score weighs
-    prefix, edit distance and amount, without one amount and date.
-    """
+
+def _in_time() -> Column:
+    return F.col("taker").isNull() | (F.col("bank_txn_id") <= F.col("taker"))
+
+
+def fragments(batches: DataFrame, credits: DataFrame) -> DataFrame:
+    """bank_txn_id and fragment: the credit's token that begins for the longest stretch like the reference of any batch that is there in its turn. Credits without one are left out."""
     tokens = credits.select("bank_txn_id", F.posexplode(utr_candidates(F.col("narration"))).alias("rank", "token")).withColumn("head", F.substring("token", 1, LEAST_FRAGMENT))
-    heads = open_batches.select(F.col("utr").alias("u"), F.substring("utr", 1, LEAST_FRAGMENT).alias("head"))
-    shared = tokens.join(heads, "head").withColumn("length", common_prefix(F.col("token"), F.col("u")))
-    best = shared.groupBy("bank_txn_id").agg(F.max_by("token", F.struct("length", -F.col("rank"))).alias("fragment"))
-    keyed = open_batches.select("batch_id", "utr", "net_total", "due", F.explode(F.sequence(F.lit(-DATE_WINDOW), F.lit(DATE_WINDOW))).alias("gap")).withColumn("value_date", F.expr("date_add(due, gap)"))
-    pairs = credits.select("bank_txn_id", "value_date", "amount").join(keyed, "value_date").join(best, "bank_txn_id", "left")
+    heads = batches.select(F.col("utr").alias("u"), "taker", F.substring("utr", 1, LEAST_FRAGMENT).alias("head"))
+    shared = tokens.join(heads, "head").where(_in_time()).withColumn("length", common_prefix(F.col("token"), F.col("u")))
+    return shared.groupBy("bank_txn_id").agg(F.max_by("token", F.struct("length", -F.col("rank"))).alias("fragment"))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """pairs of a credit and a batch within the window of days, with path and score. With a fragment the score weighs prefix, edit distance and amount, without one amount and date."""
     agrees = F.when(F.abs(F.col("amount") - F.col("net_total")) <= _tolerance(), F.lit(1)).otherwise(0).cast("decimal(3,0)")
     n = F.length("fragment")
     ratio = lambda x: x.cast("decimal(20,10)") / n.cast("decimal(20,10)")
     lit = lambda x: F.lit(str(x)).cast("decimal(4,2)")
     a = lit(PREFIX_WEIGHT) * ratio(common_prefix(F.col("fragment"), F.col("utr"))) + lit(EDIT_WEIGHT) * (1 - ratio(F.levenshtein("fragment", F.expr("substring(utr, 1, length(fragment))")))) + lit(AMOUNT_WEIGHT) * agrees
-    near = F.bround((F.lit(DATE_WINDOW) - F.abs("gap")).cast("decimal(20,10)") / F.lit(DATE_WINDOW).cast("decimal(20,10)"), 6)
+    gap = F.abs(F.datediff("value_date", "due"))
+    near = F.bround((F.lit(DATE_WINDOW) - gap).cast("decimal(20,10)") / F.lit(DATE_WINDOW).cast("decimal(20,10)"), 6)
     b = lit(AMOUNT_WEIGHT_B) * agrees + lit(DATE_WEIGHT_B) * near
     has = F.col("fragment").isNotNull()
-    return pairs.select("bank_txn_id", "batch_id", "fragment", F.when(has, "A").otherwise("B").alias("path"), F.bround(F.when(has, a).otherwise(b), 6).cast("decimal(9,6)").alias("score"), "amount", "net_total")
+    return pairs.select("bank_txn_id", "batch_id", "fragment", F.when(has, "A").otherwise("B").alias("path"), F.bround(F.when(has, a).otherwise(b), 6).cast("decimal(9,6)").alias("score"))
+
+
+def no_links(frame: DataFrame) -> DataFrame:
+    return frame.sparkSession.createDataFrame([], "batch_id string, bank_txn_id string")
+
+
+def candidate_scores(open_batches: DataFrame, credits: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Each credit against each batch that is there in its turn and due within the window of its date: fragment, path and score. taken (batch_id, bank_txn_id): what the pass links; without it every credit comes first."""
+    batches = _still_open(open_batches, no_links(credits) if taken is None else taken)
+    dated = batches.withColumn("value_date", F.explode(F.expr(f"sequence(date_sub(due, {DATE_WINDOW}), date_add(due, {DATE_WINDOW}))")))
+    pairs = credits.select("bank_txn_id", "value_date", "amount").join(dated, "value_date").where(_in_time())
+    return _scored(pairs.join(fragments(batches, credits), "bank_txn_id", "left"))
+
+
+#: Characters of a fragment and a reference that agree wherever a score can decide: a runner-up within the separation of a score over
+#: the bar has 0.70 at least, of which edits and amount give 0.50, so two fifths of a fragment of six characters or more.
+DECISIVE_PREFIX = 3
+
+
+def _accepted(open_batches: DataFrame, credits: DataFrame, taken: DataFrame) -> DataFrame:
+    """Links of all credits, each against what is there in its turn. Only pairs that can decide are scored: a long enough prefix, or without a fragment an amount that agrees."""
+    batches = _still_open(open_batches, taken)
+    found = credits.select("bank_txn_id", "value_date", "amount").join(fragments(batches, credits), "bank_txn_id", "left")
+    head = lambda c: F.substring(c, 1, DECISIVE_PREFIX)
+    by_prefix = found.where("fragment is not null").withColumn("head", head("fragment")).join(batches.withColumn("head", head("utr")), "head")
+    whole = found.where("fragment is null").withColumn("unit", F.floor("amount"))
+    by_amount = whole.join(batches.withColumn("unit", F.explode(F.array(*[F.floor("net_total") + i for i in (-1, 0, 1)]))), "unit").where(F.abs(F.col("amount") - F.col("net_total")) <= _tolerance())
+    pairs = by_prefix.drop("head").unionByName(by_amount.drop("unit")).where(_in_time() & (F.abs(F.datediff("value_date", "due")) <= DATE_WINDOW))
+    best = _ranked(_scored(pairs)).where(_clear(F.col("score"), F.col("next"), F.col("path")))
+    return best.groupBy("batch_id").agg(F.min("bank_txn_id").alias("bank_txn_id"))
 
 
-def verdicts(scores: DataFrame, credits: DataFrame) -> DataFrame:
-    """The outcome of each credit as if it came first: accepted, ambiguous or abstained."""
+def _ranked(scores: DataFrame) -> DataFrame:
+    """Each credit's best batch, with next, the score of the second best."""
     by = Window.partitionBy("bank_txn_id").orderBy(F.col("score").desc(), "batch_id")
-    ranked = scores.withColumn("n", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).where("n = 1")
-    rows = credits.select("bank_txn_id").join(ranked, "bank_txn_id", "left")
-    bar = F.when(F.col("path") == "A", F.lit(str(BAR_A))).otherwise(F.lit(str(BAR_B))).cast("decimal(9,6)")
-    margin = F.when(F.col("next").isNull(), F.col("score")).otherwise(F.col("score") - F.col("next"))
+    return scores.withColumn("n", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).where("n = 1").drop("n")
+
+
+def _clear(score: Column, runner_up: Column, path: Column) -> Column:
+    """Whether the best score is over its path's bar and far enough before the runner-up."""
+    bar = F.when(path == "A", F.lit(str(BAR_A))).otherwise(F.lit(str(BAR_B))).cast("decimal(9,6)")
+    return (score >= bar) & (score - F.coalesce(runner_up, F.lit(0)) >= F.lit(str(SEPARATION)).cast("decimal(9,6)"))
+
+
+def fuzzy_links(open_batches: DataFrame, credits: DataFrame) -> DataFrame:
+    """The pass over what the exact passes left: credits in order of their ids, an accepted batch is gone for those after it.
+
+    A credit's verdict depends on the links of those before it only. So all
+    verdicts are taken at once, given the links of the round before, until a
+    round changes nothing: after each round the verdicts of one more credit of
+    every chain are final, and chains are short.
+    """
+    taken = no_links(credits)
+    while True:
+        now = kept(_accepted(open_batches, credits, taken))
+        if now.exceptAll(taken).isEmpty() and taken.exceptAll(now).isEmpty():
+            return now
+        taken = now
+
+
+def verdicts(open_batches: DataFrame, credits: DataFrame, taken: DataFrame) -> DataFrame:
+    """The verdict on each credit in its turn: accepted, ambiguous or abstained. A batch beyond the window of days scores 0; credits that come when no batch is left have no verdict. taken: the links of ``fuzzy_links``."""
+    n_open, n_taken = open_batches.count(), taken.count()
+    last = [r[0] for r in taken.select("bank_txn_id").orderBy(F.desc("bank_txn_id")).limit(2).collect()]
+    turn, never = F.col("bank_txn_id"), F.lit(False)
+    if n_open == 0:
+        none_left, one_left = ~never, never
+    elif n_open == n_taken:
+        none_left, one_left = turn > last[0], (turn > last[1]) if n_open > 1 else ~never
+    else:
+        none_left, one_left = never, (turn > last[0] if n_taken else ~never) if n_open == n_taken + 1 else never
+    best = _ranked(candidate_scores(open_batches, credits, taken))
+    rows = credits.select("bank_txn_id").where(~none_left).join(fragments(_still_open(open_batches, taken), credits).select("bank_txn_id", F.lit("A").alias("_path")), "bank_txn_id", "left").join(best.drop("path", "fragment"), "bank_txn_id", "left")
+    zero = F.lit(0).cast("decimal(9,6)")
+    rows = rows.select("bank_txn_id", "batch_id", F.coalesce("_path", F.lit("B")).alias("path"), F.coalesce("score", zero).alias("best_score"), F.when(~one_left, F.coalesce("next", zero)).alias("runner_up_score"))
     outcome = (
-        F.when(F.col("score").isNull(), "AMBIGUOUS").when(F.col("score") <= 0, "ABSTAINED").when(F.col("score") == F.col("next"), "ABSTAINED")
-        .when(F.col("score") < bar, "AMBIGUOUS").when(margin < F.lit(str(SEPARATION)).cast("decimal(9,6)"), "AMBIGUOUS").otherwise("ACCEPTED")
+        F.when((F.col("best_score") <= 0) | F.coalesce(F.col("best_score") == F.col("runner_up_score"), F.lit(False)), "ABSTAINED")
+        .when(_clear(F.col("best_score"), F.col("runner_up_score"), F.col("path")), "ACCEPTED").otherwise("AMBIGUOUS")
     )
-    return rows.select("bank_txn_id", outcome.alias("outcome"), "path", F.when(outcome == "ACCEPTED", F.col("batch_id")).alias("matched_batch_id"), F.col("score").alias("best_score"), F.col("next").alias("runner_up_score"))
-
-
-def _in_turn(rows: pd.DataFrame) -> pd.DataFrame:
-    """Credits of one group in order of their ids; an accepted batch is gone for those after it."""
-    six = Decimal("0.000001")
-    batches = {b.batch_id: b for b in rows[rows["side"] == "batch"].itertuples()}
-    links = []
-    for credit in rows[rows["side"] == "credit"].sort_values("id").itertuples():
-        if not batches:
-            break
-        tokens = sorted({w for w in credit.words.split(" ") if LEAST_FRAGMENT <= len(w) <= UTR_LENGTH}, key=lambda t: (-len(t), t))
-        fragment, most = None, LEAST_FRAGMENT - 1
-        for t in tokens:
-            k = max(_prefix(t, b.utr) for b in batches.values())
-            if k > most:
-                fragment, most = t, k
-        scored = []
-        for b in batches.values():
-            gap = abs((credit.date - b.date).days)
-            agrees = int(abs(credit.amount - b.amount) <= TOLERANCE)
-            if gap > DATE_WINDOW:
-                score = Decimal(0)
-            elif fragment:
-                n = len(fragment)
-                score = PREFIX_WEIGHT * _prefix(fragment, b.utr) / n + EDIT_WEIGHT * (1 - Decimal(_edits(fragment, b.utr[:n])) / n) + AMOUNT_WEIGHT * agrees
-            else:
-                score = AMOUNT_WEIGHT_B * agrees + DATE_WEIGHT_B * (Decimal(DATE_WINDOW - gap) / DATE_WINDOW).quantize(six, ROUND_HALF_EVEN)
-            scored.append((-score.quantize(six, ROUND_HALF_EVEN), b.batch_id))
-        scored.sort()
-        best, second = -scored[0][0], -scored[1][0] if len(scored) > 1 else Decimal(0)
-        if best > 0 and (len(scored) == 1 or best != second) and best >= (BAR_A if fragment else BAR_B) and best - second >= SEPARATION:
-            links.append((scored[0][1], credit.id))
-            del batches[scored[0][1]]
-    return pd.DataFrame(links, columns=["batch_id", "bank_txn_id"], dtype=object)
-
-
-def _prefix(a: str, b: str) -> int:
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return k
-
-
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+    return rows.select("bank_txn_id", outcome.alias("outcome"), "path", F.when(outcome == "ACCEPTED", F.col("batch_id")).alias("matched_batch_id"), "best_score", "runner_up_score")
 
 
-def fuzzy_links(open_batches: DataFrame, credits: DataFrame) -> DataFrame:
-    """The sequential pass over what the exact passes left.
+def naive_links(batches: DataFrame, credits: DataFrame, as_of: Column, window: int = 5) -> DataFrame:
+    """Amount and date alone: batches in order take the credit with the nearest date, then amount."""
+    pairs = _amount_seen(batches, credits).join(batches.select("batch_id", "net_total", "settled_event_date"), "batch_id").join(credits.select("bank_txn_id", "amount", "value_date"), "bank_txn_id")
+    near = pairs.select("batch_id", "bank_txn_id", F.abs(F.datediff("settled_event_date", "value_date")).alias("gap"), F.abs(F.col("amount") - F.col("net_total")).alias("off"), "value_date")
+    return claim(near.where((F.col("gap") <= window) & (F.col("value_date") <= as_of)), "gap", "off")
+
+
+def _running_count(rows: DataFrame) -> DataFrame:
+    """rows (v, side) with seen, how many rows of side 1 are there up to each in order of v and side. Ranges are counted on their own and moved on by what lies before; only one row for each range is added up in one place."""
+    n_ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(rows.repartitionByRange(n_ranges, "v", "side").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.sum("side").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    here = F.sum("side").over(Window.partitionBy("range").orderBy("v", "side").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("here", here).join(F.broadcast(before), "range").select("v", "side", (F.col("here") + F.col("before")).alias("seen"))
+
+
+def nearest_batches(credits: DataFrame, batches: DataFrame, limit: int = 20) -> DataFrame:
+    """bank_txn_id, batch_id and rank of the limit batches nearest in amount, then date, then id, of all batches.
 
-    Credits and batches of different stretches of days can't match, so each
-    stretch without a gap wider than the window is a group of its own. The
-    stretches come from the distinct days, of which there are as many as a
-    calendar has, whatever the data.
+    Distinct amounts of both sides are counted in order, which tells between
+    which of the batches' amounts a credit's lies. The limit amounts on either
+    side hold the nearest batches, and are found by an equi-join on blocks.
     """
-    left = open_batches.select(F.lit("batch").alias("side"), F.col("batch_id").alias("id"), "batch_id", "utr", F.lit("").alias("words"), F.col("net_total").alias("amount"), F.col("due").alias("date"))
-    right = credits.select(F.lit("credit").alias("side"), F.col("bank_txn_id").alias("id"), F.lit("").alias("batch_id"), F.lit("").alias("utr"), "words", "amount", F.col("value_date").alias("date"))
-    rows = left.unionByName(right)
-    by = Window.orderBy("date")
-    days = rows.select("date").distinct().withColumn("new", F.coalesce(F.datediff("date", F.lag("date").over(by)) > DATE_WINDOW, F.lit(True)).cast("int")).withColumn("stretch", F.sum("new").over(by)).select("date", "stretch")
-    return rows.join(F.broadcast(days), "date").groupBy("stretch").applyInPandas(_in_turn, "batch_id string, bank_txn_id string")
-
-
-def diagnostics(due: DataFrame, credits: DataFrame) -> DataFrame:
-    """Per batch whether any credit holds its whole reference, and whether any has its amount."""
-    seen = reference_pairs(due, credits).select("batch_id").distinct().withColumn("utr_seen", F.lit(True))
-    amounts = credits.select(F.col("amount").alias("net_total")).distinct().withColumn("amount_seen", F.lit(True))
-    return due.join(seen, "batch_id", "left").join(amounts, "net_total", "left").select("batch_id", F.coalesce("utr_seen", F.lit(False)).alias("utr_seen"), F.coalesce("amount_seen", F.lit(False)).alias("amount_seen"))
+    distinct = lambda frame, c, side: frame.select(F.col(c).alias("v")).distinct().withColumn("side", F.lit(side))
+    counted = kept(_running_count(distinct(batches, "net_total", 1).unionByName(distinct(credits, "amount", 0))))
+    block = lambda c: F.floor(c / limit)
+    placed = counted.where("side = 0").select(F.col("v").alias("amount"), "seen", F.explode(F.sequence(block(F.col("seen") - limit + 1), block(F.col("seen") + limit))).alias("block"))
+    own = counted.where("side = 1").select(F.col("v").alias("net_total"), F.col("seen").alias("place"), block(F.col("seen")).alias("block"))
+    near = placed.join(own, "block").where((F.col("place") > F.col("seen") - limit) & (F.col("place") <= F.col("seen") + limit)).select("amount", "net_total")
+    pairs = credits.select("bank_txn_id", "amount", "value_date").join(near, "amount").join(batches.select("batch_id", "net_total", "settled_event_date"), "net_total")
+    by = Window.partitionBy("bank_txn_id").orderBy(F.abs(F.col("amount") - F.col("net_total")), F.abs(F.datediff("value_date", "settled_event_date")), "batch_id")
+    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).select("bank_txn_id", "batch_id", "rank")
+
+
+def diagnostics(due: DataFrame, credits: DataFrame, exact: DataFrame) -> DataFrame:
+    """Per batch whether a credit that no batch before it claimed holds its whole reference, and whether one has its amount. exact: the claims."""
+    owned = credits.join(exact.select("bank_txn_id", F.col("batch_id").alias("owner")), "bank_txn_id", "left")
+    free = F.col("owner").isNull() | (F.col("owner") >= F.col("batch_id"))
+    seen = reference_pairs(due, owned).where(free).select("batch_id").distinct().withColumn("utr_seen", F.lit(True))
+    amounts = owned.groupBy(F.col("amount").alias("net_total")).agg(F.max("owner").alias("owner"), F.bool_or(F.col("owner").isNull()).alias("unclaimed"))
+    rows = due.join(seen, "batch_id", "left").join(amounts, "net_total", "left")
+    return rows.select("batch_id", F.coalesce("utr_seen", F.lit(False)).alias("utr_seen"), F.coalesce(F.col("unclaimed") | (F.col("owner") >= F.col("batch_id")), F.lit(False)).alias("amount_seen"))
 
 
 def _prefix_seen(batches: DataFrame, credits: DataFrame) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the session's checkpoint folder; where it names none, as in tests, below a scratch folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path below the session's checkpoint folder."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,5 +1,6 @@
 import random
 from datetime import date, timedelta
+from decimal import ROUND_HALF_EVEN
 from decimal import Decimal as D
 
 import pytest
@@ -46,21 +47,66 @@ def test_duplicates(spark):
 
 
 def fuzzy(spark, batches, credits):
+    """Links and verdicts; verdicts are (outcome, best, runner-up)."""
     day = lambda n: date(2026, 9, 1) + timedelta(n)
     open_ = spark.createDataFrame([(b, u, D(a), day(d)) for b, u, a, d in batches], "batch_id string, utr string, net_total decimal(18,2), due date")
     free = B.credits_of(spark.createDataFrame([(c, day(d), D(a), n, "credit") for c, n, a, d in credits], "bank_txn_id string, value_date date, amount decimal(18,2), narration string, direction string"))
-    links = {r.bank_txn_id: r.batch_id for r in B.fuzzy_links(open_, free).collect()}
-    verdicts = {r.bank_txn_id: (r.outcome, r.best_score) for r in B.verdicts(B.candidate_scores(open_, free), free).collect()}
+    found = B.fuzzy_links(open_, free)
+    verdicts = {r.bank_txn_id: (r.outcome, r.best_score, r.runner_up_score) for r in B.verdicts(open_, free, found).collect()}
+    return {r.bank_txn_id: r.batch_id for r in found.collect()}, verdicts
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def loop_fuzzy(batches, credits):
+    """The rule, credit by credit."""
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    six = lambda x: x.quantize(D("0.000001"), ROUND_HALF_EVEN)
+    left, links, verdicts = {b[0]: b for b in batches}, {}, {}
+    for c, words, amount, day in sorted(credits):
+        if not left:
+            break
+        fragment, most = None, 5
+        for t in sorted({w for w in words.split() if 6 <= len(w) <= 16}, key=lambda t: (-len(t), t)):
+            k = max(same(t, u) for _, u, *_ in left.values())
+            if k > most:
+                fragment, most = t, k
+        scored = []
+        for b, utr, total, due in left.values():
+            gap, agrees = abs(day - due), int(abs(D(amount) - D(total)) <= 1)
+            if gap > 3:
+                score = D(0)
+            elif fragment:
+                n = len(fragment)
+                score = six(D("0.5") * same(fragment, utr) / n + D("0.3") * (1 - D(edits(fragment, utr[:n])) / n) + D("0.2") * agrees)
+            else:
+                score = six(D("0.6") * agrees + D("0.4") * six(D(3 - gap) / 3))
+            scored.append((-score, b))
+        scored.sort()
+        best, second = -scored[0][0], -scored[1][0] if len(scored) > 1 else None
+        clear = best >= (D("0.85") if fragment else D("0.90")) and best - (second or 0) >= D("0.15")
+        outcome = "ABSTAINED" if best <= 0 or best == second else "ACCEPTED" if clear else "AMBIGUOUS"
+        verdicts[c] = (outcome, best, second)
+        if outcome == "ACCEPTED":
+            links[c] = scored[0][1]
+            del left[scored[0][1]]
     return links, verdicts
 
 
 def test_fuzzy_verdicts(spark):
     utr = "ABCDEF123456"
     links, verdicts = fuzzy(spark, [("B1", utr, "100.00", 0), ("B2", "XYZXYZ999999", "250.00", 20)], [("C1", f"NEFT {utr}", "100.00", 0), ("C2", "NEFT QQQQQQQQ", "7.00", 0), ("C3", "IMPS", "250.50", 20), ("C4", utr, "100.00", 60)])
-    assert verdicts["C1"] == ("ACCEPTED", D("1.000000")) and links["C1"] == "B1"
-    assert verdicts["C2"][0] == "AMBIGUOUS" and "C2" not in links
-    assert verdicts["C3"] == ("ACCEPTED", D("1.000000")) and links["C3"] == "B2"
-    assert verdicts["C4"] == ("AMBIGUOUS", None) and "C4" not in links
+    assert verdicts["C1"] == ("ACCEPTED", D("1.000000"), 0) and links["C1"] == "B1"
+    assert verdicts["C2"] == ("ABSTAINED", 0, None)  # the one batch that is left lies beyond the window
+    assert verdicts["C3"] == ("ACCEPTED", D("1.000000"), None) and links["C3"] == "B2"
+    assert "C4" not in verdicts  # no batch is left
 
 
 def test_equal_candidates_abstain_and_batches_leave(spark):
@@ -68,8 +114,43 @@ def test_equal_candidates_abstain_and_batches_leave(spark):
     links, verdicts = fuzzy(spark, twins, [("C1", "IMPS", "100.00", 0)])
     assert verdicts["C1"][0] == "ABSTAINED" and links == {}
     # The first credit names one of them; then only the other is left for the second credit.
-    links, _ = fuzzy(spark, twins, [("C1", "AAAAAA0", "100.00", 0), ("C2", "IMPS", "100.00", 0)])
-    assert links == {"C1": "B1", "C2": "B2"}
+    links, verdicts = fuzzy(spark, twins, [("C1", "AAAAAA0", "100.00", 0), ("C2", "IMPS", "100.00", 0)])
+    assert links == {"C1": "B1", "C2": "B2"} and verdicts["C2"] == ("ACCEPTED", 1, None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fuzzy_pass_is_that_of_a_loop(spark, seed):
+    """Few references, amounts and days, so that credits compete and chains form."""
+    rng = random.Random(seed)
+    utrs = ["ABCDEF1234567890", "ABCDEF12345699", "ABCDEFG7777777", "ZZZZZZ000000", "ABCXYZ123456"]
+    batches = [(f"B{i:02}", rng.choice(utrs)[: rng.choice([12, 16])], f"{rng.choice([100, 101, 200])}.00", rng.randrange(8)) for i in range(14)]
+    credits = [(f"C{i:02}", rng.choice(["IMPS", "PAY", "NEFT " + rng.choice(utrs)[: rng.choice([6, 8, 11, 16])]]), f"{rng.choice([100, 102, 200])}.50", rng.randrange(8)) for i in range(20)]
+    assert fuzzy(spark, batches, credits) == loop_fuzzy(batches, credits)
+
+
+def test_nearest_batches_are_those_of_all(spark):
+    rng = random.Random(4)
+    day = lambda: date(2026, 9, 1) + timedelta(rng.randrange(30))
+    batches = [(f"B{i:03}", D(rng.choice([10, 10, 11, 500, 10**9, rng.randrange(3000)])), day()) for i in range(300)]
+    credits = [(f"C{i:02}", D(rng.choice([10, 600, 10**8, rng.randrange(3000)])), day()) for i in range(40)]
+    got = B.nearest_batches(spark.createDataFrame(credits, "bank_txn_id string, amount decimal(18,2), value_date date"), spark.createDataFrame(batches, "batch_id string, net_total decimal(18,2), settled_event_date date")).collect()
+    want = {(c, b[0], k + 1) for c, a, d in credits for k, b in enumerate(sorted(batches, key=lambda b: (abs(b[1] - a), abs((d - b[2]).days), b[0]))[:20])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_naive_links_are_greedy(spark):
+    rng = random.Random(6)
+    day = lambda n: date(2026, 9, 1) + timedelta(n)
+    batches = [(f"B{i:02}", D(rng.choice([100, 101, 300])), day(rng.randrange(12))) for i in range(30)]
+    credits = [(f"C{i:02}", D(rng.choice([100, 101, 300])), day(rng.randrange(14))) for i in range(35)]
+    free, want = dict((c, (a, d)) for c, a, d in credits if d <= day(10)), {}
+    for b, total, settled in batches:
+        near = sorted((abs((d - settled).days), abs(a - total), c) for c, (a, d) in free.items() if abs(a - total) <= 1 and abs((d - settled).days) <= 5)
+        if near:
+            want[b] = near[0][2]
+            del free[near[0][2]]
+    got = B.naive_links(spark.createDataFrame(batches, "batch_id string, net_total decimal(18,2), settled_event_date date"), spark.createDataFrame(credits, "bank_txn_id string, amount decimal(18,2), value_date date"), F.lit(day(10)))
+    assert {r.batch_id: r.bank_txn_id for r in got.collect()} == want
 
 
 @pytest.fixture(scope="module")
