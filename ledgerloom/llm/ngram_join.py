@@ -12,10 +12,11 @@ filters of all orders are intersected before any set moves.
 Documents with equal sets are one class. Links are found in two steps, so
 that a large group of near copies never becomes all its pairs:
 
-1. Classes that agree in several least hashes with the first class of their
-   slot are held against that one; the links give components. Groups of a
-   prefix token that are still large are held against one of their members,
-   a few times.
+1. Classes with the same least hash are a slot. Those that agree with the
+   leader of a slot in several least hashes are held against it: first with
+   the class whose least hashes are the most common ones, then, where a slot
+   still has several components, with others. The links give components.
+   Groups of a prefix token that are still large are treated alike.
 2. All candidates whose classes are in different components yet are
    verified. As these are all pairs that may still link, no link between
    components is lost.
@@ -40,12 +41,12 @@ from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, forget,
 
 WORDS = 5
 ORDERS = 3
-#: Least hashes of a set, and how many of them two classes share for step 1 to hold them against each other.
-MINIMA, AGREE = 6, 3
+#: Least hashes of a set, how many of them two classes share for step 1 to hold them against each other, and how often slots get a leader.
+MINIMA, AGREE, LEADERS = 6, 3, 4
 #: Entries of the table of common tokens that is broadcast: the most common ones, down to a number of documents that lets so many in.
 COMMON_TOKENS = 1 << 20
 #: Tokens that are counted together in one group, and tokens that a task gathers before it deals them out.
-PART_TOKENS, HELD_TOKENS = 400_000, 2_000_000
+PART_TOKENS, HELD_TOKENS = 400_000, 1_000_000
 #: Sets that are held against one set in one group.
 BLOCK = 128
 #: Classes of a prefix token beyond which one of them is held against the rest first, and how often.
@@ -260,11 +261,26 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
     return out
 
 
-def against_first(members: DataFrame, by: list[str], salt: int) -> DataFrame:
-    """a and b: the first class of each group (in an order that depends on salt) with each other one. members: by, key, comp; only classes of other components count."""
-    first = F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("h"), F.col("key").alias("a"), F.col("comp").alias("comp_a")))
-    first = keep(members.groupBy(*by).agg(first.alias("f")).select(*by, "f.a", "f.comp_a"))
-    return members.join(first, by).where("comp <> comp_a").select("a", F.col("key").alias("b"))
+def against_leader(members: DataFrame, by: list[str], order: Column, *carried: str) -> DataFrame:
+    """The leader of each group (the last in order) with each member of another component: a, b, and the columns of carried for both. members: by, key, comp, carried."""
+    taken = ["key", "comp", *carried]
+    leader = keep(members.groupBy(*by).agg(F.max(F.struct(order.alias("o"), *taken)).alias("l")).select(*by, *[F.col(f"l.{c}").alias(f"{c}_a") for c in taken]))
+    pairs = members.join(leader, by).where("comp <> comp_a")
+    return pairs.select(F.col("key_a").alias("a"), F.col("key").alias("b"), *[x for c in carried for x in (F.col(f"{c}_a"), F.col(c).alias(f"{c}_b"))])
+
+
+def several_components(members: DataFrame, by: list[str]) -> DataFrame:
+    mixed = keep(members.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*by))
+    return members.join(mixed, by, "left_semi")
+
+
+def leaders_of(slots: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of a leader and a class of its slot that agree in AGREE least hashes. slots: k, least, key, minima, weight (how common the class's least hashes are)."""
+    members = slots.withColumn("comp", F.col("key")) if comps is None else slots.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    order = F.struct(F.col("weight") if turn == 0 else F.lit(0.0), F.xxhash64("key", F.lit(turn)))
+    pairs = against_leader(several_components(members, ["k", "least"]), ["k", "least"], order, "minima")
+    agree = F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda x: x))
+    return pairs.where(agree >= AGREE).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,23 +336,40 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("minima").alias("minima")))
     total = worded.agg(F.sum("n")).first()[0] or 0
 
-    # Step 1: classes that agree in several least hashes with the first of their slot.
-    slots = classes.select(F.col("key"), F.col("key").alias("comp"), F.posexplode("minima").alias("k", "least"))
-    stars = against_first(slots, ["k", "least"], 0).groupBy("a", "b").count().where(F.col("count") >= AGREE)
-    links.append(verified(stars.select("a", "b"), sets, classes))
-    comps = components_so_far()
+    # Equal sets are counted once: of each class one row is left, and perhaps a few more, which do no harm.
+    representative = spark.sparkContext.broadcast(filter_bits(F.xxhash64("uid"), classes))
+
+    @F.pandas_udf("boolean")
+    def represents(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(np.frombuffer(representative.value, np.uint8), hashes.to_numpy()))
+
+    alone = worded.where(represents(F.xxhash64("uid")))
+
+    # Step 1: classes against the leaders of their slots.
+    exploded = classes.select("key", "minima", F.posexplode("minima").alias("k", "least"))
+    sizes = keep(exploded.groupBy("k", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
+    shared_slots = keep(exploded.join(sizes, ["k", "least"]))
+    weights = keep(shared_slots.groupBy("key").agg(F.sum(F.log2("size")).alias("weight")))
+    slots = keep(shared_slots.join(weights, "key"))
+    comps = None
+    for turn in range(LEADERS):
+        found = verified(leaders_of(slots, comps, turn), sets, classes)
+        links.append(found)
+        if comps is not None and found.isEmpty():
+            break
+        comps = components_so_far()
 
     # Prefix tokens of the first order that stand in different components; then those of the other orders, for classes that have such.
-    shared, bits = shared_tokens(worded, total)
+    shared, bits = shared_tokens(alone, total)
     orders = spark.sparkContext.broadcast(global_orders(shared, bits))
     n_bits = filter_size(shared.count())
     mask = spark.sparkContext.broadcast(filter_bits("number", shared, n_bits))
-    first = between_components(worded.select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1)), PREFIX).distinct(), comps)
+    first = between_components(alone.select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1)), PREFIX).distinct(), comps)
     for salt in range(1, ROUNDS + 1):
         large = keep(first.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("token"))
         if large.isEmpty():
             break
-        links.append(verified(against_first(first.join(large, "token", "left_semi"), ["token"], salt).distinct(), sets, classes))
+        links.append(verified(against_leader(first.join(large, "token", "left_semi"), ["token"], F.xxhash64("key", F.lit(salt))).distinct(), sets, classes))
         comps = components_so_far()
         first = between_components(first.drop("comp"), comps)
 
@@ -349,7 +382,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     def is_candidate(keys: pd.Series) -> pd.Series:
         return pd.Series(passes(np.frombuffer(hashed.value, np.uint8), keys.to_numpy()))
 
-    others = worded.where(is_candidate("key")).select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1, ORDERS)), PREFIX).distinct()
+    others = alone.where(is_candidate("key")).select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1, ORDERS)), PREFIX).distinct()
     others = between_components(others, comps)
     for k in range(1, ORDERS):
         pairs = keep(pairs.join(candidates(others.where(F.col("order") == k)), ["a", "b"], "left_semi"))
