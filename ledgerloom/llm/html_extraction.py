@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, grams, keep, small_batches, table
+from ledgerloom.llm.common import WordHashes, grams, keep, release, small_batches, table
 from ledgerloom.llm.url_filter import host_of
 
 #: Tokens of the substrings that are looked for.
@@ -39,10 +39,14 @@ COPY_SHARE = 0.8
 #: Tokens of a host that one suffix array holds; a host with more in a task gets several.
 ARRAY_TOKENS = 1 << 18
 
-MAIN, CHROME, PLAIN = 0, 1, 2
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+MAIN, CHROME, PLAIN, GONE = 0, 1, 2, 3
+#: What begins with "<": a comment, a declaration, or a tag with its attributes; a quote counts only where a value begins.
+#: Nothing is tried twice (possessive), and where a tag has no end, there is none behind it either, so reading is linear.
+TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|/?([A-Za-z][^\s/>]*+)((?>[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(>|\Z))""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
+#: Elements that are open at once at most; text of deeper ones belongs to these.
+DEPTH = 256
+BLANKS = re.compile(r"[\x20\x09-\x0D\xA0]+")
 #: Elements by what they mean for text.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 HIDDEN = {"head", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "datalist", "dialog"}
@@ -58,51 +62,59 @@ CHROME_NAMES = re.compile(
 )
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:content|main|main-content|maincontent|article|article-body|articlebody|article-content|post-content|post-body|entry-content|story|story-body|page-content)(?:$|\s)", re.I)
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.I)
+#: Names of an element that is nothing but reader comments.
+ONLY_COMMENTS = re.compile(r"(?:^|\s)(?:comments?|comment-list|commentlist|comments-area|disqus_thread|respond)(?:$|\s)", re.I)
+HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:$|[\s/])", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+NOTHING, P = frozenset(), frozenset({"p"})
 #: An open element of these names ends where the next of its kind begins, or where a parent ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
 def _kind(tag: str, attributes: str, parent: int, in_main: bool) -> int:
-    if parent == CHROME or tag in CHROME_TAGS:
-        return CHROME
+    """The kind of an element. An article or main element is text even in a wrapper that looks like chrome, as a form around the whole page, unless itself or a wrapper is hidden or holds comments."""
+    if parent == GONE:
+        return GONE
     role = name = ""
     if "=" in attributes:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        role, name = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}"
-        if role in CHROME_ROLES or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-            return CHROME
-    if re.search(r"(?:^|\s)hidden(?:$|\s)", ATTRIBUTE.sub("", attributes)):
-        return CHROME
-    if tag not in ("html", "body") and tag not in MAIN_TAGS and name.strip() and CHROME_NAMES.search(name):
+        role, name = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}".strip()
+        if found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+            return GONE
+    if HIDDEN_NAME.search(ATTRIBUTE.sub("", attributes)):
+        return GONE
+    own = tag not in ("html", "body") and name
+    if tag in MAIN_TAGS or role == "main":
+        return GONE if own and COMMENT_NAMES.search(name) else parent if parent == CHROME and in_main else MAIN
+    if own and ONLY_COMMENTS.search(name):
+        return GONE
+    if parent == CHROME or tag in CHROME_TAGS or role in CHROME_ROLES or (own and CHROME_NAMES.search(name)):
         return CHROME
-    if tag in MAIN_TAGS:
-        return CHROME if name.strip() and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", name, re.I) else MAIN
-    if not in_main and (tag == "header" or (tag not in ("html", "body") and name.strip() and HEADER_NAMES.search(name))):
+    if not in_main and (tag == "header" or (own and HEADER_NAMES.search(name))):
         return CHROME  # in an article, a header holds its title
-    if role == "main" or (name.strip() and MAIN_NAMES.search(name)):
-        return MAIN
-    return parent
+    return MAIN if own and MAIN_NAMES.search(name) else parent
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the blocks that have text, in order."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # element, kind, hidden
-    kind, hidden, at, held = PLAIN, False, 0, []
+def blocks(page: str) -> list[tuple[int, str, bool]]:
+    """(kind, text, whether it is a first heading) of the blocks that have text, in order."""
+    out: list[tuple[int, str, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = []  # element, kind, hidden, whether in a main element
+    kind, hidden, in_main, heading, at, held = PLAIN, False, False, False, 0, []
 
     def end_block() -> None:
         nonlocal held
         if held:
             text = BLANKS.sub(" ", html.unescape("".join(held))).strip(" ")
             if text:
-                out.append((kind, text))
+                out.append((kind, text, heading))
             held = []
 
     def pop_to(depth: int) -> None:
-        nonlocal kind, hidden
+        nonlocal kind, hidden, in_main
         del stack[depth:]
-        kind, hidden = (stack[-1][1], stack[-1][2]) if stack else (PLAIN, False)
+        kind, hidden, in_main = stack[-1][1:] if stack else (PLAIN, False, False)
 
     while m := TOKEN.search(page, at):
         if not hidden and m.start() > at:
@@ -110,9 +122,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
         at = m.end()
         if m[1] is None:
             continue
-        tag, closing = m[1].lower(), m[0][1] == "/"
+        if not m[3]:
+            break  # the page ends within a tag
+        tag, closing = m[1].lower(), page[m.start() + 1] == "/"
         if tag not in INLINE:
             end_block()
+            heading = tag == "h1" and not closing
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -124,37 +139,40 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     break  # an inline end tag doesn't end blocks
             continue
         if tag in RAW:
-            ended = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            ended = RAW_END[tag].search(page, at)
             at = ended.end() if ended else len(page)
             continue
         if tag in VOID:
             continue
-        ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        if ends:
+        if ends := CLOSES.get(tag, NOTHING) | (P if tag in ENDS_P else NOTHING):
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in ends:
                     pop_to(depth)
                     break
                 if stack[depth][0] not in INLINE:
                     break
-        new = _kind(tag, m[2], kind, any(x[1] == MAIN for x in stack))
+        new = _kind(tag, m[2], kind, in_main)
         if new != kind:
             end_block()
-        if not m[0].endswith("/>") or tag not in ("svg", "math"):
-            stack.append((tag, new, hidden or tag in HIDDEN))
-            kind, hidden = new, stack[-1][2]
-    if not hidden:
-        held.append(page[at:])
+        if len(stack) < DEPTH and (not m[2].endswith("/") or tag not in ("svg", "math")):
+            stack.append((tag, new, hidden or tag in HIDDEN, in_main or new == MAIN))
+            kind, hidden, in_main = stack[-1][1:]
+    else:
+        if not hidden:
+            held.append(page[at:])
     end_block()
     return out
 
 
 def read_page(page: str) -> tuple[str | None, list[tuple[int, str]]]:
-    """The text that markup decides on (None if it doesn't) and the blocks outside of it."""
-    found = blocks(page)
-    if any(k == MAIN for k, _ in found):
-        return "\n".join(t for k, t in found if k == MAIN), [b for b in found if b[0] == CHROME]
-    return (None if any(k == PLAIN for k, _ in found) else ""), found
+    """The text that markup decides on (None if it doesn't) and the blocks outside of it. Where the main elements have no first heading, that before them is theirs."""
+    found = [b for b in blocks(page) if b[0] != GONE]
+    if any(k == MAIN for k, *_ in found):
+        first = next(i for i, b in enumerate(found) if b[0] == MAIN)
+        titled = any(h for k, _, h in found if k == MAIN)
+        title = [] if titled else [t for k, t, h in found[:first] if k == PLAIN and h][-1:]
+        return "\n".join(title + [t for k, t, _ in found if k == MAIN]), [(k, t) for k, t, _ in found if k == CHROME]
+    return (None if any(k == PLAIN for k, *_ in found) else ""), [(k, t) for k, t, _ in found]
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -254,13 +272,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
-    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.Series([read_page(x)[0] for x in part], dtype=object)
+            texts = [read_page(x)[0] for x in part]
+            yield pd.DataFrame({"text": texts, "left": [x if t is None else None for t, x in zip(texts, part, strict=True)]}, dtype=object)
+        release()
 
-    decided = rows.withColumn("text", F.pandas_udf(decide, "string")("html"))
+    read = F.pandas_udf(decide, "text string, left string")("html")
+    decided = keep(rows.withColumn("r", read).select("page_id", "url", "host", "r.text", F.col("r.left").alias("html")))  # pages are read once; html is kept where it is needed again
     done = decided.where("text is not null").select("page_id", "url", "text")
-    open_ = keep(decided.where("text is null").select("page_id", "url", "host", "html"))  # most pages are decided, and all are read once for it
+    open_ = decided.where("text is null").select("page_id", "url", "host", "html")
 
     hosts = open_.select("host").distinct()
     streams = rows.join(hosts, "host", "left_semi").dropDuplicates(["host", "html"])

@@ -19,7 +19,7 @@ def test_article_is_kept_whole():
     line &lt;b&gt; &#233;&#x41;</p><ul><li>one<li>two</ul><aside>side</aside><form><input>send</form><table><tr><td>c1<td>c2</table>
     <div class="comments"><p>reader</p></div><p hidden>no</p><p>a <i>b</i><a href="x>y">c</a></p></main>
     <section class="comments">more</section><footer>foot</footer></body>"""
-    assert text(page) == "Head & tail\xa0x\nBold.\nSecond line <b> éA\none\ntwo\nc1\nc2\na bc"
+    assert text(page) == "Head & tail x\nBold.\nSecond line <b> éA\none\ntwo\nc1\nc2\na bc"
 
 
 def test_broken_markup():
@@ -63,3 +63,29 @@ def test_undecided_blocks(spark, monkeypatch):
     assert all(got[100 + i] == [f"{top}\n{own[i]}"] for i in range(5))
     assert got[201] == got[202] == [""] and got[None] == [f"{top} x"]
     assert M.main_text(frame.limit(0)).count() == 0
+
+
+def test_an_article_in_a_wrapper_like_chrome_is_kept():
+    for wrapper in ("<form id='aspnetForm'>", "<div class='layout no-sidebar'>", "<div class='post with-comments'>", "<div class='search-results'>", "<section class='has-footer'>"):
+        for tag in ("article", "main"):
+            assert text(f"<body>{wrapper}<nav>menu</nav><{tag}><p>a</p><form>f</form><aside>s</aside></{tag}><footer>foot</footer>") == "a", (wrapper, tag)
+    assert text("<div class='comments'><article>reader</article></div><article>yes</article>") == "yes"
+    assert text("<div hidden><article>no</article></div><article>yes</article>") == "yes"
+    assert text("<main>a<aside><article>teaser</article></aside></main>") == "a"
+
+
+def test_titles_and_quotes():
+    assert text("<h1>Title</h1><article><p>a</p></article>") == "Title\na"
+    assert text("<h1>Site</h1><article><h1>Title</h1><p>a</p></article>") == "Title\na"
+    assert text("<article><p title=it's>a</p><p title='x>y' class=\"b'c\">b</p></article>") == "a\nb"
+    assert text("<article>a&nbsp;&nbsp;b \xa0 c</article>") == "a b c"
+    assert text("<article>a <b unfinished") == "a"
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    for part in ("<a ", "<div>", "<b><p>", "<!--", "<a x=\"", "<a x='\"", "<script>", "</p>", "<p title=", "&amp", "<![CDATA[", "<li><b>", "< "):
+        began = time.process_time()
+        text("<article>x</article>" + part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 30, part
