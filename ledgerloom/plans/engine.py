@@ -16,6 +16,8 @@ class Engine:
     def __init__(self, tables, days: DataFrame, rates: DataFrame, cycles: DataFrame, gst: str, as_of: str):
         """tables: ledger, payments, refunds, lines, batches and bank by name."""
         self.ledger, self.payments, self.refunds, self.lines, self.batches, self.bank = (tables[t] for t in ("ledger", "payments", "refunds", "lines", "batches", "bank"))
+        #: Labels by name, where there are some: true_cases, true_links and true_rows.
+        self.labels = None
         self.days, self.rates, self.cycles, self.gst, self.as_of = days, rates, cycles, gst, as_of
 
     @cached_property
@@ -46,4 +48,6 @@ class Engine:
 def over_lens(spark: SparkSession, sf_dir: str) -> Engine:
     views = L.Lens(spark, sf_dir)
     days = calendar.calendar(spark, L.FIRST_DAY, L.LAST_DAY, L.HOLIDAYS)
-    return Engine(views, days, views["rates"], views["cycles"], L.GST, L.AS_OF)
+    engine = Engine(views, days, views["rates"], views["cycles"], L.GST, L.AS_OF)
+    engine.labels = views
+    return engine

@@ -114,6 +114,18 @@ class Dialect:
                 FROM credits WHERE rn % 20 <> 5
                 UNION ALL SELECT 'BNK_O' || upper(substr({self.sha("'orphan|' || batch_id")}, 1, 11)), due, cast(98765432.10 + rn * 10 AS decimal(18,2)), 'NEFT UNKNOWN PARTY', 'credit' FROM credits WHERE rn % 40 = 9
                 UNION ALL SELECT 'BNK_D' || upper(substr({self.sha("'debit|' || batch_id")}, 1, 11)), due, net_total, 'NEFT/' || utr || '/CHARGES', 'debit' FROM credits WHERE rn % 30 = 10""",
+            # What the noise above is, as labels would say it.
+            "true_links": f"""
+                SELECT batch_id, CASE WHEN rn % 20 <> 5 THEN 'BNK_' || upper(substr({self.sha("'bank|' || batch_id")}, 1, 12)) END AS bank_txn_id,
+                       CASE rn % 20 WHEN 1 THEN 'UTR_TRUNCATED_MAPPING' WHEN 2 THEN 'UTR_MISSING_MAPPING' WHEN 3 THEN 'ROUNDING_DIFFERENCE' WHEN 5 THEN 'MISSING_VS_LATE_CREDIT' WHEN 6 THEN 'UTR_TRUNCATED_MAPPING' WHEN 7 THEN 'UNEXPLAINED' END AS true_category
+                FROM credits""",
+            "true_cases": f"""
+                SELECT substr({self.sha("'case|' || payment_id")}, 1, 16) AS case_id, order_id, CASE WHEN k % 50 = 7 THEN 'PARTIAL_CAPTURE' WHEN k % 179 = 9 AND k % 89 <> 11 THEN 'UNEXPLAINED' WHEN k % 101 = 0 THEN 'DUPLICATE_CANDIDATE'
+                       WHEN k % 173 = 5 AND k % 89 <> 11 THEN 'ROUNDING_DIFFERENCE' WHEN k % 67 = 5 AND k % 89 <> 11 THEN 'T_PLUS_N_TIMING' END AS true_category
+                FROM charges""",
+            "true_rows": f"""
+                SELECT 'ORD_' || tail AS row_id, 'DUPLICATE_CONFIRMED' AS true_category FROM orders_once WHERE k % 97 = 0
+                UNION ALL SELECT 'BNK_O' || upper(substr({self.sha("'orphan|' || batch_id")}, 1, 11)), 'UNEXPLAINED' FROM credits WHERE rn % 40 = 9""",
         }
 
 
