@@ -212,12 +212,15 @@ def _groups(rows: Suffixes, ends: list[Suffixes]) -> Iterator[pa.RecordBatch]:
     begin, end, code = begin[code >= 0], end[code >= 0], code[code >= 0]
     row, least, most = begin // SPAN, begin % SPAN, (end - 1) % SPAN
     other, earlier = code // 2, code % 2 == 1
-    start, end, ids = rows.at[row] - most, rows.at[row] - least + PASSAGE, rows.doc_id.take(pa.array(other))
+    start, end = rows.at[row] - most, rows.at[row] - least + PASSAGE
     # Where the other place is in the same text and overlaps, only what lies behind that place counts as later.
     behind = rows.at[other] - least + PASSAGE
     over = earlier & (rows.uid[row] == rows.uid[other]) & (behind > start)
-    yield of(row, start, end, ids, earlier & ~over)
-    yield of(row[over], np.maximum(start, behind)[over], end[over], ids.take(pa.array(np.flatnonzero(over))), np.ones(int(over.sum()), bool))
+    row, other = np.append(row, row[over]), np.append(other, other[over])
+    start, end, earlier = np.append(start, np.maximum(start, behind)[over]), np.append(end, end[over]), np.append(earlier & ~over, np.ones(int(over.sum()), bool))
+    # What overlaps in a text is one match from here on, with one of the other places: a text of one word again and again has many.
+    begins, start, end = _islands(rows.uid[row], earlier, start, end)
+    yield of(row[begins], start, end, rows.doc_id.take(pa.array(other[begins])), earlier[begins])
 
     before, row = np.nonzero(edge & is_first & (n > 0))
     start, several = rows.at[row] - before, n[before, row]
@@ -225,8 +228,20 @@ def _groups(rows: Suffixes, ends: list[Suffixes]) -> Iterator[pa.RecordBatch]:
     yield of(row, start, start + PASSAGE, following, np.zeros(len(row), bool), pa.array(keys[before, row].astype(np.int64)), pa.array(several.astype(np.int64)))
 
 
+def _islands(uid: np.ndarray, earlier: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the same uid and kind that overlap or touch as one: the number of a span in each, its start and its end."""
+    if not len(uid):
+        return np.array([], np.int64), start, end
+    order = np.lexsort((start, earlier, uid))
+    uid, earlier, start, end = uid[order], earlier[order], start[order], end[order]
+    group = np.cumsum(np.append(True, (uid[1:] != uid[:-1]) | (earlier[1:] != earlier[:-1]))).astype(np.int64) << 32
+    reach = np.maximum.accumulate(group + end)  # starts anew with each group, as its numbers are larger
+    begins = np.flatnonzero(np.append(True, group[1:] + start[1:] > reach[:-1]))
+    return order[begins], start[begins], np.maximum.reduceat(end, begins)
+
+
 def matches(docs: DataFrame) -> DataFrame:
-    """MATCH for each place of a window of PASSAGE words that stands in two places or more."""
+    """MATCH for the places of all windows of PASSAGE words that stand in two places or more; those of one head that overlap in a text come as one."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
@@ -294,9 +309,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     words, counted in words), cut_spans (the words of each window of PASSAGE
     words that stands at an earlier place too, in order of uid and place; where
     both places overlap in one text, only what lies behind the earlier one),
-    other_ids (for each window the document of an earlier place, or for the
-    earliest place that of a later one; of a window that is in several slices
-    of the array, it is a place of the same slice where there is one). Words
+    other_ids (documents that share the passages: for the windows around a head
+    one of an earlier place, or for the earliest place one of a later). Words
     are runs without the six ASCII blanks.
 
     Null texts equal the empty text; texts of fewer than PASSAGE words are
