@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import money, profile_of, stable_id
@@ -13,8 +13,9 @@ TOLERANCE = "1.00"
 
 def last_ledger_row(ledger: DataFrame) -> DataFrame:
     """One row of each order: the last one in the order of its fields as text."""
-    order = Window.partitionBy("order_id").orderBy(*[F.col(c).cast("string").desc() for c in duplicates.FIELDS[1:]])
-    return ledger.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    rest = [c for c in ledger.columns if c != "order_id"]
+    last = F.max_by(F.struct(*rest), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in duplicates.FIELDS[1:]]))
+    return ledger.groupBy("order_id").agg(last.alias("last")).select("order_id", "last.*")
 
 
 def payment_links(lines: DataFrame, payments: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ def confirmed(ledger: DataFrame) -> DataFrame:
 
 def candidates(ledger: DataFrame) -> DataFrame:
     """Different orders of one customer over one amount, without orders that have confirmed copies: customer_id, gross, order_ids."""
-    rest = ledger.join(confirmed(ledger).select("order_id").distinct(), "order_id", "left_anti")
-    return rest.groupBy("customer_id", "gross").agg(F.sort_array(F.collect_set("order_id")).alias("order_ids")).where(F.size("order_ids") >= 2)
+    distinct = ledger.repartition("order_id").groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n"))  # both aggregates stay where the orders are
+    once = distinct.groupBy("order_id").agg(F.max("n").alias("most"), F.collect_set(F.struct("customer_id", "gross")).alias("sales")).where("most = 1")
+    return once.select("order_id", F.inline("sales")).groupBy("customer_id", "gross").agg(F.sort_array(F.collect_set("order_id")).alias("order_ids")).where(F.size("order_ids") >= 2)
 
 
 def classified(ledger: DataFrame) -> DataFrame:
