@@ -42,7 +42,7 @@ from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, forget,
 WORDS = 5
 ORDERS = 3
 #: Least hashes of a set, how many of them two classes share for step 1 to hold them against each other, and how often slots get a leader.
-MINIMA, AGREE, LEADERS = 6, 3, 4
+MINIMA, AGREE, LEADERS = 6, 3, 3
 #: Entries of the table of common tokens that is broadcast: the most common ones, down to a number of documents that lets so many in.
 COMMON_TOKENS = 1 << 20
 #: Tokens that are counted together in one group, and tokens that a task gathers before it deals them out.
@@ -74,10 +74,11 @@ def _set(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-def _once(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
-    """(key, set) of rows with columns key and tokens; copies in the same task come once."""
-    seen: set[int] = set()
+def _once(batches: Iterator[pd.DataFrame], mask) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, set) of rows (h, key, tokens) whose hash h may be in the filter mask; copies in the same task come once."""
+    bits, seen = np.frombuffer(mask.value, np.uint8), set()
     for rows in batches:
+        rows = rows[passes(bits, rows["h"].to_numpy())]
         for key, blob in zip(rows["key"], rows["tokens"], strict=True):
             if key not in seen:
                 if len(seen) > 200_000:
@@ -124,8 +125,8 @@ def numbers(tokens: np.ndarray, bits: int) -> np.ndarray:
     return mix64(tokens, 60) >> np.uint64(24 - bits)
 
 
-def _dealt(bits: int):
-    """For a mapInPandas: the tokens of a task with how often they come, dealt into parts."""
+def _dealt(bits: int, mask):
+    """For a mapInPandas over rows that ``_once`` takes: the tokens of a task with how often they come, dealt into parts."""
 
     def flush(held: list[np.ndarray]) -> pd.DataFrame:
         number, n = np.unique(numbers(np.concatenate(held), bits), return_counts=True)
@@ -137,7 +138,7 @@ def _dealt(bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
-        for _, tokens in _once(batches):
+        for _, tokens in _once(batches, mask):
             held.append(tokens)
             size += len(tokens)
             if size > HELD_TOKENS:
@@ -166,10 +167,10 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"number": number.astype(np.int64), "n": total[several]})
 
 
-def shared_tokens(sets: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """number and n of each token that comes in two sets or more, counted over all sets; and the bits of parts."""
+def shared_tokens(sets: DataFrame, total: int, mask) -> tuple[DataFrame, int]:
+    """number and n of each token that comes in two sets or more, counted over all sets (h, key, tokens) that mask lets through; and the bits of parts."""
     bits = min(23, max(0, math.ceil(math.log2(max(1, total / PART_TOKENS)))))
-    dealt = sets.select("key", "tokens").mapInPandas(_dealt(bits), "part long, codes binary, n binary")
+    dealt = sets.mapInPandas(_dealt(bits, mask), "part long, codes binary, n binary")
     return keep(dealt.groupBy("part").applyInPandas(_added, "number long, n long")), bits
 
 
@@ -187,17 +188,17 @@ def global_orders(shared: DataFrame, bits: int) -> Orders:
     return Orders(bits, number[order], levels[order])
 
 
-def _prefix_rows(orders, mask, n_bits: int, which: range):
-    """For a mapInPandas: order, token, key, n and at (the place in the prefix) of prefix tokens that may be in two sets or more."""
+def _prefix_rows(orders, shared, n_bits: int, which: range, mask):
+    """For a mapInPandas over rows that ``_once`` takes: order, token, key, n and at (the place in the prefix) of prefix tokens that may be in two sets or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        o, bits, held = orders.value, np.frombuffer(mask.value, np.uint8), []
+        o, bits, held = orders.value, np.frombuffer(shared.value, np.uint8), []
 
         def flush() -> pd.DataFrame:
             order, token, key, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
             return pd.DataFrame({"order": order, "token": token.view(np.int64), "key": key, "n": n, "at": at})
 
-        for key, tokens in _once(batches):
+        for key, tokens in _once(batches, mask):
             for k, prefix in zip(which, o.prefixes(tokens, which), strict=True):
                 at = np.flatnonzero(passes(bits, numbers(prefix, o.bits), n_bits))
                 held.append((np.full(len(at), k, np.int32), prefix[at], np.full(len(at), key, np.int64), np.full(len(at), len(tokens), np.int32), at.astype(np.int32)))
@@ -335,16 +336,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     worded = sets.where("n > 0")
     classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("minima").alias("minima")))
     total = worded.agg(F.sum("n")).first()[0] or 0
+    without = sets.where("n = 0").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    if not total:
+        return without
 
     # Equal sets are counted once: of each class one row is left, and perhaps a few more, which do no harm.
+    by_row = lambda frame: frame.select(F.xxhash64("uid").alias("h"), "key", "tokens")
     representative = spark.sparkContext.broadcast(filter_bits(F.xxhash64("uid"), classes))
 
-    @F.pandas_udf("boolean")
-    def represents(hashes: pd.Series) -> pd.Series:
-        return pd.Series(passes(np.frombuffer(representative.value, np.uint8), hashes.to_numpy()))
-
-    alone = worded.where(represents(F.xxhash64("uid")))
-
     # Step 1: classes against the leaders of their slots.
     exploded = classes.select("key", "minima", F.posexplode("minima").alias("k", "least"))
     sizes = keep(exploded.groupBy("k", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
@@ -360,11 +359,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         comps = components_so_far()
 
     # Prefix tokens of the first order that stand in different components; then those of the other orders, for classes that have such.
-    shared, bits = shared_tokens(alone, total)
+    shared, bits = shared_tokens(by_row(worded), total, representative)
     orders = spark.sparkContext.broadcast(global_orders(shared, bits))
     n_bits = filter_size(shared.count())
-    mask = spark.sparkContext.broadcast(filter_bits("number", shared, n_bits))
-    first = between_components(alone.select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1)), PREFIX).distinct(), comps)
+    several = spark.sparkContext.broadcast(filter_bits("number", shared, n_bits))
+    first = between_components(by_row(worded).mapInPandas(_prefix_rows(orders, several, n_bits, range(1), representative), PREFIX).distinct(), comps)
     for salt in range(1, ROUNDS + 1):
         large = keep(first.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("token"))
         if large.isEmpty():
@@ -376,13 +375,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Step 2: candidates of all orders between components.
     pairs = keep(candidates(first))
     either = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    hashed = spark.sparkContext.broadcast(filter_bits("key", either))
-
-    @F.pandas_udf("boolean")
-    def is_candidate(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(np.frombuffer(hashed.value, np.uint8), keys.to_numpy()))
-
-    others = alone.where(is_candidate("key")).select("key", "tokens").mapInPandas(_prefix_rows(orders, mask, n_bits, range(1, ORDERS)), PREFIX).distinct()
+    paired = spark.sparkContext.broadcast(filter_bits("key", either))
+    others = worded.select(F.col("key").alias("h"), "key", "tokens").mapInPandas(_prefix_rows(orders, several, n_bits, range(1, ORDERS), paired), PREFIX).distinct()
     others = between_components(others, comps)
     for k in range(1, ORDERS):
         pairs = keep(pairs.join(candidates(others.where(F.col("order") == k)), ["a", "b"], "left_semi"))
@@ -393,7 +387,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     least = keep(found.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     labels = keep(found.join(least, "comp").select("key", "component_id", "comp"))
     out = worded.select("doc_id", "text_key", "key", F.col("n").cast("long").alias("n_shingles")).join(labels, "key").drop("key")
-    return out.unionByName(sets.where("n = 0").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
+    return out.unionByName(without)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -88,8 +88,9 @@ def test_tokens_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(M, "PART_TOKENS", 50)
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 900, 60).astype(np.uint64)) for _ in range(50)]
-    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "key long, tokens binary").repartition(3)
-    shared, bits = M.shared_tokens(frame, sum(map(len, sets)))
+    frame = spark.createDataFrame([(i, i, s.tobytes()) for i, s in enumerate(sets)], "h long, key long, tokens binary").repartition(3)
+    everything = spark.sparkContext.broadcast(M.filter_bits("h", frame))
+    shared, bits = M.shared_tokens(frame, sum(map(len, sets)), everything)
     token, n = np.unique(np.concatenate(sets), return_counts=True)
     assert bits > 0
     assert {r.number: r.n for r in shared.collect()} == dict(zip(M.numbers(token[n > 1], bits).tolist(), n[n > 1].tolist(), strict=True))
