@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import rate, stable_id
 from ledgerloom.operators import calendar, cases, duplicates
+from ledgerloom.operators.stage import shared_path
 from ledgerloom.plans.engine import over_lens
 from ledgerloom.plans.lens import GST, oracle
+from ledgerloom.sources import settlement_csv
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,18 +60,34 @@ outcomes AS (
 """
 
 
-@query("SELECT order_id, invoice_no, gross, order_date, customer_id, sku FROM ledger")
+#: Of each table the date by whose year its rows are delivered, in files of three days.
+DATED = {"ledger": "order_date", "payments": "captured_at", "refunds": "created_at", "lines": "settled_event_date", "batches": "settled_event_date", "bank": "value_date"}
+
+
+def delivered(e, table: str):
+    """A table written as daily CSV files and read again."""
+    spark, folder = e.ledger.sparkSession, shared_path(e.ledger.sparkSession, "deliveries")
+    settlement_csv.write(getattr(e, table).withColumn("arrival_day", F.year(DATED[table]) % 3 + 1), folder, table)
+    return settlement_csv.load(spark, folder, table)
+
+
+@query("SELECT order_id, invoice_no, gross, order_date, customer_id, sku, cast(year(order_date) % 3 + 1 AS int) AS arrival_day FROM ledger")
 def s_typed_ledger(e):
-    return e.ledger
+    return delivered(e, "ledger")
+
+
+@query("SELECT 'lines' AS tab, cast(year(settled_event_date) % 3 + 1 AS int) AS arrival_day, count(*) AS n, cast(sum(net) AS decimal(28,2)) AS total FROM lines GROUP BY 2 UNION ALL SELECT 'bank', cast(year(value_date) % 3 + 1 AS int), count(*), cast(sum(amount) AS decimal(28,2)) FROM bank GROUP BY 2")
+def s_delivered_days(e):
+    """Lines and bank rows through their files, by the day they came."""
+    of = lambda t, c: delivered(e, t).groupBy(F.lit(t).alias("tab"), "arrival_day").agg(F.count(F.lit(1)).alias("n"), F.sum(c).cast("decimal(28,2)").alias("total"))
+    return of("lines", "net").unionByName(of("bank", "amount"))
 
 
 @query("SELECT 'ledger' AS tab, count(*) AS n FROM ledger UNION ALL SELECT 'payments', count(*) FROM payments UNION ALL SELECT 'refunds', count(*) FROM refunds UNION ALL SELECT 'lines', count(*) FROM lines UNION ALL SELECT 'batches', count(*) FROM batches UNION ALL SELECT 'bank', count(*) FROM bank")
 def s_row_counts(e):
-    counts = [getattr(e, t).select(F.lit(t).alias("tab")).groupBy("tab").agg(F.count(F.lit(1)).alias("n")) for t in ("ledger", "payments", "refunds", "lines", "batches", "bank")]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Rows of each table's files."""
+    counts = [delivered(e, t).groupBy(F.lit(t).alias("tab")).agg(F.count(F.lit(1)).alias("n")) for t in DATED]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query("SELECT d, working, cast(cum AS bigint) AS cum, next_wd FROM calendar")

@@ -162,4 +162,4 @@ def result_hash(e):
 @query(None)
 def day_replay(e):
     """The lifecycle over three days of deliveries; the last snapshot."""
-    return day_driver.replay(e, 3)
+    return day_driver.replay(e, ("1996-06-30", "1999-06-30", "2001-06-30"))

@@ -1,8 +1,9 @@
 """Daily CSV deliveries, read under strict schemas.
 
-A file is named day{N}_{stem}.csv. Every column is read as text, then typed;
-rows that don't parse are counted by column and refused together. A file
-without rows is an empty table, a missing file is an error.
+A file, or a folder of part files, is named day{N}_{stem}.csv. Every column is
+read as text, then typed; rows that don't parse are counted by column and
+refused together, the first ones with their file, row and value. A file without
+rows is an empty table, a missing file is an error.
 """
 
 from __future__ import annotations
@@ -29,18 +30,17 @@ class IngestError(ValueError):
     pass
 
 
+#: Rows with faults that an error shows.
+SHOWN_FAULTS = 5
+
+
 def raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """All deliveries of a table as text, with arrival_day. A header that differs in name or order is refused."""
+    """All deliveries of a table as text, with arrival_day and the name of the file. A header that differs in name or order is refused when the rows are read."""
     stem, columns = TABLES[table]
     schema = ", ".join(f"{c} string" for c in columns)
-    pattern = f"{folder.rstrip('/')}/day*_{stem}.csv"
-    headers = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace(F.split_part("value", F.lit("\n"), F.lit(1)), "\r$", "").alias("header"))
-    wrong = headers.where(F.col("header") != ",".join(columns)).first()
-    if wrong:
-        raise IngestError(f"{wrong.file}: the header is {wrong.header}")
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nullValue", "\0").option("emptyValue", "").csv(pattern)
-    day = F.regexp_extract(F.col("_metadata.file_name"), r"^day(\d+)_", 1).cast("int")
-    return rows.select(*columns, day.alias("arrival_day"))
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nullValue", "\0").option("emptyValue", "").csv(f"{folder.rstrip('/')}/day*_{stem}.csv")
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"day(\d+)_{stem}\.csv", 0)
+    return rows.select(*columns, F.regexp_extract(name, r"^day(\d+)_", 1).cast("int").alias("arrival_day"), name.alias("file"))
 
 
 def _typed(name: str, kind) -> Column:
@@ -61,7 +61,7 @@ def load(spark: SparkSession, folder: str, table: str, window: tuple[str, str] |
     _, columns = TABLES[table]
     rows = raw(spark, folder, table)
     rows = rows if until_day is None else rows.where(F.col("arrival_day") <= until_day)
-    typed = rows.select(*[_typed(c, k).alias(c) for c, k in columns.items()], "arrival_day", *[F.col(c).alias(f"_{c}") for c in columns])
+    typed = rows.select(*[_typed(c, k).alias(c) for c, k in columns.items()], "arrival_day", "file", *[F.col(c).alias(f"_{c}") for c in columns])
     faults = {f"{c} doesn't parse": F.col(c).isNull() for c, k in columns.items() if k not in ("text", "optional")}
     if window:
         faults |= {f"{c} is outside of the window": ~F.col(c).between(*[F.lit(x).cast("date") for x in window]) for c, k in columns.items() if k == "date"}
@@ -69,23 +69,33 @@ def load(spark: SparkSession, folder: str, table: str, window: tuple[str, str] |
         faults["refund_id doesn't fit line_type"] = (F.col("line_type") == "refund") != F.col("refund_id").isNotNull()
     if table == "refunds":
         faults["amount isn't positive"] = F.col("amount") <= 0
-    found = typed.agg(*[F.count_if(fault).alias(name.replace(".", "_")) for name, fault in faults.items()]).first().asDict()
+    try:
+        found = typed.agg(*[F.count_if(fault).alias(name.replace(".", "_")) for name, fault in faults.items()]).first().asDict()
+    except Exception as e:
+        if "CSV header" in str(e):
+            raise IngestError(f"{table}: the header of a file isn't {','.join(columns)}") from e
+        raise
     if bad := {k: n for k, n in found.items() if n}:
-        raise IngestError(f"{table}: {bad}")
+        which = F.array_compact(F.array(*[F.when(fault, F.lit(name)) for name, fault in faults.items()]))
+        first = typed.select("file", F.array(*[f"_{c}" for c in columns]).alias("row"), which.alias("faults")).where(F.size("faults") > 0).limit(SHOWN_FAULTS).collect()
+        raise IngestError(f"{table}: {bad}; " + "; ".join(f"{r.file}: {','.join(x or '' for x in r.row)}: {', '.join(r.faults)}" for r in first))
     return typed.select(*columns, "arrival_day")
 
 
 def days_in(spark: SparkSession, folder: str, table: str = "batches") -> list[int]:
     """The days that have a file of a table; a folder without any raises."""
-    stem = TABLES[table][0]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"day*_{stem}.csv").load(folder).select("path").distinct()
-    days = sorted(int(re.search(r"day(\d+)_", r.path.rsplit("/", 1)[1])[1]) for r in files.toLocalIterator())
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/day*_{TABLES[table][0]}.csv")
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []
+    days = sorted(int(re.match(r"day(\d+)_", f.getPath().getName())[1]) for f in found)
     if not days:
         raise IngestError(f"{folder} has no deliveries")
     return days
 
 
 def write(frame: DataFrame, folder: str, table: str) -> None:
-    """A table as CSV, a folder for each arrival_day, columns in file order."""
-    columns = list(TABLES[table][1])
-    frame.select(*[F.col(c).cast("string").alias(c) for c in columns], "arrival_day").write.partitionBy("arrival_day").option("header", True).option("emptyValue", "").csv(folder)
+    """A table as the deliveries that ``load`` reads, a folder of part files for each arrival_day (of which a calendar has few), columns in file order."""
+    stem, columns = TABLES[table]
+    for (day,) in frame.select("arrival_day").distinct().orderBy("arrival_day").collect():
+        rows = frame.where(F.col("arrival_day") == day).select(*[F.col(c).cast("string").alias(c) for c in columns])
+        rows.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(f"{folder.rstrip('/')}/day{day}_{stem}.csv")

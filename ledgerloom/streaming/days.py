@@ -16,23 +16,23 @@ from ledgerloom.operators import lifecycle
 from ledgerloom.operators.stage import kept
 
 
-def until(engine, share: float):
-    """The engine over the deliveries up to a day: bank rows and lines arrive in the order of a hash of their ids."""
+def until(engine, day: str):
+    """The engine over what was delivered up to a day, and as of that day: settlement lines, batches and bank rows come with their dates, orders and payments are there from the start."""
     from ledgerloom.plans.engine import Engine
 
-    part = lambda frame, key: frame.where(F.pmod(F.xxhash64(key), F.lit(1000)) < int(1000 * share))
-    tables = {"ledger": engine.ledger, "payments": engine.payments, "refunds": engine.refunds, "lines": engine.lines, "batches": engine.batches, "bank": part(engine.bank, "bank_txn_id")}
-    return Engine(tables, engine.days, engine.rates, engine.cycles, engine.gst, engine.as_of)
+    by = lambda frame, c: frame.where(F.col(c) <= F.lit(day).cast("date"))
+    tables = {"ledger": engine.ledger, "payments": engine.payments, "refunds": engine.refunds, "lines": by(engine.lines, "settled_event_date"), "batches": by(engine.batches, "settled_event_date"), "bank": by(engine.bank, "value_date")}
+    return Engine(tables, engine.days, engine.rates, engine.cycles, engine.gst, day)
 
 
-def replay(engine, n_days: int) -> DataFrame:
-    """The snapshot after n_days, of which the last one has everything."""
+def replay(engine, days: tuple[str, ...]) -> DataFrame:
+    """The snapshot after the last of days, in order."""
     spark = engine.ledger.sparkSession
     state = spark.createDataFrame([], lifecycle.EXCEPTIONS)
-    for day in range(1, n_days + 1):
-        now = until(engine, day / n_days)
+    for number, day in enumerate(days, 1):
+        now = until(engine, day)
         outcomes = kept(lifecycle.outcomes_of(now.cases, now.batch_links, now.row_variances))  # used twice
-        after, _ = lifecycle.advance(state, outcomes, day)
+        after, _ = lifecycle.advance(state, outcomes, number)
         state = kept(after)
     return state.select("exception_id", "population", "subject_id", "status", "category", "amount", "first_seen_day", "confirmed_day")
 

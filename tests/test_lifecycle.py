@@ -1,3 +1,4 @@
+from datetime import date
 from decimal import Decimal as D
 
 import pytest
@@ -88,7 +89,7 @@ def test_csv(spark, tmp_path):
     with pytest.raises(settlement_csv.IngestError, match="outside"):
         settlement_csv.load(spark, str(tmp_path), "refunds", ("2026-09-01", "2026-09-20"))
     write(tmp_path, "day4_refunds.csv", header + "R3,P2,-5,2026-09-12\n")
-    with pytest.raises(settlement_csv.IngestError, match="positive"):
+    with pytest.raises(settlement_csv.IngestError, match=r"day4_refunds.csv: R3,P2,-5,2026-09-12: .*positive"):
         settlement_csv.load(spark, str(tmp_path), "refunds")
     write(tmp_path, "day4_refunds.csv", "refund_id,amount,payment_id,created_at\n")
     with pytest.raises(settlement_csv.IngestError, match="header"):
@@ -97,6 +98,14 @@ def test_csv(spark, tmp_path):
         settlement_csv.load(spark, str(tmp_path), "bank")
 
 
+def test_csv_round_trip(spark, tmp_path):
+    rows = [("S1", "B1", "payment", "P1", None, D("10.00"), D("0.20"), D("0.04"), D("9.76"), date(2026, 9, 1), 1), ("S2", "B1", "refund", "P1", "R1", D("-10.00"), D("0"), D("0"), D("-10.00"), date(2026, 9, 2), 3)]
+    frame = spark.createDataFrame(rows, "settlement_id string, batch_id string, line_type string, payment_id string, refund_id string, gross decimal(18,2), fee decimal(18,2), tax decimal(18,2), net decimal(18,2), settled_event_date date, arrival_day int")
+    settlement_csv.write(frame, str(tmp_path), "lines")
+    assert sorted(map(tuple, settlement_csv.load(spark, str(tmp_path), "lines").collect())) == sorted(rows)
+    assert settlement_csv.days_in(spark, str(tmp_path), "lines") == [1, 3]
+
+
 def test_files_are_ingested_once(spark, tmp_path):
     write(tmp_path, "a.csv", "h\n1\n\n2\n")
     write(tmp_path, "b.csv", "h\n1\n\n2\n")
