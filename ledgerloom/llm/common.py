@@ -70,17 +70,13 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of a filter (8 MB, whatever it is built from). A full filter lets everything through, which costs work and no result.
-FILTER_BITS, MOST_BITS = 1 << 26, 1 << 29
+#: Bits of a filter: so many for each key, within these bounds (64 MB). A full filter lets everything through, which costs work and no result.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 17, 1 << 29
 
 
-def filter_size(n: int) -> int:
-    """Bits for a filter of n hashes: eight each, but 8 MB at least and 64 MB at most."""
-    return min(MOST_BITS, max(FILTER_BITS, 1 << (8 * n).bit_length()))
-
-
-def filter_bits(values: Column | str, frame: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A one-hash Bloom filter over 64-bit hashes, put together by Spark in slices of 4 KB."""
+def filter_bits(values: Column | str, frame: DataFrame, key_bits: int = KEY_BITS) -> bytes:
+    """A one-hash Bloom filter over 64-bit hashes, put together by Spark in slices of 4 KB. frame is counted first, so it should be a kept one."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (key_bits * frame.count()).bit_length()))
     position = F.pmod(F.col(values) if isinstance(values, str) else values, F.lit(bits)) + 1  # bitmap buckets count from 1
     slices = frame.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = bytearray(bits // 8)
@@ -90,9 +86,9 @@ def filter_bits(values: Column | str, frame: DataFrame, bits: int = FILTER_BITS)
     return bytes(out)
 
 
-def passes(bits: np.ndarray, hashes: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """bits: the filter as bytes. Whether each 64-bit hash may be in it."""
-    at = (hashes.astype(np.uint64) & np.uint64(size - 1)).astype(np.int64)  # sizes are powers of two, so the sign makes no difference
+    at = (hashes.astype(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)  # sizes are powers of two, so the sign makes no difference
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 

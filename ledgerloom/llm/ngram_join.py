@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, forget, grams, keep, mix64, one_of_each, passes, release, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, forget, grams, keep, mix64, one_of_each, passes, release, small_batches, table, text_of
 
 WORDS = 5
 ORDERS = 3
@@ -188,7 +188,7 @@ def global_orders(shared: DataFrame, bits: int) -> Orders:
     return Orders(bits, number[order], levels[order])
 
 
-def _prefix_rows(orders, shared, n_bits: int, which: range, mask):
+def _prefix_rows(orders, shared, which: range, mask):
     """For a mapInPandas over rows that ``_once`` takes: order, token, key, n and at (the place in the prefix) of prefix tokens that may be in two sets or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +200,7 @@ def _prefix_rows(orders, shared, n_bits: int, which: range, mask):
 
         for key, tokens in _once(batches, mask):
             for k, prefix in zip(which, o.prefixes(tokens, which), strict=True):
-                at = np.flatnonzero(passes(bits, numbers(prefix, o.bits), n_bits))
+                at = np.flatnonzero(passes(bits, numbers(prefix, o.bits)))
                 held.append((np.full(len(at), k, np.int32), prefix[at], np.full(len(at), key, np.int64), np.full(len(at), len(tokens), np.int32), at.astype(np.int32)))
             if len(held) > 1000:
                 yield flush()
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
     needs = blocks.select("a", "block", F.col("uid_b").alias("uid"), F.lit(1).alias("role")).unionByName(blocks.select("a", "block", F.col("uid_a").alias("uid"), F.lit(0).alias("role")).distinct())
     needs = keep(needs)
     hashed = F.xxhash64("uid")
-    bits = sets.sparkSession.sparkContext.broadcast(filter_bits("hash", needs.select(hashed.alias("hash")).distinct()))
+    bits = sets.sparkSession.sparkContext.broadcast(filter_bits(hashed, needs))
 
     @F.pandas_udf("boolean")
     def needed(hashes: pd.Series) -> pd.Series:
@@ -361,9 +361,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Prefix tokens of the first order that stand in different components; then those of the other orders, for classes that have such.
     shared, bits = shared_tokens(by_row(worded), total, representative)
     orders = spark.sparkContext.broadcast(global_orders(shared, bits))
-    n_bits = filter_size(shared.count())
-    several = spark.sparkContext.broadcast(filter_bits("number", shared, n_bits))
-    first = between_components(by_row(worded).mapInPandas(_prefix_rows(orders, several, n_bits, range(1), representative), PREFIX).distinct(), comps)
+    several = spark.sparkContext.broadcast(filter_bits("number", shared, 8))
+    first = between_components(by_row(worded).mapInPandas(_prefix_rows(orders, several, range(1), representative), PREFIX).distinct(), comps)
     for salt in range(1, ROUNDS + 1):
         large = keep(first.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("token"))
         if large.isEmpty():
@@ -374,9 +373,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     # Step 2: candidates of all orders between components.
     pairs = keep(candidates(first))
-    either = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    either = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     paired = spark.sparkContext.broadcast(filter_bits("key", either))
-    others = worded.select(F.col("key").alias("h"), "key", "tokens").mapInPandas(_prefix_rows(orders, several, n_bits, range(1, ORDERS), paired), PREFIX).distinct()
+    others = worded.select(F.col("key").alias("h"), "key", "tokens").mapInPandas(_prefix_rows(orders, several, range(1, ORDERS), paired), PREFIX).distinct()
     others = between_components(others, comps)
     for k in range(1, ORDERS):
         pairs = keep(pairs.join(candidates(others.where(F.col("order") == k)), ["a", "b"], "left_semi"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, filter_bits, filter_size, grams, keep, mix64, passes, release, small_batches, table, text_of
+from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, passes, release, small_batches, table, text_of
 
 #: Words of a passage that counts, and of a suffix's head; a window of SPAN heads has PASSAGE words.
 PASSAGE, HEAD = 50, 10
@@ -247,10 +247,9 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
     heads = rows.select("text").mapInPandas(_heads, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n > 1")
     heads = keep(heads)
-    n_heads, n_suffixes = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_suffixes = heads.agg(F.sum("n")).first()[0] or 0
     hot_heads = np.sort(heads.where(F.col("n") > HOT_ROWS).select("head").toArrow()["head"].to_numpy())  # one for HOT_ROWS suffixes at most
-    n_bits = filter_size(n_heads)
-    bits = spark.sparkContext.broadcast(filter_bits("head", heads, n_bits))
+    bits = spark.sparkContext.broadcast(filter_bits("head", heads))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mask = WordHashes(), np.frombuffer(bits.value, np.uint8)
@@ -259,7 +258,7 @@ def matches(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 h = hashes.of(text.encode("utf-8", "surrogatepass").split())
                 at, head = minimisers(h)
-                if len(at) and (hit := passes(mask, head, n_bits)).any():
+                if len(at) and (hit := passes(mask, head)).any():
                     at, head = at[hit], head[hit]
                     row.append(np.full(len(at), i))
                     heads.append(head.astype(np.int64))
