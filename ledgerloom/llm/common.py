@@ -51,12 +51,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(frame: DataFrame) -> DataFrame:
     """frame, written to the folder that all executors share and read again: computed once, whatever is lost later."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what was shuffled for it isn't needed once it is written
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # what was shuffled for it isn't needed once it is written; other actions may still read theirs when they return
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(frame.schema).parquet(path)
     out.kept_at = path
     return out
@@ -80,7 +87,7 @@ def filter_bits(values: Column | str, frame: DataFrame, key_bits: int = KEY_BITS
     position = F.pmod(F.col(values) if isinstance(values, str) else values, F.lit(bits)) + 1  # bitmap buckets count from 1
     slices = frame.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = bytearray(bits // 8)
-    for row in slices.toLocalIterator():
+    for row in slices.collect():
         at = (row["k"] - 1) * 4096
         out[at : at + 4096] = row["bits"]
     return bytes(out)
