@@ -170,5 +170,5 @@ p AS (
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT p.anchor_id, positive_id, cast(row_number() OVER w AS int) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY rank <= 3 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 3
 """

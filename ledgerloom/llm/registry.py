@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup, hard_negatives, html_extraction, merkle_manifest, ngram_join, packing, pii, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, url_filter
+from ledgerloom.llm import exact_dedup, hard_negatives, html_extraction, merkle_manifest, ngram_join, packing, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op11_secret_scan": secret_scan.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
