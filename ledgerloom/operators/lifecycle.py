@@ -1,12 +1,8 @@
-"""Exceptions over days: opened once, moved only along legal transitions, audited.
-
-State is a table of exceptions that each day replaces by a new snapshot, and
-an audit table that only grows.
-"""
+"""Exceptions: their ids, their legal moves, and views of the table that ``store`` keeps."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The legal moves of an exception.
@@ -18,8 +14,6 @@ TRANSITIONS = {
     "ABSTAINED": ("CONFIRMED",),
     "CLOSED": (),
 }
-EXCEPTIONS = "exception_id string, population string, subject_id string, status string, category string, amount decimal(18,2), first_seen_day int, confirmed_day int, closed_day int, resolved_by string, note string"
-AUDIT = "exception_id string, from_status string, to_status string, actor string, arrival_day int, sequence long"
 
 
 def exception_id(population: Column, subject: Column) -> Column:
@@ -27,7 +21,7 @@ def exception_id(population: Column, subject: Column) -> Column:
 
 
 def idempotency_key(id_: Column, kind: Column, evidence: Column) -> Column:
-    return F.sha2(F.concat_ws("|", id_, kind, F.array_join(F.sort_array(evidence), "|")), 256)
+    return F.sha2(F.concat_ws("|", id_, kind, F.sort_array(evidence)), 256)
 
 
 def transitions(spark: SparkSession) -> DataFrame:
@@ -39,13 +33,29 @@ def illegal(moves: DataFrame) -> DataFrame:
     return moves.join(F.broadcast(transitions(moves.sparkSession)), ["from_status", "to_status"], "left_anti")
 
 
+def _at_stake(rows: DataFrame, population: str, subject: Column, amount: Column, resolved_by: Column, cited: str, kind: str, none: str) -> DataFrame:
+    why = F.concat(F.lit(f"{kind} "), F.col({"A": "case_id", "B": "batch_id", "C": "row_id"}[population]), F.lit(": "), F.coalesce("category", F.lit(none)))
+    out = rows.select(F.lit(population).alias("population"), subject.alias("subject_id"), "status", "category", amount.cast("decimal(18,2)").alias("amount"), resolved_by.cast("string").alias("resolved_by"), F.array_compact(F.array(cited)).alias("evidence"), why.alias("reason"))
+    return out.withColumn("exception_id", exception_id(F.col("population"), F.col("subject_id")))
+
+
+def of_cases(cases: DataFrame) -> DataFrame:
+    """What is at stake in a case is its variance, or its whole amount where that is 0."""
+    amount = F.when(F.coalesce(F.col("variance"), F.lit(0)) == 0, F.col("expected_gross")).otherwise(F.col("variance"))
+    return _at_stake(cases, "A", F.col("case_id"), amount, F.col("resolved_by"), "batch_id", "case", "unresolved")
+
+
+def of_links(links: DataFrame) -> DataFrame:
+    return _at_stake(links, "B", F.col("batch_id"), F.col("batch_net_total"), F.col("resolved_by"), "bank_row_id", "batch", "unlinked")
+
+
+def of_rows(rows: DataFrame) -> DataFrame:
+    return _at_stake(rows, "C", F.concat_ws("|", "source_table", "row_id"), F.coalesce("amount", F.lit(0)), F.lit(None), "row_id", "row", "unexplained")
+
+
 def outcomes_of(cases: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
-    """The three populations side by side, with the amount that is at stake in each: subject_id, status, category, amount, resolved_by."""
-    at_stake = F.when(F.coalesce(F.col("variance"), F.lit(0)) == 0, F.col("expected_gross")).otherwise(F.col("variance")).cast("decimal(18,2)")
-    a = cases.select(F.lit("A").alias("population"), F.col("case_id").alias("subject_id"), "status", "category", at_stake.alias("amount"), "resolved_by")
-    b = links.select(F.lit("B").alias("population"), F.col("batch_id").alias("subject_id"), "status", "category", F.col("batch_net_total").alias("amount"), "resolved_by")
-    c = rows.select(F.lit("C").alias("population"), F.concat_ws("|", "source_table", "row_id").alias("subject_id"), "status", "category", F.coalesce("amount", F.lit(0)).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("string").alias("resolved_by"))
-    return a.unionByName(b).unionByName(c).withColumn("exception_id", exception_id(F.col("population"), F.col("subject_id")))
+    """The three populations side by side, with the amount that is at stake in each: subject_id, status, category, amount, resolved_by, evidence (ids) and reason."""
+    return of_cases(cases).unionByName(of_links(links)).unionByName(of_rows(rows))
 
 
 def opened(outcomes: DataFrame, day: int) -> DataFrame:
@@ -55,40 +65,6 @@ def opened(outcomes: DataFrame, day: int) -> DataFrame:
     return first.select("exception_id", "population", "subject_id", "status", "category", "amount", F.lit(day).alias("first_seen_day"), none("int").alias("confirmed_day"), none("int").alias("closed_day"), none("string").alias("resolved_by"), none("string").alias("note"))
 
 
-def advance(state: DataFrame, outcomes: DataFrame, day: int) -> tuple[DataFrame, DataFrame]:
-    """The next snapshot and the day's audit rows.
-
-    Exceptions whose subjects are confirmed now become CONFIRMED, those that
-    waited by way of OPEN; others stay as they are; new ones are appended.
-    The same day again changes nothing.
-    """
-    solved = outcomes.where("status = 'CONFIRMED'").select("exception_id").distinct().withColumn("solved", F.lit(True))
-    rows = state.join(solved, "exception_id", "left").withColumn("moves", F.col("solved") & F.col("status").isin("OPEN", "PENDING_EVIDENCE", "PENDING_AI_UNAVAILABLE"))
-    moved = rows.where("moves")
-    waited = moved.where("status <> 'OPEN'").select("exception_id", F.col("status").alias("from_status"), F.lit("OPEN").alias("to_status"), F.lit(0).alias("n"))
-    steps = waited.unionByName(moved.select("exception_id", F.lit("OPEN").alias("from_status"), F.lit("CONFIRMED").alias("to_status"), F.lit(1).alias("n")))
-    audit = steps.select("exception_id", "from_status", "to_status", F.lit("ENGINE").alias("actor"), F.lit(day).alias("arrival_day"), F.row_number().over(Window.partitionBy("exception_id").orderBy("n")).cast("long").alias("sequence"))
-    after = rows.withColumn("confirmed_day", F.when(F.col("moves"), F.lit(day)).otherwise(F.col("confirmed_day"))).withColumn("resolved_by", F.when(F.col("moves"), F.lit("DETERMINISTIC")).otherwise(F.col("resolved_by"))).withColumn("status", F.when(F.col("moves"), F.lit("CONFIRMED")).otherwise(F.col("status"))).drop("solved", "moves")
-    new = opened(outcomes, day).join(state.select("exception_id"), "exception_id", "left_anti")
-    return after.unionByName(new), audit
-
-
-def resolve(state: DataFrame, decisions: DataFrame, actor: str, day: int) -> tuple[DataFrame, DataFrame]:
-    """decisions (exception_id, to_status, note), applied where the move is legal; a refused move raises."""
-    asked = state.join(decisions.select("exception_id", F.col("to_status"), F.col("note").alias("new_note")), "exception_id", "left")
-    legal = transitions(state.sparkSession).select(F.col("from_status").alias("status"), "to_status", F.lit(True).alias("legal"))
-    checked = asked.join(F.broadcast(legal), ["status", "to_status"], "left")
-    moves = F.col("to_status").isNotNull() & (F.col("to_status") != F.col("status"))
-    sure = F.when(moves & F.col("legal").isNull(), F.raise_error(F.concat(F.lit("illegal move of exception "), F.col("exception_id")))).when(moves, F.col("to_status")).otherwise(F.col("status"))
-    audit = checked.where(moves).select("exception_id", F.col("status").alias("from_status"), F.col("to_status"), F.lit(actor).alias("actor"), F.lit(day).alias("arrival_day"), F.lit(1).cast("long").alias("sequence"))
-    after = checked.select(
-        "exception_id", "population", "subject_id", sure.alias("status"), "category", "amount", "first_seen_day",
-        F.when(moves & (F.col("to_status") == "CONFIRMED"), F.lit(day)).otherwise(F.col("confirmed_day")).alias("confirmed_day"), F.when(moves & (F.col("to_status") == "CLOSED"), F.lit(day)).otherwise(F.col("closed_day")).alias("closed_day"),
-        F.when(moves & (F.col("to_status") == "CONFIRMED"), F.lit(actor)).otherwise(F.col("resolved_by")).alias("resolved_by"), F.coalesce("new_note", "note").alias("note"),
-    )
-    return after, audit
-
-
 def queue(state: DataFrame, statuses: tuple[str, ...], population: str | None = None) -> DataFrame:
     """The largest amounts first, then by id. Statuses have to be named."""
     if not statuses:

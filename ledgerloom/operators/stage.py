@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -20,3 +21,14 @@ def kept(frame: DataFrame) -> DataFrame:
     path = shared_path(frame.sparkSession, "stage")
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place, from 0, in the order of some columns. Spark sorts them into ranges, each of which goes on from those before it; only a row for each range is added up in one place. Equal rows have places next to each other."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = kept(ranged.withColumn("_range", F.shiftright("_at", 33).cast("int")))
+    counts = ranged.groupBy("_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_range", "_first", before.alias("_before")))  # as many rows as ranges
+    return ranged.join(starts, "_range").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_first", "_before")

@@ -45,7 +45,18 @@ class Engine:
         return batch_link.row_variances(self.ledger, self.passes.orphan_credits())
 
 
+_engines: dict[tuple[str, str], Engine] = {}
+
+
 def over_lens(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over a folder's tables; a session has one, so the passes that it has written are used again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines:
+        _engines[key] = _over_lens(spark, sf_dir)
+    return _engines[key]
+
+
+def _over_lens(spark: SparkSession, sf_dir: str) -> Engine:
     views = L.Lens(spark, sf_dir)
     days = calendar.calendar(spark, L.FIRST_DAY, L.LAST_DAY, L.HOLIDAYS)
     engine = Engine(views, days, views["rates"], views["cycles"], L.GST, L.AS_OF)

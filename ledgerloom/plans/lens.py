@@ -26,6 +26,9 @@ CYCLES = {"profile_a": 2, "profile_b": 1, "profile_c": 3}
 #: Holidays, which the lens keeps every year.
 HOLIDAYS = ("09-07", "09-17", "10-02", "10-20", "11-02", "11-11", "11-19", "11-26")
 FIRST_DAY, LAST_DAY, AS_OF = "1994-12-01", "2002-01-31", "2001-06-30"
+#: The last dates of the first two deliveries; of each table its date, and the id by which some rows come one or two deliveries late.
+CUTS = ("1996-06-30", "1999-06-30")
+DELIVERED = {"ledger": ("order_date", None), "payments": ("captured_at", None), "refunds": ("created_at", "refund_id"), "lines": ("settled_event_date", "settlement_id"), "batches": ("settled_event_date", None), "bank": ("value_date", "bank_txn_id")}
 
 
 @dataclass(frozen=True)
@@ -126,8 +129,15 @@ class Dialect:
             "true_rows": f"""
                 SELECT 'ORD_' || tail AS row_id, 'DUPLICATE_CONFIRMED' AS true_category FROM orders_once WHERE k % 97 = 0
                 UNION ALL SELECT 'BNK_O' || upper(substr({self.sha("'orphan|' || batch_id")}, 1, 11)), 'UNEXPLAINED' FROM credits WHERE rn % 40 = 9""",
+            **self._days(),
         }
 
+    def _days(self) -> dict[str, str]:
+        """The tables as they are delivered: event_day, the delivery that a row's date belongs to, and arrival_day, the one that brings it."""
+        bundle = lambda date: f"CASE WHEN {date} <= date '{CUTS[0]}' THEN 1 WHEN {date} <= date '{CUTS[1]}' THEN 2 ELSE 3 END"
+        lag = lambda id_: f"CASE substr({self.sha(f"'late|' || {id_}")}, 1, 1) WHEN '0' THEN 1 WHEN '1' THEN 2 ELSE 0 END"
+        return {f"{table}_days": f"SELECT *, {bundle(date)} AS event_day, {bundle(date)} + {lag(late) if late else '0'} AS arrival_day FROM {table}" for table, (date, late) in DELIVERED.items()}
+
 
 SPARK, DUCKDB = Dialect(True), Dialect(False)
 _SOURCES = ("orders", "customer")
@@ -142,7 +152,7 @@ class Lens:
     """The views as DataFrames over the tables in a folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.folder = spark, sf_dir
         self.frames = _written.setdefault((spark.sparkContext.applicationId, sf_dir), {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _SOURCES})
 
     def __getitem__(self, name: str) -> DataFrame:

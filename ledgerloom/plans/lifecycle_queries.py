@@ -11,7 +11,6 @@ from ledgerloom.plans import case_queries
 from ledgerloom.plans.case_queries import FACTS
 from ledgerloom.plans.lens import oracle
 from ledgerloom.plans.link_queries import PASSES
-from ledgerloom.streaming import days as day_driver
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,12 +65,6 @@ def transitions_illegal(e):
     return S.illegal(e.ledger.sparkSession.createDataFrame([(a, b) for a in states for b in states], "from_status string, to_status string"))
 
 
-@query(f"""{ALL} SELECT d.arrival_day, count(*) FILTER (first <= d.arrival_day) AS residual FROM (SELECT CASE WHEN population = 'A' THEN 1 WHEN population = 'B' THEN 2 ELSE 3 END AS first FROM opened), (VALUES (1), (2), (3), (4)) d(arrival_day) GROUP BY 1""")
-def residual_sequence(e):
-    state = _opened(e).withColumn("first_seen_day", F.when(F.col("population") == "A", 1).when(F.col("population") == "B", 2).otherwise(3))
-    return S.residual_sequence(state, e.ledger.sparkSession.createDataFrame([(d,) for d in (1, 2, 3, 4)], "arrival_day int"))
-
-
 @query("""SELECT l.order_id, l.invoice_no, p.payment_id, s.settlement_id, s.batch_id, bank_txn_id FROM (SELECT DISTINCT * FROM ledger) l LEFT JOIN payments p USING (order_id) LEFT JOIN lines s USING (payment_id)
   LEFT JOIN batches b USING (batch_id) LEFT JOIN bank k ON contains(k.narration, b.utr)""")
 def money_trail(e):
@@ -157,9 +150,3 @@ def result_hash(e):
     """A digest of each population that does not depend on the order of rows."""
     row = F.sha2(F.concat_ws("|", "population", "subject_id", "status", F.coalesce("category", F.lit("None")), F.col("amount").cast("string")), 256)
     return _outcomes(e).groupBy("population").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest"))
-
-
-@query(None)
-def day_replay(e):
-    """The lifecycle over three days of deliveries; the last snapshot."""
-    return day_driver.replay(e, ("1996-06-30", "1999-06-30", "2001-06-30"))

@@ -117,18 +117,6 @@ def duplicate_pair_exceptions(e):
     return M.duplicate_pairs(duplicates.candidates(e.ledger))
 
 
-@query(f"""{ALL} SELECT status, 'NONE' AS resolved_by, count(*) AS n, {_sum("amount")} AS value FROM opened GROUP BY 1""")
-def store_tallies(e):
-    return M.tallies(S.opened(S.outcomes_of(e.cases, e.batch_links, e.row_variances), 1))
-
-
-@query(f"""{ALL} SELECT exception_id, population, subject_id, 'OLD' AS category, CASE WHEN population <> 'C' THEN category END AS current_category, CASE WHEN population <> 'C' THEN status END AS current_status, population <> 'C' AS present FROM opened""")
-def current_categories(e):
-    """Exceptions stored under an old category against today's outcomes, of which one population didn't come."""
-    today = S.outcomes_of(e.cases, e.batch_links, e.row_variances)
-    return M.current_categories(S.opened(today, 1).withColumn("category", F.lit("OLD")), today.where("population <> 'C'"))
-
-
 @query("""SELECT 'batch' AS a, 'order' AS b, (SELECT count(*) FROM (SELECT batch_id FROM batches INTERSECT SELECT order_id FROM ledger)) AS common UNION ALL SELECT 'batch', 'settlement', (SELECT count(*) FROM (SELECT batch_id FROM batches INTERSECT SELECT settlement_id FROM lines))
   UNION ALL SELECT 'batch', 'wanted', (SELECT count(*) FROM (SELECT batch_id FROM batches INTERSECT SELECT batch_id FROM lines WHERE line_type = 'refund')) UNION ALL SELECT 'order', 'settlement', (SELECT count(*) FROM (SELECT order_id FROM ledger INTERSECT SELECT settlement_id FROM lines))
   UNION ALL SELECT 'order', 'wanted', (SELECT count(*) FROM (SELECT order_id FROM ledger INTERSECT SELECT batch_id FROM lines WHERE line_type = 'refund')) UNION ALL SELECT 'settlement', 'wanted', (SELECT count(*) FROM (SELECT settlement_id FROM lines INTERSECT SELECT batch_id FROM lines WHERE line_type = 'refund'))""")

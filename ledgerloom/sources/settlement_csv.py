@@ -9,6 +9,7 @@ rows is an empty table, a missing file is an error.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,21 @@ class IngestError(ValueError):
     pass
 
 
+def schema_of(table: str) -> str:
+    """The columns of a typed table as DDL."""
+    kinds = {"money": "decimal(18,2)", "date": "date"}
+    return ", ".join(f"{c} {kinds.get(k, 'string') if isinstance(k, str) else 'string'}" for c, k in TABLES[table][1].items())
+
+
 #: Rows with faults that an error shows.
 SHOWN_FAULTS = 5
 
 
-def raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """All deliveries of a table as text, with arrival_day and the name of the file. A header that differs in name or order is refused when the rows are read."""
+def raw(spark: SparkSession, folder: str, table: str, only_day: int | None = None) -> DataFrame:
+    """All deliveries of a table, or a day's, as text, with arrival_day and the name of the file. A header that differs in name or order is refused when the rows are read."""
     stem, columns = TABLES[table]
     schema = ", ".join(f"{c} string" for c in columns)
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nullValue", "\0").option("emptyValue", "").csv(f"{folder.rstrip('/')}/day*_{stem}.csv")
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nullValue", "\0").option("emptyValue", "").csv(f"{folder.rstrip('/')}/day{'*' if only_day is None else only_day}_{stem}.csv")
     name = F.regexp_extract(F.col("_metadata.file_path"), rf"day(\d+)_{stem}\.csv", 0)
     return rows.select(*columns, F.regexp_extract(name, r"^day(\d+)_", 1).cast("int").alias("arrival_day"), name.alias("file"))
 
@@ -56,10 +63,10 @@ def _typed(name: str, kind) -> Column:
     return F.when(c.isin(*kind), c)
 
 
-def load(spark: SparkSession, folder: str, table: str, window: tuple[str, str] | None = None, until_day: int | None = None) -> DataFrame:
-    """A table's rows, typed, of all days or those up to until_day."""
+def load(spark: SparkSession, folder: str, table: str, window: tuple[str, str] | None = None, until_day: int | None = None, only_day: int | None = None) -> DataFrame:
+    """A table's rows, typed, of all days, those up to until_day, or one."""
     _, columns = TABLES[table]
-    rows = raw(spark, folder, table)
+    rows = raw(spark, folder, table, only_day)
     rows = rows if until_day is None else rows.where(F.col("arrival_day") <= until_day)
     typed = rows.select(*[_typed(c, k).alias(c) for c, k in columns.items()], "arrival_day", "file", *[F.col(c).alias(f"_{c}") for c in columns])
     faults = {f"{c} doesn't parse": F.col(c).isNull() for c, k in columns.items() if k not in ("text", "optional")}
@@ -82,20 +89,36 @@ def load(spark: SparkSession, folder: str, table: str, window: tuple[str, str] |
     return typed.select(*columns, "arrival_day")
 
 
-def days_in(spark: SparkSession, folder: str, table: str = "batches") -> list[int]:
-    """The days that have a file of a table; a folder without any raises."""
+def _found(spark: SparkSession, folder: str, table: str, day: int | str) -> list[str]:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/day*_{TABLES[table][0]}.csv")
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/day{day}_{TABLES[table][0]}.csv")
     found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []
-    days = sorted(int(re.match(r"day(\d+)_", f.getPath().getName())[1]) for f in found)
+    return [f.getPath().getName() for f in found]
+
+
+def is_there(spark: SparkSession, folder: str, table: str, day: int) -> bool:
+    """Whether a day has a table's file, with rows or without."""
+    return bool(_found(spark, folder, table, day))
+
+
+def days_in(spark: SparkSession, folder: str, table: str = "batches") -> list[int]:
+    """The days that have a file of a table; a folder without any raises."""
+    days = sorted(int(re.match(r"day(\d+)_", name)[1]) for name in _found(spark, folder, table, "*"))
     if not days:
         raise IngestError(f"{folder} has no deliveries")
     return days
 
 
 def write(frame: DataFrame, folder: str, table: str) -> None:
-    """A table as the deliveries that ``load`` reads, a folder of part files for each arrival_day (of which a calendar has few), columns in file order."""
+    """A table as the deliveries that ``load`` reads, a folder of part files for each arrival_day, columns in file order. It is written in one go and moved into place day by day."""
     stem, columns = TABLES[table]
-    for (day,) in frame.select("arrival_day").distinct().orderBy("arrival_day").collect():
-        rows = frame.where(F.col("arrival_day") == day).select(*[F.col(c).cast("string").alias(c) for c in columns])
-        rows.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(f"{folder.rstrip('/')}/day{day}_{stem}.csv")
+    context, draft = frame.sparkSession.sparkContext, f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
+    rows = frame.select("arrival_day", *[F.col(c).cast("string").alias(c) for c in columns])
+    rows.write.option("header", True).option("emptyValue", "").option("nullValue", "").partitionBy("arrival_day").csv(draft)
+    path = context._jvm.org.apache.hadoop.fs.Path
+    files = path(draft).getFileSystem(context._jsc.hadoopConfiguration())
+    for found in files.listStatus(path(draft)):
+        name = found.getPath().getName()
+        if name.startswith("arrival_day="):
+            files.rename(found.getPath(), path(f"{folder.rstrip('/')}/day{name.removeprefix('arrival_day=')}_{stem}.csv"))
+    files.delete(path(draft), True)

@@ -6,37 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import hypotheses as H
 from ledgerloom.operators import journal as J
-from ledgerloom.operators import lifecycle as S
 from ledgerloom.sources import config, settlement_csv
-from ledgerloom.streaming import days
-
-
-def outcomes(spark, rows):
-    return spark.createDataFrame([(p, s, st, c, D(a)) for p, s, st, c, a in rows], "population string, subject_id string, status string, category string, amount decimal(18,2)").withColumn("exception_id", S.exception_id(F.col("population"), F.col("subject_id")))
-
-
-def test_days(spark):
-    state = spark.createDataFrame([], S.EXCEPTIONS)
-    first = outcomes(spark, [("A", "1", "OPEN", "UNEXPLAINED", "5"), ("B", "2", "PENDING_EVIDENCE", None, "9"), ("A", "3", "CONFIRMED", None, "7")])
-    state, audit = S.advance(state, first, 1)
-    assert state.count() == 2 and audit.count() == 0
-    again, audit = S.advance(state, first, 1)
-    assert sorted(again.collect()) == sorted(state.collect()) and audit.count() == 0
-    second = outcomes(spark, [("A", "1", "OPEN", "UNEXPLAINED", "5"), ("B", "2", "CONFIRMED", None, "9"), ("A", "4", "OPEN", "UNEXPLAINED", "1")])
-    state, audit = S.advance(state, second, 2)
-    got = {r.subject_id: (r.status, r.first_seen_day, r.confirmed_day) for r in state.collect()}
-    assert got == {"1": ("OPEN", 1, None), "2": ("CONFIRMED", 1, 2), "4": ("OPEN", 2, None)}
-    assert [(r.from_status, r.to_status) for r in audit.orderBy("sequence").collect()] == [("PENDING_EVIDENCE", "OPEN"), ("OPEN", "CONFIRMED")]
-    sequence = S.residual_sequence(state, spark.createDataFrame([(0,), (1,), (2,)], "arrival_day int"))
-    assert sorted(map(tuple, sequence.collect())) == [(0, 0), (1, 2), (2, 2)]
-    assert [r.subject_id for r in S.queue(state, ("OPEN",)).collect()] == ["1", "4"]
-    with pytest.raises(ValueError):
-        S.queue(state, ())
-    ask = lambda s, to: state.where(F.col("subject_id") == s).select("exception_id", F.lit(to).alias("to_status"), F.lit("seen").alias("note"))
-    closed, audit = S.resolve(state, ask("2", "CLOSED"), "EXPORT", 3)
-    assert {r.subject_id: r.status for r in closed.collect()}["2"] == "CLOSED" and audit.count() == 1
-    with pytest.raises(Exception, match="illegal move"):
-        S.resolve(state, ask("1", "CLOSED"), "EXPORT", 3)[0].collect()
 
 
 def test_hypotheses(spark):
@@ -106,15 +76,6 @@ def test_csv_round_trip(spark, tmp_path):
     assert settlement_csv.days_in(spark, str(tmp_path), "lines") == [1, 3]
 
 
-def test_files_are_ingested_once(spark, tmp_path):
-    write(tmp_path, "a.csv", "h\n1\n\n2\n")
-    write(tmp_path, "b.csv", "h\n1\n\n2\n")
-    seen = []
-    query = days.watch(spark, str(tmp_path), "*.csv", lambda files, n: seen.extend(days.new_files(files, spark.createDataFrame([], "content_hash string")).collect()), str(tmp_path / "checkpoint"))
-    query.awaitTermination()
-    assert [r.data_rows for r in seen] == [2]
-
-
 def test_config(tmp_path):
     pytest.importorskip("yaml")
     methods = "".join(f'      {m}: "0.01"\n' for m in config.METHODS)
