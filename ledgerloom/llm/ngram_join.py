@@ -130,7 +130,11 @@ def _dealt(bits: int, mask):
 
     def flush(held: list[np.ndarray]) -> pd.DataFrame:
         number, n = np.unique(numbers(np.concatenate(held), bits), return_counts=True)
-        part, n = (number >> np.uint64(40)).astype(np.int64), np.minimum(n, 255).astype(np.uint8)
+        times = -(-n // 255)  # a larger number is sent in several bytes, which are added up again
+        last, number = np.cumsum(times) - 1, np.repeat(number, times)
+        rest, n = n - 255 * (times - 1), np.full(len(number), 255, np.uint8)
+        n[last] = rest
+        part = (number >> np.uint64(40)).astype(np.int64)
         code = np.ascontiguousarray(number.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         begin = np.flatnonzero(np.diff(part, prepend=-1))
         slices = list(zip(begin, np.append(begin[1:], len(part)), strict=True))

@@ -98,6 +98,15 @@ def test_tokens_are_counted_exactly(spark, monkeypatch):
     assert orders.levels(M.numbers(token, bits)).tolist() == np.where(n > 1, np.log2(n).astype(int), 0).tolist()
 
 
+def test_very_common_tokens_are_counted_exactly(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.append(rng.integers(10, 1 << 40, 5), [1] if i % 2 else [1, 2]).astype(np.uint64)) for i in range(1020)]
+    frame = spark.createDataFrame([(i, i, s.tobytes()) for i, s in enumerate(sets)], "h long, key long, tokens binary").coalesce(1)
+    everything = spark.sparkContext.broadcast(M.filter_bits("h", frame))
+    shared, bits = M.shared_tokens(frame, sum(map(len, sets)), everything)
+    assert {r.number: r.n for r in shared.collect()} == dict(zip(M.numbers(np.array([1, 2], np.uint64), bits).tolist(), [1020, 510], strict=True))
+
+
 def test_large_groups_are_held_against_one_member(spark, monkeypatch):
     monkeypatch.setattr(M, "LARGE", 2)
     monkeypatch.setattr(M, "AGREE", 6)
