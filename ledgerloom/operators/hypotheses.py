@@ -48,9 +48,13 @@ def parse(replies: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     )
 
 
-def row_index(tables: dict[str, tuple[DataFrame, str]], money: tuple[str, ...] = ("gross", "authorized", "captured", "amount", "fee", "tax", "net", "net_total")) -> DataFrame:
-    """row_id, tab and fields (the money columns by name) over all tables (name: frame and id column)."""
+def row_index(tables: dict[str, tuple[DataFrame, str]], cited: DataFrame | None = None, money: tuple[str, ...] = ("gross", "authorized", "captured", "amount", "fee", "tax", "net", "net_total")) -> DataFrame:
+    """row_id, tab and fields (the money columns by name) over all tables (name: frame and id column); of the rows that are cited (row_id) alone, where those are given."""
+    asked = None if cited is None else cited.select("row_id").distinct()
+
     def one(name: str, frame: DataFrame, key: str) -> DataFrame:
+        if asked is not None:
+            frame = frame.join(asked.withColumnRenamed("row_id", key), key, "left_semi")
         here = [c for c in money if c in frame.columns]
         fields = F.map_from_arrays(F.array(*[F.lit(f"{name}.{c}") for c in here]), F.array(*[F.col(c).cast("decimal(18,2)") for c in here]))
         return frame.select(F.col(key).alias("row_id"), F.lit(name).alias("tab"), fields.alias("fields")).dropDuplicates(["row_id"])

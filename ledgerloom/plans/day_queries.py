@@ -98,11 +98,12 @@ _TABLES = ", ".join(f"{t} AS (SELECT * FROM {t}_days WHERE arrival_day <= __DAY_
 _CREDITS = """credits AS (SELECT b.batch_id, utr, net_total, coalesce(w.d, b.settled_event_date) AS due FROM batches b
   LEFT JOIN (SELECT batch_id, min(profile) AS profile FROM lines WHERE payment_id IN (SELECT payment_id FROM payments) GROUP BY 1) p USING (batch_id)
   LEFT JOIN cycles y ON y.profile = p.profile LEFT JOIN calendar c ON c.d = b.settled_event_date LEFT JOIN calendar n ON n.d = c.next_wd LEFT JOIN working w ON w.ord = n.cum + y.cycle)"""
-_ONE_DAY = f"""WITH {_TABLES}, {_CREDITS}{FACTS.rstrip()},{PASSES.lstrip()[1:].rstrip()},
-every AS (
+#: Views over those of the passes: all outcomes, each with the ids that it rests on.
+EVERY = """every AS (
   SELECT 'A' AS population, case_id AS subject_id, status, category, CASE WHEN variance = 0 THEN expected_gross ELSE variance END AS amount, [batch_id] AS cited FROM outcomes
-  UNION ALL SELECT 'B', batch_id, status, category, batch_net_total, [bank_row_id] FROM links UNION ALL SELECT 'C', source_table || '|' || row_id, status, category, amount, [row_id] FROM rowvar)
-SELECT substr(sha256('exception|' || population || '|' || subject_id), 1, 16) AS exception_id, population, subject_id, status, category, cast(amount AS decimal(18,2)) AS amount, list_filter(cited, lambda x: x IS NOT NULL) AS evidence FROM every"""
+  UNION ALL SELECT 'B', batch_id, status, category, batch_net_total, [bank_row_id] FROM links UNION ALL SELECT 'C', source_table || '|' || row_id, status, category, amount, [row_id] FROM rowvar),
+exc AS (SELECT substr(sha256('exception|' || population || '|' || subject_id), 1, 16) AS exception_id, population, subject_id, status, category, cast(amount AS decimal(18,2)) AS amount, list_filter(cited, lambda x: x IS NOT NULL) AS evidence FROM every)"""
+_ONE_DAY = f"WITH {_TABLES}, {_CREDITS}{FACTS.rstrip()},{PASSES.lstrip()[1:].rstrip()}, {EVERY} SELECT * FROM exc"
 
 
 def _one_day(day: int) -> str:

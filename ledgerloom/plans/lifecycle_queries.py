@@ -82,14 +82,19 @@ def _claims(e):
     return pairs.select("exception_id", F.lit(0).alias("rank"), F.lit("DUPLICATE_CANDIDATE").alias("category"), F.get("order_ids", F.size("order_ids") - 1).alias("candidate_id"), F.lit(None).cast("struct<lhs:string,op:string,rhs:string>").alias("assertion"), F.col("order_ids").alias("evidence_row_ids"))
 
 
-def _index(e):
-    return H.row_index({"ledger": (e.ledger, "order_id"), "payments": (e.payments, "payment_id"), "refunds": (e.refunds, "refund_id"), "lines": (e.lines, "settlement_id"), "batches": (e.batches, "batch_id"), "bank": (e.bank, "bank_txn_id")})
+def _index(e, claims):
+    cited = claims.select(F.explode("evidence_row_ids").alias("row_id"))
+    return H.row_index({"ledger": (e.ledger, "order_id"), "payments": (e.payments, "payment_id"), "refunds": (e.refunds, "refund_id"), "lines": (e.lines, "settlement_id"), "batches": (e.batches, "batch_id"), "bank": (e.bank, "bank_txn_id")}, cited)
 
 
 def _chains(e):
     return e.payments.join(e.lines.groupBy("payment_id").agg(F.count(F.lit(1)).alias("n")), "payment_id", "left").groupBy("order_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chain_length"))
 
 
+def verified(e, claims):
+    return H.verify(claims, _index(e, claims), e.ledger, _chains(e))
+
+
 CHAINS = "SELECT order_id, count(settlement_id) AS n FROM payments LEFT JOIN lines USING (payment_id) GROUP BY 1"
 PAIRS = f"""{FACTS.rstrip()}, pairs AS ({case_queries.LIKELY}), chains AS ({CHAINS}),
 claims AS (SELECT array_to_string(order_ids, '|') AS exception_id, order_ids, order_ids[len(order_ids)] AS candidate_id FROM pairs),
@@ -99,19 +104,19 @@ judged AS (SELECT exception_id, candidate_id, len(order_ids) = 2 AND (SELECT n F
 
 @query(f"{PAIRS} SELECT * FROM judged")
 def verify_duplicates(e):
-    return H.verify(_claims(e), _index(e), e.ledger, _chains(e)).select("exception_id", "candidate_id", "passed")
+    return verified(e, _claims(e)).select("exception_id", "candidate_id", "passed")
 
 
 @query(f"{PAIRS} SELECT exception_id, cast(CASE WHEN passed THEN 1.0 ELSE 0.25 END AS decimal(5,4)) AS score, passed AS auto_confirm FROM judged")
 def confidence(e):
-    return H.confidence(H.verify(_claims(e), _index(e), e.ledger, _chains(e))).select("exception_id", "score", "auto_confirm")
+    return H.confidence(verified(e, _claims(e))).select("exception_id", "score", "auto_confirm")
 
 
 @query("""SELECT payment_id AS exception_id, abs(authorized - captured) <= 1 AS passed, cast(authorized - captured AS decimal(18,2)) AS computed_residual FROM payments""")
 def verify_arithmetic(e):
     assertion = F.struct(F.lit("payments.authorized").alias("lhs"), F.lit("==").alias("op"), F.lit("payments.captured").alias("rhs"))
     claims = e.payments.select(F.col("payment_id").alias("exception_id"), F.lit(0).alias("rank"), F.lit("PARTIAL_CAPTURE").alias("category"), F.col("payment_id").alias("candidate_id"), assertion.alias("assertion"), F.array("payment_id").alias("evidence_row_ids"))
-    return H.verify(claims, _index(e), e.ledger, _chains(e)).select("exception_id", "passed", "computed_residual")
+    return verified(e, claims).select("exception_id", "passed", "computed_residual")
 
 
 @query(f"""{ALL} SELECT variance AS amount, batch_id, list_sort(list(DISTINCT order_id)) AS order_ids FROM outcomes WHERE status <> 'CONFIRMED' AND category = 'DUPLICATE_CANDIDATE' GROUP BY 1, 2 HAVING count(*) = 2""")
