@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 #: Weights of the confidence, the bar for automatic confirmation, the verifier's tolerance, the most hypotheses read of a response.
 WEIGHTS = {"passed": "0.40", "within": "0.20", "completeness": "0.20", "separation": "0.15", "fresh": "0.05"}
 AUTO_CONFIRM, TOLERANCE, MOST = "0.80", "1.00", 3
-RESPONSE = "hypotheses array<struct<category:string,candidate_id:string,assertion:struct<lhs:string,op:string,rhs:string>,residual_amount:string,evidence_row_ids:array<string>,reason:string>>"
 OPERATORS = ("==", "<=", ">=", "<", ">")
 
 
@@ -36,18 +35,67 @@ def replay(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(known, "prompt_hash", "left").withColumn("reply", F.when(F.col("known").isNull(), "fixture_miss").when(F.col("unavailable"), "unavailable").otherwise("answered")).drop("known", "unavailable")
 
 
-def parse(replies: DataFrame, categories: tuple[str, ...]) -> DataFrame:
-    """A row for each usable hypothesis: its rank in the response counts, at most the first ones are read, invalid ones are dropped."""
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _at(value: str, path: str) -> Column:
+    return F.try_variant_get(F.col(value), path, "variant")
+
+
+def validate(replies: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """A row for each of the first hypotheses of a response, and one for a response without any: rank, h (as it stands) and faults, what the schema says against it, by path.
+
+    A response has to be an object with an array ``hypotheses`` of objects;
+    category is one of categories, candidate_id and reason are texts,
+    evidence_row_ids an array of texts, and residual_amount, where it is
+    there, a text or whole number that is exact. Nothing is put right.
+    """
     body = F.regexp_replace(F.regexp_replace("response", r"(?s)^\s*```(?:json)?\s*", ""), r"\s*```\s*$", "")
-    read = replies.withColumn("parsed", F.from_json(body, RESPONSE))
-    rows = read.select(*replies.drop("response").columns, F.posexplode(F.slice("parsed.hypotheses", 1, MOST)).alias("rank", "h"))
-    ok = F.col("h.category").isin(*categories) & F.col("h.candidate_id").isNotNull()
-    return rows.where(ok).select(
-        "exception_id", "rank", "h.category", "h.candidate_id", "h.assertion", F.expr("try_cast(h.residual_amount AS decimal(18,2))").alias("residual_amount"),
-        F.sort_array(F.coalesce("h.evidence_row_ids", F.array().cast("array<string>"))).alias("evidence_row_ids"), "h.reason",
+    read = replies.withColumn("_v", F.try_parse_json(body)).withColumn("_list", F.try_variant_get("_v", "$.hypotheses", "array<variant>"))
+    rest = replies.drop("response").columns
+    whole = F.when(F.col("_v").isNull(), "$: not JSON").when(~_kind(F.col("_v")).startswith("OBJECT"), "$: not an object").when(F.col("_list").isNull(), "$.hypotheses: not an array").when(F.size("_list") == 0, "$.hypotheses: empty")
+    rows = read.withColumn("_whole", whole).select(*rest, "_whole", F.posexplode_outer(F.slice("_list", 1, MOST)).alias("rank", "h"))
+    residual, evidence = _at("h", "$.residual_amount"), F.try_variant_get("h", "$.evidence_row_ids", "array<variant>")
+    exact = F.try_variant_get("h", "$.residual_amount", "string").rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$")
+    is_text = lambda path: F.coalesce(_kind(_at("h", path)) == "STRING", F.lit(False))
+    wrong = {
+        "category": ~is_text("$.category") | ~F.coalesce(F.try_variant_get("h", "$.category", "string").isin(*categories), F.lit(False)),
+        "candidate_id": ~is_text("$.candidate_id"), "reason": ~is_text("$.reason"),
+        "evidence_row_ids": F.coalesce(~F.forall(evidence, lambda x: F.coalesce(_kind(x) == "STRING", F.lit(False))), F.lit(True)),
+        "residual_amount": F.coalesce((_kind(residual) != "VOID") & ~((_kind(residual).isin("STRING", "BIGINT")) & exact), F.lit(False)),
+    }
+    path = lambda name: F.concat(F.lit("$.hypotheses["), F.col("rank").cast("string"), F.lit("]"), F.lit(f".{name}" if name else ""))
+    is_object = F.coalesce(_kind(F.col("h")).startswith("OBJECT"), F.lit(False))
+    each = F.when(is_object, F.array_compact(F.array(*[F.when(w, path(name)) for name, w in wrong.items()]))).otherwise(F.array(path("")))
+    return rows.select(*rest, "rank", "h", F.when(F.col("_whole").isNotNull(), F.array("_whole")).otherwise(each).alias("faults"))
+
+
+def parse(replies: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """A row for each usable hypothesis: its rank in the response counts, at most the first ones are read, invalid ones are dropped. An assertion of another shape is none."""
+    text = lambda p: F.try_variant_get("h", p, "string")
+    sides = [text(f"$.assertion.{c}").alias(c) for c in ("lhs", "op", "rhs")]
+    whole = F.when(sides[0].isNotNull() & sides[1].isNotNull() & sides[2].isNotNull(), F.struct(*sides))
+    more = [c for c in ("attempt",) if c in replies.columns]
+    return validate(replies, categories).where(F.size("faults") == 0).select(
+        "exception_id", *more, "rank", text("$.category").alias("category"), text("$.candidate_id").alias("candidate_id"), whole.alias("assertion"), F.trim(text("$.residual_amount")).try_cast("decimal(18,2)").alias("residual_amount"),
+        F.sort_array(F.try_variant_get("h", "$.evidence_row_ids", "array<string>")).alias("evidence_row_ids"), text("$.reason").alias("reason"),
     )
 
 
+def parse_links(replies: DataFrame) -> DataFrame:
+    """A row for each item of responses ``{"links": [...]}``: bank_txn_id, batch_id (null: the model abstains), confidence and failed. A response of another shape is one failed row."""
+    body = F.regexp_replace(F.regexp_replace("response", r"(?s)^\s*```(?:json)?\s*", ""), r"\s*```\s*$", "")
+    read = replies.withColumn("_v", F.try_parse_json(body)).withColumn("_list", F.coalesce(F.try_variant_get("_v", "$.links", "array<variant>"), F.try_variant_get("_v", "$", "array<variant>")))
+    rest = replies.drop("response").columns
+    rows = read.withColumn("_broken", F.col("_list").isNull()).select(*rest, "_broken", F.explode_outer("_list").alias("h"))
+    number = F.coalesce(F.try_variant_get("h", "$.confidence", "string"), F.lit("0")).try_cast("decimal(9,6)")
+    batch = F.nullif(F.nullif(F.try_variant_get("h", "$.batch_id", "string"), F.lit("")), F.lit("null"))
+    bank = F.try_variant_get("h", "$.bank_txn_id", "string")
+    failed = F.col("_broken") | bank.isNull() | number.isNull()
+    return rows.where(F.col("_broken") | F.col("h").isNotNull()).select(*rest, F.when(~failed, bank).alias("bank_txn_id"), F.when(~failed, batch).alias("batch_id"), F.when(~failed, number).alias("confidence"), failed.alias("failed"))
+
+
 def row_index(tables: dict[str, tuple[DataFrame, str]], cited: DataFrame | None = None, money: tuple[str, ...] = ("gross", "authorized", "captured", "amount", "fee", "tax", "net", "net_total")) -> DataFrame:
     """row_id, tab and fields (the money columns by name) over all tables (name: frame and id column); of the rows that are cited (row_id) alone, where those are given."""
     asked = None if cited is None else cited.select("row_id").distinct()
@@ -108,14 +156,6 @@ def confidence(verified: DataFrame, fresh: bool = True) -> DataFrame:
     return verified.withColumn("score", score).withColumn("auto_confirm", F.col("passed") & (F.col("score") >= _number(AUTO_CONFIRM)))
 
 
-def decisions(scored: DataFrame, asked: DataFrame) -> DataFrame:
-    """What becomes of each exception that was asked about: the first hypothesis that verifies decides; an outage isn't an abstention."""
-    first = scored.where("passed").groupBy("exception_id").agg(F.min_by(F.struct("candidate_id", "category", "score", "auto_confirm"), "rank").alias("best"))
-    rows = asked.select("exception_id", "reply").join(first, "exception_id", "left")
-    outcome = F.when(F.col("reply") == "unavailable", "PENDING_AI_UNAVAILABLE").when(F.col("best.auto_confirm"), "CONFIRMED").otherwise("ABSTAINED")
-    return rows.select("exception_id", outcome.alias("outcome"), F.col("best.candidate_id").alias("candidate_id"), F.col("best.category").alias("category"), F.col("best.score").alias("score"))
-
-
 def pairs(residual: DataFrame, orders: DataFrame) -> DataFrame:
     """Two residual duplicate candidates of one amount and batch make a pair; groups of another size stay apart: amount, batch_id, order_ids."""
     rows = residual.where("category = 'DUPLICATE_CANDIDATE'").join(orders, "case_id")

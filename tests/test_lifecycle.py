@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import hypotheses as H
+from ledgerloom.operators import hypothesis_loop as A
 from ledgerloom.operators import journal as J
 from ledgerloom.sources import config, settlement_csv
 
@@ -13,7 +14,7 @@ def test_hypotheses(spark):
     asked = spark.createDataFrame([("e1", "h1"), ("e2", "h2"), ("e3", "h3")], "exception_id string, prompt_hash string")
     body = """```json
     {"hypotheses": [{"category": "NONSENSE", "candidate_id": "x", "evidence_row_ids": []},
-     {"category": "PARTIAL_CAPTURE", "candidate_id": "p1", "assertion": {"lhs": "payments.authorized", "op": "==", "rhs": "99.50"}, "evidence_row_ids": ["p1"]}]}
+     {"category": "PARTIAL_CAPTURE", "candidate_id": "p1", "assertion": {"lhs": "payments.authorized", "op": "==", "rhs": "99.50"}, "evidence_row_ids": ["p1"], "reason": "r"}]}
     ```"""
     replies = H.replay(asked, spark.createDataFrame([("h1", body, None), ("h2", None, True)], "prompt_hash string, response string, unavailable boolean"))
     assert {r.exception_id: r.reply for r in replies.collect()} == {"e1": "answered", "e2": "unavailable", "e3": "fixture_miss"}
@@ -25,7 +26,8 @@ def test_hypotheses(spark):
     scored = H.confidence(H.verify(claims, index, ledger, chains))
     row = scored.first()
     assert (row.passed, row.computed_residual, row.score, row.auto_confirm) == (True, D("0.50"), D("1.0000"), True)
-    assert {r.exception_id: r.outcome for r in H.decisions(scored, replies).collect()} == {"e1": "CONFIRMED", "e2": "PENDING_AI_UNAVAILABLE", "e3": "ABSTAINED"}
+    answers = replies.select("exception_id", "reply", F.lit(1).alias("attempt"), F.lit(1).alias("seen"))
+    assert {r.exception_id: r.outcome for r in A.decide(answers, scored).collect()} == {"e1": "CONFIRMED", "e2": "PENDING_AI_UNAVAILABLE", "e3": "ABSTAINED"}
     orders = H.row_index({"ledger": (ledger, "order_id")})
     for nominee, cited, passed in (("o2", ["o1", "o2"], True), ("o1", ["o1", "o2"], False), ("o2", ["o2"], False), ("o2", ["o1", "o9"], False)):
         claim = spark.createDataFrame([("e", 0, "DUPLICATE_CANDIDATE", nominee, None, cited)], "exception_id string, rank int, category string, candidate_id string, assertion struct<lhs:string,op:string,rhs:string>, evidence_row_ids array<string>")
