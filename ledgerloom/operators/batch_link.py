@@ -3,14 +3,14 @@
 References in narrations are matched by equi-joins on tokens, never by a
 containment join. The passes go in order of ids: batches claim credits, and in
 the fuzzy pass each credit in its turn takes a batch from those that are left.
-Such orders are settled in rounds of joins and aggregations over the whole
-table until nothing changes, never by one task that goes through the rows.
+Claims are settled component by component, the fuzzy pass in rounds of joins
+over what still changes; no task goes through all rows.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.normalize import LEAST_FRAGMENT, UTR_LENGTH, common_prefix, narration, utr_candidates
 from ledgerloom.operators import duplicates
 from ledgerloom.operators.calendar import add_working_days
-from ledgerloom.operators.stage import kept
+from ledgerloom.operators.stage import kept, numbered
 
 TOLERANCE, DATE_WINDOW = Decimal("1.00"), 3
 #: Weights and bars of the two ways to score a credit against a batch, and the lead that the best needs.
@@ -49,22 +49,68 @@ def reference_pairs(batches: DataFrame, credits: DataFrame) -> DataFrame:
     return batches.join(grams, "utr")
 
 
+#: Batches of one component that are settled together, and the most credits that each of them then has to choose from.
+FOLDED = 256
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """batch_id and component, the least batch that it is tied to by credits that both want. Least ids spread over two pairs and jump to what their own least id has, so long chains take few rounds."""
+    label = kept(pairs.groupBy("bank_txn_id").agg(F.min("batch_id").alias("component")).join(pairs, "bank_txn_id").groupBy("batch_id").agg(F.min("component").alias("component")))
+    while True:
+        near = pairs.join(label, "batch_id").groupBy("bank_txn_id").agg(F.min("component").alias("near"))
+        spread = pairs.join(near, "bank_txn_id").groupBy("batch_id").agg(F.min("near").alias("near")).join(label, "batch_id")
+        jump = label.select(F.col("batch_id").alias("near"), F.col("component").alias("far"))
+        now = kept(spread.join(jump, "near", "left").select("batch_id", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("component")).alias("moved")))
+        label = now.drop("moved")
+        if now.where("moved").isEmpty():
+            return label
+
+
+def _folded(rows: DataFrame, preference: tuple[str, ...]) -> DataFrame:
+    """Links of each component's rows: its batches in order, each taking the first of its credits that is free."""
+    link = "struct<batch_id:string,bank_txn_id:string>"
+    begin = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast(f"array<{link}>").alias("links"))
+
+    def step(state: Column, pair: Column) -> Column:
+        settled = F.coalesce(F.get(state["links"], F.size(state["links"]) - 1)["batch_id"] == pair["batch_id"], F.lit(False))
+        free = ~settled & ~F.array_contains(state["taken"], pair["bank_txn_id"])
+        more = F.struct(F.concat(state["taken"], F.array(pair["bank_txn_id"])).alias("taken"), F.concat(state["links"], F.array(F.struct(pair["batch_id"], pair["bank_txn_id"]))).alias("links"))
+        return F.when(free, more).otherwise(state)
+
+    ordered = F.sort_array(F.collect_list(F.struct("batch_id", *preference, "bank_txn_id")))  # FOLDED batches with FOLDED credits at most
+    return rows.groupBy("component").agg(F.aggregate(ordered, begin, step, lambda s: s["links"]).alias("links")).select(F.inline("links"))
+
+
 def claim(pairs: DataFrame, *preference: str) -> DataFrame:
-    """pairs (batch_id, bank_txn_id): each batch, in order, takes the credit that it prefers (least in the columns of preference, then in id) of those that none before it took."""
+    """pairs (batch_id, bank_txn_id): each batch, in order, takes the credit that it prefers (least in the columns of preference, then in id) of those that none before it took.
+
+    Batches that want none of another's credits take theirs at once. The
+    others fall into components, which are settled side by side: the first
+    FOLDED batches of each in one fold, for which each needs no more than its
+    FOLDED best credits, then the next ones without what is taken. So the
+    number of jobs depends on the largest component's size in folds, not on
+    how many batches compete.
+    """
     pairs = pairs.select("batch_id", "bank_txn_id", *preference).distinct()
     least = F.min_by("bank_txn_id", F.struct(*preference, "bank_txn_id")).alias("bank_txn_id")
     per_credit = pairs.groupBy("bank_txn_id").agg(F.count_distinct("batch_id").alias("n"))
     shared = pairs.join(per_credit.where("n > 1"), "bank_txn_id", "left_semi").select("batch_id").distinct()
     simple = pairs.join(shared, "batch_id", "left_anti").groupBy("batch_id").agg(least)
-    # Batches that want the same credits: each proposes to the credit it prefers, which holds its lowest batch and is lost to
-    # those after it; in rounds, until no batch is refused. A batch that is held may still be ousted by one before it.
     wanted = kept(pairs.join(shared, "batch_id", "left_semi"))
-    while True:
-        proposed = wanted.groupBy("batch_id").agg(least)
-        held = kept(proposed.groupBy("bank_txn_id").agg(F.min("batch_id").alias("batch_id"), F.count(F.lit(1)).alias("n")))
-        if held.where("n > 1").isEmpty():
-            return simple.unionByName(held.select("batch_id", "bank_txn_id"))
-        wanted = kept(wanted.join(held.select("bank_txn_id", F.col("batch_id").alias("_holder")), "bank_txn_id", "left").where("_holder is null or batch_id <= _holder").drop("_holder"))
+    if wanted.isEmpty():
+        return simple
+    tied = kept(numbered(components(wanted), ["component", "batch_id"], "place"))
+    starts = tied.groupBy("component").agg(F.min("place").alias("first"))
+    turns = tied.join(starts, "component").select("batch_id", "component", F.floor((F.col("place") - F.col("first")) / FOLDED).alias("turn"))
+    left, links = kept(wanted.join(turns, "batch_id")), []
+    last = left.agg(F.max("turn")).first()[0]
+    for turn in range(last + 1):
+        best = F.row_number().over(Window.partitionBy("batch_id").orderBy(*preference, "bank_txn_id"))
+        now = left.where(F.col("turn") == turn).withColumn("n", best).where(F.col("n") <= FOLDED)
+        links.append(kept(_folded(now, preference)))
+        if turn < last:
+            left = kept(left.where(F.col("turn") > turn).join(links[-1].select("bank_txn_id"), "bank_txn_id", "left_anti"))
+    return reduce(DataFrame.unionByName, [simple, *links])
 
 
 def exact_links(due: DataFrame, credits: DataFrame) -> DataFrame:

@@ -39,6 +39,34 @@ def test_contested_claims_stay_apart(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("folded", [1, 3, 256])
+def test_claims_in_folds(spark, monkeypatch, folded):
+    monkeypatch.setattr(B, "FOLDED", folded)
+    rng = random.Random(folded)
+    pairs = {(f"B{rng.randrange(9):02}", f"C{rng.randrange(8):02}") for _ in range(25)} | {(f"D{i}", f"E{j}") for i in range(7) for j in range(5)} | {(f"X{i:02}", f"Y{i + k:02}") for i in range(12) for k in (0, 1)}
+    got = B.claim(spark.createDataFrame(sorted(pairs), "batch_id string, bank_txn_id string")).collect()
+    assert {r.batch_id: r.bank_txn_id for r in got} == loop_claims(pairs) and len(got) == len(loop_claims(pairs))
+
+
+def test_steps_do_not_grow_with_contention(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(B, "kept", lambda frame, f=B.kept: steps.append(1) or f(frame))
+    counts = []
+    for n in (4, 25, 60):
+        steps.clear()
+        pairs = [(f"B{i:02}", f"C{j:02}") for i in range(n) for j in range(n)]
+        got = B.claim(spark.createDataFrame(pairs, "batch_id string, bank_txn_id string")).collect()
+        assert {r.batch_id: r.bank_txn_id for r in got} == {f"B{i:02}": f"C{i:02}" for i in range(n)}
+        counts.append(len(steps))
+    assert len(set(counts)) == 1
+
+
+def test_preferences_decide(spark):
+    pairs = [("B1", "C1", 2), ("B1", "C2", 1), ("B2", "C2", 0), ("B2", "C1", 5), ("B3", "C1", 0)]
+    got = B.claim(spark.createDataFrame(pairs, "batch_id string, bank_txn_id string, gap int"), "gap").collect()
+    assert {r.batch_id: r.bank_txn_id for r in got} == {"B1": "C2", "B2": "C1"}
+
+
 def test_duplicates(spark):
     row = lambda o, c="c1", g="10.00", i="i": (o, i, D(g), date(2026, 9, 1), c, "s")
     ledger = spark.createDataFrame([row("o1"), row("o1"), row("o1"), row("o2"), row("o3"), row("o4", "c2"), row("o5", g="11.00")], "order_id string, invoice_no string, gross decimal(18,2), order_date date, customer_id string, sku string")
