@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import money, profile_of, stable_id
@@ -99,6 +99,50 @@ def case_outcomes(facts: DataFrame, ledger: DataFrame, days: DataFrame) -> DataF
     )
 
 
+#: Which finding that moves no money names a case, where none moves any.
+ZERO_PRECEDENCE = ("T_PLUS_N_TIMING", "ROUNDING_DIFFERENCE", "DUPLICATE_CANDIDATE")
+COMPONENT = "array<struct<category:string,amount:decimal(18,2)>>"
+
+
+def components(facts: DataFrame, ledger: DataFrame, days: DataFrame) -> DataFrame:
+    """case_id, total, components (category, amount, in order of category), unexplained and headline of each case.
+
+    A component of its own for a partial capture, a late line, a likely
+    duplicate and rounding. Components and what is unexplained add up to the
+    total; a case where they don't raises.
+    """
+    due = F.broadcast(days.select(F.col("d").alias("captured_at"), F.col("next_wd").alias("due")))
+    likely = duplicates.candidates(ledger).select(F.explode("order_ids").alias("order_id")).distinct().withColumn("likely", F.lit(True))
+    zero = F.lit(0).cast("decimal(18,2)")
+    rows = facts.join(due, "captured_at", "left").join(likely, "order_id", "left").withColumn("total", (F.col("authorized") - F.col("settled_gross")).cast("decimal(18,2)"))
+    partial = (F.col("authorized") - F.col("captured")).cast("decimal(18,2)")
+    one = lambda category, amount, when: F.when(when, F.struct(F.lit(category).alias("category"), amount.cast("decimal(18,2)").alias("amount")))
+    found = [one("PARTIAL_CAPTURE", partial, partial > 0), one("T_PLUS_N_TIMING", zero, F.col("last_settled") != F.col("due")), one("DUPLICATE_CANDIDATE", zero, F.coalesce("likely", F.lit(False)))]
+    rest = F.col("total") - F.greatest(partial, zero)
+    found.append(one("ROUNDING_DIFFERENCE", rest, (rest != 0) & (F.abs(rest) <= F.lit(TOLERANCE).cast("decimal(18,2)"))))
+    rows = rows.withColumn("components", F.sort_array(F.array_compact(F.array(*found))).cast(COMPONENT))
+    return balanced(rows.withColumn("headline", headline(F.col("components")))).select("case_id", "total", "components", "unexplained", "headline")
+
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """rows (total, components) with unexplained, the rest; an attribution that doesn't add up to the total in whole paise raises."""
+    attributed = F.aggregate("components", F.lit(0).cast("decimal(18,2)"), lambda a, c: (a + c["amount"]).cast("decimal(18,2)"))
+    rest = (F.col("total") - attributed).cast("decimal(18,2)")
+    adds_up = F.coalesce(attributed + rest == F.col("total"), F.lit(False))
+    return rows.withColumn("unexplained", F.when(adds_up, rest).otherwise(F.raise_error(F.lit("a variance isn't the sum of its parts")).cast("decimal(18,2)")))
+
+
+def headline(parts: Column) -> Column:
+    """The category that names a case: the largest amount, of equal ones the last by name; where no money moves the first in the order of ZERO_PRECEDENCE, then by name."""
+    moving = F.filter(parts, lambda c: c["amount"] != 0)
+    largest = F.element_at(F.sort_array(F.transform(moving, lambda c: F.struct(F.abs(c["amount"]).alias("a"), c["category"].alias("c")))), -1)["c"]
+    has = lambda name: F.exists(parts, lambda c: c["category"] == name)
+    still = F.when(has(ZERO_PRECEDENCE[0]), ZERO_PRECEDENCE[0])
+    for name in ZERO_PRECEDENCE[1:]:
+        still = still.when(has(name), name)
+    return F.when(F.size(moving) > 0, largest).otherwise(F.coalesce(still, F.array_min(F.transform(parts, lambda c: c["category"]))))
+
+
 def residual_cases(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("status <> 'CONFIRMED'")
 

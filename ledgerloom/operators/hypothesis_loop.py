@@ -47,19 +47,19 @@ def attempts(asked: DataFrame, responses: DataFrame, categories: tuple[str, ...]
 
 
 def decide(answers: DataFrame, verified: DataFrame) -> DataFrame:
-    """What becomes of each exception: outcome, abstain_reason, and of the hypothesis that decides its candidate_id, score and evidence.
+    """What becomes of each exception: outcome, abstain_reason, the candidate offered first, and of the hypothesis that decides its candidate_id, score and evidence.
 
     Hypotheses count in order of rank: the first that passes decides, those
     before it are rejections. One that passes below the bar is an abstention.
     """
     first = F.min(F.when(F.col("passed"), F.struct("rank", "candidate_id", "score", "auto_confirm", "evidence_row_ids")))
-    best = verified.groupBy("exception_id").agg(first.alias("best"), F.sort_array(F.collect_list("rank")).alias("ranks"))  # three at most
+    best = verified.groupBy("exception_id").agg(first.alias("best"), F.sort_array(F.collect_list("rank")).alias("ranks"), F.min_by("candidate_id", "rank").alias("offered"))  # three at most
     rows = answers.join(best, "exception_id", "left")
     sure, passed = F.coalesce(F.col("best.auto_confirm"), F.lit(False)), F.col("best").isNotNull()
     outcome = F.when(F.col("reply") == "unavailable", WAITING).when(sure, "CONFIRMED").otherwise("ABSTAINED")
     reason = F.when((F.col("reply") == "unavailable") | sure, F.lit(None).cast("string")).when(F.col("reply") != "answered", F.col("reply")).when(passed, "below_threshold").otherwise("all_rejected")
     rejected = F.size(F.filter(F.coalesce("ranks", F.array().cast("array<int>")), lambda r: ~passed | (r < F.col("best.rank"))))
-    return rows.select("exception_id", outcome.alias("outcome"), reason.alias("abstain_reason"), "attempt", "seen", rejected.alias("rejected"), F.col("best.candidate_id").alias("candidate_id"), F.col("best.score").alias("score"), F.col("best.evidence_row_ids").alias("evidence_row_ids"))
+    return rows.select("exception_id", outcome.alias("outcome"), reason.alias("abstain_reason"), "attempt", "seen", rejected.alias("rejected"), F.col("best.candidate_id").alias("candidate_id"), "offered", F.col("best.score").alias("score"), F.col("best.evidence_row_ids").alias("evidence_row_ids"))
 
 
 def report(outcomes: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ CYCLES = {"profile_a": 2, "profile_b": 1, "profile_c": 3}
 #: Holidays, which the lens keeps every year.
 HOLIDAYS = ("09-07", "09-17", "10-02", "10-20", "11-02", "11-11", "11-19", "11-26")
 FIRST_DAY, LAST_DAY, AS_OF = "1994-12-01", "2002-01-31", "2001-06-30"
+#: Charges that settle; some never do, and half of the orders that were entered twice are paid once.
+PAID = "k % 89 <> 11 AND NOT (k % 202 = 0 AND tail LIKE 'R%')"
 #: The last dates of the first two deliveries; of each table its date, and the id by which some rows come one or two deliveries late.
 CUTS = ("1996-06-30", "1999-06-30")
 DELIVERED = {"ledger": ("order_date", None), "payments": ("captured_at", None), "refunds": ("created_at", "refund_id"), "lines": ("settled_event_date", "settlement_id"), "batches": ("settled_event_date", None), "bank": ("value_date", "bank_txn_id")}
@@ -93,7 +95,7 @@ class Dialect:
                             WHEN k % 173 = 5 THEN captured - 0.37 WHEN k % 179 = 9 THEN captured - 25.00 ELSE captured END AS gross
                 FROM charges JOIN (VALUES ('x'), ('y')) AS t(part) ON part = 'x' OR k % 61 = 8
                 JOIN calendar c ON c.d = captured_at JOIN calendar n ON n.d = c.next_wd JOIN working w ON w.ord = n.cum + CASE WHEN k % 67 = 5 THEN 2 ELSE 0 END
-                WHERE k % 89 <> 11
+                WHERE {PAID}
                 UNION ALL SELECT profile, 'payment', 'PAY_GHOST' || tail, NULL, 'SET_G' || tail, method, next_wd, captured FROM charges JOIN calendar ON d = captured_at WHERE k % 499 = 1
                 UNION ALL SELECT profile, 'refund', payment_id, refund_id, 'SET_F' || refund_id, NULL, next_wd, -amount FROM repaid JOIN calendar ON d = created_at""",
             "priced": f"""
@@ -129,6 +131,19 @@ class Dialect:
             "true_rows": f"""
                 SELECT 'ORD_' || tail AS row_id, 'DUPLICATE_CONFIRMED' AS true_category FROM orders_once WHERE k % 97 = 0
                 UNION ALL SELECT 'BNK_O' || upper(substr({self.sha("'orphan|' || batch_id")}, 1, 11)), 'UNEXPLAINED' FROM credits WHERE rn % 40 = 9""",
+            # What was done to the data, as whoever did it would note it down.
+            "annotations": f"""
+                SELECT 'case' AS target_kind, payment_id AS target_id, 'partial_captures' AS noise_type, 'PARTIAL_CAPTURE' AS category, authorized - captured AS amount, true AS resolvable FROM charges WHERE k % 50 = 7 AND authorized > captured
+                UNION ALL SELECT 'case', payment_id, 'split_settlement', 'SPLIT_SETTLEMENT', cast(0 AS decimal(18,2)), true FROM charges WHERE k % 61 = 8 AND {PAID}
+                UNION ALL SELECT 'case', payment_id, 'rounding_residual', 'ROUNDING_DIFFERENCE', cast(0.37 AS decimal(18,2)), true FROM charges WHERE k % 173 = 5 AND k % 61 <> 8 AND {PAID}
+                UNION ALL SELECT 'case', payment_id, 'unexplainable', 'UNEXPLAINED', cast(25 AS decimal(18,2)), false FROM charges WHERE k % 179 = 9 AND k % 173 <> 5 AND k % 61 <> 8 AND {PAID}
+                UNION ALL SELECT 'case', payment_id, 'delayed_settlement', 'T_PLUS_N_TIMING', cast(0 AS decimal(18,2)), true FROM charges WHERE k % 67 = 5 AND {PAID}
+                UNION ALL SELECT 'case', payment_id, 'garbled_narration', cast(NULL AS string), cast(0 AS decimal(18,2)), true FROM charges WHERE k % 50 = 7 AND k % 4 = 1
+                UNION ALL SELECT 'ledger_row', 'ORD_' || tail, 'duplicate_ledger_rows', 'DUPLICATE_CONFIRMED', gross, true FROM orders_once WHERE k % 97 = 0
+                UNION ALL SELECT 'batch_link', batch_id, 'truncate_utr', 'UTR_TRUNCATED_MAPPING', cast(0 AS decimal(18,2)), true FROM credits WHERE rn % 20 IN (1, 6)
+                UNION ALL SELECT 'batch_link', batch_id, 'drop_utr', 'UTR_MISSING_MAPPING', cast(0 AS decimal(18,2)), true FROM credits WHERE rn % 20 = 2
+                UNION ALL SELECT 'batch_link', batch_id, 'unexplainable', 'MISSING_VS_LATE_CREDIT', net_total, false FROM credits WHERE rn % 20 = 5
+                UNION ALL SELECT 'bank_row', 'BNK_O' || upper(substr({self.sha("'orphan|' || batch_id")}, 1, 11)), 'unexplainable', 'UNEXPLAINED', cast(98765432.10 + rn * 10 AS decimal(18,2)), false FROM credits WHERE rn % 40 = 9""",
             **self._days(),
         }
 

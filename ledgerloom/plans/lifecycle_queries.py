@@ -125,7 +125,7 @@ def pair_store_rows(e):
     return H.pairs(residual, e.cases.select("case_id", "order_id"))
 
 
-def _bookable(e):
+def bookable(e):
     return _outcomes(e).where("status = 'CONFIRMED' AND category IS NOT NULL AND category <> 'UNEXPLAINED' AND amount > 0")
 
 
@@ -137,17 +137,17 @@ legs AS (SELECT exception_id, leg, CASE leg WHEN 'debit' THEN '{J.BANK}' ELSE ac
 
 @query(f"{JOURNAL} SELECT * FROM legs")
 def journal_lines(e):
-    return J.journal(_bookable(e))
+    return J.journal(bookable(e))
 
 
 @query(f"{JOURNAL} SELECT account, cast(sum(debit) AS decimal(28,2)) AS debit, cast(sum(credit) AS decimal(28,2)) AS credit FROM legs GROUP BY 1")
 def journal_totals(e):
-    return J.totals(J.journal(_bookable(e)))
+    return J.totals(J.journal(bookable(e)))
 
 
 @query(f"{JOURNAL} SELECT exception_id, '<VOUCHER id=\"' || exception_id || '\" date=\"2001-06-30\">' || string_agg('<ENTRY ledger=\"' || account || '\" debit=\"' || debit || '\" credit=\"' || credit || '\"/>', '' ORDER BY leg DESC) || '</VOUCHER>' AS voucher FROM legs GROUP BY 1")
 def journal_xml(e):
-    return J.as_xml(J.journal(_bookable(e)), "2001-06-30")
+    return J.as_xml(J.journal(bookable(e)), "2001-06-30")
 
 
 @query(f"{ALL} SELECT population, count(*) AS n, sum(cast(('0x' || substr(sha256(concat_ws('|', population, subject_id, status, coalesce(category, 'None'), cast(amount AS string))), 1, 12)) AS bigint)) AS digest FROM exc GROUP BY 1")
