@@ -168,6 +168,35 @@ def candidate_scores(open_batches: DataFrame, credits: DataFrame, taken: DataFra
     return _scored(pairs.join(fragments(batches, credits), "bank_txn_id", "left"))
 
 
+def contenders(open_batches: DataFrame, credits: DataFrame, taken: DataFrame) -> DataFrame:
+    """Scores among which each credit's best two are.
+
+    Without a fragment only amount and date count, and all batches of a day
+    whose amounts differ score alike. So a credit is held against those whose
+    amounts agree, and of each day against two that are there in its turn: a
+    day's batches stand in the order in which they are taken, those that never
+    are first, so the ones that are there begin the list for every credit. A
+    credit with a fragment is held against all batches of its days, as edits
+    may make any of them the second best.
+    """
+    batches = _still_open(open_batches, taken)
+    found = credits.select("bank_txn_id", "value_date", "amount").join(fragments(batches, credits), "bank_txn_id", "left")
+    days = lambda c: F.explode(F.sequence(F.date_sub(c, DATE_WINDOW), F.date_add(c, DATE_WINDOW)))
+    last_taken = Window.partitionBy("due").orderBy(F.col("taker").isNotNull(), F.col("taker").desc(), "batch_id")
+    first = batches.withColumn("_n", F.row_number().over(last_taken)).where(F.col("_n") <= 2).drop("_n")
+    whole = found.where("fragment is null")
+    near = whole.withColumn("due", days("value_date")).join(first, "due")
+    pairs = near.unionByName(_agreeing(whole, batches)).dropDuplicates(["bank_txn_id", "batch_id"])
+    cut = found.where("fragment is not null").withColumn("due", days("value_date")).join(batches, "due")
+    return _scored(pairs.unionByName(cut).where(_in_time() & (F.abs(F.datediff("value_date", "due")) <= DATE_WINDOW)))
+
+
+def _agreeing(credits: DataFrame, batches: DataFrame) -> DataFrame:
+    """Pairs whose amounts are within the tolerance: equal whole units, or the next ones."""
+    units = batches.withColumn("unit", F.explode(F.array(*[F.floor("net_total") + i for i in (-1, 0, 1)])))
+    return credits.withColumn("unit", F.floor("amount")).join(units, "unit").where(F.abs(F.col("amount") - F.col("net_total")) <= _tolerance()).drop("unit")
+
+
 #: Characters of a fragment and a reference that agree wherever a score can decide: a runner-up within the separation of a score over
 #: the bar has 0.70 at least, of which edits and amount give 0.50, so two fifths of a fragment of six characters or more.
 DECISIVE_PREFIX = 3
@@ -179,9 +208,8 @@ def _accepted(open_batches: DataFrame, credits: DataFrame, taken: DataFrame) ->
     found = credits.select("bank_txn_id", "value_date", "amount").join(fragments(batches, credits), "bank_txn_id", "left")
     head = lambda c: F.substring(c, 1, DECISIVE_PREFIX)
     by_prefix = found.where("fragment is not null").withColumn("head", head("fragment")).join(batches.withColumn("head", head("utr")), "head")
-    whole = found.where("fragment is null").withColumn("unit", F.floor("amount"))
-    by_amount = whole.join(batches.withColumn("unit", F.explode(F.array(*[F.floor("net_total") + i for i in (-1, 0, 1)]))), "unit").where(F.abs(F.col("amount") - F.col("net_total")) <= _tolerance())
-    pairs = by_prefix.drop("head").unionByName(by_amount.drop("unit")).where(_in_time() & (F.abs(F.datediff("value_date", "due")) <= DATE_WINDOW))
+    by_amount = _agreeing(found.where("fragment is null"), batches)
+    pairs = by_prefix.drop("head").unionByName(by_amount).where(_in_time() & (F.abs(F.datediff("value_date", "due")) <= DATE_WINDOW))
     best = _ranked(_scored(pairs)).where(_clear(F.col("score"), F.col("next"), F.col("path")))
     return best.groupBy("batch_id").agg(F.min("bank_txn_id").alias("bank_txn_id"))
 
@@ -203,13 +231,15 @@ def fuzzy_links(open_batches: DataFrame, credits: DataFrame) -> DataFrame:
 
     A credit's verdict depends on the links of those before it only. So all
     verdicts are taken at once, given the links of the round before, until a
-    round changes nothing: after each round the verdicts of one more credit of
-    every chain are final, and chains are short.
+    round changes nothing. After each round the verdicts of one more credit of
+    every chain are final, so there are as many rounds as the longest chain of
+    credits has links, each of which changes what is there for the next.
     """
     taken = no_links(credits)
     while True:
         now = kept(_accepted(open_batches, credits, taken))
-        if now.exceptAll(taken).isEmpty() and taken.exceptAll(now).isEmpty():
+        both = now.withColumn("side", F.lit(1)).unionByName(taken.withColumn("side", F.lit(-1)))
+        if both.groupBy("batch_id", "bank_txn_id").agg(F.sum("side").alias("n")).where("n <> 0").isEmpty():
             return now
         taken = now
 
@@ -225,7 +255,7 @@ def verdicts(open_batches: DataFrame, credits: DataFrame, taken: DataFrame) -> D
         none_left, one_left = turn > last[0], (turn > last[1]) if n_open > 1 else ~never
     else:
         none_left, one_left = never, (turn > last[0] if n_taken else ~never) if n_open == n_taken + 1 else never
-    best = _ranked(candidate_scores(open_batches, credits, taken))
+    best = _ranked(contenders(open_batches, credits, taken))
     rows = credits.select("bank_txn_id").where(~none_left).join(fragments(_still_open(open_batches, taken), credits).select("bank_txn_id", F.lit("A").alias("_path")), "bank_txn_id", "left").join(best.drop("path", "fragment"), "bank_txn_id", "left")
     zero = F.lit(0).cast("decimal(9,6)")
     rows = rows.select("bank_txn_id", "batch_id", F.coalesce("_path", F.lit("B")).alias("path"), F.coalesce("score", zero).alias("best_score"), F.when(~one_left, F.coalesce("next", zero)).alias("runner_up_score"))
