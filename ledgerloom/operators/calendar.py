@@ -25,12 +25,13 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: Iterable[str]
 
 
 def add_working_days(rows: DataFrame, days: DataFrame, date: str, n: Column | int, name: str) -> DataFrame:
-    """rows with name: n working days after the first working day from date on. Null where that is outside of the calendar."""
+    """rows with name: n working days after the first working day from date on. Null where that is outside of the calendar or n is null; a negative n raises."""
     c = F.broadcast(days.select(F.col("d").alias("_d"), "next_wd"))
     at = F.broadcast(days.select(F.col("d").alias("_n"), F.col("cum").alias("_at")))
     to = F.broadcast(days.where("working").select(F.col("cum").alias("_ord"), F.col("d").alias(name)))
     count = F.lit(n) if isinstance(n, int) else n
-    out = rows.withColumn("_count", count).join(c, F.col(date) == F.col("_d"), "left").join(at, F.col("next_wd") == F.col("_n"), "left").join(to, F.col("_ord") == F.col("_at") + F.col("_count"), "left")
+    sure = F.when(count < 0, F.raise_error(F.lit("can't add a negative number of working days")).cast("long")).otherwise(count.cast("long"))
+    out = rows.withColumn("_count", sure).join(c, F.col(date) == F.col("_d"), "left").join(at, F.col("next_wd") == F.col("_n"), "left").join(to, F.col("_ord") == F.col("_at") + F.col("_count"), "left")
     return out.drop("_count", "_d", "next_wd", "_n", "_at", "_ord")
 
 
@@ -40,3 +41,15 @@ def working_days_between(rows: DataFrame, days: DataFrame, start: str, end: str,
     out = rows.join(table("s"), F.col(start) == F.col("_sd"), "left").join(table("e"), F.col(end) == F.col("_ed"), "left")
     value = F.when(F.col(end) >= F.col(start), F.col("_ec") - F.col("_sc")).otherwise(F.col("_eb") - F.col("_sb"))
     return out.withColumn(name, value).drop("_sd", "_sc", "_sb", "_ed", "_ec", "_eb")
+
+
+def day_as_of(first: str, last: str, day: Column) -> Column:
+    """The date at which a delivery day, counted from 1, is looked at: calendar days from first on. A day before the first, or after last, raises."""
+    date = F.date_add(F.lit(first).cast("date"), day.cast("int") - 1)
+    fine = (day >= 1) & (date <= F.lit(last).cast("date"))
+    return F.when(day.isNotNull() & ~fine, F.raise_error(F.concat(F.lit("no date for day "), day.cast("string"))).cast("date")).otherwise(date)
+
+
+def has_arrived(date: Column, as_of: Column) -> Column:
+    """Whether what belongs to a date can be there."""
+    return date <= as_of

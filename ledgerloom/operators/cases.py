@@ -143,6 +143,11 @@ def headline(parts: Column) -> Column:
     return F.when(F.size(moving) > 0, largest).otherwise(F.coalesce(still, F.array_min(F.transform(parts, lambda c: c["category"]))))
 
 
+def deduction_reference(gross: Column, net: Column) -> Column:
+    """What is to be taken off an amount in all, fees, tax and refunds; a figure to report, never a variance."""
+    return money(gross - net)
+
+
 def residual_cases(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("status <> 'CONFIRMED'")
 

@@ -11,7 +11,7 @@ from ledgerloom.functions.normalize import rate, stable_id
 from ledgerloom.operators import calendar, cases, duplicates
 from ledgerloom.operators.stage import shared_path
 from ledgerloom.plans.engine import over_lens
-from ledgerloom.plans.lens import GST, oracle
+from ledgerloom.plans.lens import FIRST_DAY, GST, LAST_DAY, oracle
 from ledgerloom.sources import settlement_csv
 
 QUERIES, ORACLES = {}, {}
@@ -90,9 +90,19 @@ def s_row_counts(e):
     return functools.reduce(DataFrame.unionByName, counts)
 
 
-@query("SELECT d, working, cast(cum AS bigint) AS cum, next_wd FROM calendar")
+@query("SELECT c.d, working, cast(cum AS bigint) AS cum, next_wd, coalesce(n, 0) AS lines, coalesce(m, 0) AS captures FROM calendar c LEFT JOIN (SELECT settled_event_date AS d, count(*) AS n FROM lines GROUP BY 1) l USING (d) LEFT JOIN (SELECT captured_at AS d, count(*) AS m FROM payments GROUP BY 1) p USING (d)")
 def cal_working_days(e):
-    return e.days
+    """Each day of the calendar with the lines that settle on it and the payments that are captured on it."""
+    of = lambda frame, date, name: frame.groupBy(F.col(date).alias("d")).agg(F.count(F.lit(1)).alias(name))
+    rows = e.days.join(of(e.lines, "settled_event_date", "lines"), "d", "left").join(of(e.payments, "captured_at", "captures"), "d", "left")
+    return rows.fillna(0, ["lines", "captures"])
+
+
+@query("SELECT s.day, s.arrivals, date '1994-12-01' + cast(s.day AS int) - 1 AS looked_at FROM (SELECT date_diff('day', date '1994-12-01', order_date) + 1 AS day, count(*) AS arrivals FROM ledger GROUP BY 1) s")
+def cal_day_as_of(e):
+    """Orders by the number of their day, and the date that this day is looked at."""
+    rows = e.ledger.select((F.datediff("order_date", F.lit(FIRST_DAY).cast("date")) + 1).cast("long").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("arrivals"))
+    return rows.withColumn("looked_at", calendar.day_as_of(FIRST_DAY, LAST_DAY, F.col("day")))
 
 
 @query("SELECT payment_id, captured_at, w.d AS due FROM charges JOIN cycles USING (profile) JOIN calendar c ON c.d = captured_at JOIN calendar n ON n.d = c.next_wd JOIN working w ON w.ord = n.cum + cycle")
@@ -169,6 +179,12 @@ def f_fee_gst_net(e):
     return e.facts.select("payment_id", "fee", "tax", F.col("expected_net").alias("net"))
 
 
+@query(f"{FACTS} SELECT merchant_profile, count(*) AS cases, cast(sum(cast(expected_gross - (captured - fee - tax - refund_total) AS decimal(18,2))) AS decimal(28,2)) AS deductions FROM facts GROUP BY 1")
+def deduction_references(e):
+    """What comes off the orders of each profile in all."""
+    return e.facts.groupBy("merchant_profile").agg(F.count(F.lit(1)).alias("cases"), F.sum(cases.deduction_reference(F.col("expected_gross"), F.col("expected_net"))).cast("decimal(28,2)").alias("deductions"))
+
+
 @query("SELECT order_id, substr(sha256('case|' || payment_id || '|' || order_id), 1, 16) AS id FROM payments")
 def f_stable_ids(e):
     return e.payments.select("order_id", stable_id(F.lit("case"), F.col("payment_id"), F.col("order_id")).alias("id"))

@@ -210,3 +210,13 @@ def confirm_twice(e):
     per = store.read("resolutions").groupBy("exception_id").agg(F.count(F.lit(1)).alias("resolutions"), F.max("idempotency_key").alias("idempotency_key"))
     moves = store.read("audit").groupBy("exception_id").agg(F.count(F.lit(1)).alias("moves"))
     return store.read("exceptions").select("exception_id", "status", "confidence", "resolved_by", "confirmed_day").join(per, "exception_id").join(moves, "exception_id")
+
+
+@query(f"""{REPLAY}, states AS (SELECT from_status AS s, count(*) AS n FROM audit WHERE from_status IS NOT NULL GROUP BY 1 UNION ALL SELECT to_status, count(*) FROM audit GROUP BY 1), once AS (SELECT s, sum(n) AS n FROM states GROUP BY 1)
+  SELECT a.s AS from_status, b.s AS to_status, cast(a.n AS bigint) AS entries FROM once a, once b WHERE (a.s, b.s) NOT IN (({"), (".join(f"'{x}', '{y}'" for x, to in L.TRANSITIONS.items() for y in to)}))""")
+def transitions_illegal(e):
+    """Of the statuses that the audit of the replay has, the moves from one to another that may not be made; with the entries that name the first."""
+    audit = replayed(e).read("audit")
+    named = audit.select(F.explode(F.array_compact(F.array("from_status", "to_status"))).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("entries"))
+    moves = named.withColumnRenamed("s", "from_status").crossJoin(F.broadcast(named.select(F.col("s").alias("to_status"))))  # six statuses at most
+    return L.illegal(moves).select("from_status", "to_status", "entries")

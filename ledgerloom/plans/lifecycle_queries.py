@@ -59,12 +59,6 @@ def population_summaries(e):
     return _outcomes(e).groupBy("population").agg(n.alias("denominator"), left.alias("residual"), F.bround(left.cast("decimal(20,4)") / n.cast("decimal(20,4)"), 4).cast("decimal(18,4)").alias("share"))
 
 
-@query("SELECT a AS from_status, b AS to_status FROM (VALUES ('OPEN'), ('CONFIRMED'), ('CLOSED')) x(a), (VALUES ('OPEN'), ('CONFIRMED'), ('CLOSED')) y(b) WHERE (a, b) NOT IN (('OPEN', 'CONFIRMED'), ('CONFIRMED', 'CLOSED'))")
-def transitions_illegal(e):
-    states = ("OPEN", "CONFIRMED", "CLOSED")
-    return S.illegal(e.ledger.sparkSession.createDataFrame([(a, b) for a in states for b in states], "from_status string, to_status string"))
-
-
 @query("""SELECT l.order_id, l.invoice_no, p.payment_id, s.settlement_id, s.batch_id, bank_txn_id FROM (SELECT DISTINCT * FROM ledger) l LEFT JOIN payments p USING (order_id) LEFT JOIN lines s USING (payment_id)
   LEFT JOIN batches b USING (batch_id) LEFT JOIN bank k ON contains(k.narration, b.utr)""")
 def money_trail(e):

@@ -148,7 +148,8 @@ def amount_uniqueness(e):
     return per.agg(F.sum("n").alias("batches"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).cast("long").alias("unique_amounts"), rate(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)), F.sum("n")).alias("ratio"))
 
 
-@query(f"""{PASSES}, near AS (SELECT batch_id, bank_txn_id, abs(date_diff('day', settled_event_date, value_date)) AS gap, abs(amount - net_total) AS off
+#: Views: batches in order, each taking the best credit that is left by amount and date.
+NAIVE = f"""{PASSES}, near AS (SELECT batch_id, bank_txn_id, abs(date_diff('day', settled_event_date, value_date)) AS gap, abs(amount - net_total) AS off
     FROM batches JOIN cr ON abs(amount - net_total) <= 1 AND abs(date_diff('day', settled_event_date, value_date)) <= 5 AND value_date <= date '{AS_OF}'),
   turns AS (SELECT *, dense_rank() OVER (ORDER BY batch_id) AS turn FROM near),
   greedy AS (
@@ -156,8 +157,10 @@ def amount_uniqueness(e):
     UNION ALL
     SELECT g.turn + 1, coalesce((SELECT any_value(batch_id) FROM turns t WHERE t.turn = g.turn + 1), ''), coalesce(c.bank_txn_id, ''), CASE WHEN c.bank_txn_id IS NULL THEN g.used ELSE list_append(g.used, c.bank_txn_id) END
     FROM greedy g LEFT JOIN LATERAL (SELECT t.bank_txn_id FROM turns t WHERE t.turn = g.turn + 1 AND NOT list_contains(g.used, t.bank_txn_id) ORDER BY gap, off, t.bank_txn_id LIMIT 1) c ON true
-    WHERE g.turn < (SELECT max(turn) FROM turns))
-  SELECT batch_id, bank_txn_id FROM greedy WHERE bank_txn_id <> ''""")
+    WHERE g.turn < (SELECT max(turn) FROM turns))"""
+
+
+@query(f"{NAIVE} SELECT batch_id, bank_txn_id FROM greedy WHERE bank_txn_id <> ''")
 def naive_links(e):
     """Amount and date alone, batches in order; a credit serves one."""
     return B.naive_links(e.batches, e.passes.credits, e.passes.as_of)

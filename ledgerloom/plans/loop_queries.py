@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import batch_link as B
 from ledgerloom.operators import duplicates
 from ledgerloom.operators import hypotheses as H
 from ledgerloom.operators import hypothesis_loop as A
@@ -12,10 +13,10 @@ from ledgerloom.operators import metrics as M
 from ledgerloom.operators import store as S
 from ledgerloom.operators.stage import kept, shared_path
 from ledgerloom.plans import case_queries
-from ledgerloom.plans.case_queries import LIKELY
+from ledgerloom.plans.case_queries import FACTS, LIKELY
 from ledgerloom.plans.lens import oracle
 from ledgerloom.plans.lifecycle_queries import CHAINS, verified
-from ledgerloom.plans.link_queries import PASSES
+from ledgerloom.plans.link_queries import NAIVE, PASSES
 
 QUERIES, ORACLES = {}, {}
 
@@ -170,15 +171,56 @@ def _link_response(sha: str) -> str:
   ELSE {link("coalesce('\"' || batch_id || '\"', 'null')")} END"""
 
 
-@query(f"""{PASSES}, said AS (SELECT bank_txn_id, batch_id, substr(sha256('link|' || bank_txn_id), 1, 1) AS digit FROM cr LEFT JOIN true_links USING (bank_txn_id)),
-  llm AS (SELECT bank_txn_id, digit IN ('2', '4') AS failed, CASE WHEN digit = '3' THEN 'BAT_OTHER' WHEN digit NOT IN ('0', '1', '2', '4', '5') THEN batch_id END AS said, batch_id FROM said)
-  SELECT count(*) AS prompts, count(*) FILTER (failed) AS parse_failures, count(*) FILTER (NOT failed AND said IS NULL) AS abstentions, count(said) AS linked, count(*) FILTER (said IS NOT NULL AND said IS DISTINCT FROM batch_id) AS false_links FROM llm""")
-def link_baseline(e):
-    """Links that a model names for each credit, held against the true ones; an abstention is neither a failure nor a link."""
+#: Views: what the model says of each credit.
+SAID = """, said AS (SELECT bank_txn_id, batch_id, substr(sha256('link|' || bank_txn_id), 1, 1) AS digit FROM cr LEFT JOIN true_links USING (bank_txn_id)),
+  llm AS (SELECT bank_txn_id, digit IN ('2', '4') AS failed, CASE WHEN digit = '3' THEN 'BAT_OTHER' WHEN digit NOT IN ('0', '1', '2', '4', '5') THEN batch_id END AS said, batch_id FROM said)"""
+
+
+def _said(e) -> DataFrame:
     spark = e.ledger.sparkSession
     credits = e.passes.credits.select("bank_txn_id").join(e.labels["true_links"].where("bank_txn_id is not null").select("bank_txn_id", "batch_id"), "bank_txn_id", "left")
     response = _link_response("sha2(concat('link|', bank_txn_id), 256)")
-    said = spark.sql(f"SELECT bank_txn_id AS asked, batch_id AS true_batch, {response.replace('{', '{{').replace('}', '}}')} AS response FROM {{credits}}", credits=credits)
-    links = H.parse_links(said)
+    return spark.sql(f"SELECT bank_txn_id AS asked, batch_id AS true_batch, {response.replace('{', '{{').replace('}', '}}')} AS response FROM {{credits}}", credits=credits)
+
+
+@query(f"""{PASSES}{SAID} SELECT count(*) AS prompts, count(*) FILTER (failed) AS parse_failures, count(*) FILTER (NOT failed AND said IS NULL) AS abstentions, count(said) AS linked, count(*) FILTER (said IS NOT NULL AND said IS DISTINCT FROM batch_id) AS false_links FROM llm""")
+def link_baseline(e):
+    """Links that a model names for each credit, held against the true ones; an abstention is neither a failure nor a link."""
+    links = H.parse_links(_said(e))
     named = F.col("batch_id").isNotNull()
     return links.agg(F.count(F.lit(1)).alias("prompts"), F.count_if("failed").alias("parse_failures"), F.count_if(~F.col("failed") & ~named).alias("abstentions"), F.count_if(named).alias("linked"), F.count_if(named & ~F.col("batch_id").eqNullSafe(F.col("true_batch"))).alias("false_links"))
+
+
+_AGAINST = lambda name, rows: f"SELECT '{name}' AS baseline, count(*) AS linked, count(*) FILTER (l.bank_txn_id IS DISTINCT FROM t.bank_txn_id) AS false_links FROM {rows} l LEFT JOIN true_links t USING (batch_id)"
+
+
+@query(f"""{NAIVE}{SAID} {_AGAINST("engine", "linked")} UNION ALL {_AGAINST("exact", "p2")} UNION ALL {_AGAINST("naive", "(SELECT * FROM greedy WHERE bank_txn_id <> '')")} UNION ALL {_AGAINST("model", "(SELECT said AS batch_id, bank_txn_id FROM llm WHERE said IS NOT NULL)")}""")
+def baselines(e):
+    """How many links each way of linking makes, and how many of them are false."""
+    truth = e.labels["true_links"]
+    engine = e.batch_links.where("bank_row_id is not null").select("batch_id", F.col("bank_row_id").alias("bank_txn_id"))
+    model = H.parse_links(_said(e)).where("batch_id is not null")
+    named = {"engine": engine, "exact": e.passes.exact, "naive": B.naive_links(e.batches, e.passes.credits, e.passes.as_of), "model": model}
+    rows = [M.baseline(name, links, truth) for name, links in named.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+_CONFIRMED = "(SELECT count(*) FROM decided WHERE outcome = 'CONFIRMED')"
+_BY_RULE = "count(*) FILTER (status = 'CONFIRMED')"
+
+
+@query(f"{LOOP}{FACTS} SELECT 6 AS minutes_per_review, {_BY_RULE} AS deterministic_resolutions, {_BY_RULE} * 6 AS minutes_saved_deterministic, cast({_CONFIRMED} AS int) AS model_resolutions, cast({_CONFIRMED} * 6 AS int) AS minutes_saved_model FROM outcomes")
+def analyst_minutes(e):
+    """Minutes of review saved by rules, and by what the model said of likely duplicates."""
+    return M.analyst_minutes(e.cases, 6, looped(e)[1].where("outcome = 'CONFIRMED'").count())
+
+
+#: Fixed value: what a decision of the model costs, in rupees.
+PER_DECISION = "0.4845"
+
+
+@query(f"{LOOP} SELECT round, {_N(chr(39).join(('outcome = ', 'CONFIRMED', '')))} AS resolved, cast(count(*) * {PER_DECISION} AS decimal(18,4)) AS cost, cast(round_even(cast(count(*) * {PER_DECISION} AS double) / nullif({_N(chr(39).join(('outcome = ', 'CONFIRMED', '')))}, 0), 4) AS decimal(18,4)) AS per_resolved FROM decided GROUP BY 1")
+def cost_per_resolved(e):
+    """What each round of asking cost, in all and for each exception that it resolved."""
+    done, cost = F.count_if(F.col("outcome") == "CONFIRMED"), F.count(F.lit(1)).cast("decimal(12,0)") * F.lit(PER_DECISION).cast("decimal(6,4)")
+    return looped(e)[1].groupBy("round").agg(done.alias("resolved"), cost.cast("decimal(18,4)").alias("cost"), M.cost_per_resolved(cost, done).alias("per_resolved"))

@@ -13,6 +13,7 @@ from ledgerloom.plans.case_queries import FACTS, LIKELY
 from ledgerloom.plans.lens import oracle
 from ledgerloom.plans.lifecycle_queries import ALL
 from ledgerloom.plans.link_queries import PASSES
+from ledgerloom.sources import truth as T
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,6 +36,7 @@ def _sum(value: str, when: str = "true") -> str:
     return f"cast(coalesce(sum({value}) FILTER ({when}), 0) AS decimal(28,2))"
 
 
+SURELY = "count(*) FILTER (status = 'CONFIRMED')"
 SURE, WRONG = "status = 'CONFIRMED'", "status = 'CONFIRMED' AND category IS DISTINCT FROM true_category"
 
 
@@ -71,18 +73,6 @@ def labelled_metrics_c(e):
     return M.population_c(e.row_variances, e.labels["true_rows"])
 
 
-@query(f"""{FACTS} SELECT 6 AS minutes_per_review, count(*) FILTER ({SURE}) AS deterministic_resolutions, count(*) FILTER ({SURE}) * 6 AS minutes_saved_deterministic, 3 AS model_resolutions, 18 AS minutes_saved_model FROM outcomes""")
-def analyst_minutes(e):
-    return M.analyst_minutes(e.cases, 6, 3)
-
-
-@query(f"""{ALL} SELECT population, count(*) FILTER ({SURE}) AS resolved, cast(round_even(CAST(100 AS double) / nullif(count(*) FILTER ({SURE}), 0), 4) AS decimal(18,4)) AS cost FROM exc GROUP BY 1""")
-def cost_per_resolved(e):
-    """A cost of 100 for each population, shared out over what was resolved in it."""
-    done = F.count_if(F.col("status") == "CONFIRMED")
-    return S.outcomes_of(e.cases, e.batch_links, e.row_variances).groupBy("population").agg(done.alias("resolved"), M.cost_per_resolved(F.lit(100), done).alias("cost"))
-
-
 TOP20 = """, top20 AS (SELECT bank_txn_id, batch_id FROM (SELECT bank_txn_id, batch_id, row_number() OVER (PARTITION BY bank_txn_id ORDER BY abs(amount - net_total), abs(date_diff('day', settled_event_date, value_date)), batch_id) AS rank FROM cr CROSS JOIN batches) WHERE rank <= 20)"""
 
 
@@ -91,13 +81,6 @@ def recall_at_20(e):
     return M.recall_at(B.nearest_batches(e.passes.credits, e.batches), e.labels["true_links"], e.passes.credits)
 
 
-@query(f"""{PASSES} SELECT 'engine' AS baseline, count(*) AS linked, count(*) FILTER (l.bank_txn_id IS DISTINCT FROM t.bank_txn_id) AS false_links FROM linked l LEFT JOIN true_links t USING (batch_id)
-  UNION ALL SELECT 'exact', count(*), count(*) FILTER (l.bank_txn_id IS DISTINCT FROM t.bank_txn_id) FROM p2 l LEFT JOIN true_links t USING (batch_id)""")
-def baselines(e):
-    links = e.batch_links.where("bank_row_id is not null").select("batch_id", F.col("bank_row_id").alias("bank_txn_id"))
-    return M.baseline("engine", links, e.labels["true_links"]).unionByName(M.baseline("exact", e.passes.exact, e.labels["true_links"]))
-
-
 @query("SELECT count(*) AS payments, count(*) FILTER (payment_id IN (SELECT payment_id FROM lines)) AS with_a_line FROM payments")
 def naive_case_count(e):
     with_line = e.payments.join(e.lines.select("payment_id").distinct(), "payment_id", "left_semi").agg(F.count(F.lit(1)).alias("with_a_line"))
@@ -117,12 +100,14 @@ def duplicate_pair_exceptions(e):
     return M.duplicate_pairs(duplicates.candidates(e.ledger))
 
 
-@query("""SELECT 'batch' AS a, 'order' AS b, (SELECT count(*) FROM (SELECT batch_id FROM batches INTERSECT SELECT order_id FROM ledger)) AS common UNION ALL SELECT 'batch', 'settlement', (SELECT count(*) FROM (SELECT batch_id FROM batches INTERSECT SELECT settlement_id FROM lines))
-  UNION ALL SELECT 'batch', 'wanted', (SELECT count(*) FROM (SELECT batch_id FROM batches INTERSECT SELECT batch_id FROM lines WHERE line_type = 'refund')) UNION ALL SELECT 'order', 'settlement', (SELECT count(*) FROM (SELECT order_id FROM ledger INTERSECT SELECT settlement_id FROM lines))
-  UNION ALL SELECT 'order', 'wanted', (SELECT count(*) FROM (SELECT order_id FROM ledger INTERSECT SELECT batch_id FROM lines WHERE line_type = 'refund')) UNION ALL SELECT 'settlement', 'wanted', (SELECT count(*) FROM (SELECT settlement_id FROM lines INTERSECT SELECT batch_id FROM lines WHERE line_type = 'refund'))""")
+_KINDS = {"bank": ("bank", "bank_txn_id"), "batch": ("batches", "batch_id"), "case": ("facts", "case_id"), "order": ("ledger", "order_id"), "payment": ("payments", "payment_id"), "refund": ("refunds", "refund_id"), "settlement": ("lines", "settlement_id")}
+_ids = lambda kind: f"SELECT {_KINDS[kind][1]} FROM {_KINDS[kind][0]}"
+
+
+@query(f"{FACTS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, (SELECT count(*) FROM ({_ids(a)} INTERSECT {_ids(b)})) AS common" for a in _KINDS for b in _KINDS if a < b))
 def namespace_overlaps(e):
-    """Ids of different kinds have none in common; batches of refunds are held against all batches to show a number."""
-    return M.overlaps({"batch": e.batches.select("batch_id"), "order": e.ledger.select("order_id"), "settlement": e.lines.select("settlement_id"), "wanted": e.lines.where("line_type = 'refund'").select("batch_id")})
+    """Ids of seven kinds, of which no two have any in common."""
+    return M.overlaps({kind: getattr(e, table).select(id_) for kind, (table, id_) in _KINDS.items()})
 
 
 @query("SELECT DISTINCT bank_txn_id, token FROM (SELECT bank_txn_id, unnest(string_split(replace(replace(narration, '/', ' '), '-', ' '), ' ')) AS token FROM bank) WHERE regexp_full_match(token, '[A-Z0-9]{16}')")
@@ -138,3 +123,24 @@ def case_outcomes_ordered(e):
 @query(f"{PASSES} SELECT source_table, row_id, category FROM rowvar ORDER BY ALL")
 def row_variances_ordered(e):
     return e.row_variances.select("source_table", "row_id", "category").orderBy("source_table", "row_id", "category")
+
+
+@query(f"""{FACTS}, per AS (SELECT year(captured_at) AS seed, count(*) FILTER (outcomes.status <> 'CONFIRMED') AS open FROM outcomes JOIN payments USING (payment_id) GROUP BY 1)
+  SELECT count(*) AS seeds, cast(sum(open) AS bigint) AS total, cast(avg(open) AS decimal(18,4)) AS mean, min(open) AS least, max(open) AS most, cast(stddev_samp(open) AS decimal(18,4)) AS deviation, cast(sqrt(avg(open)) AS decimal(18,4)) AS by_chance, count(*) FILTER (open > 0) AS seeds_with_any FROM per""")
+def open_over_years(e):
+    """Open cases of each year, summed up over the years as over seeds."""
+    per = e.cases.join(e.payments.select("payment_id", F.year("captured_at").alias("seed")), "payment_id").groupBy("seed").agg(F.count_if(F.col("status") != "CONFIRMED").alias("open"))
+    rows = M.over_seeds(per, "open")
+    return rows.select("seeds", "total", *[F.round(c, 4).cast("decimal(18,4)").alias(c) for c in ("mean", "deviation", "by_chance")], "least", "most", "seeds_with_any")
+
+
+@query(f"""{FACTS},{PASSES.lstrip()[1:]} SELECT 'cases' AS population, count(*) AS n, {SURELY} AS decided, count(*) FILTER (status = 'CONFIRMED' AND category IS DISTINCT FROM true_category) AS wrong FROM outcomes LEFT JOIN true_cases USING (case_id)
+  UNION ALL SELECT 'links', count(*), {SURELY}, count(*) FILTER (status = 'CONFIRMED' AND bank_row_id IS DISTINCT FROM t.bank_txn_id) FROM links LEFT JOIN true_links t USING (batch_id)
+  UNION ALL SELECT 'rows', (SELECT count(*) FROM true_rows), count(*), count(*) FILTER (true_category IS NULL) FROM (SELECT DISTINCT row_id, category FROM rowvar) r LEFT JOIN true_rows t ON t.row_id = r.row_id AND t.true_category = r.category""")
+def truth_scores(e):
+    """Outcomes of the three populations against labels: how many were decided, and how many of those wrongly."""
+    kind = F.when(F.col("row_id").startswith("ORD_"), "ledger_row").otherwise("bank_row").alias("row_kind")
+    cases, links = T.score_cases(e.cases, e.labels["true_cases"]), T.score_links(e.batch_links, e.labels["true_links"])
+    rows = T.score_rows(e.row_variances, e.labels["true_rows"].select("row_id", kind, "true_category"))
+    one = lambda name, frame, n, decided, wrong: frame.select(F.lit(name).alias("population"), F.col(n).alias("n"), F.col(decided).alias("decided"), wrong.alias("wrong"))
+    return one("cases", cases, "cases", "confirmed", F.col("false_matches")).unionByName(one("links", links, "batches", "linked", F.col("false_links"))).unionByName(one("rows", rows, "true", "found", F.col("found") - F.col("hits")))
