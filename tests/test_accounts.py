@@ -89,3 +89,45 @@ def test_annotations(spark):
     ids = lambda *x: spark.createDataFrame(list(x), "kind string, id string")
     found = N.account(ids(("a", "1"), ("a", "2"), ("b", "9")), ids(("a", "2"), ("a", "3"), ("a", "3"), ("c", "5")))
     assert sorted(map(tuple, found.collect())) == [("a", 2, 2, 1, 1), ("b", 0, 1, 0, 1), ("c", 1, 0, 1, 0)]
+
+
+def test_working_days_are_not_taken_back(spark):
+    from ledgerloom.operators import calendar
+
+    days = calendar.calendar(spark, "2026-09-01", "2026-09-30", ["2026-09-07"])
+    rows = spark.createDataFrame([("2026-09-05", 0), ("2026-09-05", 2), ("2026-09-30", 5), ("2026-09-01", None)], "d string, n int").withColumn("d", F.col("d").cast("date"))
+    got = [str(r.due) for r in calendar.add_working_days(rows, days, "d", F.col("n"), "due").orderBy("d", "n").collect()]
+    assert got == ["None", "2026-09-08", "2026-09-10", "None"]
+    with pytest.raises(Exception, match="negative"):
+        calendar.add_working_days(rows.withColumn("n", F.lit(-1)), days, "d", F.col("n"), "due").collect()
+    numbers = spark.createDataFrame([(1,), (30,)], "n int").select(calendar.day_as_of("2026-09-01", "2026-09-30", F.col("n")).alias("d"))
+    assert [str(r.d) for r in numbers.orderBy("d").collect()] == ["2026-09-01", "2026-09-30"]
+    for bad in (0, 31):
+        with pytest.raises(Exception, match="no date for day"):
+            spark.range(1).select(calendar.day_as_of("2026-09-01", "2026-09-30", F.lit(bad))).collect()
+    assert spark.range(1).select(calendar.has_arrived(F.lit("2026-09-01").cast("date"), F.lit("2026-09-01").cast("date"))).first()[0]
+
+
+def test_labels_and_figures(spark, tmp_path):
+    from ledgerloom.operators import metrics as M
+    from ledgerloom.sources import truth as T
+
+    (tmp_path / "truth.json").write_text(
+        """{"cases": [{"case_id": "c1", "payment_id": "p1", "true_category": null, "true_variance_amount": "0.00", "resolvable_in_principle": true}, {"case_id": "c2", "payment_id": "p2", "true_category": "X", "true_variance_amount": "5.00", "resolvable_in_principle": false}],
+        "batch_links": [{"batch_id": "b1", "bank_txn_id": "k1", "true_category": null, "true_variance_amount": "0.00", "resolvable_in_principle": true}, {"batch_id": "b2", "bank_txn_id": null, "true_category": "Y", "true_variance_amount": "1.00", "resolvable_in_principle": true}],
+        "row_variances": [{"row_id": "o1", "row_kind": "ledger_row", "true_category": "DUPLICATE_CONFIRMED", "true_variance_amount": "1.00"}, {"row_id": "k9", "row_kind": "bank_row", "true_category": "UNEXPLAINED", "true_variance_amount": "1.00"}]}"""
+    )
+    truth = T.read(spark, str(tmp_path / "truth.json"))
+    assert sorted(r.true_variance_amount for r in truth["cases"].collect()) == [D("0.00"), D("5.00")]
+    cases = spark.createDataFrame([("c1", "CONFIRMED", None), ("c2", "CONFIRMED", None), ("c3", "OPEN", "X")], "case_id string, status string, category string")
+    got = T.score_cases(cases, truth["cases"]).first()
+    assert (got.cases, got.confirmed, got.false_matches, got.match_rate, got.false_match_rate) == (3, 2, 1, D("0.666667"), D("0.500000"))
+    links = spark.createDataFrame([("b1", "CONFIRMED", "k1"), ("b2", "CONFIRMED", "k5")], "batch_id string, status string, bank_row_id string")
+    assert tuple(T.score_links(links, truth["batch_links"]).first())[:3] == (2, 2, 1)
+    rows = spark.createDataFrame([("o1", "ledger_rows", "DUPLICATE_CONFIRMED"), ("k8", "bank_rows", "UNEXPLAINED")], "row_id string, source_table string, category string")
+    assert tuple(T.score_rows(rows, truth["row_variances"]).first()) == (2, 2, 1, D("0.500000"), D("0.500000"))
+    assert T.score_cases(cases.limit(0), truth["cases"]).first().match_rate is None
+    timings = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 5.0), ("a", 3, 2.0), ("b", 1, 4.0)], "stage string, repetition int, seconds double")
+    assert sorted(map(tuple, M.by_stage(timings).collect())) == [("a", 2.0, 3), ("b", 4.0, 1)]
+    figures = M.over_seeds(spark.createDataFrame([(1, 0), (2, 4)], "seed int, n int"), "n").first()
+    assert (figures.total, figures["mean"], figures.seeds_with_any) == (4, 2.0, 1)
