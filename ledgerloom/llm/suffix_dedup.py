@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WordHashes, filter_bits, grams, keep, mix64, passes, release, small_batches, table, text_of
+from ledgerloom.operators.stage import numbered
 
 #: Words of a passage that counts, and of a suffix's head; a window of SPAN heads has PASSAGE words.
 PASSAGE, HEAD = 50, 10
@@ -240,11 +241,21 @@ def _islands(uid: np.ndarray, earlier: np.ndarray, start: np.ndarray, end: np.nd
     return order[begins], start[begins], np.maximum.reduceat(end, begins)
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and uid, a number for each row in order of id, then of the text's digest, wherever the rows lie. Ids that are all there and all different number the rows themselves; otherwise the rows are sorted for it, nulls first."""
+    rows = docs.select("doc_id", text_of().alias("text"))
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()))
+    places = numbered(rows.select("doc_id", F.sha2("text", 256).alias("digest"), "row"), ["doc_id", "digest", "row"], "uid")  # rows that are equal in both may stand either way
+    return rows.join(places.select("row", "uid"), "row").select("uid", "doc_id", "text")
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """MATCH for the places of all windows of PASSAGE words that stand in two places or more; those of one head that overlap in a text come as one."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
+    rows = _in_order(docs)
     heads = rows.select("text").mapInPandas(_heads, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n > 1")
     heads = keep(heads)
     n_suffixes = heads.agg(F.sum("n")).first()[0] or 0
@@ -306,8 +317,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     uid (of the row), doc_id, n_words, spans (start and end of the repeated
     words, counted in words), cut_spans (the words of each window of PASSAGE
-    words that stands at an earlier place too, in order of uid and place; where
-    both places overlap in one text, only what lies behind the earlier one),
+    words that stands at an earlier place too, in order of doc_id (nulls first),
+    then the text's digest, then place, however the rows lie; where both places
+    overlap in one text, only what lies behind the earlier one),
     other_ids (documents that share the passages: for the windows around a head
     one of an earlier place, or for the earliest place one of a later). Words
     are runs without the six ASCII blanks.

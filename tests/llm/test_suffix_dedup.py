@@ -110,6 +110,22 @@ def test_a_text_that_repeats_itself_keeps_its_beginning(spark):
     assert spans(first.cut_spans) == [(50, 200)] and spans(second.cut_spans) == [(0, 200)]
 
 
+@pytest.mark.parametrize("ids", [range(6), [3, None, 3, 3, None, 1]])
+def test_what_is_cut_does_not_depend_on_the_layout(spark, ids):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(i, f"a{k} {text} b{k}") for k, i in enumerate(ids)]
+    results = []
+    for order, parts in ((rows, 1), (rows[::-1], 1), (rows[3:] + rows[:3], 3)):
+        frame = spark.createDataFrame(order, "doc_id long, text string").coalesce(1) if parts == 1 else spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        found = M.repeated_passages(frame).collect()
+        results.append(sorted((str(r.doc_id), str(r.spans), str(r.cut_spans)) for r in found))
+        uncut = [r for r in found if not r.cut_spans]
+        assert len(uncut) == 1 and uncut[0].uid == min(r.uid for r in found)
+        assert uncut[0].doc_id == (None if None in ids else min(ids))
+    assert results[0] == results[1] == results[2]
+
+
 def test_groups_of_heads_give_what_the_whole_slice_gives(monkeypatch):
     rng = np.random.default_rng(3)
     rows = pd.DataFrame([(h, int(rng.integers(20)), int(rng.integers(900))) for h in range(-6, 6) for _ in range(rng.choice([1, 9, 40]))], columns=["head", "uid", "at"])
