@@ -154,7 +154,9 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
 
     Null texts equal the empty text, which has no words, fails the base rule
     and isn't kept. Each row is judged on its own, so ties, repeated rows and
-    null ids need no rule. An empty table gives no rows.
+    null ids need no rule. An empty table gives no rows. Columns of docs that
+    are named like one of those given here, or ``words``, are replaced;
+    ``select_good`` keeps all columns as they are.
     """
     rules = default_rules() if rules is None else rules
     shown = lambda name: F.col(name) if name in SHOWN else statistic(name)

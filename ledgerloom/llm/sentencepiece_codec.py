@@ -174,7 +174,7 @@ def codec(docs: DataFrame, model_file: str) -> DataFrame:
     it has a word marker), parity (the sentencepiece library gives the same
     ids). Null and empty texts have no ids and decode to the empty text. Rows
     are encoded on their own: repeated rows and null ids come out as they
-    went in.
+    went in, whatever other columns docs has. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     run = _coded(model_file, lambda text, ids, decoded, parity: {"ids": ids, "decoded": decoded, "parity": parity})
@@ -182,7 +182,7 @@ def codec(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
-    """``codec`` with its large columns summed up where they are made: doc_id, n_tokens, ids_crc32, decoded_crc32, round_trip (decoding gave the text, word markers as blanks), parity."""
+    """``codec`` with its large columns summed up where they are made: doc_id, n_tokens, ids_crc32, decoded_crc32, round_trip (decoding gave the text, word markers as blanks), parity. An empty table gives no rows, an empty text no ids and the checksums of nothing, 0."""
     small_batches(docs.sparkSession)
 
     def row(text: str, ids: list[int], decoded: str, parity: bool) -> dict:

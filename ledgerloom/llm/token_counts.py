@@ -205,7 +205,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit for each row, from whole texts and without a shuffle.
 
     Null and empty texts have no bytes and no tokens. Rows are counted on
-    their own, so repeated rows and null ids come out as they went in.
+    their own, so repeated rows and null ids come out as they went in,
+    whatever other columns docs has. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 

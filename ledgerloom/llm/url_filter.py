@@ -119,7 +119,8 @@ def filter_urls(pages: DataFrame, rules=HOST_RULES, block_globs=BLOCK_GLOBS) ->
     is null and the verdict is block if one of block_globs fits, else allow.
     Null urls and urls without :// have an empty host and path; only globs
     can fit those. Rows are judged on their own: repeated rows and null ids
-    come out as they went in, whatever other columns there are.
+    come out as they went in, whatever other columns there are. An empty
+    table gives no rows.
     """
     small_batches(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: -len(r.text))
