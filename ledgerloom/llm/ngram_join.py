@@ -361,6 +361,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         if comps is not None and found.isEmpty():
             break
         comps = components_so_far()
+    forget(sizes, shared_slots, weights, slots)  # the links that they gave are written
 
     # Prefix tokens of the first order that stand in different components; then those of the other orders, for classes that have such.
     shared, bits = shared_tokens(by_row(worded), total, representative)
@@ -390,7 +391,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     least = keep(found.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     labels = keep(found.join(least, "comp").select("key", "component_id", "comp"))
     out = worded.select("doc_id", "text_key", "key", F.col("n").cast("long").alias("n_shingles")).join(labels, "key").drop("key")
-    return out.unionByName(without)
+    out = keep(out.unionByName(without))
+    forget(sets, classes, shared, pairs, found, least, labels)  # the sets are about as large as the texts
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
