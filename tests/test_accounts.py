@@ -28,6 +28,18 @@ def test_digest_is_that_of_the_order(spark, monkeypatch):
     assert (one.rows, one.digest) == (1, sha("x")) and tuple(digest.tree(rows.limit(0), ["k"], F.lit("x")).first()) == (0, sha(""))
 
 
+def test_digests_at_a_fixed_height(spark, monkeypatch):
+    """Two levels for any number of rows: the groups that a third would join stay apart, and one row is digested twice more."""
+    monkeypatch.setattr(digest, "ARITY", 3)
+    text = F.concat(F.lit("row "), F.col("k").cast("string"))
+    for n in (0, 1, 3, 9, 10, 20, 28):
+        level = [sha(f"row {k}") for k in range(n)]
+        for _ in range(2):
+            level = [sha("".join(level[i : i + 3])) for i in range(0, n and len(level), 3)]
+        rows = spark.range(n).select(((F.col("id") * 11 + 5) % n).alias("k") if n else F.col("id").alias("k"))
+        assert sorted(map(tuple, digest.levels(rows, ["k"], text, 2).collect())) == sorted((n, x) for x in level)
+
+
 def test_documents(spark):
     rows = spark.createDataFrame([(f"e{i}", "ROUNDING_DIFFERENCE", D(i % 3 + 1)) for i in range(7)], "exception_id string, category string, amount decimal(18,2)")
     placed = J.documents(J.journal(rows), size=3)
