@@ -139,7 +139,7 @@ def batch_status_counts(e):
 @query(f"""{PASSES} SELECT bank_txn_id, batch_id, rank FROM (SELECT bank_txn_id, batch_id, cast(row_number() OVER (PARTITION BY bank_txn_id ORDER BY abs(amount - net_total), abs(date_diff('day', settled_event_date, value_date)), batch_id) AS int) AS rank
   FROM cr CROSS JOIN batches) WHERE rank <= 20""")
 def top20_candidates(e):
-    return B.nearest_batches(e.passes.credits, e.batches)
+    return B.nearest_batches(e.credits, e.batches)
 
 
 @query("SELECT count(*) AS batches, count(*) FILTER (n = 1) AS unique_amounts, cast(round_even(cast(count(*) FILTER (n = 1) AS double) / count(*), 6) AS decimal(18,6)) AS ratio FROM batches JOIN (SELECT net_total, count(*) AS n FROM batches GROUP BY 1) USING (net_total)")

@@ -78,7 +78,7 @@ TOP20 = """, top20 AS (SELECT bank_txn_id, batch_id FROM (SELECT bank_txn_id, ba
 
 @query(f"""{PASSES}{TOP20} SELECT count(*) AS answerable, count(s.batch_id) AS hits, {_rate("count(s.batch_id)", "count(*)")} AS recall FROM cr JOIN true_links t USING (bank_txn_id) LEFT JOIN top20 s ON s.bank_txn_id = cr.bank_txn_id AND s.batch_id = t.batch_id""")
 def recall_at_20(e):
-    return M.recall_at(B.nearest_batches(e.passes.credits, e.batches), e.labels["true_links"], e.passes.credits)
+    return M.recall_at(B.nearest_batches(e.credits, e.batches), e.labels["true_links"], e.credits)
 
 
 @query("SELECT count(*) AS payments, count(*) FILTER (payment_id IN (SELECT payment_id FROM lines)) AS with_a_line FROM payments")

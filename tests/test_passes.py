@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import batch_link as B
 from ledgerloom.operators import duplicates
-from ledgerloom.plans.engine import over_lens
+from ledgerloom.plans.engine import Engine, over_lens
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -205,3 +205,11 @@ def test_variance_adds_up(engine):
     """What is explained and what isn't make the whole variance, up to the tolerance that rounding takes."""
     off = engine.cases.join(engine.facts.select("case_id", "authorized", "captured"), "case_id").where(F.abs(F.col("variance") - (F.col("authorized") - F.col("captured")) - F.col("unexplained")) > 1)
     assert off.count() == 0
+
+
+def test_tables_are_asked_for_when_a_query_needs_them(spark):
+    """The nearest batches need credits and batches alone, so no other table is made for them."""
+    batches = spark.createDataFrame([("B1", "U", D("5.00"), date(2001, 1, 1))], "batch_id string, utr string, net_total decimal(18,2), settled_event_date date")
+    bank = spark.createDataFrame([("C1", date(2001, 1, 2), D("7.00"), "NEFT U", "credit"), ("C2", date(2001, 1, 2), D("5.00"), "NEFT U", "debit")], "bank_txn_id string, value_date date, amount decimal(18,2), narration string, direction string")
+    engine = Engine({"batches": batches, "bank": bank}, None, None, None, "", "2001-06-30")
+    assert list(map(tuple, B.nearest_batches(engine.credits, engine.batches).collect())) == [("C1", "B1", 1)]
