@@ -62,8 +62,8 @@ CHANCE, BITS, SHARE, EVIDENCE = 0.6, 5.0, 0.75, 8.0
 APART, FEW, MOST = 0.75, 3, 0.05
 #: Documents of which a term has half the weight of none, so that a term of one document is never sure.
 HELD_BACK = 0.5
-#: No term can reveal BITS of an entity of a larger share of all documents; up to so many documents SHARE decides.
-FREQUENT = 1000
+#: Entities of more documents than this would be left out: none is, as SHARE decides for those of which no term can reveal BITS.
+FREQUENT = float("inf")
 
 
 def _luhn(digits: str) -> bool:
@@ -255,7 +255,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, chance: float = CHANCE, bits
     n_docs = scanned.count()
     texts = keep(scanned.where(F.size("entities") > 0).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("entities").alias("entities")))
     each = texts.select("text_key", "copies", F.inline("entities"))
-    entities = each.groupBy("entity").agg(_apart().alias("apart"), F.sum("copies").alias("n_entity")).where(F.col("apart") & (F.col("n_entity") <= max(FREQUENT, n_docs * 2.0**-bits)))
+    entities = each.groupBy("entity").agg(_apart().alias("apart"), F.sum("copies").alias("n_entity")).where("apart")
     entities = keep(entities.select("entity", "n_entity"))
     if entities.isEmpty():
         return docs.sparkSession.createDataFrame([], f"text_key long, terms array<{SPAN}>")
