@@ -77,3 +77,15 @@ def test_days_between_are_asymmetric(spark, days):
         late = sum(working(r.a + timedelta(i)) for i in range(1, (r.b - r.a).days + 1))
         early = sum(working(r.b + timedelta(i)) for i in range((r.a - r.b).days))
         assert r.n == (late if r.b >= r.a else -early)
+
+
+def test_rows_of_many_texts_are_compiled(spark):
+    """What a row of amounts and dates is parsed by stays below the size from which the JVM no longer compiles a method."""
+    amounts = ["12.50", "-0.00", "9999999999999999.99", "1,234.5", "(7.25)", "₹ 3.10", "5", "", "12.50\n", None]
+    dates = ["2001-02-28", "2001-02-30", "0000-01-01", " 2001-02-28", "2001-02-28\n", "28/02/2001", "02-03-2001", "x", None]
+    rows = spark.createDataFrame([(a, d) for a in amounts for d in dates], "a string, d string")
+    got = rows.select("a", "d", *[N.parse_amount(F.concat("a", F.lit(""))).alias(f"a{i}") for i in range(4)], *[N.parse_date(F.concat("d", F.lit("")))["value"].cast("string").alias(f"d{i}") for i in range(2)])
+    codes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(got._jdf.queryExecution().executedPlan())
+    assert codes.size() == 1 and 0 < codes.apply(0)._3().maxMethodCodeSize() < 8000
+    plain = rows.select("a", "d", N._parse_amount(F.col("a")).alias("pa"), N._parse_date(F.col("d"), None)["value"].cast("string").alias("pd")).collect()
+    assert [(r.a0, r.a3, r.d0, r.d1) for r in got.collect()] == [(r.pa, r.pa, r.pd, r.pd) for r in plain]
