@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,14 @@ SHARD_TOKENS = 1_000_000
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 LETTERS = "a-zß-öø-ÿ"
 PLAIN = re.compile(f"[{LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
-WORDS = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-#: Bytes of chunks and their ids that a task remembers.
-CACHE_BYTES = 110_000_000
+#: The parts of plain chunks, which are joined by line ends.
+WORDS = re.compile(f"[{LETTERS}]+|[0-9]|\\n|[^{LETTERS}0-9\\n]+")
+#: No id: stands between the ids of two chunks.
+BETWEEN = np.uint32(0xFFFFFFFF)
+#: Characters of texts whose new chunks are learnt in one go; a longer text is learnt on its own.
+GROUP_CHARS = 1 << 19
+#: Bytes of chunks, the words in them and their ids that a task remembers, and what an entry takes besides.
+CACHE_BYTES, ENTRY_BYTES = 75_000_000, 150
 #: Texts by which a tokenizer is tried before its ids are put together from parts.
 PROBES = ("", "Two  WORDS\n\tand more", "it's a-b_c (x1y22) e.g. 3.14!?", "ÄÖÜ straße déjà-vu, größe", "漢字 \u00a0 x", "a<|endoftext|>b")
 #: Ids from here on are rarer tokens, of which signatures are made.
@@ -49,48 +55,76 @@ class Chunks(dict):
     """The ids of chunks between blanks, as bytes. A tokenizer that splits there in any case gives a text the ids of its chunks."""
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads here
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.words: dict[bytes, bytes] = {}
+        # The same model for words that are told apart already, in the characters that it has for bytes.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.characters = {b: level(bytes([195, b]).decode())[0][0][1] for b in range(128, 192)} | {b: level(bytes([b, 128]).decode())[0][0][0] for b in (194, 195)} | {32: " "}
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.size = 0
         for text in PROBES:  # what is taken for granted below
             if np.frombuffer(self.ids([text])[0], "<u4").tolist() != [*self.tokenizer.encode(text, add_special_tokens=False).ids, END]:
                 raise ValueError("the tokenizer doesn't lower case, or splits words otherwise")
 
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Plain words, many in one call: each ends with the only id of its own that ends a word."""
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            text = b" ".join(part)
+            text = text.decode() if text.isascii() else text.decode("latin-1").translate(self.characters)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut, blob = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            if len(cut) != len(part) or cut[-1] != len(blob):
+                raise ValueError("the tokenizer doesn't mark where words end")
+            self.update(zip(part, map(blob.__getitem__, map(slice, [0, *cut], cut)), strict=False))
+
     def _learn(self, chunks: set[bytes]) -> None:
         if self.size > CACHE_BYTES:
             self.clear()
-            self.words.clear()
             self.size = 0
+        before = len(self)
         # Characters of this range stay as they are in the normaliser; without an apostrophe they split into letters, single digits and the rest.
-        parts = {c: [w.encode() for w in WORDS.findall(t)] if PLAIN.fullmatch(t := c.decode("utf-8", "replace")) and "<|" not in t else [c] for c in chunks}
-        new = {w for p in parts.values() for w in p if w not in self.words}
-        model, shape, other = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str, []
-        for w in new:
-            if PLAIN.fullmatch(t := w.decode("utf-8", "replace")) and "<|" not in t and len(WORDS.findall(t)) == 1:
-                piece = t if w.isascii() else shape(t)[0][0]
-                self.words[w] = np.array([x.id for x in model.tokenize(piece)], "<u4").tobytes()
-            else:
-                other.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
-        self.update((c, b"".join(map(self.words.__getitem__, p))) for c, p in parts.items())
-        self.size += sum(250 + len(c) + len(self[c]) for c in chunks) + sum(250 + len(w) + len(self.words[w]) for w in new)
+        plain, other = [], []
+        for t in b"\n".join(chunks).decode().split("\n") if chunks else []:
+            (plain if PLAIN.fullmatch(t) and "<|" not in t else other).append(t)
+        if plain:
+            self[b"\n"] = BETWEEN.tobytes()  # no chunk has one
+            parts = list(map(str.encode, WORDS.findall("\n".join(plain))))
+            self._learn_words(sorted({*filterfalse(self.__contains__, parts)}, key=bytes.isascii))
+            blob = b"".join(map(self.__getitem__, parts))
+            cut = (4 * np.flatnonzero(np.frombuffer(blob, "<u4") == BETWEEN)).tolist()
+            self.update(zip(map(str.encode, plain), map(blob.__getitem__, map(slice, [0, *[c + 4 for c in cut]], [*cut, len(blob)])), strict=True))
+            self.size += len(blob)
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.update((t.encode(), np.array(e.ids, "<u4").tobytes()) for t, e in zip(other, found, strict=True))
+        self.size += ENTRY_BYTES * (len(self) - before) + sum(map(len, chunks)) + 4 * sum(len(e.ids) for e in found)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out, end = [], np.uint32(END).tobytes()
-        for text in texts:
-            # The tokenizer lowers A-Z anyway; only its special tokens, which begin with <|, are told apart before.
-            chunks = (text.encode() if "<|" in text else text.encode().lower()).split()
-            try:
-                out.append(b"".join(map(self.__getitem__, chunks)) + end)
-            except KeyError:
-                need = set(chunks)
-                self._learn(need if self.size > CACHE_BYTES else {c for c in need if c not in self})
-                out.append(b"".join(map(self.__getitem__, chunks)) + end)
+        out, end, begin = [], np.uint32(END).tobytes(), 0
+        while begin < len(texts):
+            held, size, stop = [], 0, begin
+            while stop < len(texts) and size <= GROUP_CHARS:
+                text = texts[stop]
+                # The tokenizer lowers A-Z anyway; only its special tokens, which begin with <|, are told apart before.
+                held.append((text.encode() if "<|" in text else text.encode().lower()).split())
+                size, stop = size + len(text), stop + 1
+            flat = list(chain.from_iterable(held))
+            found = list(map(self.get, flat))
+            if new := {c for c, x in zip(flat, found, strict=True) if x is None}:
+                self._learn(set(flat) if self.size > CACHE_BYTES else new)
+                found = [self[c] if x is None else x for c, x in zip(flat, found, strict=True)]
+            at = 0
+            for chunks in held:
+                out.append(b"".join(found[at : at + len(chunks)]) + end)
+                at += len(chunks)
+            begin = stop
         return out
 
 

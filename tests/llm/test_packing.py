@@ -93,3 +93,12 @@ def test_large_ids_beside_null(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         M.Chunks(public_path("byte_bpe_50k.json"))
+
+
+def test_new_chunks_of_many_texts_are_learnt_together(monkeypatch):
+    fresh, calls, learn = M.Chunks(FILE), [], M.Chunks._learn
+    monkeypatch.setattr(M.Chunks, "_learn", lambda self, new: (calls.append(len(new)), learn(self, new)))
+    texts = [f"zorbl{i}x grün{chr(97 + i % 26)}q{i}, «ñ{i}» it's" for i in range(300)] + ["", "the the"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in fresh.ids(texts)] == [[*fresh.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(calls) == 1
