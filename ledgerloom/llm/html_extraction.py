@@ -11,8 +11,9 @@ pages are disjoint, these numbers add up to those of the host. A substring
 that a tenth of a host's pages share is boilerplate; tokens that it covers
 go, and the unique runs between them stay.
 
-Only counted substrings are shuffled; pages with undecided blocks meet the
-substrings of their own host again, all others are done in one pass.
+Of hosts without undecided blocks no page is shuffled. Pages with undecided
+blocks meet the substrings of their own host again, all others are done in one
+pass.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, grams, keep, release, small_batches, table
+from ledgerloom.llm.common import WordHashes, grams, keep, release, small_batches, split_by_key, table
 from ledgerloom.llm.url_filter import host_of
 
 #: Tokens of the substrings that are looked for.
@@ -283,8 +284,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     done = decided.where("text is not null").select("page_id", "url", "text")
     open_ = decided.where("text is null").select("page_id", "url", "host", "html")
 
-    hosts = open_.select("host").distinct()
-    streams = rows.join(hosts, "host", "left_semi").dropDuplicates(["host", "html"])
+    hosts = keep(open_.select(F.xxhash64("host").alias("key"), "host").distinct())
+    streams = split_by_key(rows.withColumn("key", F.xxhash64("host")), hosts)[1].join(hosts.select("host"), "host", "left_semi").dropDuplicates(["host", "html"])
     n_pages = keep(streams.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")))
     runs = streams.select("host", "html").mapInPandas(_streams, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
     boilerplate = keep(runs.join(n_pages, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("n_pages"))).select("host", "run"))

@@ -89,3 +89,19 @@ def test_hostile_pages_are_read_in_linear_time():
         began = time.process_time()
         text("<article>x</article>" + part * (1_000_000 // len(part)))
         assert time.process_time() - began < 30, part
+
+
+def test_pages_of_hosts_without_undecided_blocks_are_not_moved(spark, monkeypatch):
+    split, moved = M.split_by_key, []
+
+    def seen(rows, special):
+        same, perhaps = split(rows, special)
+        moved.append(perhaps.count())
+        return same, perhaps
+
+    monkeypatch.setattr(M, "split_by_key", seen)
+    rows = [(i, f"https://closed.org/{i}", f"<article>text {i}</article>") for i in range(50)] + [(100 + i, f"https://open.org/{i}", f"<div>block number {i} of a page</div>") for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in M.main_text(frame).collect()}
+    assert got == {i: f"text {i}" for i in range(50)} | {100 + i: f"block number {i} of a page" for i in range(4)}
+    assert moved == [4]
