@@ -4,8 +4,8 @@
 the normaliser (a character map if the model has one, the blank put first,
 the word marker for blanks), the pieces with their scores as a unigram model
 or as merges in order of score, and bytes for characters without a piece.
-Batches of whole texts are encoded and decoded by the library's own threads,
-and every text is held against the sentencepiece library.
+Batches of whole texts are encoded and decoded by the library, and every text
+is held against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from ledgerloom.llm.common import public_path, release, small_batches, table, te
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Threads of the library in each Python worker.
-THREADS = 2
+#: Threads of the libraries in each Python worker: Spark's tasks are the threads.
+THREADS = 1
 #: Characters that are encoded at once.
 BATCH_CHARS = 500_000
 
@@ -123,13 +123,19 @@ def tokenizer(model: Model):
 
 
 class Encoder:
-    """A model in the tokenizers library."""
+    """A model in the tokenizers library. Where normalising is no more than putting marks, texts come marked, as the library would keep track of every byte for that."""
 
     def __init__(self, model: Model):
         self.core = tokenizer(model)
+        self.marks = model.mark_blanks and not model.char_map and not model.squeeze_blanks
+        self.prefix = MARK if model.dummy_prefix else ""
+        if self.marks:
+            self.core.normalizer = None
 
     def run(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """The ids of each text, and what they decode to."""
+        if self.marks:
+            texts = [self.prefix + t.replace(" ", MARK) if t else t for t in texts]
         ids = [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
         return ids, self.core.decode_batch(ids, skip_special_tokens=False)
 
@@ -151,7 +157,7 @@ def _coded(model_file: str, row):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
 
         ours, theirs = Encoder(Model.load(model_file)), sentencepiece.SentencePieceProcessor(model_file=model_file)

@@ -49,3 +49,12 @@ def test_large_ids_beside_null(spark):
     ids = [9007199254740993, None, 9007199254740995]
     frame = spark.createDataFrame([(i, "some text") for i in ids], "doc_id long, text string").coalesce(1)
     assert {r.doc_id for r in M.digest(frame, FILE).collect()} == set(ids)
+
+
+def test_marks_are_put_without_the_librarys_normaliser():
+    model = M.Model.load(FILE)
+    ours, whole = M.Encoder(model), M.tokenizer(model)
+    texts = ["", " ", "a  b ", "▁x ▁", "é漢\n\x00  z", "word " * 50]
+    assert ours.core.normalizer is None and ours.run(texts)[0] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    model.squeeze_blanks = True
+    assert M.Encoder(model).core.normalizer is not None
