@@ -1,5 +1,6 @@
 from datetime import date
 from decimal import Decimal as D
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import hypotheses as H
 from ledgerloom.operators import hypothesis_loop as A
 from ledgerloom.operators import journal as J
+from ledgerloom.plans import lifecycle_queries as Q
 from ledgerloom.sources import config, settlement_csv
 
 
@@ -89,3 +91,18 @@ def test_config(tmp_path):
         write(tmp_path, "r.yaml", broken)
         with pytest.raises(config.ConfigError):
             config.Rates.load(str(tmp_path / "r.yaml"))
+
+
+def test_cited_rows_are_looked_up_once(spark):
+    ledger = spark.createDataFrame([(f"o{i}", f"c{i // 2}", D("5.00")) for i in range(8)], "order_id string, customer_id string, gross decimal(18,2)")
+    payments = spark.createDataFrame([(f"p{i}", f"o{i}", D("5.00")) for i in range(8)], "payment_id string, order_id string, captured decimal(18,2)")
+    lines = spark.createDataFrame([(f"s{i}", f"p{i}", D("5.00")) for i in range(0, 8, 2)], "settlement_id string, payment_id string, net decimal(18,2)")
+    other = {"refunds": "refund_id", "batches": "batch_id", "bank": "bank_txn_id"}
+    e = SimpleNamespace(ledger=ledger, payments=payments, lines=lines, **{t: spark.createDataFrame([], f"{k} string") for t, k in other.items()})
+    claims = spark.createDataFrame([("a", 0, "DUPLICATE_CANDIDATE", "o1", None, ["o0", "o1"]), ("b", 0, "DUPLICATE_CANDIDATE", "o2", None, ["o2", "o3"]), ("c", 0, "DUPLICATE_CANDIDATE", "o4", None, ["o4", "gone"]), ("d", 0, "UNEXPLAINED", "p5", None, ["p5"])], "exception_id string, rank int, category string, candidate_id string, assertion struct<lhs:string,op:string,rhs:string>, evidence_row_ids array<string>")
+    verify = Q.verifier(e, claims.select(F.explode("evidence_row_ids").alias("row_id")))
+    rows = verify(claims)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, Q.verified(e, claims).collect()))
+    assert {r.exception_id: r.reason_failed for r in rows.collect()} == {"a": None, "b": "chains don't tell them apart", "c": "missing evidence", "d": "no assertion"}
+    read = {f.rsplit("/", 2)[1] for f in rows.inputFiles()}
+    assert len(read) == 3 and all(name.startswith("stage-") for name in read)  # what was looked up, and none of the tables

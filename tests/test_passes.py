@@ -74,6 +74,14 @@ def test_duplicates(spark):
     assert [r.order_ids for r in duplicates.candidates(ledger).collect()] == [["o2", "o3"]]  # o1 is confirmed, so it is no candidate
 
 
+def test_orders_are_listed_only_where_two_are_alike(spark):
+    rows = [("o1", "i", D("1.00"), "d", "c", "s"), ("o1", "i", D("1.00"), "d", "c", "t"), ("o2", "i", D("1.00"), "d", "c", "s"), ("o3", "i", D("2.00"), "d", "c", "s"), ("o3", "j", D("2.00"), "d", "c", "s"), (None, "i", D("3.00"), "d", None, "s"), ("o4", "i", D("3.00"), "d", None, "s"), ("o5", "i", D("3.00"), "d", None, "s"), ("o6", "i", D("1.00"), "d", "c", "s"), ("o6", "i", D("1.00"), "d", "c", "s")]
+    found = duplicates.candidates(spark.createDataFrame(rows, "order_id string, invoice_no string, gross decimal(18,2), order_date string, customer_id string, sku string"))
+    assert sorted(r.order_ids for r in found.collect()) == [["o1", "o2"], ["o4", "o5"]]  # o3 is one order of two rows, o6 is confirmed
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set(") == 1 and ">= 2)" in plan[plan.index("collect_set(") :].split("Window", 1)[0]
+
+
 def fuzzy(spark, batches, credits):
     """Links and verdicts; verdicts are (outcome, best, runner-up)."""
     day = lambda n: date(2026, 9, 1) + timedelta(n)
