@@ -2,12 +2,14 @@ import random
 from datetime import date, timedelta
 from decimal import ROUND_HALF_EVEN
 from decimal import Decimal as D
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import batch_link as B
-from ledgerloom.operators import duplicates
+from ledgerloom.operators import duplicates, stage
+from ledgerloom.plans import case_queries
 from ledgerloom.plans.engine import Engine, over_lens
 
 SMALL = "/root/testdata/sf0.001"
@@ -221,3 +223,17 @@ def test_tables_are_asked_for_when_a_query_needs_them(spark):
     bank = spark.createDataFrame([("C1", date(2001, 1, 2), D("7.00"), "NEFT U", "credit"), ("C2", date(2001, 1, 2), D("5.00"), "NEFT U", "debit")], "bank_txn_id string, value_date date, amount decimal(18,2), narration string, direction string")
     engine = Engine({"batches": batches, "bank": bank}, None, None, None, "", "2001-06-30")
     assert list(map(tuple, B.nearest_batches(engine.credits, engine.batches).collect())) == [("C1", "B1", 1)]
+
+
+def test_integrity_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(stage, "ROWS_A_TASK", 3)
+    frame = lambda cols, *rows: spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in cols.split()))
+    e = SimpleNamespace(
+        ledger=frame("order_id", ("o1",), ("o1",)), payments=frame("payment_id order_id", ("p1", "o1"), ("p2", "o2")), refunds=frame("refund_id payment_id", ("r1", "p1"), ("r2", "p9")),
+        lines=frame("settlement_id payment_id batch_id", *[(f"s{i}", "p1", "b1") for i in range(9)], ("s9", "p9", "b1"), ("sa", "p2", "b9")), batches=frame("batch_id", ("b1",)),
+    )
+    lost = case_queries.integrity_checks(e)
+    assert sorted((r.link, r.id) for r in lost.collect()) == [("line_batch", "sa"), ("line_payment", "s9"), ("payment_order", "p2"), ("refund_payment", "r2")]
+    plan = lost._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 6 and "Aggregate" not in plan  # both sides of three links; a parent that comes twice does no harm
+    assert [stage.tasks_for(n) for n in (0, 3, 4, 11)] == [1, 1, 2, 4]
