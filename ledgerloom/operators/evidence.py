@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import UTR_LENGTH
 from ledgerloom.operators.metrics import MODEL_CATEGORIES
-from ledgerloom.operators.stage import kept
+from ledgerloom.operators.stage import kept, tasks_for
 
 DUPLICATE = "DUPLICATE_CANDIDATE"
 #: Stages of the way, in order.
@@ -35,7 +35,7 @@ def named_batches(batches: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 class Rows:
-    """The rows of the six tables by stage: row_id, detail, and the ids by which the way leads to them."""
+    """The rows of the six tables by stage: row_id, detail, and the ids by which the way leads to them. Equal rows may come several times."""
 
     def __init__(self, ledger: DataFrame, payments: DataFrame, refunds: DataFrame, lines: DataFrame, batches: DataFrame, bank: DataFrame):
         def table(frame: DataFrame, key: str, *fields: tuple[str, str], by: str | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ class Rows:
 
         called = bank.join(named_batches(batches, bank), "bank_txn_id", "left")
         self.by_stage = {
-            "ledger": (table(ledger.distinct(), "order_id", ("customer", "customer_id"), ("gross", "gross")), {}),
+            "ledger": (table(ledger, "order_id", ("customer", "customer_id"), ("gross", "gross")), {}),
             "payment": (table(payments, "payment_id", ("authorized", "authorized"), ("captured", "captured"), ("status", "status"), by="order_id"), {"ledger": ("row_id", "order_id")}),
             "settlement": (table(lines, "settlement_id", ("type", "line_type"), ("gross", "gross"), ("fee", "fee"), ("tax", "tax"), ("net", "net"), by="payment_id"), {"payment": ("row_id", "payment_id")}),
             "refund": (table(refunds, "refund_id", ("amount", "amount"), ("created", "created_at"), by="payment_id"), {"payment": ("row_id", "payment_id")}),
@@ -54,13 +54,14 @@ class Rows:
 
 
 def inverted_index(rows: Rows) -> DataFrame:
-    """id, stage and row_id: every row under each id that it names, its own included."""
+    """id, stage and row_id: every row under each id that it names, its own included. Rows are dealt by id before they are told apart."""
     out = []
     for stage, (frame, above) in rows.by_stage.items():
         keys = {"row_id", *(key for _, key in above.values() if key != "row_id")}
         out += [frame.where(F.col(k).isNotNull()).select(F.col(k).alias("id"), F.lit(stage).alias("stage"), "row_id") for k in sorted(keys)]
     out.append(rows.batch_of.select(F.col("batch_id").alias("id"), F.lit("settlement").alias("stage"), "row_id"))
-    return reduce(DataFrame.unionByName, out).distinct()
+    n = tasks_for(2 * sum(frame.count() for frame, _ in rows.by_stage.values()))  # a row names another's id and has its own
+    return reduce(DataFrame.unionByName, out).repartition(n, "id").distinct()
 
 
 def cited(exceptions: DataFrame, orders: DataFrame, pairs: DataFrame) -> DataFrame:

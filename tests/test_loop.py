@@ -1,4 +1,5 @@
 import json
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import evidence as V
 from ledgerloom.operators import hypotheses as H
 from ledgerloom.operators import hypothesis_loop as A
+from ledgerloom.operators import stage
 from ledgerloom.operators import store as S
 
 GOOD = {"category": "UNEXPLAINED", "candidate_id": "c", "assertion": None, "residual_amount": "0.10", "evidence_row_ids": ["b", "a"], "reason": "r"}
@@ -100,3 +102,18 @@ def test_trail(spark):
     orders = spark.createDataFrame([("s", "o1")], "subject_id string, order_id string")
     shown = V.cited(opened, orders, spark.createDataFrame([(["o1", "o2"],)], "order_ids array<string>"))
     assert {r.exception_id: r.cited for r in shown.collect()} == {"e1": ["o1", "o2"], "e2": ["b1"], "e3": ["nothing"]}
+
+
+def test_index_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(stage, "ROWS_A_TASK", 5)
+    frame = lambda cols, *rows: spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in cols.split()))
+    rows = V.Rows(
+        frame("order_id customer_id gross", *[("o1", "c", "5")] * 3, ("o1", "d", "5")), frame("payment_id order_id authorized captured status", *[(f"p{i}", "o1", "5", "5", "x") for i in range(20)]), frame("refund_id payment_id amount created_at"),
+        frame("settlement_id payment_id batch_id line_type gross fee tax net"), frame("batch_id utr net_total settled_event_date"), frame("bank_txn_id value_date amount narration"),
+    )
+    index = V.inverted_index(rows)
+    got = sorted((r.id, r.stage, r.row_id) for r in index.collect())
+    assert got == sorted([("o1", "ledger", "o1"), *[(i, "payment", f"p{k}") for k in range(20) for i in ("o1", f"p{k}")]])
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[id#\d+\], 10\b", plan)  # 2 * 24 rows, 5 in a task
+    assert plan.count("Aggregate [") == 3  # equal rows are told apart once they are dealt; two are of the words in narrations, for either id of a bank row
