@@ -7,14 +7,16 @@ come first in all of them, by exact numbers of documents for those that are
 common, and the rest is shuffled differently in each. A pair of documents is a
 candidate only if it shares prefix tokens in every order. Most prefix tokens
 stand in one document alone, so what is left of the prefixes is short, and the
-filters of all orders are intersected before any set moves.
+filters of all orders are intersected before any set moves. Each set has a
+parity: PARITY bits, of which each token turns one over. Sets that differ in d
+tokens have parities that differ in d bits at most, so that most pairs below
+the similarity are told by their parities, while they are joined.
 
 Documents with equal sets are one class. Links are found in two steps, so
 that a large group of near copies never becomes all its pairs:
 
-1. Classes with the same least hash are a slot. Those that agree with the
-   leader of a slot in several least hashes are held against it: first with
-   the class whose least hashes are the most common ones, then, where a slot
+1. Classes with the same least hash are a slot. Those whose parities allow a
+   link with the leader of a slot are held against it: first with the class whose least hashes are the most common ones, then, where a slot
    still has several components, with others. The links give components.
    Groups of a prefix token that are still large are treated alike.
 2. All candidates whose classes are in different components yet are
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,10 @@ from ledgerloom.llm.common import WordHashes, filter_bits, forget, grams, keep,
 
 WORDS = 5
 ORDERS = 3
-#: Least hashes of a set, how many of them two classes share for step 1 to hold them against each other, and how often slots get a leader.
-MINIMA, AGREE, LEADERS = 6, 3, 3
+#: Least hashes of a set, in how many slots a class has to meet a leader for step 1 to hold them against each other, and how often slots get a leader.
+MINIMA, AGREE, LEADERS = 6, 1, 3
+#: Bits of a set's parity.
+PARITY = 512
 #: Entries of the table of common tokens that is broadcast: the most common ones, down to a number of documents that lets so many in.
 COMMON_TOKENS = 1 << 20
 #: Tokens that are counted together in one group, and tokens that a task gathers before it deals them out.
@@ -59,13 +63,49 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
     return np.unique(grams(h, min(WORDS, len(h)))) if len(h) else h
 
 
+def shingle_sets(texts: Iterable[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle_set of each text, one after the other, and how many each has."""
+    words = [hashes.of(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    n = np.where(lengths < WORDS, lengths > 0, lengths - WORDS + 1)
+    ends = np.cumsum(n)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint64)
+    if len(flat := np.concatenate([w for w in words if len(w) >= WORDS] or [out[:0]])):
+        last = np.cumsum(lengths[lengths >= WORDS])  # shingles that begin in the last words of a text would reach into the next one
+        inside = np.ones(len(flat), bool)
+        for k in range(1, WORDS):
+            inside[last - k] = False
+        out[np.repeat(lengths >= WORDS, n)] = grams(flat, WORDS)[inside[: len(flat) - WORDS + 1]]
+    for k in np.flatnonzero((lengths < WORDS) & (lengths > 0)):
+        out[ends[k] - 1] = grams(words[k], len(words[k]))[0]
+    first = np.ones(len(out), bool)
+    for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        out[i:j].sort()
+    first[1:] = out[1:] != out[:-1]
+    first[(ends - n)[n > 0]] = True
+    before = np.append(0, np.cumsum(first))
+    return out[first], before[ends] - before[ends - n]
+
+
+def parities(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of PARITY // 64 longs for each of the sets that tokens has one after the other, n tokens each."""
+    at = np.repeat(np.arange(len(n)) * PARITY, n) + (mix64(tokens, 300) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(n) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), -1)
+
+
 def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for texts in batches:
-        sets = [shingle_set(t, hashes) for t in texts]
-        blobs = [s.tobytes() for s in sets]
-        minima = [[int(mix64(s, 200 + k).min() >> np.uint64(1)) for k in range(MINIMA)] if len(s) else [] for s in sets]
-        yield pd.DataFrame({"key": pd.Series([xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], dtype="int64"), "n": pd.Series([len(s) for s in sets], dtype="int32"), "minima": minima, "tokens": blobs})
+        tokens, n = shingle_sets(texts, hashes)
+        ends, some = np.cumsum(n), np.flatnonzero(n)
+        blobs = [tokens[i:j].tobytes() for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+        minima = np.zeros((len(n), MINIMA), np.int64)
+        for k in range(MINIMA if len(some) else 0):
+            order = tokens * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & 0xFFFFFFFFFFFFFFFF)  # tokens are hashes, so a multiple of each is order enough
+            minima[some, k] = (np.minimum.reduceat(order, (ends - n)[some]) >> np.uint64(1)).astype(np.int64)
+        minima = [list(x) if k else [] for x, k in zip(minima, n, strict=True)]
+        yield pd.DataFrame({"key": pd.Series([xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs], dtype="int64"), "n": n.astype(np.int32), "minima": minima, "parity": list(parities(tokens, n)), "tokens": blobs})
     del hashes
     release()
 
@@ -161,9 +201,8 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     n = np.frombuffer(b"".join(rows["n"]), np.uint8).astype(np.int64)
     code = np.zeros((len(n), 8), np.uint8)
     code[:, :5] = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(-1, 5)
-    code = code.view("<u8").ravel()
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
+    both = np.sort(code.view("<u8").ravel() << np.uint64(8) | n.astype(np.uint64))  # faster than sorting positions
+    code, n = both >> np.uint64(8), (both & np.uint64(255)).astype(np.int64)
     begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     total = np.add.reduceat(n, begin)
     several = total > 1
@@ -245,6 +284,12 @@ def similar_sizes(a: str, b: str) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and parities allow a link; columns n and parity with the endings a and b."""
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col(f"parity{a}")[k].bitwiseXOR(F.col(f"parity{b}")[k])) for k in range(PARITY // 64)])
+    return similar_sizes(f"n{a}", f"n{b}") & (7 * apart <= F.col(f"n{a}") + F.col(f"n{b}"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b of classes) whose sets are similar enough. Each block holds one set against about BLOCK others at most; sets whose sizes rule a link out aren't moved."""
     sized = lambda c: classes.select(F.col("key").alias(c), F.col("uid").alias(f"uid_{c}"), F.col("n").alias(f"n_{c}"))
@@ -280,12 +325,11 @@ def several_components(members: DataFrame, by: list[str]) -> DataFrame:
 
 
 def leaders_of(slots: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs of a leader and a class of its slot that agree in AGREE least hashes. slots: k, least, key, minima, weight (how common the class's least hashes are)."""
+    """Pairs of a leader and a class that may link with it and is in AGREE of its slots. slots: k, least, key, n, parity, weight (how common the class's least hashes are)."""
     members = slots.withColumn("comp", F.col("key")) if comps is None else slots.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     order = F.struct(F.col("weight") if turn == 0 else F.lit(0.0), F.xxhash64("key", F.lit(turn)))
-    pairs = against_leader(several_components(members, ["k", "least"]), ["k", "least"], order, "minima")
-    agree = F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda x: x))
-    return pairs.where(agree >= AGREE).select("a", "b").distinct()
+    pairs = against_leader(several_components(members, ["k", "least"]), ["k", "least"], order, "n", "parity")
+    return pairs.where(may_link("_a", "_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= AGREE).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -308,14 +352,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """a and b, the one with fewer tokens first: classes of different components that share a prefix token, where sizes and places in the prefix allow a link."""
+    """a and b, the one with fewer tokens first: classes of different components that share a prefix token, where sizes, places in the prefix and parities allow a link."""
     size = F.floor(F.log("n") / math.log(4 / 3)).cast("int")  # similar sets are in the same class of sizes or in the next
-    columns = ["key", "n", "at", "comp"]
+    columns = ["key", "n", "at", "comp", "parity"]
     smaller = rows.select("token", F.explode(F.array(size, size + 1)).alias("size"), *[F.col(c).alias(f"{c}_x") for c in columns])
     larger = rows.select("token", size.alias("size"), *[F.col(c).alias(f"{c}_y") for c in columns])
     once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")))
     overlap = 7 * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= 3 * (F.col("n_x") + F.col("n_y"))  # holds at a similar pair's first shared token
-    pairs = smaller.join(larger, ["token", "size"]).where(once & (F.col("comp_x") != F.col("comp_y")) & similar_sizes("n_x", "n_y") & overlap)
+    pairs = smaller.join(larger, ["token", "size"]).where(once & (F.col("comp_x") != F.col("comp_y")) & overlap & may_link("_x", "_y"))
     return pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
 
 
@@ -335,10 +379,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     def components_so_far() -> DataFrame:
         return keep(components(functools.reduce(DataFrame.unionByName, links)))
 
-    features = F.pandas_udf(_features, "key long, n int, minima array<long>, tokens binary")(text_of())
+    features = F.pandas_udf(_features, "key long, n int, minima array<long>, parity array<long>, tokens binary")(text_of())
     sets = keep(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(text_of()).alias("text_key"), features.alias("f")).select("uid", "doc_id", "text_key", "f.*"))
     worded = sets.where("n > 0")
-    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("minima").alias("minima")))
+    classes = keep(worded.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("minima").alias("minima"), F.any_value("parity").alias("parity")))
     total = worded.agg(F.sum("n")).first()[0] or 0
     without = sets.where("n = 0").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
     if not total:
@@ -349,7 +393,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     representative = spark.sparkContext.broadcast(filter_bits(F.xxhash64("uid"), classes))
 
     # Step 1: classes against the leaders of their slots.
-    exploded = classes.select("key", "minima", F.posexplode("minima").alias("k", "least"))
+    exploded = classes.select("key", "n", "parity", F.posexplode("minima").alias("k", "least"))
     sizes = keep(exploded.groupBy("k", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
     shared_slots = keep(exploded.join(sizes, ["k", "least"]))
     weights = keep(shared_slots.groupBy("key").agg(F.sum(F.log2("size")).alias("weight")))
@@ -366,8 +410,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # Prefix tokens of the first order that stand in different components; then those of the other orders, for classes that have such.
     shared, bits = shared_tokens(by_row(worded), total, representative)
     orders = spark.sparkContext.broadcast(global_orders(shared, bits))
-    several = spark.sparkContext.broadcast(filter_bits("number", shared, 8))
-    first = between_components(by_row(worded).mapInPandas(_prefix_rows(orders, several, range(1), representative), PREFIX).distinct(), comps)
+    several = spark.sparkContext.broadcast(filter_bits("number", shared))
+    first = between_components(by_row(worded).mapInPandas(_prefix_rows(orders, several, range(1), representative), PREFIX).repartition("key").distinct(), comps)
     for salt in range(1, ROUNDS + 1):
         large = keep(first.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("token"))
         if large.isEmpty():
@@ -377,11 +421,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         first = between_components(first.drop("comp"), comps)
 
     # Step 2: candidates of all orders between components.
-    pairs = keep(candidates(first))
+    parity = classes.select("key", "parity")
+    pairs = keep(candidates(first.join(parity, "key")))
     either = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     paired = spark.sparkContext.broadcast(filter_bits("key", either))
-    others = worded.select(F.col("key").alias("h"), "key", "tokens").mapInPandas(_prefix_rows(orders, several, range(1, ORDERS), paired), PREFIX).distinct()
-    others = between_components(others, comps)
+    others = worded.select(F.col("key").alias("h"), "key", "tokens").mapInPandas(_prefix_rows(orders, several, range(1, ORDERS), paired), PREFIX).repartition("key").distinct()
+    others = keep(between_components(others, comps).join(parity, "key"))
     for k in range(1, ORDERS):
         pairs = keep(pairs.join(candidates(others.where(F.col("order") == k)), ["a", "b"], "left_semi"))
     links.append(verified(pairs, sets, classes))

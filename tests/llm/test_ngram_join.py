@@ -131,3 +131,40 @@ def test_empty_table(spark):
 
 def test_long_text_has_whole_set():
     assert len(M.shingle_set(" ".join(map(str, range(30_000))), WordHashes())) == 29_996
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abC") for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 9, 30]))) for _ in range(200)] + ["", "one", "é é é é é é é é"]
+    for part in (texts, texts[:1], [], ["", ""], ["a b"], texts[::-1]):
+        tokens, n = M.shingle_sets(part, WordHashes())
+        ends = np.cumsum(n)
+        assert [tokens[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [M.shingle_set(t, WordHashes()).tolist() for t in part]
+
+
+def test_parities_of_links_are_near():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(base[rng.random(400) < p]) for p in rng.uniform(0.7, 1, 60)]
+    parity = M.parities(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert parity.shape == (60, M.PARITY // 64)
+    for a, p in zip(sets, parity, strict=True):
+        for b, q in zip(sets, parity, strict=True):
+            assert sum(int(x).bit_count() for x in (p ^ q).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_that_are_no_links_are_told_by_their_parities(spark, monkeypatch):
+    """Each text has two changed words of 60, so that most pairs share many shingles, but few pairs are similar enough."""
+    rng, base, rows = random.Random(7), [f"b{i}" for i in range(60)], []
+    for k in range(150):
+        text = list(base)
+        for at in rng.sample(range(4, 56), 2):
+            text[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(text)))
+    held, verified = [], M.verified
+    monkeypatch.setattr(M, "verified", lambda pairs, *a: (held.append(pairs.count()), verified(pairs, *a))[1])
+    found = M.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, t in rows]
+    links = sum(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert held[-1] < 3 * links < 150 * 149 / 4, (held, links)
