@@ -35,6 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ from ledgerloom.llm.common import WordHashes, filter_bits, forget, grams, keep,
 WORDS = 5
 ORDERS = 3
 #: Least hashes of a set, in how many slots a class has to meet a leader for step 1 to hold them against each other, and how often slots get a leader.
-MINIMA, AGREE, LEADERS = 6, 1, 3
+MINIMA, AGREE, LEADERS = 6, 1, 2
 #: Bits of a set's parity.
 PARITY = 512
 #: Entries of the table of common tokens that is broadcast: the most common ones, down to a number of documents that lets so many in.
@@ -268,16 +269,19 @@ def between_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def _verify_block(rows: pd.DataFrame) -> pd.DataFrame:
+def _verify_block(rows: pa.Table) -> pa.Table:
     """rows of one block: the set that all others are held against has role 0."""
-    rows = rows.drop_duplicates("key")
-    a = rows[rows["role"] == 0].iloc[0]
-    one, out = _set(a["tokens"]), []
-    for key, blob in zip(rows["key"], rows["tokens"], strict=True):
+    sets, role = dict(zip(rows["key"].to_pylist(), rows["tokens"].to_pylist(), strict=True)), rows["role"].to_pylist()
+    a, out = rows["key"][role.index(0)].as_py(), []
+    one = _set(sets.pop(a))
+    for key, blob in sets.items():
         other = _set(blob)
-        if key != a["key"] and 4 * min(len(one), len(other)) >= 3 * max(len(one), len(other)) and 7 * len(np.intersect1d(one, other, assume_unique=True)) >= 3 * (len(one) + len(other)):
-            out.append((a["key"], key))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        if 4 * min(len(one), len(other)) >= 3 * max(len(one), len(other)):
+            both = np.concatenate([one, other])
+            both.sort(kind="stable")  # two sorted runs are merged
+            if 7 * np.count_nonzero(both[1:] == both[:-1]) >= 3 * len(both):
+                out.append(key)
+    return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
 
 def similar_sizes(a: str, b: str) -> Column:
@@ -306,7 +310,7 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
         return pd.Series(passes(np.frombuffer(bits.value, np.uint8), hashes.to_numpy()))
 
     some = sets.select("uid", "key", "tokens").where(needed(hashed))
-    out = keep(needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInPandas(_verify_block, "a long, b long"))
+    out = keep(needs.join(some, "uid").drop("uid").groupBy("a", "block").applyInArrow(_verify_block, "a long, b long"))
     forget(pairs, per, needs)
     return out
 
